@@ -9,12 +9,14 @@
    COORDS - MATCH + 1 of them (prefix); the remaining lists are never merged:
    the count is finished by comparing the two signatures (skip).
    At a similarity of 0.8 a pair agrees in 32 of 40 coordinates on average and
-   in fewer than 22 with a probability of about 0.00003.
+   in fewer than 22 with a probability of about 0.00003.  ``MORE`` coordinates
+   of one byte, which are not posted, sharpen the count: a pair must agree in
+   ``SHARE`` of all, which fails at 0.8 with a probability below 0.0001.
 3. Candidates are confirmed on the full sets.
 4. A list is not expanded into all of its pairs.  Its members are first linked
-   to three leaders; components of the confirmed links follow.  Only members of
-   one list that are still in different components are then paired, so no
-   confirmed link between different components is lost.
+   to three leaders, a few times over; components of the confirmed links follow.
+   Classes that still share a list across components are then compared block by
+   block, so no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from .common import WordHashes, byte_bounded, stored, words_of
 from .graph import components
 
 COORDS, MATCH = 40, 22
+MORE, SHARE = 120, 0.67
+TURNS = 2  # of leaders, before what is left is paired
+BLOCK = 2000  # classes, of which two blocks are compared in one task
 SHINGLE, PERCENT = 4, 80
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,37 +73,56 @@ def _ids(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def signer(width: int, coords: int):
-    """mapInArrow function: (id, text) to id, n, h1, h2, sig."""
+def signer(width: int, coords: int, more: int):
+    """mapInArrow function: (id, text) to id, n, h1, h2, sig, more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (xor, mul) = WordHashes(), _coordinate_keys(coords)
+        hashes, (xor, mul) = WordHashes(), _coordinate_keys(coords + more)
         for batch in byte_bounded(batches, "text", 4 << 20):
             sets = [shingle_set(words_of(t), hashes, width) for t in _texts(batch)]
             sizes, _ = _ids(sets)
             full = np.flatnonzero(sizes)
-            sig = np.zeros((len(sets), coords), np.int32)
+            sig, rest = np.zeros((len(sets), coords), np.int32), np.zeros((len(sets), more), np.int8)
             h1, h2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
                 h1[full] = np.add.reduceat(_mixed(flat ^ _MIX), at).view(np.int64)
                 h2[full] = np.bitwise_xor.reduceat(_mixed(flat + _MIX), at).view(np.int64)
+                half = (flat >> np.uint64(32)).astype(np.uint32)  # the coordinates that are only compared need 32 bits
                 for j in range(coords):
                     least = np.minimum.reduceat((flat ^ xor[j]) * mul[j], at)
                     sig[full, j] = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * coords), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(h1), pa.array(h2), lists], names=["doc_id", "n", "h1", "h2", "sig"])
+                for j in range(more):
+                    least = np.minimum.reduceat((half ^ np.uint32(xor[coords + j] >> np.uint64(32))) * np.uint32(mul[coords + j] & np.uint64(0xFFFFFFFF)), at)
+                    rest[full, j] = ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).view(np.int8)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (sig, rest)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(h1), pa.array(h2), *lists], names=["doc_id", "n", "h1", "h2", "sig", "more"])
 
     return run
 
 
-def setter(width: int):
-    """mapInArrow function: (id, text) to id and the whole shingle set."""
+SIEVE_BITS = 1 << 23  # of the filter that goes to the scan: 1 MB, whatever the number of documents
+
+
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the ids (doc_id: long), for use before a join."""
+    at = F.expr(f"pmod(doc_id, {SIEVE_BITS}) + 1")
+    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for r in rows:
+        out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def setter(width: int, sieve: np.ndarray):
+    """mapInArrow function: (id, text) to id and the whole shingle set, for ids that pass the sieve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in byte_bounded(batches, "text", 4 << 20):
+            at = np.asarray(batch.column(0).fill_null(-1), np.int64) % SIEVE_BITS
+            batch = batch.filter(pa.array((sieve[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
             sets = [shingle_set(words_of(t), hashes, width) for t in _texts(batch)]
             sizes, at = _ids(sets)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -107,9 +131,15 @@ def setter(width: int):
     return run
 
 
-def _agreeing(a: Column, b: Column) -> Column:
+def _agreeing(a: str, b: str) -> Column:
     """Coordinates in which two signatures agree."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+
+
+def _alike(a: str, b: str, coords: int, match: int, more: int, share: float) -> Column:
+    """Whether two classes agree in enough coordinates; the posted ones are counted first."""
+    posted = _agreeing(f"sig{a}", f"sig{b}")
+    return (posted >= match) & (posted + _agreeing(f"more{a}", f"more{b}") >= share * (coords + more))
 
 
 def _near_size(a: str, b: str, percent: int) -> Column:
@@ -120,16 +150,92 @@ def _near_size(a: str, b: str, percent: int) -> Column:
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
     pairs = stored(pairs.select("u", "v").distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    chosen = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(chosen.mapInArrow(setter(width), "doc_id long, shingles array<long>"), "sets")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
+    sets = stored(texts.mapInArrow(setter(width, _sieve(wanted)), "doc_id long, shingles array<long>"), "sets")
     left, right = sets.toDF("u", "su"), sets.toDF("v", "sv")
     both = F.size(F.array_intersect("su", "sv"))
     linked = pairs.join(left, "u").join(right, "v").withColumn("both", both)
     return linked.where(F.col("both") * 100 >= (F.size("su") + F.size("sv") - F.col("both")) * percent).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords: int = COORDS, match: int = MATCH) -> DataFrame:
+def _offers(lists: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """Links to try: for each member of a list, leaders of its lists that are in other components, three at most."""
+    placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "pair", F.coalesce("component", "rep").alias("component"))
+    # Keyed hashes choose the same leaders from most of the lists of a group; the first leader is the smallest id.
+    order = lambda c, k: F.col(c) if turn == k == 0 else F.xxhash64(c, F.lit(3 * turn + k))
+    leaders = placed.groupBy("pair").agg(
+        *[F.min_by(F.struct("rep", "component"), order("rep", k)).alias(f"l{k}") for k in range(3)],
+        F.min("component").alias("least"), F.max("component").alias("most"),
+    ).where("least != most")
+    offered = placed.join(leaders, "pair").select("rep", *[F.when(F.col(f"l{k}.component") != F.col("component"), F.col(f"l{k}.rep")).alias(f"l{k}") for k in range(3)])
+    taken = offered.groupBy("rep").agg(*[F.min_by(f"l{k}", F.when(F.col(f"l{k}").isNotNull(), order(f"l{k}", k))).alias(f"l{k}") for k in range(3)])
+    pairs = taken.select(F.col("rep").alias("u"), F.explode(F.array("l0", "l1", "l2")).alias("v")).where("v is not null")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _paired(lists: DataFrame, found: DataFrame, by_rep: DataFrame, texts: DataFrame, width: int, percent: int, enough: tuple) -> DataFrame:
+    """Confirmed links (u, v) between different components of what still shares a list.
+
+    Classes that are reachable through such lists form a cluster.  A cluster is
+    cut in blocks of ``BLOCK`` classes and every two blocks are compared in one
+    task, with whole sets; only links that join components come out.
+    """
+    placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart = placed.groupBy("pair").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("rep").alias("head")).where("least != most")
+    rows = stored(placed.join(apart, "pair").select("rep", "component", "head"), "apart")
+    cluster = components(rows.select(F.col("rep").alias("u"), F.col("head").alias("v"))).toDF("rep", "cluster")
+    wanted = stored(rows.select("rep", "component").distinct().join(cluster, "rep"), "wanted")
+    sets = texts.mapInArrow(setter(width, _sieve(wanted.select(F.col("rep").alias("doc_id")))), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "rep")
+    sizes = wanted.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    full = wanted.join(sizes, "cluster").join(by_rep.select("rep", "sig", "more"), "rep").join(sets, "rep")
+    full = full.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    full = full.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "sig", "more", "shingles")
+    return full.groupBy("cluster", "i", "j").applyInPandas(_linker(percent, *enough), "u long, v long")
+
+
+def _linker(percent: int, coords: int, match: int, more: int, share: float):
+    def run(group):
+        import pandas as pd
+
+        group = group.sort_values("rep", kind="stable")
+        rep, comp, block = (group[c].to_numpy() for c in ("rep", "component", "block"))
+        sig, rest = np.stack(group["sig"].to_numpy()), np.stack(group["more"].to_numpy())
+        sets = [np.sort(x) for x in group["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        first, alone = block == group["i"].iloc[0], group["i"].iloc[0] == group["j"].iloc[0]
+        parent = {int(c): int(c) for c in comp}
+
+        def find(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        out = []
+        left, right = np.flatnonzero(first), np.arange(len(rep)) if alone else np.flatnonzero(~first)
+        for x in left.tolist():
+            mine = find(int(comp[x]))
+            near = right[(comp[right] != comp[x]) & (100 * np.minimum(sizes[right], sizes[x]) >= percent * np.maximum(sizes[right], sizes[x]))]
+            if alone:
+                near = near[near > x]
+            agree = (sig[near] == sig[x]).sum(1)
+            near, agree = near[agree >= match], agree[agree >= match]
+            agree = agree + (rest[near] == rest[x]).sum(1)
+            likely = near[agree >= share * (coords + more)]
+            for y in likely[np.argsort(-agree[agree >= share * (coords + more)], kind="stable")].tolist():
+                theirs = find(int(comp[y]))
+                if theirs == mine:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                    out.append((int(rep[x]), int(rep[y])))
+                    parent[max(mine, theirs)] = mine = min(mine, theirs)
+        return pd.DataFrame({"u": pd.array([u for u, _ in out], "int64"), "v": pd.array([v for _, v in out], "int64")})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords: int = COORDS, match: int = MATCH, more: int = MORE, share: float = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...).
 
     Null, empty and blank texts have no shingles and stay alone.  Rows that
@@ -137,39 +243,38 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     component and is kept.  Extra columns are ignored.  An empty table gives an
     empty table.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(texts.mapInArrow(signer(width, coords), "doc_id long, n long, h1 long, h2 long, sig array<int>"), "signatures")
+    signed = stored(texts.mapInArrow(signer(width, coords, more), "doc_id long, n long, h1 long, h2 long, sig array<int>, more array<tinyint>"), "signatures")
     usable = signed.where("n > 0 and doc_id is not null")
-    classes = stored(usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    by_rep = classes.select("rep", "n", "sig").dropDuplicates(["rep"])
+    classes = stored(usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("more").alias("more")), "classes")
+    by_rep = classes.select("rep", "n", "sig", "more").dropDuplicates(["rep"])
 
     # Prefixes: pairs of one class only are the rarest and need no list.
     posted = classes.select("rep", F.posexplode("sig").alias("c", "x")).select("rep", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("x").cast("long")).alias("pair"))
     shared = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1")
     met = posted.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("lists", "pair"))).alias("met"))
     met = met.where(F.size("met") >= match).select("rep", F.expr(f"slice(met, 1, size(met) - {match} + 1)").alias("met"))
-    lists = stored(met.select("rep", F.explode("met.pair").alias("pair")), "lists")
-
-    leaders = lists.groupBy("pair").agg(
-        F.array(F.min("rep"), F.min_by("rep", F.xxhash64("rep", F.lit(1))), F.min_by("rep", F.xxhash64("rep", F.lit(2)))).alias("leaders"),
-        F.count(F.lit(1)).alias("members"),
-    ).where("members > 1")
-    starred = lists.join(leaders, "pair").select(F.col("rep").alias("u"), F.explode("leaders").alias("v")).where("u != v")
-    starred = starred.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    a, b = by_rep.toDF("u", "nu", "sigu"), by_rep.toDF("v", "nv", "sigv")
-    likely = starred.join(a, "u").join(b, "v").where(_near_size("nu", "nv", percent) & (_agreeing(F.col("sigu"), F.col("sigv")) >= match))
-    links = stored(_confirmed(likely, texts, width, percent), "links")
-    found = stored(components(links), "components")
-
-    # What the leaders have not joined: members of one list in different components.
-    placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = placed.groupBy("pair").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("pair")
-    rows = stored(placed.join(apart, "pair").join(by_rep, "rep").select("pair", "rep", "component", "n", "sig"), "apart")
-    left, right = (rows.toDF("pair", f"rep{k}", f"c{k}", f"n{k}", f"sig{k}") for k in "ab")
-    rest = left.join(right, (left.pair == right.pair) & (F.col("repa") < F.col("repb")) & (F.col("ca") != F.col("cb")) & _near_size("na", "nb", percent) & (_agreeing(F.col("siga"), F.col("sigb")) >= match))
-    more = stored(_confirmed(rest.select(F.col("repa").alias("u"), F.col("repb").alias("v")), texts, width, percent), "links")
-    if not more.isEmpty():
-        found = stored(components(links.unionByName(more)), "components")
+    prefixes = stored(met.select("rep", "met.pair"), "prefixes")
+    lists = prefixes.select("rep", F.explode("pair").alias("pair"))
+
+    enough = coords, match, more, share
+    links, found = None, spark.createDataFrame([], "node long, component long")
+    for turn in range(TURNS):
+        offers = stored(_offers(lists, found, turn), "offers")
+        if offers.isEmpty():
+            break
+        a, b = by_rep.toDF("u", "nu", "sigu", "moreu"), by_rep.toDF("v", "nv", "sigv", "morev")
+        likely = offers.join(a, "u").join(b, "v").where(_near_size("nu", "nv", percent) & _alike("u", "v", *enough))
+        new = stored(_confirmed(likely, texts, width, percent), "links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        found = stored(components(links), "components")
+
+    new = stored(_paired(lists, found, by_rep, texts, width, percent, enough), "links")
+    if not new.isEmpty():
+        found = stored(components(new if links is None else links.unionByName(new)), "components")
 
     named = classes.select("n", "h1", "h2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")

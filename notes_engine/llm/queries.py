@@ -6,10 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decision_list, decontaminate, packing, token_files
 from .common import documents
 from .minhash_dedup import near_duplicates
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_token_files(token_files.write_token_files(documents(spark, sf_dir)))
+
+
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rules = decision_list.learned_from(docs, _table(spark, sf_dir, "labels"))
+    return decision_list.judged(docs.select("doc_id", "text"), rules).select("doc_id", *decision_list.STATS, "base_failed", "kept", "rule")
+
+
+def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def op10_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -19,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_minhash_containment": decontaminate.ORACLE_SQL}
