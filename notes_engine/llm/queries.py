@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, packing, token_files
-from .common import documents
+from . import byte_cnn, decision_list, decontaminate, packing, quality_net, token_files
+from .common import documents, fold
 from .minhash_dedup import near_duplicates
 
 
@@ -25,6 +26,20 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judged(docs.select("doc_id", "text"), rules).select("doc_id", *decision_list.STATS, "base_failed", "kept", "rule")
 
 
+def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = quality_net.trained(docs.where(fold("doc_id", 5) != 0), _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    out = quality_net.scored(docs, net)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    net = byte_cnn.trained(docs.where(fold("doc_id", 4) != 2))
+    out = byte_cnn.with_language(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
