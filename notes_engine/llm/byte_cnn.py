@@ -115,8 +115,8 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> ByteCNN | None:
     return ByteCNN(classes).fit(np.stack([p[0] for p in parts]), np.array([p[1] for p in parts]))
 
 
-def with_language(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
-    """``docs`` with lang_pred and score.
+def with_language(docs: DataFrame, net: ByteCNN | None, named: str = "lang_pred", rated: str = "score") -> DataFrame:
+    """``docs`` with the language and its probability in two more columns.
 
     Every window of the text counts, by the mean of its log probabilities.  A
     null text or one without a letter is ``und`` with score 0, and so is every
@@ -126,7 +126,7 @@ def with_language(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
 
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 30 kB
     names = docs.columns
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType(list(docs.schema.fields)).add(named, StringType()).add(rated, DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -145,6 +145,6 @@ def with_language(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
                 p /= p.sum(1, keepdims=True)
                 for i, row in zip(at, p, strict=True):
                     langs[i], scores[i] = net.classes[int(row.argmax())], float(row.max())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, named, rated])
 
     return docs.mapInArrow(run, schema)

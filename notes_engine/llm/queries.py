@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decision_list, decontaminate, packing, quality_net, token_files
-from .common import documents, fold
+from . import byte_cnn, compaction, decision_list, decontaminate, merkle, packing, ppm_scoring, quality_net, token_files
+from .common import documents, fold, scratch_dir
 from .minhash_dedup import near_duplicates
 
 
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scoring.scored(documents(spark, sf_dir), fold("doc_id", 7) == 2)
+
+
 def op2_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(documents(spark, sf_dir)))
 
@@ -26,6 +31,15 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judged(docs.select("doc_id", "text"), rules).select("doc_id", *decision_list.STATS, "base_failed", "kept", "rule")
 
 
+def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records, against a replica in which some records are damaged and some are gone."""
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("number"), "url", "html")
+    damaged = F.when(F.col("number") % 50 == 7, F.concat(F.lit("?"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    whole = pages.select("number", merkle.warc_record(F.col("url"), F.col("html")).alias("record"))
+    replica = pages.where("number % 101 != 5").select("number", merkle.warc_record(F.col("url"), damaged).alias("record"))
+    return merkle.audit(whole, replica)
+
+
 def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = quality_net.trained(docs.where(fold("doc_id", 5) != 0), _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
@@ -44,6 +58,18 @@ def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended as small shards and compacted; every row as the last version holds it."""
+    docs = documents(spark, sf_dir)
+    store = compaction.ShardStore(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.append(docs, compaction.arrivals(docs))
+    last = store.compact()
+    store.vacuum()
+    numbers = spark.createDataFrame([(k, i, v["bytes"]) for i, (k, v) in enumerate(sorted(last.shards.items()))], "_shard_id string, shard int, shard_bytes long")
+    rows = store.read(last).join(F.broadcast(numbers), "_shard_id")
+    return rows.select("doc_id", "shard", "shard_bytes", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.octet_length("text").alias("text_bytes"), F.lit(last.version).alias("version"))
+
+
 def op9_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -57,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash_containment": decontaminate.ORACLE_SQL}
+    return {"op4_merkle_fixity": merkle.ORACLE_SQL, "op7_minhash_containment": decontaminate.ORACLE_SQL}
