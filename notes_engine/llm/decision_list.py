@@ -168,4 +168,6 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """``docs`` with its statistics, base_failed, rule and kept."""
     t = with_stats(docs)
     t = t.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return t.withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    # A filter on kept must stay above: pushed below, it would compute arrays again for each of their elements.
+    here = F.spark_partition_id() >= 0
+    return t.withColumn("rule", verdict(rules)).withColumn("kept", here & ~F.col("base_failed") & (F.col("rule") == 0))
