@@ -61,13 +61,13 @@ def ranges_of(df: DataFrame, keys: list[str], last: str = "last") -> DataFrame:
 
 
 def last_points(points: DataFrame, keys: list[str], parts: int, point: str = "point") -> DataFrame:
-    """keys, part, last: the last point within each equal share of the characters; the last of all for the last part."""
+    """keys, part, last: the last point that starts within each equal share of the characters; the last of all for the last part."""
     by = Window.partitionBy(*keys)
     size = F.length(F.concat(F.col("point_no").cast("string"), F.lit(". "), F.col(point)))
     at = points.withColumn("size", size + 1).withColumn("reach", F.sum("size").over(_so_far(keys, "point_no")) - 1)
-    at = at.withColumn("total", F.max("reach").over(by)).withColumn("n", F.max("point_no").over(by))
+    at = at.withColumn("total", F.max("reach").over(by)).withColumn("n", F.max("point_no").over(by)).withColumn("begin", F.col("reach") - F.col("size") + 1)
     each = at.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(parts))))
-    within = F.col("reach") <= F.ceil(F.col("total") * F.col("part") / parts)
+    within = F.col("begin") <= F.ceil(F.col("total") * F.col("part") / parts)
     return each.groupBy(*keys, "part").agg(F.max(F.when(within, F.col("point_no"))).alias("hit"), F.max("n").alias("n")).select(
         *keys, "part", F.when(F.col("part") == parts, F.col("n")).otherwise(F.coalesce("hit", F.lit(1))).alias("last"))
 

@@ -21,9 +21,15 @@ def costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def summary(calls: DataFrame, by: list[str] = BY) -> DataFrame:
-    """One pass over the calls: dimension, value, and totals by each dimension and over all."""
+    """One pass over the calls: dimension, value, and totals by each dimension and over all.
+
+    No calls give one row of zeros, with a null cost.
+    """
+    # An empty row keeps the total of no calls.
+    none = calls.sparkSession.range(1).select(F.lit(False).alias("_real"))
+    calls = calls.withColumn("_real", F.lit(True)).unionByName(none, allowMissingColumns=True)
     sums = [
-        F.count(F.lit(1)).alias("calls"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"),
+        F.count_if("_real").alias("calls"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"),
         *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")],
         F.round(F.sum("estimated_cost"), 8).alias("cost"), F.round(F.coalesce(F.sum("duration_ms"), F.lit(0.0)), 2).alias("duration_ms"),
     ]
@@ -32,6 +38,7 @@ def summary(calls: DataFrame, by: list[str] = BY) -> DataFrame:
     name, value = F.lit("all"), F.lit(None).cast("string")
     for c in by:
         name, value = F.when(F.col(f"_g_{c}") == 0, c).otherwise(name), F.when(F.col(f"_g_{c}") == 0, F.col(c)).otherwise(value)
+    out = out.where((F.col("calls") > 0) | (F.least(*[F.col(f"_g_{c}") for c in by], F.lit(1)) == 1))
     return out.select(name.alias("dimension"), value.alias("value"), "calls", "ok", "failed", "input_tokens", "output_tokens", "total_tokens", "cost", "duration_ms")
 
 

@@ -69,9 +69,9 @@ def boundary_ranges(spark, sf_dir):
     return order.ranges_of(b, ["doc_id"])
 
 
-@query(f"""WITH {POINTS}, s AS (SELECT doc_id, point_no, sum(length(point_no || '. ' || point) + 1) OVER (PARTITION BY doc_id ORDER BY point_no) - 1 AS reach FROM p),
+@query(f"""WITH {POINTS}, s AS (SELECT doc_id, point_no, sum(length(point_no || '. ' || point) + 1) OVER (PARTITION BY doc_id ORDER BY point_no) - 1 AS reach, length(point_no || '. ' || point) AS size FROM p),
 t AS (SELECT *, max(reach) OVER (PARTITION BY doc_id) AS total, max(point_no) OVER (PARTITION BY doc_id) AS n FROM s)
-SELECT doc_id, part::INT AS part, (CASE WHEN part = 4 THEN max(n) ELSE coalesce(max(point_no) FILTER (WHERE reach <= ceil(total * part / 4)), 1) END)::INT AS last
+SELECT doc_id, part::INT AS part, (CASE WHEN part = 4 THEN max(n) ELSE coalesce(max(point_no) FILTER (WHERE reach - size <= ceil(total * part / 4)), 1) END)::INT AS last
 FROM t, (SELECT unnest([1, 2, 3, 4]) AS part) GROUP BY doc_id, part""")
 def last_points(spark, sf_dir):
     return order.last_points(order.numbered_points(_bullets(spark, sf_dir), ["doc_id"]), ["doc_id"], 4)
