@@ -149,12 +149,16 @@ class ShardStore:
         return rows.withColumn("_shard_id", F.concat_ws("-", *part))
 
     def vacuum(self) -> int:
-        """Delete runs of which the latest version has no shard; readers of older versions must be done."""
-        used = {v["path"].split("/")[1] for v in self.manifest().shards.values()}
-        gone = [s.getPath() for s in self.fs.listStatus(self._at("data")) if s.getPath().getName() not in used]
-        for p in gone:
-            self.fs.delete(p, True)
-        return len(gone)
+        """Delete shards that the latest version does not name; readers of older versions must be done."""
+        used, gone = {v["path"] for v in self.manifest().shards.values()}, 0
+        for run in self.fs.listStatus(self._at("data")):
+            name = run.getPath().getName()
+            shards = [s.getPath() for s in self.fs.listStatus(run.getPath()) if s.getPath().getName().startswith("_shard=")]
+            idle = [s for s in shards if f"data/{name}/{s.getName()}" not in used]
+            for path in idle if len(idle) < len(shards) else [run.getPath()]:
+                self.fs.delete(path, True)
+            gone += len(idle)
+        return gone
 
 
 def arrivals(df: DataFrame, each: int = ARRIVALS):
