@@ -413,3 +413,41 @@ def full_pipeline(spark, sf_dir):
     from .plans import notes
 
     return notes.from_conversations(read(spark, sf_dir, "conversations"))
+
+
+@query("""SELECT event_id, nullif(CASE event_id % 3 WHEN 0 THEN k ELSE k + 1 END, 0)::BIGINT AS input_tokens, nullif(k % 3, 0)::BIGINT AS output_tokens
+FROM (SELECT event_id, coalesce((props->>'$.k')::BIGINT, 0) AS k FROM events)""")
+def response_tokens(spark, sf_dir):
+    from .functions import model_json
+
+    e = read(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).alias("k"))
+    forms = ['{"generations": [{"usage_metadata": {"input_tokens": %d, "output_tokens": 0}}, {"usage_metadata": {"input_tokens": 0, "output_tokens": %d}}]}',
+             '{"generations": [], "llm_output": {"token_usage": {"prompt_tokens": %d, "completion_tokens": %d}}}', '{"llm_output": {"usage": {"input_tokens": %d, "output_tokens": %d}}}']
+    text = F.element_at(F.array(*[F.format_string(f, F.col("k") + (0 if i == 0 else 1), F.col("k") % 3) for i, f in enumerate(forms)]), (F.col("event_id") % 3 + 1).cast("int"))
+    return e.select("event_id", model_json.token_usage(text).alias("u")).select("event_id", "u.input_tokens", "u.output_tokens")
+
+
+@query("""SELECT conv_id, array_to_string(list_sort(list_distinct(list(turn % 3 + 1))), ',') AS selected FROM conversations GROUP BY conv_id""")
+def chapter_selection(spark, sf_dir):
+    from .functions import model_json
+
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list((F.col("turn") % 3 + 1).cast("string")), " , ").alias("answer"))
+    return c.select("conv_id", F.array_join(model_json.selection(F.col("answer")), ",").alias("selected"))
+
+
+@query("""SELECT doc_id, doc_id::VARCHAR || '-a' AS node_id, lang AS content, '' AS summary FROM documents UNION ALL SELECT doc_id, doc_id::VARCHAR || '-b', '', source FROM documents""")
+def content_store_rows(spark, sf_dir):
+    from .sources import artifacts
+
+    d = read(spark, sf_dir, "documents")
+    two = F.map_from_arrays(F.array(F.concat(F.col("doc_id").cast("string"), F.lit("-a")), F.concat(F.col("doc_id").cast("string"), F.lit("-b"))),
+                            F.array(F.struct(F.col("lang").alias("content"), F.lit(None).cast("string").alias("summary")), F.struct(F.lit("").alias("content"), F.col("source").alias("summary"))))
+    return artifacts.store_rows(d.select("doc_id", F.to_json(two).alias("store")), ["doc_id"], "store")
+
+
+@query("""SELECT date_trunc('hour', ts) AS hour, event_type AS status, count(*)::BIGINT AS events FROM events GROUP BY ALL""")
+def hourly_progress(spark, sf_dir):
+    from .streaming import ingest
+
+    p = read(spark, sf_dir, "events").select("ts", F.col("event_type").alias("status"))
+    return ingest.per_window(p).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "status", "events")
