@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notes_engine.llm import byte_cnn, compaction, decision_list, decontaminate, merkle, minhash_dedup, packing, ppm_core, ppm_scoring, quality_net, token_files, tokens
+from notes_engine.llm import byte_cnn, compaction, decision_list, decontaminate, graph, merkle, minhash_dedup, packing, ppm_core, ppm_scoring, quality_net, token_files, tokens
 from notes_engine.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, kept string, score string, n int, shard string"  # the last clash with names used inside
@@ -60,7 +60,9 @@ def brute_components(rows, width, percent):
     return {i: find(i) for i in ids}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(7, 7), (3, 2)]
     parent = {}
