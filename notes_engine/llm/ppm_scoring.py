@@ -8,12 +8,15 @@ a word, start of the next) or a symbol inside a word.
 
 1. Each task codes its texts in chunks: a dictionary of words, the texts as
    codes, and the distinct grams (context and symbol) with training counts.
-2. Counts of words and of grams are summed over the corpus.  Grams are sharded
-   by their last two context bytes, and each shard is coded by ``ppm_core``;
-   orders 1 and 0 are one table of 65,536 counts.
-3. Scores return to the chunks by a join on the chunks' dictionaries, and each
+   Words and grams are dealt to buckets by hash, grams by their last two context
+   bytes, and kept as sorted, compressed arrays, one for each chunk and bucket.
+2. For each bucket, counts are summed over all chunks.  A first pass gives the
+   escape table and the counts of orders 1 and 0, both of fixed size; the second
+   codes the grams by ``ppm_core``.
+3. Counts and scores return to their chunks in the order they came in, and each
    chunk scores its texts.  Nothing that grows with the corpus is broadcast or
-   brought to the driver.
+   brought to the driver.  There are as many buckets as input tasks, times two,
+   so a bucket does not grow with the corpus until ``MOST_BUCKETS``.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import byte_bounded, stored, words_of
 from .ppm_core import D_BINS, N_BINS, LowOrders, code_shard, escape_cases, escape_table
 
-ORDER, HEAD, TAIL = 6, 3, 3
-CHUNK_TOKENS = 2_000_000
+ORDER, HEAD, TAIL = 5, 3, 3
+CHUNK_TOKENS = 2_200_000
+LEAST_BUCKETS, MOST_BUCKETS = 24, 8192
+DOCS, GRAMS, WORDS = 0, 1, 2  # kinds of rows
 _SPACE, _END = 32, 10
 _U = np.uint64
 
@@ -104,37 +109,66 @@ def junction_grams(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owner)
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    c = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return zlib.compress(np.ascontiguousarray(c.T).tobytes(), 1)
+def _pack(numbers: np.ndarray) -> bytes:
+    """Integers by byte planes, compressed; ascending ones should come as differences."""
+    planes = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    c = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(c.T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-_FIELDS = [("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()),
-           ("words", pa.list_(pa.binary())), ("word_counts", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64())), ("gram_counts", pa.list_(pa.int64()))]
-_SCHEMA = "chunk long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, words array<binary>, word_counts array<long>, grams array<long>, gram_counts array<long>"
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=_U(0)))
 
 
-def _chunk(number: int, ids: list, held: list[bool], docs: list[np.ndarray], words: list[bytes]) -> pa.RecordBatch:
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=_U)
+
+
+def _gram_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    shard = (grams >> _U(8)) & _U(0xFFFF)
+    return (((shard * _U(0x9E3779B97F4A7C15)) >> _U(40)) % _U(buckets)).astype(np.int64)
+
+
+def _word_buckets(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+
+
+_FIELDS = [("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("data", pa.binary()), ("counts", pa.binary())]
+_SCHEMA = "kind int, chunk long, bucket int, ids array<long>, held array<boolean>, sizes array<int>, data binary, counts binary"
+_RETURNED = "kind int, chunk long, bucket int, data binary, total long, kinds long"
+
+
+def _chunk(number: int, ids: list, held: list[bool], docs: list[np.ndarray], met: list[bytes], buckets: int) -> pa.RecordBatch:
     sizes = np.array([len(d) for d in docs], np.int64)
-    codes = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    train = np.repeat(~np.array(held, bool), sizes)
-    counts = np.bincount(codes[train], minlength=len(words)).astype(np.int64)
+    by = _word_buckets(met, buckets)
+    order = sorted(range(len(met)), key=lambda i: (by[i], met[i]))
+    words, rank = [met[i] for i in order], np.empty(len(met), np.int64)
+    rank[order] = np.arange(len(met))
+    codes = rank[np.concatenate(docs)] if len(met) else np.zeros(0, np.int64)
+    train = ~np.array(held, bool)
+    counts = np.bincount(codes[np.repeat(train, sizes)], minlength=len(words)).astype(np.int64)
     heads, tails = word_ends(words)
     units, at = np.unique(junctions(codes, np.cumsum(sizes) - sizes, heads, tails), return_inverse=True)
-    unit_counts = np.bincount(at, weights=np.repeat(~np.array(held, bool), sizes + 1), minlength=len(units))
+    unit_counts = np.bincount(at, weights=np.repeat(train, sizes + 1), minlength=len(units))
     (a, wa), (b, ub) = inner_grams(words), junction_grams(units)
     grams, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     gram_counts = np.bincount(at, weights=np.concatenate([counts[wa], unit_counts[ub]]), minlength=len(grams)).astype(np.int64)
-    row = [[number], [ids], [held], [sizes.astype(np.int32)], [_pack(codes)], [words], [counts], [grams.view(np.int64)], [gram_counts]]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(row, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
-
-
-def _encoder(chunk_tokens: int):
+    rows = [(DOCS, number, 0, ids, held, sizes.astype(np.int32), _pack(codes), None)]
+    where = _gram_bucket(grams, buckets)
+    for k in np.unique(where).tolist():
+        rows.append((GRAMS, number, k, None, None, None, _pack_sorted(grams[where == k]), _pack(gram_counts[where == k])))
+    edges = np.searchsorted(by[order], np.arange(buckets + 1)) if words else np.zeros(buckets + 1, np.int64)
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        i, j = int(edges[k]), int(edges[k + 1])
+        rows.append((WORDS, number, k, None, None, None, zlib.compress(b" ".join(words[i:j]), 1), _pack(counts[i:j])))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FIELDS)], names=[n for n, _ in _FIELDS])
+
+
+def _encoder(chunk_tokens: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         known: dict[bytes, int] = {}
@@ -147,65 +181,98 @@ def _encoder(chunk_tokens: int):
                         known[w] = len(known)
                 ids.append(doc_id)
                 held.append(out)
-                docs.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+                docs.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 tokens += len(words) + 1
                 if tokens >= chunk_tokens:
-                    yield _chunk(number, ids, held, docs, list(known))
+                    yield _chunk(number, ids, held, docs, list(known), buckets)
                     number, known, ids, held, docs, tokens = number + 1, {}, [], [], [], 0
         if ids:
-            yield _chunk(number, ids, held, docs, list(known))
+            yield _chunk(number, ids, held, docs, list(known), buckets)
 
     return run
 
 
-def _shard(shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    g = shard["gram"].to_numpy().view(_U)
-    return g & _U((1 << 56) - 1), (g >> _U(56)).astype(np.int64), shard["n"].to_numpy()
+def _merged(rows) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Grams of a bucket over all chunks, their counts, and each chunk's own grams."""
+    own = [_unpack_sorted(d) for d in rows["data"]]
+    grams, at = np.unique(np.concatenate(own), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([_unpack(c).astype(np.int64) for c in rows["counts"]]), minlength=len(grams)).astype(np.int64)
+    return grams, n, own
 
 
-def _counter(shard):
-    """Escape cases of a shard, as rows (at, n) of the flattened table."""
+def _split(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return grams & _U((1 << 56) - 1), (grams >> _U(56)).astype(np.int64)
+
+
+_CASES = (ORDER + 1) * 2 * N_BINS * D_BINS
+
+
+def _counter(rows):
+    """Escape cases and counts of pairs of a bucket, as rows (at, n) of two flattened tables."""
     import pandas as pd
 
-    cases = escape_cases(*_shard(shard), ORDER).ravel()
-    at = np.flatnonzero(cases)
-    return pd.DataFrame({"at": at, "n": cases[at].astype(np.int64)})
+    grams, n, _ = _merged(rows)
+    table = np.concatenate([escape_cases(*_split(grams), n, ORDER).ravel(), np.bincount((grams & _U(0xFFFF)).astype(np.int64), weights=n, minlength=1 << 16)])
+    at = np.flatnonzero(table)
+    return pd.DataFrame({"at": at, "n": table[at].astype(np.int64)})
 
 
 def _coder(pairs: np.ndarray, escapes: np.ndarray):
-    def run(shard):
+    def run(rows):
         import pandas as pd
 
-        return pd.DataFrame({"gram": shard["gram"], "value": code_shard(*_shard(shard), LowOrders(pairs), escapes, ORDER)})
+        grams, n, own = _merged(rows)
+        logp = code_shard(*_split(grams), n, LowOrders(pairs), escapes, ORDER).astype("<f4")
+        data = [logp[np.searchsorted(grams, g)].tobytes() for g in own]
+        return pd.DataFrame({"kind": GRAMS, "chunk": rows["chunk"], "bucket": rows["bucket"], "data": data, "total": 0, "kinds": 0})
 
     return run
 
 
-def _scorer(n: int, v: int, ends: int):
+def _summer(rows):
+    """Counts over all chunks of each chunk's words; the bucket's totals stand in its first row."""
+    import pandas as pd
+
+    own = [zlib.decompress(d).split(b" ") for d in rows["data"]]
+    total: dict[bytes, int] = {}
+    for words, counts in zip(own, rows["counts"], strict=True):
+        for w, c in zip(words, _unpack(counts).tolist(), strict=True):
+            total[w] = total.get(w, 0) + c
+    data = [_pack(np.fromiter(map(total.__getitem__, words), np.int64, len(words))) for words in own]
+    sums = np.zeros((2, len(own)), np.int64)
+    sums[:, 0] = sum(total.values()), sum(c > 0 for c in total.values())
+    return pd.DataFrame({"kind": WORDS, "chunk": rows["chunk"], "bucket": rows["bucket"], "data": data, "total": sums[0], "kinds": sums[1]})
+
+
+_OUT = {"doc_id": "Int64", "held_out": bool, "n_tokens": "int64", "n_known": "int64", "base_score": float, "score": float}
+
+
+def _scorer(n: int, v: int, ends: int, buckets: int):
     def run(chunk, values):
         import pandas as pd
 
-        if not len(chunk):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("doc_id", "Int64"), ("held_out", bool), ("n_tokens", "int64"), ("n_known", "int64"), ("base_score", float), ("score", float))})
-        row = chunk.iloc[0]
-        codes, sizes, words = _unpack(row.codes), np.asarray(row.sizes, np.int64), list(row.words)
-        is_word = values["is_word"].to_numpy()
-        key, value = values["at"].to_numpy(), values["value"].to_numpy()
-        count = np.zeros(len(words))
-        count[key[is_word]] = value[is_word]
-        grams = key[~is_word].view(_U)
-        order = np.argsort(grams)
-        grams, logp = grams[order], value[~is_word][order]
+        texts = chunk[chunk["kind"] == DOCS]
+        if not len(texts):
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in _OUT.items()})
+        row = texts.iloc[0]
+        codes, sizes = _unpack(row["data"]).astype(np.int64), np.asarray(row["sizes"], np.int64)
+        words = [w for d in chunk[chunk["kind"] == WORDS].sort_values("bucket")["data"] for w in zlib.decompress(d).split(b" ")]
+        known = values[values["kind"] == WORDS].sort_values("bucket")["data"]
+        count = np.concatenate([np.zeros(0), *map(_unpack, known)])
         (a, wa), (heads, tails) = inner_grams(words), word_ends(words)
-        inner = np.bincount(wa, weights=logp[np.searchsorted(grams, a)], minlength=len(words))
         units, at = np.unique(junctions(codes, np.cumsum(sizes) - sizes, heads, tails), return_inverse=True)
         b, ub = junction_grams(units)
-        unit = np.bincount(ub, weights=logp[np.searchsorted(grams, b)], minlength=len(units))[at]
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        doc_all = np.repeat(np.arange(len(sizes)), sizes + 1)
+        grams, back = np.unique(np.concatenate([a, b]), return_inverse=True)  # as they were sent
+        logp, where = np.zeros(len(grams)), _gram_bucket(grams, buckets)
+        order = np.argsort(where, kind="stable")
+        logp[order] = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(d, "<f4") for d in values[values["kind"] == GRAMS].sort_values("bucket")["data"])])
+        logp = logp[back]
+        inner = np.bincount(wa, weights=logp[: len(a)], minlength=len(words))
+        unit = np.bincount(ub, weights=logp[len(a) :], minlength=len(units))[at]
+        doc, doc_all = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(sizes)), sizes + 1)
         total = lambda w, d=doc: np.bincount(d, weights=w, minlength=len(sizes))
         return pd.DataFrame({
-            "doc_id": pd.array([None if x is None or x != x else int(x) for x in row.ids], "Int64"), "held_out": list(row.held), "n_tokens": sizes + 1,
+            "doc_id": pd.array([None if x is None or x != x else int(x) for x in row["ids"]], "Int64"), "held_out": list(row["held"]), "n_tokens": sizes + 1,
             "n_known": (total((count > 0)[codes]) + (ends > 0)).astype(np.int64),
             "base_score": total(np.log10((count + 1) / (n + v + 1))[codes]) + np.log10((ends + 1) / (n + v + 1)),
             "score": total(inner[codes]) + total(unit, doc_all),
@@ -223,28 +290,23 @@ def scored(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOKENS) -> D
     Extra columns are ignored.  An empty table gives an empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
-    encoded = rows.select("doc_id", "text", "held").mapInArrow(_encoder(chunk_tokens), _SCHEMA)
-    chunks = stored(encoded, "chunks")
-
-    word_rows = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "word_counts")).alias("at", "w")).select("chunk", "at", F.col("w.words").alias("word"), F.col("w.word_counts").alias("n"))
-    counts = stored(word_rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    ends = chunks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()[0]
-    tokens, kinds = int(tokens + ends), int(kinds + (ends > 0))
-
-    gram_rows = chunks.select("chunk", F.explode(F.arrays_zip("grams", "gram_counts")).alias("g")).select("chunk", F.col("g.grams").alias("gram"), F.col("g.gram_counts").alias("n"))
-    grams = stored(gram_rows.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    pairs = np.zeros((256, 256))
-    for r in grams.groupBy(F.expr("gram & 65535").alias("k")).agg(F.sum("n").alias("n")).collect():  # 65,536 at most
-        pairs[r.k >> 8, r.k & 255] = r.n
-    shards = grams.withColumn("shard", F.expr("(gram >> 8) & 65535")).groupBy("shard")
-    cases = np.zeros((ORDER + 1, 2, N_BINS * D_BINS))
-    for r in shards.applyInPandas(_counter, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a table of fixed size
-        cases.ravel()[r["at"]] = r.n
-    coded = shards.applyInPandas(_coder(pairs, escape_table(cases, LowOrders(pairs))), "gram long, value double")
-
-    values = gram_rows.select("chunk", "gram").join(coded, "gram").select("chunk", F.col("gram").alias("at"), "value", F.lit(False).alias("is_word"))
-    values = values.unionByName(word_rows.select("chunk", "at", "word").join(counts.where("n > 0"), "word").select("chunk", F.col("at").cast("long").alias("at"), F.col("n").cast("double").alias("value"), F.lit(True).alias("is_word")))
-    texts = chunks.select("chunk", "ids", "held", "sizes", "codes", "words")
-    out = texts.groupBy("chunk").cogroup(values.withColumnRenamed("chunk", "part").groupBy("part")).applyInPandas(_scorer(tokens, kinds, int(ends)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * docs.rdd.getNumPartitions()))
+    chunks = stored(rows.mapInArrow(_encoder(chunk_tokens, buckets), _SCHEMA), "chunks")
+
+    word_rows, gram_rows = (chunks.where(F.col("kind") == k).select("chunk", "bucket", "data", "counts").groupBy("bucket") for k in (WORDS, GRAMS))
+    counts = stored(word_rows.applyInPandas(_summer, _RETURNED), "words")
+    tokens, kinds = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    ends = chunks.where(F.col("kind") == DOCS).agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()[0]
+    tokens, kinds, ends = int(tokens + ends), int(kinds + (ends > 0)), int(ends)
+
+    table = np.zeros(_CASES + (1 << 16))
+    for r in gram_rows.applyInPandas(_counter, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # two tables of fixed size
+        table[r["at"]] = r.n
+    pairs = table[_CASES:].reshape(256, 256)
+    escapes = escape_table(table[:_CASES].reshape(ORDER + 1, 2, -1), LowOrders(pairs))
+    coded = gram_rows.applyInPandas(_coder(pairs, escapes), _RETURNED)
+
+    values = coded.unionByName(counts).select(F.col("chunk").alias("part"), "kind", "bucket", "data")
+    texts = chunks.where(F.col("kind") != GRAMS).select("chunk", "kind", "bucket", "ids", "held", "sizes", "data")
+    out = texts.groupBy("chunk").cogroup(values.groupBy("part")).applyInPandas(_scorer(tokens, kinds, ends, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

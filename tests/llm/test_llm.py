@@ -186,7 +186,7 @@ def test_ppm_is_a_distribution():
     grams, owner = ppm_scoring.inner_grams(words)
     keys, at = np.unique(grams, return_inverse=True)
     n = np.bincount(at, weights=counts[owner])
-    ctx = next(k for k in keys.tolist() if k >> 56 == 6)
+    ctx = next(k for k in keys.tolist() if k >> 56 == ppm_scoring.ORDER)
     probe = np.array([(ctx & ~255) | b for b in range(256)], np.uint64)  # every symbol in one context
     full = np.unique(np.concatenate([keys, probe]))
     cnt = np.zeros(len(full))
