@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FAN, LEAST_BYTES, TARGET_BYTES = 4, 1 << 20, 128 << 20
+FILE_BYTES = 32 << 20  # of one file of a merged shard, about
 ARRIVALS = 8  # shards that each task of an append writes
 
 
@@ -104,7 +105,7 @@ class ShardStore:
         run = uuid.uuid4().hex[:12]
         base = f"{self.path}/data/{run}"
         rows = df.withColumnRenamed(shard, "_shard") if isinstance(shard, str) else df.withColumn("_shard", shard)
-        rows.write.partitionBy("_shard").parquet(base)
+        rows.write.option("compression", "zstd").partitionBy("_shard").parquet(base)
         root = self._at(f"data/{run}")
         out = {}
         for s in self.fs.listStatus(root):
@@ -128,9 +129,13 @@ class ShardStore:
             return old
         target = {name: i for i, names in enumerate(groups) for name in names}
         chosen = self.read(Manifest(old.version, old.schema, {k: v for k, v in old.shards.items() if k in target}))
-        names = self.spark.createDataFrame([(k, i) for k, i in target.items()], "_shard_id string, _group int")
-        merged = chosen.join(F.broadcast(names), "_shard_id").drop("_shard_id")  # one row for each shard of the plan
-        written = self._write(merged.repartition(len(groups), "_group"), "_group")
+        # A merged shard is written by as many tasks as it has files.
+        files = [max(1, -(-sum(old.shards[n]["bytes"] for n in names) // FILE_BYTES)) for names in groups]
+        names = self.spark.createDataFrame([(k, i, files[i]) for k, i in target.items()], "_shard_id string, _group int, _files long")
+        merged = chosen.withColumn("_row", F.col("_metadata.row_index")).join(F.broadcast(names), "_shard_id").drop("_shard_id")  # one row for each shard of the plan
+        # The place in the input spreads copies of a row as well.
+        dealt = merged.repartition(sum(files), "_group", F.pmod("_row", "_files"))
+        written = self._write(dealt.drop("_files", "_row"), "_group")
         kept = {k: v for k, v in old.shards.items() if k not in target}
         new = Manifest(old.version + 1, old.schema, {**kept, **written})
         self.commit(new)
