@@ -34,7 +34,7 @@ from .common import byte_bounded, stored, words_of
 from .ppm_core import D_BINS, N_BINS, LowOrders, code_shard, escape_cases, escape_table
 
 ORDER, HEAD, TAIL = 5, 3, 3
-CHUNK_TOKENS = 2_200_000
+CHUNK_TOKENS = 1_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 24, 8192
 DOCS, GRAMS, WORDS = 0, 1, 2  # kinds of rows
 _SPACE, _END = 32, 10
