@@ -199,6 +199,16 @@ def test_ppm_is_a_distribution():
     assert abs((10 ** logp[np.searchsorted(full, probe)]).sum() - 1) < 0.05  # escapes of exhausted contexts are lost
 
 
+def test_ppm_contexts_hold_six_bytes(spark):
+    keys, _ = ppm_scoring.inner_grams([b"qabcdefg"])
+    whole = [k for k in keys.tolist() if k & 255 == ord("g")]
+    assert whole == [6 << 56 | int.from_bytes(b"abcdefg", "big")]
+    train = [(5 * i, f"{a}bcdef{z} " * 40) for i in range(4) for a, z in (("x", "p"), ("y", "q"))]  # the sixth byte back tells the last
+    df = spark.createDataFrame([*train, (1, "xbcdefp"), (2, "xbcdefq")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in ppm_scoring.scored(df, F.col("doc_id") % 5 != 0).collect()}
+    assert score[1] > score[2] + 1
+
+
 def test_ppm_scoring(spark, odd):
     held = F.col("doc_id") % 5 == 2
     out = ppm_scoring.scored(odd, held, chunk_tokens=300).collect()
