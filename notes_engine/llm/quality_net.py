@@ -1,17 +1,23 @@
 """Quality of a text by random indexing and a small network.
 
-Every token has a sparse random index vector, made from its hash.  A word's
-context vector sums the index vectors of its neighbours in the training texts;
-the word vector is both together.  Word vectors and the vectors of word shapes
-are each pooled over the whole text, and a network of two layers gives a
-probability, calibrated by a temperature that is fitted on rows the network has
-not seen.
+Every word has a number, made from its hash, and with it a sparse random index
+vector.  A word's context vector sums the index vectors of its neighbours in all
+training texts; the word vector is both together.  Word vectors and the vectors
+of word shapes are each pooled over the whole text, and a network of two layers
+gives a probability, calibrated by a temperature that is fitted on rows the
+network has not seen.
+
+Context vectors are whole numbers, summed by the tasks and then by blocks of
+words, so they do not depend on how the texts are dealt.  ``WORDS`` numbers are
+shared by all words: no word is left out, and words of one number share their
+vectors.  Texts never reach the driver, only these sums and the pooled vectors of
+the labelled rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,37 +28,46 @@ from pyspark.sql import functions as F
 
 from .common import byte_bounded
 
-SAMPLE, CHARS = 6_000, 6_000  # labelled texts at most to learn from, and characters of each, from a place chosen by hash
-DIM, NONZERO, VOCABULARY, REACH, HIDDEN = 64, 6, 20_000, 2, 32
+SAMPLE = 6_000  # labelled texts at most that the network learns from
+DIM, NONZERO, REACH, HIDDEN = 64, 6, 2, 32
+WORDS, SHAPES = 1 << 17, sum(6**k for k in range(7))  # numbers of words; shapes of six classes at most
+BLOCKS = 256  # of words, in which contexts are summed
 _CLASSES = re.compile(rb"([A-Z]+)|([a-z\x80-\xff]+)|([0-9]+)|([!?]+)|([#*$%&|<>]+)|(.)", re.S)
-_MARKS = (b"X", b"x", b"9", b"!", b"#", b"_")
 
 
-def shape(run: bytes) -> bytes:
-    """Classes of characters of a word in order, each run of a class once, six at most."""
-    return b"\1" + b"".join(_MARKS[m.lastindex - 1] for m in list(_CLASSES.finditer(run))[:6])
+def shape(run: bytes) -> int:
+    """Number of the classes of characters of a word in order, each run of a class once, six at most."""
+    at = 0
+    for m in list(_CLASSES.finditer(run))[:6]:
+        at = 6 * at + m.lastindex
+    return at
 
 
-def index_vector(token: bytes) -> np.ndarray:
-    rng = np.random.default_rng(xxhash.xxh64_intdigest(token, 11))
-    v = np.zeros(DIM, np.float32)
-    v[rng.choice(DIM, NONZERO, replace=False)] = rng.choice((-1.0, 1.0), NONZERO) / np.sqrt(NONZERO)
-    return v
+def index_places(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the entries of ``n`` index vectors."""
+    rng = np.random.default_rng(seed)
+    return np.argpartition(rng.random((n, DIM), np.float32), NONZERO, axis=1)[:, :NONZERO], rng.choice(np.array([-1, 1], np.int32), (n, NONZERO))
 
 
-class Tokens(dict):
-    """Row of the word table and row of the shape table of each run of characters; row 0 is none."""
+def index_vectors(n: int, seed: int) -> np.ndarray:
+    places, signs = index_places(n, seed)
+    out = np.zeros((n, DIM), np.float32)
+    np.put_along_axis(out, places, signs / np.float32(np.sqrt(NONZERO)), axis=1)
+    return out
+
 
-    def __init__(self, words: dict[bytes, int], shapes: dict[bytes, int]):
-        super().__init__()
-        self.words, self.shapes = words, shapes
+class Tokens(dict):
+    """Number of the word and number of the shape of each run of characters."""
 
     def __missing__(self, run: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        self[run] = got = self.words.get(run.lower(), 0) << 16 | self.shapes.get(shape(run), 0)
+        self[run] = got = xxhash.xxh64_intdigest(run.lower(), 11) % WORDS << 16 | shape(run)
         return got
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
 
 def runs(text: str | None) -> list[bytes]:
     """Words of a text; a word that repeats the one before it, or stands in a repeated line, adds a mark of that."""
@@ -69,37 +84,68 @@ def runs(text: str | None) -> list[bytes]:
     return words + [b"\1again"] * again
 
 
-class QualityNet:
-    def __init__(self, texts: list[str], y: np.ndarray, seed: int = 3):
-        docs = [runs(t) for t in texts]
-        counts = Counter(w.lower() for d in docs for w in d)
-        words = sorted(counts, key=lambda w: (-counts[w], w))[:VOCABULARY]
-        self.words = {w: i + 1 for i, w in enumerate(words)}
-        shapes = Counter(shape(w) for d in docs for w in d)
-        self.shapes = {s: i + 1 for i, s in enumerate(sorted(shapes, key=lambda s: (-shapes[s], s))[:60_000])}
-        own = np.stack([np.zeros(DIM, np.float32), *map(index_vector, words)])
-        context = np.zeros_like(own, dtype=np.float64)
-        for d in docs:
-            at = np.array([self.words.get(w.lower(), 0) for w in d], np.int64)
-            for k in range(1, REACH + 1):
-                np.add.at(context, at[:-k], own[at[k:]])
-                np.add.at(context, at[k:], own[at[:-k]])
-        context /= np.linalg.norm(context, axis=1, keepdims=True) + 1e-9
-        self.word_table = (own + context.astype(np.float32)).astype(np.float32)
-        self.word_table[0] = 0
-        self.shape_table = np.stack([np.zeros(DIM, np.float32), *map(index_vector, self.shapes)])
-        self.temperature = 1.0
-        self._fit(np.stack([self.pool(d, Tokens(self.words, self.shapes)) for d in docs]) if docs else np.zeros((0, 2 * DIM)), y, np.random.default_rng(seed))
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task, as a block number and compressed 32-bit integers, four byte planes."""
+    tokens, (places, signs) = Tokens(), index_places(WORDS, 1)
+    sums = np.zeros(WORDS * DIM, np.int32)
+    for batch in byte_bounded(batches, "text", 4 << 20):
+        docs = [tokens.of(runs(t)) >> 16 for t in batch.column(0).to_pylist()]
+        at, doc = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        for k in range(1, REACH + 1):
+            near = np.flatnonzero(doc[k:] == doc[:-k])
+            for x, y in ((at[near], at[near + k]), (at[near + k], at[near])):
+                for j in range(NONZERO):
+                    np.add.at(sums, x * DIM + places[y, j], signs[y, j])
+    for i, block in enumerate(sums.reshape(BLOCKS, -1)):
+        if block.any():
+            planes = np.ascontiguousarray(block.view(np.uint8).reshape(-1, 4).T)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(planes, 1)], pa.binary())], names=["block", "data"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Context vectors of length 1 of each block, from the sums of all tasks."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+            got = np.ascontiguousarray(planes.T).view("<i4").ravel()
+            sums[i] = sums.get(i, 0) + got.astype(np.int64)
+    for i, x in sums.items():
+        x = x.reshape(-1, DIM)
+        x = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "data"])
+
+
+def contexts(docs: DataFrame) -> np.ndarray:
+    """Context vectors of all words of all texts of ``docs`` (text, ...): one table of fixed size."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = texts.mapInArrow(_contexts, "block int, data binary").repartition("block").mapInArrow(_summed, "block int, data binary").collect()
+    out = np.zeros((BLOCKS, WORDS // BLOCKS, DIM), np.float32)
+    for r in rows:
+        out[r.block] = np.frombuffer(r.data, "<f4").reshape(-1, DIM)
+    return out.reshape(WORDS, DIM)
+
+
+class Vectors:
+    """Word and shape vectors, which pool a text."""
+
+    def __init__(self, context: np.ndarray):
+        self.word_table, self.shape_table = index_vectors(WORDS, 1) + context, index_vectors(SHAPES, 2)
 
     def pool(self, words: list[bytes], tokens: Tokens) -> np.ndarray:
         out = np.zeros(2 * DIM, np.float32)
         if words:
-            at = np.fromiter(map(tokens.__getitem__, words), np.int64, len(words))
-            rows, n = np.unique(at, return_counts=True)
+            rows, n = np.unique(tokens.of(words), return_counts=True)
             n = n.astype(np.float32) / len(words)
             out[:DIM], out[DIM:] = n @ self.word_table[rows >> 16], n @ self.shape_table[rows & 0xFFFF]
         return out
 
+
+class QualityNet:
+    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 3):
+        self.temperature = 1.0
+        self._fit(x, y, np.random.default_rng(seed))
+
     def _fit(self, x: np.ndarray, y: np.ndarray, rng, epochs: int = 60, rate: float = 0.005) -> None:
         self.mean, self.std = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(2 * DIM), np.ones(2 * DIM))
         p = {"a": rng.normal(0, 1 / np.sqrt(2 * DIM), (2 * DIM, HIDDEN)), "b": np.zeros(HIDDEN), "c": rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), "d": np.zeros(1)}
@@ -136,26 +182,38 @@ class QualityNet:
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityNet:
     """A network learned from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) marks.
 
-    ``sample`` rows at most, by a hash of the id; of a long text ``CHARS``
-    characters.  Rows that repeat an id take its least label.
+    Word vectors come from all rows of ``docs``.  The network learns from
+    ``sample`` rows at most, by a hash of the id, each pooled over its whole text.
+    Rows that repeat an id take its least label.
     """
+    vectors = Vectors(contexts(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, tokens = shared.value, Tokens()
+        for batch in byte_bounded(batches, "text", 4 << 20):
+            x = [vectors.pool(runs(t), tokens).astype("<f4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
+
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    cut = F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id), greatest(length(text) - {CHARS}, 1)) as int), {CHARS})")
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "_y", cut.alias("t")).limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.t))
-    return QualityNet([r.t for r in rows], np.array([r._y for r in rows], float))
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    pooled = texts.select(F.col("doc_id").cast("long"), F.col("_y").cast("double"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, y double, x binary")
+    rows = pooled.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * sample).collect()  # ids may repeat
+    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
+    x = np.stack([np.frombuffer(r.x, "<f4") for r in rows]) if rows else np.zeros((0, 2 * DIM), np.float32)
+    net = QualityNet(x, np.array([r.y for r in rows], float))
+    net.vectors = shared
+    return net
 
 
 def scored(docs: DataFrame, net: QualityNet) -> DataFrame:
     """doc_id and score of every row of ``docs`` (doc_id, text, ...); a null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # two bounded tables, some 6 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
-        tokens = Tokens(net.words, net.shapes)
+        vectors, tokens = net.vectors.value, Tokens()
         for batch in byte_bounded(batches, "text", 4 << 20):
-            x = np.stack([net.pool(runs(t), tokens) for t in batch.column(1).to_pylist()])
+            x = np.stack([vectors.pool(runs(t), tokens) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(x), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")

@@ -348,6 +348,22 @@ def test_quality(spark, odd):
     assert quality_net.scored(df, empty).where("score between 0 and 1").count() == 240
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 4000) + " " + " ".join(w + ("$$$" if i % 2 else "") for w in prose(rng, 4000).split())) for i in range(60)]
+    rows += [(1000, "zyx " + prose(rng, 20)), (1001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    context = quality_net.contexts(df)
+    at = [t >> 16 for t in quality_net.Tokens().of(quality_net.runs(rows[-2][1])).tolist()]
+    own = quality_net.index_vectors(quality_net.WORDS, 1)
+    want = own[at[1]] + own[at[2]]  # a word of an unlabelled text, of which 20,000 others need not know
+    assert np.allclose(context[at[0]], want / np.linalg.norm(want), atol=1e-5)
+    assert (quality_net.contexts(df.repartition(5)) == context).all()
+    net = quality_net.trained(df, df.where("doc_id < 1000").select("doc_id", (1 - F.col("doc_id") % 2).alias("quality")))
+    pooled = np.stack([net.vectors.value.pool(quality_net.runs(t), quality_net.Tokens()) for _, t in rows[:60]])
+    assert np.allclose(net.mean, pooled.mean(0), atol=1e-5)  # of whole texts
+
+
 def test_pipeline(spark, odd, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(12)
