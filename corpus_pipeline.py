@@ -7,7 +7,7 @@ columns of their documents, whatever these are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notes_engine.llm import byte_cnn, decision_list, decontaminate, minhash_dedup, packing
@@ -33,13 +33,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8); rows that repeat an id are one document."""
-    told = stored(minhash_dedup.near_duplicates(docs, width=5), "told")
-    again = told.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(told.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    """One document of each group of near-duplicates (five words, 0.8).
+
+    Different texts of one id are different documents; rows that repeat an id with
+    the same words are one, of which the first in a fixed order stays.
+    """
+    least = F.min("key").over(Window.partitionBy("doc_id", "rep"))
+    told = stored(minhash_dedup.judged(docs, width=5).withColumn("kept", F.col("kept") & ((F.col("n") == 0) | (F.col("key") == least))), "told")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    same = lambda x: keyed.doc_id.cast("long").eqNullSafe(x["_id"]) & (keyed["_key"] == x["_told"])
+    names = F.col("doc_id").alias("_id"), F.col("key").alias("_told")
+    gone = told.where("not kept").select(*names).distinct()
+    again = told.where("kept").groupBy("doc_id", "key").count().where("count > 1").select(*names)
+    left = keyed.join(gone, same(gone), "left_anti")
     if not again.isEmpty():
-        once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        left = left.join(again, "doc_id", "left_anti").unionByName(once)
+        order = Window.partitionBy("doc_id", "_key").orderBy(F.to_json(F.struct(*docs.columns)))
+        once = left.join(again, same(again), "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+        left = left.join(again, same(again), "left_anti").unionByName(once)
     return left.select(*docs.columns)
 
 

@@ -2,7 +2,9 @@
 
 1. Every document's distinct word shingles give a set size, a 128-bit digest of
    the set and a MinHash signature of ``COORDS`` coordinates.  Documents with
-   equal sets form one class; the smallest id stands for it.
+   equal sets form one class, named by a hash of the digest (``rep``); the text
+   of its smallest id (``head``) is read where the set is needed.  So texts that
+   share an id are told apart.
 2. A class is posted under each (coordinate, value) pair of its signature.
    Pairs of classes that agree in ``MATCH`` coordinates or more are candidates.
    With the rarest pairs first, two such classes must meet in the first
@@ -68,13 +70,29 @@ def _texts(batch: pa.RecordBatch) -> list:
     return batch.column(1).to_pylist()
 
 
+def class_names(n: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """64-bit names of classes, from size and digest."""
+    return _mixed(_mixed(h1.view(np.uint64)) + _mixed(h2.view(np.uint64) ^ _MIX) * np.uint64(3) + n.astype(np.uint64)).view(np.int64)
+
+
+def _digests(sets: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    full = np.flatnonzero(sizes)
+    h1, h2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+    if len(full):
+        flat = np.concatenate([sets[i] for i in full])
+        at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+        h1[full] = np.add.reduceat(_mixed(flat ^ _MIX), at).view(np.int64)
+        h2[full] = np.bitwise_xor.reduceat(_mixed(flat + _MIX), at).view(np.int64)
+    return h1, h2
+
+
 def _ids(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(a) for a in arrays], np.int64)
     return sizes, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def signer(width: int, coords: int, more: int):
-    """mapInArrow function: (id, text) to id, n, h1, h2, sig, more."""
+    """mapInArrow function: (id, text, head, key) to id, head, key, n, rep, sig, more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (xor, mul) = WordHashes(), _coordinate_keys(coords + more)
@@ -83,12 +101,10 @@ def signer(width: int, coords: int, more: int):
             sizes, _ = _ids(sets)
             full = np.flatnonzero(sizes)
             sig, rest = np.zeros((len(sets), coords), np.int32), np.zeros((len(sets), more), np.int8)
-            h1, h2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+            names = class_names(sizes, *_digests(sets, sizes))
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                h1[full] = np.add.reduceat(_mixed(flat ^ _MIX), at).view(np.int64)
-                h2[full] = np.bitwise_xor.reduceat(_mixed(flat + _MIX), at).view(np.int64)
                 half = (flat >> np.uint64(32)).astype(np.uint32)  # the coordinates that are only compared need 32 bits
                 for j in range(coords):
                     least = np.minimum.reduceat((flat ^ xor[j]) * mul[j], at)
@@ -97,17 +113,18 @@ def signer(width: int, coords: int, more: int):
                     least = np.minimum.reduceat((half ^ np.uint32(xor[coords + j] >> np.uint64(32))) * np.uint32(mul[coords + j] & np.uint64(0xFFFFFFFF)), at)
                     rest[full, j] = ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).view(np.int8)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (sig, rest)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(h1), pa.array(h2), *lists], names=["doc_id", "n", "h1", "h2", "sig", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sizes), pa.array(names), *lists], names=["doc_id", "head", "key", "n", "rep", "sig", "more"])
 
     return run
 
 
+SETS = "head long, rep long, shingles array<long>"
 SIEVE_BITS = 1 << 23  # of the filter that goes to the scan: 1 MB, whatever the number of documents
 
 
 def _sieve(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the ids (doc_id: long), for use before a join."""
-    at = F.expr(f"pmod(doc_id, {SIEVE_BITS}) + 1")
+    """A bitmap of fixed size of the ids (head: long), for use before a join."""
+    at = F.expr(f"pmod(head, {SIEVE_BITS}) + 1")
     rows = ids.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     out = np.zeros(SIEVE_BITS // 8, np.uint8)
     for r in rows:
@@ -116,17 +133,22 @@ def _sieve(ids: DataFrame) -> np.ndarray:
 
 
 def setter(width: int, sieve: np.ndarray):
-    """mapInArrow function: (id, text) to id and the whole shingle set, for ids that pass the sieve."""
+    """mapInArrow function: (head, text) to head, rep and the whole shingle set, for heads that pass the sieve, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, sent = WordHashes(), set()
         for batch in byte_bounded(batches, "text", 4 << 20):
-            at = np.asarray(batch.column(0).fill_null(-1), np.int64) % SIEVE_BITS
+            at = np.asarray(batch.column(0), np.int64) % SIEVE_BITS
             batch = batch.filter(pa.array((sieve[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
             sets = [shingle_set(words_of(t), hashes, width) for t in _texts(batch)]
-            sizes, at = _ids(sets)
+            sizes, _ = _ids(sets)
+            names = class_names(sizes, *_digests(sets, sizes))
+            new = [i for i, x in enumerate(zip(batch.column(0).to_pylist(), names.tolist(), strict=True)) if x not in sent and not sent.add(x)]
+            sets = [sets[i] for i in new]
+            _, at = _ids(sets)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))], names=["doc_id", "shingles"])
+            cols = [batch.column(0).take(pa.array(new, pa.int64())), pa.array(names[new]), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(cols, names=["head", "rep", "shingles"])
 
     return run
 
@@ -148,13 +170,13 @@ def _near_size(a: str, b: str, percent: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    pairs = stored(pairs.select("u", "v").distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
-    sets = stored(texts.mapInArrow(setter(width, _sieve(wanted)), "doc_id long, shingles array<long>"), "sets")
-    left, right = sets.toDF("u", "su"), sets.toDF("v", "sv")
+    """The pairs (u, v) with heads (headu, headv) whose full sets are similar enough."""
+    pairs = stored(pairs.select("u", "v", "headu", "headv").distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("headu", "headv")).alias("head"))
+    sets = stored(texts.mapInArrow(setter(width, _sieve(wanted)), SETS), "sets")
+    left, right = sets.toDF("headu", "u", "su"), sets.toDF("headv", "v", "sv")
     both = F.size(F.array_intersect("su", "sv"))
-    linked = pairs.join(left, "u").join(right, "v").withColumn("both", both)
+    linked = pairs.join(left, ["u", "headu"]).join(right, ["v", "headv"]).withColumn("both", both)
     return linked.where(F.col("both") * 100 >= (F.size("su") + F.size("sv") - F.col("both")) * percent).select("u", "v")
 
 
@@ -184,10 +206,10 @@ def _paired(lists: DataFrame, found: DataFrame, by_rep: DataFrame, texts: DataFr
     apart = placed.groupBy("pair").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("rep").alias("head")).where("least != most")
     rows = stored(placed.join(apart, "pair").select("rep", "component", "head"), "apart")
     cluster = components(rows.select(F.col("rep").alias("u"), F.col("head").alias("v"))).toDF("rep", "cluster")
-    wanted = stored(rows.select("rep", "component").distinct().join(cluster, "rep"), "wanted")
-    sets = texts.mapInArrow(setter(width, _sieve(wanted.select(F.col("rep").alias("doc_id")))), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "rep")
+    wanted = stored(rows.select("rep", "component").distinct().join(cluster, "rep").join(by_rep.select("rep", "head"), "rep"), "wanted")
+    sets = texts.mapInArrow(setter(width, _sieve(wanted)), SETS)
     sizes = wanted.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    full = wanted.join(sizes, "cluster").join(by_rep.select("rep", "sig", "more"), "rep").join(sets, "rep")
+    full = wanted.join(sizes, "cluster").join(by_rep.select("rep", "sig", "more"), "rep").join(sets, ["rep", "head"])
     full = full.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     full = full.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "sig", "more", "shingles")
     return full.groupBy("cluster", "i", "j").applyInPandas(_linker(percent, *enough), "u long, v long")
@@ -235,20 +257,20 @@ def _linker(percent: int, coords: int, match: int, more: int, share: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords: int = COORDS, match: int = MATCH, more: int = MORE, share: float = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...).
+def judged(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords: int = COORDS, match: int = MATCH, more: int = MORE, share: float = SHARE) -> DataFrame:
+    """doc_id, key, n, rep, component_id, kept for every row of ``docs``: ``near_duplicates`` by row.
 
-    Null, empty and blank texts have no shingles and stay alone.  Rows that
-    repeat a doc_id with the same text get the same answer; a null doc_id has no
-    component and is kept.  Extra columns are ignored.  An empty table gives an
-    empty table.
+    ``key`` is xxhash64 of the text and ``rep`` names the class of its shingle set.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(texts.mapInArrow(signer(width, coords, more), "doc_id long, n long, h1 long, h2 long, sig array<int>, more array<tinyint>"), "signatures")
-    usable = signed.where("n > 0 and doc_id is not null")
-    classes = stored(usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("more").alias("more")), "classes")
-    by_rep = classes.select("rep", "n", "sig", "more").dropDuplicates(["rep"])
+    text, key = F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key"))
+    head = F.coalesce("doc_id", "key")
+    texts = rows.select(head.alias("head"), "text")
+    signed = stored(rows.select("doc_id", "text", head.alias("head"), "key").mapInArrow(signer(width, coords, more), "doc_id long, head long, key long, n long, rep long, sig array<int>, more array<tinyint>"), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "head", "doc_id"))  # a known id before none
+    classes = signed.where("n > 0").groupBy("rep").agg(first.alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("more").alias("more"))
+    by_rep = classes = stored(classes.select("rep", "first.head", "first.doc_id", "n", "sig", "more"), "classes")
 
     # Prefixes: pairs of one class only are the rarest and need no list.
     posted = classes.select("rep", F.posexplode("sig").alias("c", "x")).select("rep", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("x").cast("long")).alias("pair"))
@@ -264,7 +286,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         offers = stored(_offers(lists, found, turn), "offers")
         if offers.isEmpty():
             break
-        a, b = by_rep.toDF("u", "nu", "sigu", "moreu"), by_rep.toDF("v", "nv", "sigv", "morev")
+        a, b = (by_rep.select("rep", "head", "n", "sig", "more").toDF(x, f"head{x}", f"n{x}", f"sig{x}", f"more{x}") for x in "uv")
         likely = offers.join(a, "u").join(b, "v").where(_near_size("nu", "nv", percent) & _alike("u", "v", *enough))
         new = stored(_confirmed(likely, texts, width, percent), "links")
         if new.isEmpty():
@@ -276,7 +298,26 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     if not new.isEmpty():
         found = stored(components(new if links is None else links.unionByName(new)), "components")
 
-    named = classes.select("n", "h1", "h2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # The first class of a component is kept: that of the smallest known id, or else of the smallest name.
+    placed = found.toDF("rep", "component").join(classes.select("rep", "doc_id"), "rep")
+    firsts = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rep")).alias("first"))
+    named = placed.select("rep", "component").join(firsts, "component").select("rep", F.col("first.doc_id").alias("linked_id"), F.col("first.rep").alias("first_rep"), F.lit(True).alias("linked"))
+    own = classes.select("rep", F.col("doc_id").alias("own_id")).join(named, "rep", "left")
+    out = signed.select("doc_id", "key", "n", "rep").join(own, "rep", "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("linked"), F.col("linked_id")).otherwise(F.col("own_id"))
+    kept = (F.col("n") == 0) | (F.coalesce(F.col("first_rep") == F.col("rep"), F.lit(True)) & component.eqNullSafe(F.col("doc_id")))
+    return out.select("doc_id", "key", "n", "rep", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords: int = COORDS, match: int = MATCH, more: int = MORE, share: float = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...).
+
+    Null, empty and blank texts have no shingles and stay alone.  A component is
+    named by the smallest id of its rows and the rows of one text are kept, those
+    of that id.  Rows that repeat a doc_id with the same text get the same answer;
+    different texts of one id are told apart, so two components may bear one id.
+    A null doc_id is larger than any other: such a row is kept only where its
+    component has no known id, and then the component is null.  Extra columns are
+    ignored.  An empty table gives an empty table.
+    """
+    return judged(docs, width, percent, coords, match, more, share).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")

@@ -97,6 +97,21 @@ def test_near_duplicates(spark, odd, monkeypatch, block):
     assert minhash_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_clashing_and_null_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(21)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(1, a), (5, b), (5, a + " tail"), (5, c), (9, c + " end"), (7, d), (7, d.upper()), (7, d), (None, a + " more"), (None, e), (None, e), (None, e + " last")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    out = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df, width=5).collect()}
+    assert {x for x in out if x[0] in (1, 5, 9)} == {(1, 56, 1, True), (5, 56, 5, True), (5, 57, 1, False), (9, 57, 5, False)}
+    assert (None, 57, 1, False) in out and sum(x[3] for x in out if x[0] is None and x[2] is None) == 1
+    got = pipeline.near_dedup(spark, df, "").collect()
+    left = {(r.doc_id, r.text.lower()) for r in got}
+    assert left - {(None, e), (None, e + " last")} == {(1, a), (5, b), (5, c), (7, d)} and len(got) == len(left) == 5
+    assert {r.n for r in pipeline.near_dedup(spark, df.repartition(7), "").collect()} == {r.n for r in got}
+
+
 def test_run_ids_match_the_tokenizer():
     from tokenizers import Tokenizer
 
