@@ -43,7 +43,8 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
     ``docs``: doc_id, text; ``items``: item_id, text; more columns are ignored.
     Words are put in lower case.  An item shorter than ``width`` words is one
     shingle of its own length.  Null, empty and blank texts match nothing.  Of
-    rows that repeat an id with different texts the best match counts.  Empty
+    rows that repeat an id with different texts the best match counts; a null
+    doc_id or item_id is an id like others, and is null in the result.  Empty
     tables give an empty table.
     """
     known = stored(_items(items, width), "items")
@@ -67,8 +68,9 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
     pairs = stored(met.where(F.col("size") * 100 >= F.col("n") * percent).select("doc_id", "item_id").distinct(), "pairs")
 
     # Texts of documents in question only; a small table of them is sent to the scan by Spark itself.
-    chosen = texts.join(pairs, "doc_id").select("doc_id", "item_id", words(F.col("text")).alias("w"))
-    verified = chosen.join(known, "item_id")
+    pairs = pairs.toDF("_doc", "_item")
+    chosen = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "_item", words(F.col("text")).alias("w"))
+    verified = chosen.join(known, F.col("item_id").eqNullSafe(F.col("_item")))
     in_doc = F.lit(None).cast("array<string>")
     for k in widths:
         in_doc = F.when(F.col("width") == k, shingle_texts(F.col("w"), k)).otherwise(in_doc)

@@ -335,6 +335,19 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(odd, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_with_null_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(31)
+    one, two = prose(rng, 30), prose(rng, 30)
+    items = spark.createDataFrame([(1, one), (None, two)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "a " + one), (None, prose(rng, 40)), (7, two + " b"), (7, prose(rng, 40)), (8, "c " + one)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_found) for r in decontaminate.contaminated(docs, items).collect()} == {(None, 1, 26), (7, None, 26), (8, 1, 26)}
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {(r.doc_id, r.text) for r in pipeline.decontamination(spark, docs, str(tmp_path)).collect()}
+    rows = docs.collect()
+    assert left == {(None, rows[1].text), (7, rows[3].text)}  # clean rows stay, whatever shares their id
+
+
 def test_language(spark, odd):
     rng = random.Random(7)
     alphabets = {"en": ["the", "and", "ing", "wh"], "xx": ["ñu", "ció", "que", "zo"]}
