@@ -8,9 +8,9 @@ may be clipped.
 
 Counts of an order-k context are sums over all grams whose context ends in it,
 so the symbols of a context are a subset of those of each of its suffixes.
-What symbol exclusion removes at order k after an escape from order k + 1 is
-therefore a property of the longer context alone, and whole arrays of grams can
-be coded at once.
+What symbol exclusion removes at an order, after an escape from the last longer
+context that was not passed over, is therefore a property of that context alone,
+and whole arrays of grams can be coded at once.
 
 Escapes are estimated from the training counts with one occurrence left out: a
 symbol that a context has once would be an escape if it were new.  Such cases
@@ -113,6 +113,22 @@ def _step(live, logp, known, c, n, d, ex_n, ex_d, escapes):
     return live & ~hit
 
 
+def _byte(keys: np.ndarray, i: int) -> np.ndarray:
+    return ((keys >> np.uint64(8 * i)) & np.uint64(255)).astype(np.int64)
+
+
+def _exclude(ex_n, wanted, last, above, count_of) -> None:
+    """Set what exclusion takes, in counts of the order now coded, from the symbols of each gram's last context."""
+    for k, (grams, gram_ctx, pair_keys, pair_ctx) in above.items():
+        here = wanted[grams] & (last[grams] == k)
+        if here.any():
+            needed = np.zeros(int(gram_ctx.max()) + 1, bool)
+            needed[gram_ctx[here]] = True
+            some = needed[pair_ctx]
+            taken = np.bincount(pair_ctx[some], weights=count_of(pair_keys[some]), minlength=len(needed))
+            ex_n[grams[here]] = taken[gram_ctx[here]]
+
+
 def code_shard(keys: np.ndarray, lengths: np.ndarray, counts: np.ndarray, low: LowOrders, escapes: np.ndarray, order: int = MAX_ORDER) -> np.ndarray:
     """log10 probability of each distinct gram of one shard.
 
@@ -122,7 +138,8 @@ def code_shard(keys: np.ndarray, lengths: np.ndarray, counts: np.ndarray, low: L
     """
     m = len(keys)
     logp, live = np.zeros(m), np.ones(m, bool)
-    ex_n, ex_d = np.zeros(m), np.zeros(m)
+    ex_n, ex_d, last = np.zeros(m), np.zeros(m), np.zeros(m, np.int64)  # last: order of the context escaped from
+    above = {}  # by order: grams, their contexts; pairs that occur, their contexts
     sym, b1 = (keys & np.uint64(255)).astype(np.int64), ((keys >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
     counts = counts.astype(np.float64)
     for k in range(order, 0, -1):
@@ -133,20 +150,20 @@ def code_shard(keys: np.ndarray, lengths: np.ndarray, counts: np.ndarray, low: L
             gram_ctx = ctx_at[pair_at]
             c, n, d = np.zeros(m), np.zeros(m), np.zeros(m)
             c[at_k], n[at_k], d[at_k] = pair_c[pair_at], ctx_n[gram_ctx], ctx_d[gram_ctx]
-            if k > SHARD_ORDER:  # counts of the same pairs one order lower
-                low_keys, low_at, low_c = _sums(keys[lengths >= k - 1] & _mask(k), counts[lengths >= k - 1])
-                pair_low = low_c[np.searchsorted(low_keys, pair_keys & _mask(k))]
-            else:
-                pair_low = low.c1[((pair_keys >> np.uint64(8)) & np.uint64(255)).astype(np.int64), (pair_keys & np.uint64(255)).astype(np.int64)]
-            e = np.zeros(m)
-            e[at_k] = np.bincount(ctx_at, weights=np.where(pair_c > 0, pair_low, 0), minlength=len(ctx_n))[gram_ctx]
+            count_of = lambda keys, k=k, own=pair_keys, counts=pair_c: counts[np.searchsorted(own, keys & _mask(k + 1))]
         else:
             has = lengths >= 1
-            c, n, d, e = (np.where(has, x, 0) for x in (low.c1[b1, sym], low.n1[b1], low.d1[b1], low.e1[b1]))
+            c, n, d = (np.where(has, x, 0) for x in (low.c1[b1, sym], low.n1[b1], low.d1[b1]))
+            count_of = lambda keys: low.c1[_byte(keys, 1), _byte(keys, 0)]
         known = n >= np.maximum(TRUST * d, 1)
+        _exclude(ex_n, live & known, last, above, count_of)
         live = _step(live, logp, known, c, n, d, ex_n, ex_d, escapes[k])
-        ex_n, ex_d = np.where(known, e, ex_n), np.where(known, d, ex_d)
+        last, ex_d = np.where(known, k, last), np.where(known, d, ex_d)
+        if k >= SHARD_ORDER:
+            above[k] = at_k, gram_ctx, pair_keys[pair_c > 0], ctx_at[pair_c > 0]
     known = np.full(m, low.n0 > 0)
+    _exclude(ex_n, live & known, last, above, lambda keys: low.c0[_byte(keys, 0)])
+    ex_n = np.where(last == 1, low.e1[b1], ex_n)
     live = _step(live, logp, known, low.c0[sym], np.full(m, low.n0), np.full(m, float(low.d0)), ex_n, ex_d, escapes[0])
     logp[live] -= np.log10(256 - low.d0)
     return logp

@@ -214,6 +214,29 @@ def test_ppm_is_a_distribution():
     assert abs((10 ** logp[np.searchsorted(full, probe)]).sum() - 1) < 0.05  # escapes of exhausted contexts are lost
 
 
+def test_ppm_adds_up_when_orders_are_passed_over():
+    rng = random.Random(16)
+    rows = {}
+    for _ in range(3000):  # skewed symbols after contexts of few letters: many contexts of every order are passed over
+        ctx, sym = [rng.choice(b"abcd") for _ in range(6)], min(int(rng.expovariate(0.5)), 25) + 97
+        ctx[5] = rng.choice((ctx[5], ord("a")))
+        key = sum(x << 8 * j for j, x in enumerate([sym, *ctx]))
+        rows[key] = rows.get(key, 0) + rng.choice((1, 1, 4, 9))
+    keys = np.array(sorted(rows), np.uint64)
+    n = np.array([rows[int(k)] for k in keys], float)
+    pairs = np.zeros((256, 256))
+    np.add.at(pairs, (((keys >> np.uint64(8)) & np.uint64(255)).astype(int), (keys & np.uint64(255)).astype(int)), n)
+    low = ppm_core.LowOrders(pairs)
+    escapes = ppm_core.escape_table(ppm_core.escape_cases(keys, np.full(len(keys), 6), n), low)
+    for ctx in np.unique(keys >> np.uint64(8))[::40].tolist():
+        probe = np.array([ctx << 8 | b for b in range(256)], np.uint64)
+        full = np.unique(np.concatenate([keys, probe]))
+        cnt = np.zeros(len(full))
+        cnt[np.searchsorted(full, keys)] = n
+        logp = ppm_core.code_shard(full, np.full(len(full), 6), cnt, low, escapes)
+        assert abs((10 ** logp[np.searchsorted(full, probe)]).sum() - 1) < 1e-9
+
+
 def test_ppm_contexts_hold_six_bytes(spark):
     keys, _ = ppm_scoring.inner_grams([b"qabcdefg"])
     whole = [k for k in keys.tolist() if k & 255 == ord("g")]
