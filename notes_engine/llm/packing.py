@@ -8,8 +8,11 @@ left.  Its windows are near-equal.  Where the largest of them exceeds the
 capacity, the group is partitioned again over one window more.
 
 A document is cut at multiples of the capacity, its tail into pieces of
-``PIECE`` ids, and once where a group is full.  Groups never leave their task,
-so nothing is shuffled and memory holds one batch of texts and one group.
+``PIECE`` ids, and once where a group is full.  Texts and full groups never leave
+their task; memory holds one batch of texts and one group.  The pieces of a task's
+last, short group (keys and lengths, no texts) are handed on to a second grouping
+over all tasks, with ``SHARE`` groups in each of its tasks, so padding does not
+grow with the number of partitions.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_bounded
+from .common import byte_bounded, stored
 from .tokens import END_ID, RunIds, tokenizer_path
 
 CAPACITY, GROUP, PIECE, SLACK = 2048, 192, 512, 48
+SHARE = 4  # groups in a task of the second grouping
 ENTRIES = 700_000  # of the cache of each task, some 300 MB
 
 
@@ -99,10 +103,19 @@ class _Packer:
             self.next, at = self.next + 1, at + self.capacity
         while at < n:
             size = min(self.piece, n - at, self.full - self.held)
-            self.tails.append(cut(at, size))
-            self.held, at = self.held + size, at + size
-            if self.held >= self.full:
-                self.flush()
+            self.take(cut(at, size))
+            at += size
+
+    def take(self, tail: tuple) -> None:
+        self.tails.append(tail)
+        self.held += tail[2]
+        if self.held >= self.full:
+            self.flush()
+
+    def hand_on(self) -> None:
+        """The pieces of the short group, with no place yet."""
+        self.out += [(*t, None, None) for t in self.tails]
+        self.tails, self.held = [], 0
 
     def flush(self) -> None:
         part, k = fit([t[2] for t in self.tails], self.capacity)
@@ -124,7 +137,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     A null or empty text has the end id alone.  Repeated rows are packed as
     often as they occur; a null doc_id is passed on.  Extra columns are ignored.
     An empty table gives an empty table.  ``sequence_id`` holds the number of
-    the task in its high bits.
+    the task in its high bits; bit 62 marks tasks of the second grouping.
     """
     path = tokenizer or tokenizer_path()
 
@@ -134,7 +147,24 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             for doc_id, got in zip(batch.column(0).to_pylist(), ids.of(batch.column(1).to_pylist(), end), strict=True):
                 packer.add(doc_id, got)
             yield packer.batch()
+        packer.hand_on()
+        yield packer.batch()
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A piece is whole here: a group ends before the one that would overfill it.
+        packer = _Packer(1 << 62 | TaskContext.get().partitionId() << 36, capacity, group, piece, slack)
+        for batch in batches:
+            for tail in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+                if packer.held + tail[2] > packer.full:
+                    packer.flush()
+                packer.take(tail)
+            yield packer.batch()
         packer.flush()
         yield packer.batch()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    first = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA), "packed")
+    short = first.where("sequence_id is null")
+    ids = short.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, round(ids / (SHARE * group * capacity)))
+    dealt = short.repartition(tasks, F.xxhash64("doc_id", "start", "ids_crc32")).sortWithinPartitions("doc_id", "start", "ids_crc32")
+    return first.where("sequence_id is not null").unionByName(dealt.mapInArrow(again, SCHEMA))

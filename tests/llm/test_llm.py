@@ -194,6 +194,18 @@ def test_packing(odd):
     assert packing.packed(odd.limit(0)).count() == 0
 
 
+def test_packing_over_many_partitions(spark):
+    rng = random.Random(41)
+    df = spark.createDataFrame([(i, prose(rng, rng.randint(50, 400))) for i in range(640)], "doc_id long, text string")
+    for parts in (1, 24):
+        rows = packing.packed(df.repartition(parts, "doc_id")).collect()
+        got, whole, k = Counter(), {r.doc_id: r.doc_tokens for r in rows}, len({r.sequence_id for r in rows})
+        for r in rows:
+            got[r.doc_id] += r.length
+        assert got == whole and len(whole) == 640
+        assert k <= -(-sum(whole.values()) // packing.CAPACITY) + 2  # windows more than full ones, whatever the partitions
+
+
 def test_ppm_is_a_distribution():
     rng = random.Random(6)
     words = [word(rng).encode() for _ in range(400)]
