@@ -1,8 +1,8 @@
 """Language of a text by a byte convolutional network.
 
 Filters of two, three and four bytes over byte embeddings, the maximum of each
-over a window, and a softmax; trained in numpy on labelled windows, and applied
-to every window of every text in batches.
+over a window, and a softmax; trained in numpy on all windows of a bounded sample
+of labelled texts, and applied to every window of every text in batches.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_bounded
+from .common import SAMPLED, byte_bounded, others
 
-SAMPLE, PER_TEXT = 5_000, 2  # labelled texts at most, and windows of each, that the network is trained on
+SAMPLE = 800  # labelled texts of each language, about, that the network is trained on at most
+STEPS = 2_400  # of the training, each on ``BATCH`` windows
+BATCH = 64
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
 UNKNOWN = "und"
 
@@ -53,19 +55,19 @@ class ByteCNN:
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 6) -> ByteCNN:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = STEPS, rate: float = 0.004, seed: int = 6) -> ByteCNN:
+        """Steps of Adam on windows drawn by ``weight`` (all alike without it)."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
-        for _ in range(epochs):
-            for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-                step += 1
-                g = self._gradients(x[at], y[at])
-                for k, v in g.items():
-                    m[k] = 0.9 * m[k] + 0.1 * v
-                    s[k] = 0.999 * s[k] + 0.001 * v * v
-                    self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        upto = np.cumsum(np.ones(len(x)) if weight is None else weight)
+        for step in range(1, steps + 1):
+            at = np.searchsorted(upto, rng.random(BATCH) * upto[-1], "right").clip(max=len(x) - 1)
+            g, slow = self._gradients(x[at], y[at]), rate * (1 - 0.9 * step / steps)
+            for k, v in g.items():
+                m[k] = 0.9 * m[k] + 0.1 * v
+                s[k] = 0.999 * s[k] + 0.001 * v * v
+                self.p[k] -= (slow * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -101,18 +103,30 @@ def _bytes(text: str | None) -> bytes:
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> ByteCNN | None:
-    """A network learned from ``docs`` (doc_id, text, lang): ``sample`` rows at most, chosen by a
-    hash of the id, and ``PER_TEXT`` windows of each from places chosen by hash.  None without labels."""
-    known = docs.where("text is not null and lang is not null and trim(text) != ''").select("doc_id", "text", "lang")
-    chosen = known.select("doc_id", "lang", *[
-        F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id, {k}), greatest(length(text) - {WINDOW}, 1)) as int), {WINDOW})").alias(f"t{k}") for k in range(PER_TEXT)
-    ])
-    rows = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "t0").limit(sample).collect()
-    classes = sorted({r.lang for r in rows})
-    if not classes:
+    """A network learned from ``docs`` (doc_id, text, lang), from ``sample`` texts of each language, about.
+
+    Every language of the rows is a class, and all rows of a rare one are learned
+    from.  Others are sampled by a threshold on a hash of id and text; rows that
+    repeat both count once.  All windows of a text are learned from, and a text
+    weighs the same whatever its length; so do languages.  None without labels.
+    """
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and trim(text) != ''")
+    key, chosen = F.xxhash64("doc_id", "text"), F.lit(False)
+    place = F.pmod(key, F.lit(SAMPLED))
+    sizes = {r.lang: r for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()}
+    if not sizes:
         return None
-    parts = [(windows(_bytes(r[f"t{k}"])[:WINDOW])[0], classes.index(r.lang)) for r in rows for k in range(PER_TEXT)]
-    return ByteCNN(classes).fit(np.stack([p[0] for p in parts]), np.array([p[1] for p in parts]))
+    for lang, r in sorted(sizes.items()):
+        chosen = F.when(F.col("lang") == lang, place <= max(r.least, int(SAMPLED * min(1, sample / r.n)))).otherwise(chosen)
+    texts = known.where(chosen)
+    rows = texts.groupBy("lang", key.alias("key")).agg(F.min("text").alias("text")).collect()  # bounded by the sample
+    rows.sort(key=lambda r: (r.lang, r.key))
+    classes = sorted(sizes)
+    cut = [windows(_bytes(r.text)) for r in rows]
+    y = np.array([classes.index(r.lang) for r in rows])
+    each = 1 / np.bincount(y, minlength=len(classes))[y]
+    count = np.array([len(c) for c in cut])
+    return ByteCNN(classes).fit(np.concatenate(cut), np.repeat(y, count), np.repeat(each / count, count))
 
 
 def with_language(docs: DataFrame, net: ByteCNN | None, named: str = "lang_pred", rated: str = "score") -> DataFrame:
@@ -120,11 +134,12 @@ def with_language(docs: DataFrame, net: ByteCNN | None, named: str = "lang_pred"
 
     Every window of the text counts, by the mean of its log probabilities.  A
     null text or one without a letter is ``und`` with score 0, and so is every
-    text if nothing could be learned.
+    text if nothing could be learned.  Columns of ``docs`` with these two names are replaced.
     """
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 30 kB
+    docs = docs.select(*others(docs, named, rated)).withColumn("text", F.col("text").cast("string"))
     names = docs.columns
     schema = StructType(list(docs.schema.fields)).add(named, StringType()).add(rated, DoubleType())
 

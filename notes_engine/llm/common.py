@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +20,19 @@ CACHE_ENTRIES = 400_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where it is unset, a session with a local master, whose driver and executors
+    are one process, gets a folder of its own; a cluster gets an error, since
+    its executors would each write to their own disk.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = spark.conf.get("notes.scratch.dir", None)
-        if not where:
-            where = tempfile.mkdtemp(prefix="notes-scratch-")
-            spark.conf.set("notes.scratch.dir", where)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='notes-scratch-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
@@ -42,21 +49,85 @@ def stored(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataF
     path = f"{scratch_dir(spark)}/notes/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more; what was not stored stays."""
+    paths = {getattr(t, "stored_at", None) for t in tables} - {None}
+    for spark, path in [x for x in _written if x[1] in paths]:
+        _written.remove((spark, path))
+        _delete(spark, path)
+
+
+def drop_stored(spark: SparkSession | None = None) -> int:
+    """Delete all that a session (or any) has stored, once its results are written; how many tables that were."""
+    mine = [x for x in _written if spark is None or x[0] is spark]
+    for x in mine:
+        _written.remove(x)
+        _delete(*x)
+    return len(mine)
+
+
+@atexit.register
+def _at_exit() -> None:
+    if SparkContext._active_spark_context is not None:  # else the session is gone, and the folder's owner clears it
+        drop_stored()
+
 
+def others(df: DataFrame, *names: str) -> list[Column]:
+    """Columns of a table but those of these names, which an operator is to write (Spark does not look at case)."""
+    taken = {n.lower() for n in names}
+    return [df[f"`{c.replace('`', '``')}`"] for c in df.columns if c.lower() not in taken]
 
-def drop_stored() -> None:
-    """Delete what this session has stored (call it once results are written)."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone at exit
-            pass
 
+SAMPLED = 1 << 30  # steps of a share that rows are sampled by
 
-atexit.register(drop_stored)
+
+def sampled(df: DataFrame, key: Column, most: int, rows: int) -> DataFrame:
+    """About ``most`` of the ``rows`` rows of ``df``, those with the least hashes of ``key``; all if there are no more.
+
+    A threshold on the hash, so nothing is sorted, and what is not chosen goes no
+    further than its scan.
+    """
+    if rows <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(SAMPLED)) < int(SAMPLED * (most / rows)))
+
+
+SIEVE_BITS = 1 << 23  # 1 MB, whatever it is made of
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(key, F.lit(SIEVE_BITS))
+
+
+def sieve(keys: DataFrame, key: Column) -> Column:
+    """A bitmap of fixed size of all hashes ``key`` (long) of a table, as a scalar subquery.
+
+    With ``may_hold`` it lets a scan tell most rows that a table does not hold
+    from those that it may hold, so that only these go on to the exact join.
+    Where the table is very large, the bitmap is full and all rows go on.
+    """
+    words = SIEVE_BITS // 64
+    at = _place(key)
+    some = keys.where(key.isNotNull()).groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits"))
+    full = keys.sparkSession.range(words).withColumnRenamed("id", "word").join(some, "word", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return full.agg(F.transform(ordered, lambda x: x["bits"]).alias("sieve")).scalar()
+
+
+def may_hold(bits: Column, key: Column) -> Column:
+    """Whether the table of a sieve may hold the hash; a null hash may always be there."""
+    at = _place(key)
+    return F.coalesce(F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1, F.lit(True))
 
 
 def fold(col: str, mod: int) -> Column:

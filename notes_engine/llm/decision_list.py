@@ -17,10 +17,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, others, sampled
 from .native_text import count_chars, shingle_hashes, words
 
-SAMPLE = 20_000  # labelled rows at most that a list is learned from
+SAMPLE = 20_000  # labelled ids, about, that a list is learned from at most
 SYMBOLS = "#*$%&|<>"
 FEATURES = ["symbol_share", "repeat_share", "dup_line_share", "mean_word", "upper_share", "mark_share", "distinct_share", "digit_share"]
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -143,12 +143,16 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, le
 def learned_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **how) -> list[Rule]:
     """Rules from labelled documents (quality 0 is bad) outside the held-out fold, ``sample`` at most.
 
-    The sample is taken by a hash of the id; rows without a label count for nothing.
+    The sample is taken by a threshold on a hash of the id.  Rows that repeat an
+    id take its least label, and one of their texts, that of the least hash,
+    is learned from.  Rows without a label count for nothing.
     """
-    marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    chosen = marked.where(fold("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("_quality", "doc_id", *FEATURES).limit(2 * sample).collect()
-    rows.sort(key=lambda r: (hash((r.doc_id * 2654435761) & 0xFFFFFFFF), r.doc_id))
+    marked = labels.where("doc_id is not null and quality is not null").where(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    chosen = sampled(marked, F.col("doc_id"), sample, marked.count())
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # its rows are bounded by the sample
+    least = F.struct(F.xxhash64("text"), *FEATURES)  # numbers alone are compared and collected
+    rows = with_stats(texts).groupBy("doc_id", "_quality").agg(F.min(least).alias("x")).select("doc_id", "_quality", "x.*").collect()
+    rows.sort(key=lambda r: (r.doc_id * 2654435761 & 0xFFFFFFFF, r.doc_id))
     x = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
     return learn(x, np.array([r._quality == 0 for r in rows], bool), **how)
 
@@ -164,10 +168,16 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
+VERDICT = ["base_failed", "rule", "kept"]
+
+
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``docs`` with its statistics, base_failed, rule and kept."""
-    t = with_stats(docs)
+    """``docs`` with ``STATS``, base_failed, rule and kept; columns of ``docs`` with these names are replaced."""
+    rest = others(docs, *STATS, *VERDICT)
+    held = docs.select(F.struct(*rest).alias("_doc"), F.col("text").cast("string").alias("text"))
+    t = with_stats(held)
     t = t.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     # A filter on kept must stay above: pushed below, it would compute arrays again for each of their elements.
     here = F.spark_partition_id() >= 0
-    return t.withColumn("rule", verdict(rules)).withColumn("kept", here & ~F.col("base_failed") & (F.col("rule") == 0))
+    t = t.withColumn("rule", verdict(rules)).withColumn("kept", here & ~F.col("base_failed") & (F.col("rule") == 0))
+    return t.select("_doc.*", *STATS, *VERDICT)

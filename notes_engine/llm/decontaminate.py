@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import may_hold, sieve, stored
 from .native_text import shingle_hashes, shingle_texts, words
 
 WIDTH, PERCENT = 5, 80
@@ -64,12 +64,14 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
         every = F.concat(every, shingle_hashes(F.col("w"), k))
     # explode_outer: the filter that explode implies would be pushed below and split each text again and again.
     own = worded.select("doc_id", F.array_distinct(every).alias("hs"))
-    met = own.select("doc_id", F.size("hs").alias("size"), F.explode_outer("hs").alias("h")).join(sketches, "h")
+    shingles = own.select("doc_id", F.size("hs").alias("size"), F.explode_outer("hs").alias("h"))
+    # Few shingles of the corpus go on to the join, whatever the size of the sketches.
+    met = shingles.where(may_hold(sieve(sketches, F.col("h")), F.col("h"))).join(sketches, "h")
     pairs = stored(met.where(F.col("size") * 100 >= F.col("n") * percent).select("doc_id", "item_id").distinct(), "pairs")
 
-    # Texts of documents in question only; a small table of them is sent to the scan by Spark itself.
+    # Texts of documents in question only.
     pairs = pairs.toDF("_doc", "_item")
-    chosen = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "_item", words(F.col("text")).alias("w"))
+    chosen = texts.where(may_hold(sieve(pairs, F.xxhash64("_doc")), F.xxhash64("doc_id"))).join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "_item", words(F.col("text")).alias("w"))
     verified = chosen.join(known, F.col("item_id").eqNullSafe(F.col("_item")))
     in_doc = F.lit(None).cast("array<string>")
     for k in widths:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges`` (columns u, v: long).
+    """(node, component) for every node of ``edges`` (columns u, v: long), stored.
 
     The component is the smallest node reachable.  Self links and repeated or
     reversed links are allowed; an empty table gives an empty table.  Rounds
@@ -64,16 +64,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = stored(pairs, "edges")
     if now.limit(ONE_TASK + 1).count() <= ONE_TASK:
-        return now.coalesce(1).mapInArrow(_solved, "node long, component long")
+        out = stored(now.coalesce(1).mapInArrow(_solved, "node long, component long"), "components")
+        release(now)
+        return out
     before = None
     for _ in range(max_rounds):
         size = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if size == before or not size[0]:
             break
-        before = size
-        now = stored(_small_star(_large_star(now)), "edges")
+        before, old = size, now
+        now = stored(_small_star(_large_star(old)), "edges")
+        release(old)
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return stars.unionByName(roots)
+    out = stored(stars.unionByName(roots), "components")
+    release(now)
+    return out

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_bounded, stored, words_of
+from .common import SIEVE_BITS, WordHashes, byte_bounded, release, stored, words_of
 from .graph import components
 
 COORDS, MATCH = 40, 22
@@ -119,7 +119,6 @@ def signer(width: int, coords: int, more: int):
 
 
 SETS = "head long, rep long, shingles array<long>"
-SIEVE_BITS = 1 << 23  # of the filter that goes to the scan: 1 MB, whatever the number of documents
 
 
 def _sieve(ids: DataFrame) -> np.ndarray:
@@ -170,14 +169,16 @@ def _near_size(a: str, b: str, percent: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) with heads (headu, headv) whose full sets are similar enough."""
+    """The pairs (u, v) with heads (headu, headv) whose full sets are similar enough, stored."""
     pairs = stored(pairs.select("u", "v", "headu", "headv").distinct(), "candidates")
     wanted = pairs.select(F.explode(F.array("headu", "headv")).alias("head"))
     sets = stored(texts.mapInArrow(setter(width, _sieve(wanted)), SETS), "sets")
     left, right = sets.toDF("headu", "u", "su"), sets.toDF("headv", "v", "sv")
     both = F.size(F.array_intersect("su", "sv"))
     linked = pairs.join(left, ["u", "headu"]).join(right, ["v", "headv"]).withColumn("both", both)
-    return linked.where(F.col("both") * 100 >= (F.size("su") + F.size("sv") - F.col("both")) * percent).select("u", "v")
+    links = stored(linked.where(F.col("both") * 100 >= (F.size("su") + F.size("sv") - F.col("both")) * percent).select("u", "v"), "links")
+    release(pairs, sets)
+    return links
 
 
 def _offers(lists: DataFrame, found: DataFrame, turn: int) -> DataFrame:
@@ -205,14 +206,16 @@ def _paired(lists: DataFrame, found: DataFrame, by_rep: DataFrame, texts: DataFr
     placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = placed.groupBy("pair").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("rep").alias("head")).where("least != most")
     rows = stored(placed.join(apart, "pair").select("rep", "component", "head"), "apart")
-    cluster = components(rows.select(F.col("rep").alias("u"), F.col("head").alias("v"))).toDF("rep", "cluster")
-    wanted = stored(rows.select("rep", "component").distinct().join(cluster, "rep").join(by_rep.select("rep", "head"), "rep"), "wanted")
+    cluster_table = components(rows.select(F.col("rep").alias("u"), F.col("head").alias("v")))
+    wanted = stored(rows.select("rep", "component").distinct().join(cluster_table.toDF("rep", "cluster"), "rep").join(by_rep.select("rep", "head"), "rep"), "wanted")
     sets = texts.mapInArrow(setter(width, _sieve(wanted)), SETS)
     sizes = wanted.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     full = wanted.join(sizes, "cluster").join(by_rep.select("rep", "sig", "more"), "rep").join(sets, ["rep", "head"])
     full = full.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     full = full.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "sig", "more", "shingles")
-    return full.groupBy("cluster", "i", "j").applyInPandas(_linker(percent, *enough), "u long, v long")
+    links = stored(full.groupBy("cluster", "i", "j").applyInPandas(_linker(percent, *enough), "u long, v long"), "links")
+    release(rows, cluster_table, wanted)
+    return links
 
 
 def _linker(percent: int, coords: int, match: int, more: int, share: float):
@@ -288,15 +291,19 @@ def judged(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords
             break
         a, b = (by_rep.select("rep", "head", "n", "sig", "more").toDF(x, f"head{x}", f"n{x}", f"sig{x}", f"more{x}") for x in "uv")
         likely = offers.join(a, "u").join(b, "v").where(_near_size("nu", "nv", percent) & _alike("u", "v", *enough))
-        new = stored(_confirmed(likely, texts, width, percent), "links")
+        new = _confirmed(likely, texts, width, percent)
+        release(offers)
         if new.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
-        found = stored(components(links), "components")
+        links, old = new if links is None else links.unionByName(new), found
+        found = components(links)
+        release(old)
 
-    new = stored(_paired(lists, found, by_rep, texts, width, percent, enough), "links")
+    new = _paired(lists, found, by_rep, texts, width, percent, enough)
+    release(prefixes)
     if not new.isEmpty():
-        found = stored(components(new if links is None else links.unionByName(new)), "components")
+        old, found = found, components(new if links is None else links.unionByName(new))
+        release(old)
 
     # The first class of a component is kept: that of the smallest known id, or else of the smallest name.
     placed = found.toDF("rep", "component").join(classes.select("rep", "doc_id"), "rep")
@@ -306,7 +313,9 @@ def judged(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords
     out = signed.select("doc_id", "key", "n", "rep").join(own, "rep", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("linked"), F.col("linked_id")).otherwise(F.col("own_id"))
     kept = (F.col("n") == 0) | (F.coalesce(F.col("first_rep") == F.col("rep"), F.lit(True)) & component.eqNullSafe(F.col("doc_id")))
-    return out.select("doc_id", "key", "n", "rep", component.alias("component_id"), kept.alias("kept"))
+    out = out.select("doc_id", "key", "n", "rep", component.alias("component_id"), kept.alias("kept"))
+    out.rests_on = signed, classes, found  # to be released once the result is written
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords: int = COORDS, match: int = MATCH, more: int = MORE, share: float = SHARE) -> DataFrame:

@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_bounded
+from .common import byte_bounded, sampled
 
-SAMPLE = 6_000  # labelled texts at most that the network learns from
+SAMPLE = 6_000  # labelled ids, about, that the network learns from at most
 DIM, NONZERO, REACH, HIDDEN = 64, 6, 2, 32
 WORDS, SHAPES = 1 << 17, sum(6**k for k in range(7))  # numbers of words; shapes of six classes at most
 BLOCKS = 256  # of words, in which contexts are summed
@@ -183,8 +183,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality
     """A network learned from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) marks.
 
     Word vectors come from all rows of ``docs``.  The network learns from
-    ``sample`` rows at most, by a hash of the id, each pooled over its whole text.
-    Rows that repeat an id take its least label.
+    ``sample`` ids, about, by a threshold on a hash of the id, each pooled over its whole text.
+    Rows that repeat an id take its least label and one of their texts, that of the least vector.
     """
     vectors = Vectors(contexts(docs))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -196,11 +196,11 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
 
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    chosen = sampled(marked, F.col("doc_id"), sample, marked.count())
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # its rows are bounded by the sample
     pooled = texts.select(F.col("doc_id").cast("long"), F.col("_y").cast("double"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, y double, x binary")
-    rows = pooled.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * sample).collect()  # ids may repeat
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
+    rows = pooled.groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     x = np.stack([np.frombuffer(r.x, "<f4") for r in rows]) if rows else np.zeros((0, 2 * DIM), np.float32)
     net = QualityNet(x, np.array([r.y for r in rows], float))
     net.vectors = shared
