@@ -11,54 +11,76 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notes_engine.llm import byte_cnn, decision_list, decontaminate, minhash_dedup, packing
-from notes_engine.llm.common import documents, stored
+from notes_engine.llm.common import documents, may_hold, release, sieve, stored
 
 LEAST_SCORE = 0.5  # of a language, below which it counts as not known
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """Whole rows as ``_doc``, so that no column of a stage clashes with theirs, beside what stages read of them."""
+    text = F.col("text").cast("string")
+    return docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_key"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and a decision list learned from the labelled ones among them."""
+    """Documents that pass the base rules and a decision list learned from the labelled ones among them.
+
+    A null or blank text has fewer than ten words and goes.
+    """
     rules = decision_list.learned_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    held = docs.select(F.struct("*").alias("_doc"), F.col("text"))
-    return decision_list.judged(held, rules).where("kept").select("_doc.*")
+    return decision_list.judged(_held(docs), rules).where("kept").select("_doc.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; all are kept if no text has a language to learn from."""
+    """Documents whose language is known; all are kept if no text has a language to learn from.
+
+    A null text or one without a letter has none and goes.
+    """
     net = byte_cnn.trained(docs)
     if net is None:
         return docs
-    names = byte_cnn.with_language(docs, net, "_lang_pred", "_lang_score")
-    return names.where((F.col("_lang_pred") != byte_cnn.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    names = byte_cnn.with_language(_held(docs).select("_doc", "text"), net, "lang_pred", "lang_score")
+    return names.where((F.col("lang_pred") != byte_cnn.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select("_doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8).
 
     Different texts of one id are different documents; rows that repeat an id with
-    the same words are one, of which the first in a fixed order stays.
+    the same words are one, of which the first in a fixed order stays.  A null id
+    is an id like others.  Texts without words are alone, but rows that repeat
+    id and text are one.  What is decided of each id and text is kept beside the
+    rows; a bitmap of what goes, or must be looked at, lets all other rows pass
+    the scan, and only the rest are joined.
     """
-    least = F.min("key").over(Window.partitionBy("doc_id", "rep"))
-    told = stored(minhash_dedup.judged(docs, width=5).withColumn("kept", F.col("kept") & ((F.col("n") == 0) | (F.col("key") == least))), "told")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    same = lambda x: keyed.doc_id.cast("long").eqNullSafe(x["_id"]) & (keyed["_key"] == x["_told"])
-    names = F.col("doc_id").alias("_id"), F.col("key").alias("_told")
-    gone = told.where("not kept").select(*names).distinct()
-    again = told.where("kept").groupBy("doc_id", "key").count().where("count > 1").select(*names)
-    left = keyed.join(gone, same(gone), "left_anti")
-    if not again.isEmpty():
-        order = Window.partitionBy("doc_id", "_key").orderBy(F.to_json(F.struct(*docs.columns)))
-        once = left.join(again, same(again), "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-        left = left.join(again, same(again), "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+    signed = minhash_dedup.judged(docs, width=5)
+    own = signed.groupBy("doc_id", "key").agg(F.first("n").alias("n"), F.first("rep").alias("rep"), F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    same = Window.partitionBy("doc_id", F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("rep")))
+    told = own.withColumn("stays", F.col("kept") & (F.col("key") == F.min("key").over(same)))
+    told = stored(told.where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_told"), "stays"), "told")
+    release(*signed.rests_on)
+
+    rows = _held(docs)
+    noted = may_hold(sieve(told, F.xxhash64("_id", "_told")), F.xxhash64("doc_id", "_key"))
+    looked = rows.where(noted).join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_told")), "left")
+    out = rows.where(~noted).select("_doc.*").unionByName(looked.where("stays is null").select("_doc.*"))
+    if told.where("stays").isEmpty():
+        return out
+    first = F.min_by("_doc", F.to_json("_doc")).alias("_doc")
+    return out.unionByName(looked.where("stays").groupBy("doc_id", "_key").agg(first).select("_doc.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item of the benchmark, whatever their ids or the item's: texts are told apart by hash."""
-    key = F.xxhash64(F.col("text").cast("string"))
-    found = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = stored(found.select(F.col("doc_id").alias("_key")).distinct(), "leaks")
-    return docs.withColumn("_key", key).join(leaks, "_key", "left_anti").select(*docs.columns)
+    """Documents that hold no test item of the benchmark, whatever their ids or the item's: texts are told apart by hash.
+
+    Null, empty and blank texts hold none and stay.
+    """
+    found = decontaminate.contaminated(_held(docs).select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = stored(found.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    rows = _held(docs)
+    noted = may_hold(sieve(leaks, F.xxhash64("_leak")), F.xxhash64("_key"))
+    clean = rows.where(noted).join(leaks, F.col("_key") == F.col("_leak"), "left_anti")
+    return rows.where(~noted).select("_doc.*").unionByName(clean.select("_doc.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,8 +101,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage{k}")
+        release(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
