@@ -139,14 +139,13 @@ def with_language(docs: DataFrame, net: ByteCNN | None, named: str = "lang_pred"
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 30 kB
-    docs = docs.select(*others(docs, named, rated)).withColumn("text", F.col("text").cast("string"))
-    names = docs.columns
-    schema = StructType(list(docs.schema.fields)).add(named, StringType()).add(rated, DoubleType())
+    held = docs.select(F.struct(*others(docs, named, rated)).alias("doc"), F.col("text").cast("string").alias("text"))
+    schema = StructType([held.schema["doc"]]).add("lang", StringType()).add("score", DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in byte_bounded(batches, "text", 1 << 20):
-            texts = batch.column(names.index("text")).to_pylist()
+            texts = batch.column(1).to_pylist()
             readable = [bool(t) and net is not None and any(map(str.isalpha, t)) for t in texts]
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             at = [i for i, r in enumerate(readable) if r]
@@ -160,6 +159,6 @@ def with_language(docs: DataFrame, net: ByteCNN | None, named: str = "lang_pred"
                 p /= p.sum(1, keepdims=True)
                 for i, row in zip(at, p, strict=True):
                     langs[i], scores[i] = net.classes[int(row.argmax())], float(row.max())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, named, rated])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc", "lang", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return held.mapInArrow(run, schema).select("doc.*", F.col("lang").alias(named), F.col("score").alias(rated))

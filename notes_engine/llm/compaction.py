@@ -6,21 +6,30 @@ merged into one of the next, until a shard reaches the target size.  The merges
 are planned over sizes alone, and merges of merges are folded: every shard is
 rewritten once.  A new version of the manifest is a file that must not exist
 yet, so of two writers one fails and plans again; readers see old or new shards,
-never both.
+never both.  Nulls, repeated rows and columns of any name come back as they were
+appended; an empty table appends a version without new shards.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
+import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import others
+
 FAN, LEAST_BYTES, TARGET_BYTES = 4, 1 << 20, 128 << 20
 FILE_BYTES = 32 << 20  # of one file of a merged shard, about
+WAVE = 4096  # shards that are merged at once, about
+LEASE_MS = 60_000  # after which an unfinished version counts as given up
+PLACE = r"/data/([0-9a-f]+)/_shard_*=([^/]+)/"
 ARRIVALS = 8  # shards that each task of an append writes
 
 
@@ -34,33 +43,35 @@ class Manifest:
     schema: str = ""
     shards: dict[str, dict] = field(default_factory=dict)  # id: rows, bytes, path
 
-    def to_json(self) -> str:
-        return json.dumps(self.__dict__, sort_keys=True)
-
 
 def tier(size: int, fan: int = FAN, least: int = LEAST_BYTES) -> int:
     return max(0, math.floor(math.log(max(size, 1) / least, fan))) if size >= least else 0
 
 
 def plan(sizes: dict[str, int], fan: int = FAN, least: int = LEAST_BYTES, target: int = TARGET_BYTES) -> list[list[str]]:
-    """Groups of shards to merge.  Shards of the target size or more are left alone; ties go by id."""
-    runs = [(size, [name]) for name, size in sorted(sizes.items()) if size < target]
-    while True:
-        tiers: dict[int, list] = {}
-        for run in runs:
-            if run[0] < target:
-                tiers.setdefault(tier(run[0], fan, least), []).append(run)
-        full = next((t for t in sorted(tiers) if len(tiers[t]) >= fan), None)
-        if full is None:
-            return [names for _, names in runs if len(names) > 1]
-        group = sorted(tiers[full], key=lambda r: (r[0], r[1][0]))
-        taken, total = [], 0
-        for run in group:
-            taken.append(run)
-            total += run[0]
-            if total >= target or len(taken) == fan:
-                break
-        runs = [r for r in runs if not any(r is t for t in taken)] + [(total, sorted(n for r in taken for n in r[1]))]
+    """Groups of shards to merge.  Shards of the target size or more are left alone; ties go by id.
+
+    The smallest tier that is full gives its smallest runs to the next merge.
+    Each tier is a heap, so planning takes n log n steps.
+    """
+    tiers: dict[int, list] = {}
+
+    def put(size: int, names: list[str]) -> None:
+        if size < target:
+            heapq.heappush(tiers.setdefault(tier(size, fan, least), []), (size, names[0], names))
+        elif len(names) > 1:
+            out.append(sorted(names))
+
+    out: list[list[str]] = []
+    for name, size in sizes.items():
+        put(size, [name])
+    while full := [t for t, runs in tiers.items() if len(runs) >= fan]:
+        runs, taken, total = tiers[min(full)], [], 0
+        while runs and len(taken) < fan and total < target:
+            taken.append(heapq.heappop(runs))
+            total += taken[-1][0]
+        put(total, sorted(n for t in taken for n in t[2]))
+    return sorted(out + [sorted(names) for runs in tiers.values() for _, _, names in runs if len(names) > 1])
 
 
 class ShardStore:
@@ -74,91 +85,137 @@ class ShardStore:
     def _at(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
 
-    def manifest(self, version: int | None = None) -> Manifest:
-        """The manifest of a version, or the latest; version 0 is empty."""
-        if version is None:
-            at = self._at("manifest")
-            found = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
-            version = max((int(n[1:-5]) for n in found if n.startswith("v") and n.endswith(".json")), default=0)
-        if not version:
-            return Manifest()
+    def _versions(self) -> list[int]:
+        at = self._at("manifest")
+        names = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        return sorted((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), reverse=True)
+
+    def _content(self, version: int) -> dict | None:
+        """What a version's file holds; null if its writer has not finished it."""
         stream = self.fs.open(self._at(f"manifest/v{version:08d}.json"))
         try:
-            return Manifest(**json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
         finally:
             stream.close()
 
+    def manifest(self, version: int | None = None) -> Manifest:
+        """The manifest of a version, or the latest that is complete; version 0 is empty."""
+        for v in self._versions() if version is None else [version] * (version > 0):
+            found = self._content(v)
+            if found is not None:
+                return Manifest(**{k: x for k, x in found.items() if k != "writer"})
+            if version is not None:
+                raise LookupError(f"version {version} was never finished")
+        return Manifest()
+
     def commit(self, new: Manifest) -> None:
-        """Write a version under a name of its own, then rename it; a version that exists is a conflict."""
-        final, temp = self._at(f"manifest/v{new.version:08d}.json"), self._at(f"manifest/_{uuid.uuid4().hex}")
+        """Write a version under its final name, which must not exist yet: that name is the claim.
+
+        A file that its writer left unfinished is no version; after ``LEASE_MS``
+        the next writer of that version removes it.
+        """
+        final, writer = self._at(f"manifest/v{new.version:08d}.json"), uuid.uuid4().hex
         self.fs.mkdirs(self._at("manifest"))
-        out = self.fs.create(temp, False)
-        out.write(bytearray(new.to_json().encode()))
+        if self.fs.exists(final):
+            age = int(time.time() * 1000) - self.fs.getFileStatus(final).getModificationTime()
+            if age < LEASE_MS or self._content(new.version) is not None:
+                raise Conflict(f"version {new.version} exists")
+            self.fs.delete(final, False)
+        try:
+            out = self.fs.create(final, False)
+        except Py4JJavaError as e:
+            raise Conflict(f"version {new.version} exists") from e
+        out.write(bytearray(json.dumps({**new.__dict__, "writer": writer}, sort_keys=True).encode()))
         out.close()
-        claim = self._at(f"manifest/_claim-{new.version:08d}")
-        if not self.fs.createNewFile(claim) or self.fs.exists(final) or not self.fs.rename(temp, final):
-            self.fs.delete(temp, False)
-            raise Conflict(f"version {new.version} exists")
-
-    def _write(self, df: DataFrame, shard) -> dict[str, dict]:
-        """Write rows by shard; what was written, by shard id."""
-        run = uuid.uuid4().hex[:12]
+        if (self._content(new.version) or {}).get("writer") != writer:
+            raise Conflict(f"version {new.version} was taken over")
+
+    def _write(self, df: DataFrame, shard: Column, what: str = "*") -> dict[str, dict]:
+        """Write rows by shard; what was written, by shard id.  All columns of ``df`` are kept beside it."""
+        run, name = uuid.uuid4().hex[:12], "_shard"
+        while name in {c.lower() for c in df.select(what).columns}:
+            name += "_"
         base = f"{self.path}/data/{run}"
-        rows = df.withColumnRenamed(shard, "_shard") if isinstance(shard, str) else df.withColumn("_shard", shard)
-        rows.write.option("compression", "zstd").partitionBy("_shard").parquet(base)
-        root = self._at(f"data/{run}")
+        value = F.coalesce(shard.cast("string"), F.lit("null"))
+        plain = F.when(value.rlike(r"^[A-Za-z0-9_-]+\z"), value).otherwise(F.concat(F.lit("x"), F.md5(value)))  # paths escape other names
+        df.select(what, plain.alias(name)).write.option("compression", "zstd").partitionBy(name).parquet(base)
         out = {}
-        for s in self.fs.listStatus(root):
-            name = s.getPath().getName()
-            if name.startswith("_shard="):
-                out[f"{run}-{name[7:]}"] = {"path": f"data/{run}/{name}", "bytes": int(self.fs.getContentSummary(s.getPath()).getLength())}
+        for s in self.fs.listStatus(self._at(f"data/{run}")):
+            folder = s.getPath().getName()
+            if folder.startswith(f"{name}="):
+                out[f"{run}-{folder[len(name) + 1 :]}"] = {"path": f"data/{run}/{folder}", "bytes": int(self.fs.getContentSummary(s.getPath()).getLength())}
         return out
 
-    def append(self, df: DataFrame, shard) -> Manifest:
-        """Add rows as new shards, named by the values of ``shard``."""
+    def append(self, df: DataFrame, shard: str | Column) -> Manifest:
+        """Add rows as new shards, named by the values of ``shard``; a column of that name stays in the rows."""
         old = self.manifest()
-        new = Manifest(old.version + 1, df.schema.json(), {**old.shards, **self._write(df, shard)})
+        new = Manifest(old.version + 1, df.schema.json(), {**old.shards, **self._write(df, F.col(shard) if isinstance(shard, str) else shard)})
         self.commit(new)
         return new
 
     def compact(self, **how) -> Manifest:
-        """Merge shards by ``plan`` and commit the result; unchanged if there is nothing to merge."""
+        """Merge shards by ``plan`` and commit the result; unchanged if there is nothing to merge.
+
+        Merges run in waves of ``WAVE`` shards, about, so that the table of what
+        goes where, which is broadcast, has a bound.
+        """
         old = self.manifest()
         groups = plan({k: v["bytes"] for k, v in old.shards.items()}, **how)
         if not groups:
             return old
-        target = {name: i for i, names in enumerate(groups) for name in names}
-        chosen = self.read(Manifest(old.version, old.schema, {k: v for k, v in old.shards.items() if k in target}))
-        # A merged shard is written by as many tasks as it has files.
-        files = [max(1, -(-sum(old.shards[n]["bytes"] for n in names) // FILE_BYTES)) for names in groups]
-        names = self.spark.createDataFrame([(k, i, files[i]) for k, i in target.items()], "_shard_id string, _group int, _files long")
-        merged = chosen.withColumn("_row", F.col("_metadata.row_index")).join(F.broadcast(names), "_shard_id").drop("_shard_id")  # one row for each shard of the plan
-        # The place in the input spreads copies of a row as well.
-        dealt = merged.repartition(sum(files), "_group", F.pmod("_row", "_files"))
-        written = self._write(dealt.drop("_files", "_row"), "_group")
-        kept = {k: v for k, v in old.shards.items() if k not in target}
-        new = Manifest(old.version + 1, old.schema, {**kept, **written})
+        written, wave = {}, []
+        for k, names in enumerate(groups):
+            wave.append(names)
+            if k + 1 == len(groups) or sum(map(len, wave)) >= WAVE:
+                written |= self._merge(old, wave)
+                wave = []
+        gone = {name for names in groups for name in names}
+        new = Manifest(old.version + 1, old.schema, {**{k: v for k, v in old.shards.items() if k not in gone}, **written})
         self.commit(new)
         return new
 
-    def read(self, manifest: Manifest | None = None) -> DataFrame:
-        """Rows of a version with ``_shard_id``."""
+    def _merge(self, old: Manifest, groups: list[list[str]]) -> dict[str, dict]:
+        """Write each group as one shard, by a task for each of its files."""
+        files = [max(1, -(-sum(old.shards[n]["bytes"] for n in names) // FILE_BYTES)) for names in groups]
+        first = [sum(files[:i]) for i in range(len(files))]
+        names = self.spark.createDataFrame([(n, i, first[i], files[i]) for i, ns in enumerate(groups) for n in ns], "shard string, grp int, first int, files int")
+        rows = self._rows(old.schema, [old.shards[n] for ns in groups for n in ns])
+        held = rows.select(F.struct(*others(rows)).alias("doc"), self._shard_of(rows).alias("shard"), rows.metadataColumn("_metadata")["row_index"].alias("row"))
+        if sum(map(len, groups)) <= 2 * WAVE:
+            names = F.broadcast(names)
+        # The place in the input spreads copies of a row as well.
+        placed = held.join(names, "shard").repartitionById(sum(files), (F.col("first") + F.pmod("row", "files")).cast("int"))
+        return self._write(placed.select("doc", "grp"), F.col("grp"), "doc.*")
+
+    def _shard_of(self, rows: DataFrame) -> Column:
+        path = rows.metadataColumn("_metadata")["file_path"]
+        return F.concat_ws("-", F.regexp_extract(path, PLACE, 1), F.regexp_extract(path, PLACE, 2))
+
+    def _rows(self, schema: str, shards: list[dict]) -> DataFrame:
         from pyspark.sql.types import StructType
 
+        typed = StructType.fromJson(json.loads(schema)) if schema else StructType()
+        return self.spark.read.schema(typed).parquet(*[f"{self.path}/{v['path']}" for v in shards]) if shards else self.spark.createDataFrame([], typed)
+
+    def read(self, manifest: Manifest | None = None, shard: str | None = "_shard_id") -> DataFrame:
+        """Rows of a version with the id of their shard in the column ``shard``, or without it (None).
+
+        A column of the rows with that name is replaced.
+        """
         m = manifest or self.manifest()
-        schema = StructType.fromJson(json.loads(m.schema)) if m.schema else StructType()
-        if not m.shards:
-            return self.spark.createDataFrame([], schema).withColumn("_shard_id", F.lit(None).cast("string"))
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{v['path']}" for v in m.shards.values()])
-        part = F.regexp_extract(F.col("_metadata.file_path"), r"/data/([0-9a-f]+)/_shard=([^/]+)/", 1), F.regexp_extract(F.col("_metadata.file_path"), r"/data/([0-9a-f]+)/_shard=([^/]+)/", 2)
-        return rows.withColumn("_shard_id", F.concat_ws("-", *part))
+        rows = self._rows(m.schema, list(m.shards.values()))
+        if shard is None:
+            return rows
+        return rows.select(*others(rows, shard), (self._shard_of(rows) if m.shards else F.lit(None).cast("string")).alias(shard))
 
     def vacuum(self) -> int:
         """Delete shards that the latest version does not name; readers of older versions must be done."""
         used, gone = {v["path"] for v in self.manifest().shards.values()}, 0
         for run in self.fs.listStatus(self._at("data")):
             name = run.getPath().getName()
-            shards = [s.getPath() for s in self.fs.listStatus(run.getPath()) if s.getPath().getName().startswith("_shard=")]
+            shards = [s.getPath() for s in self.fs.listStatus(run.getPath()) if s.getPath().getName().startswith("_shard")]
             idle = [s for s in shards if f"data/{name}/{s.getName()}" not in used]
             for path in idle if len(idle) < len(shards) else [run.getPath()]:
                 self.fs.delete(path, True)

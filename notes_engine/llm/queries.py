@@ -67,8 +67,8 @@ def op8_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = store.compact()
     store.vacuum()
     numbers = spark.createDataFrame([(k, i, v["bytes"]) for i, (k, v) in enumerate(sorted(last.shards.items()))], "_shard_id string, shard int, shard_bytes long")
-    rows = store.read(last).join(F.broadcast(numbers), "_shard_id")
-    return rows.select("doc_id", "shard", "shard_bytes", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.octet_length("text").alias("text_bytes"), F.lit(last.version).alias("version"))
+    rows = store.read(last).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.octet_length("text").alias("text_bytes"), "_shard_id")
+    return rows.join(numbers, "_shard_id").select("doc_id", "shard", "shard_bytes", "text_crc32", "text_bytes", F.lit(last.version).alias("version"))
 
 
 def op9_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

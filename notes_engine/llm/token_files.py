@@ -11,8 +11,9 @@ that Spark writes to will do, and its column ``payload`` is the file format:
 
 An Elias-Fano sequence of n ascending numbers below u keeps floor(log2(u / n))
 low bits of each and the rest in unary, 2 bits a number at most.  ``select``
-gets number i from the place of the i-th one; a sample of these places bounds
-the search.
+gets number i from the place of the i-th one; counts of ones before every
+``STEP``-th byte and the steps of every ``SAMPLE``-th one, in 32 bits, bound the
+search.  Readers select the offsets of some documents at once, never of a block.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from .tokens import END_ID, RunIds, tokenizer_path
 
 MAGIC, HEAD = b"EFT1", "<4s6Q"
 BLOCK_IDS = 1 << 21
-SAMPLE = 512
+SAMPLE, STEP = 512, 64
+READ_DOCS = 4096  # documents of a block whose offsets are selected at once
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -43,9 +45,10 @@ class EliasFano:
 
     def __init__(self, n: int, universe: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.universe, self.low_bits, self.low, self.high = n, universe, low_bits, low, high
-        ones = np.concatenate([[0], np.cumsum(_ONES[high], dtype=np.int64)])
-        self._sample = np.searchsorted(ones, np.arange(0, n, SAMPLE), "right") - 1  # byte of each SAMPLE-th one
-        self._before = ones[self._sample]
+        # Ones before each STEP-th byte of the unary part, and the step that holds each SAMPLE-th one: 32 bits each.
+        per = np.add.reduceat(_ONES[high], np.arange(0, len(high), STEP), dtype=np.uint32) if len(high) else np.zeros(0, np.uint32)
+        self._before = np.concatenate([[0], np.cumsum(per, dtype=np.uint32)]).astype(np.uint32)
+        self._sample = (np.searchsorted(self._before, np.arange(0, n, SAMPLE), "right") - 1).astype(np.uint32)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -61,20 +64,35 @@ class EliasFano:
     def __len__(self) -> int:
         return self.n
 
-    def _low(self, i: int) -> int:
-        at = i * self.low_bits
-        part = int.from_bytes(self.low[at // 8 : (at + self.low_bits + 7) // 8].tobytes(), "little")
-        return part >> (at % 8) & ((1 << self.low_bits) - 1)
-
     def select(self, i: int) -> int:
         """Number i of the sequence."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, seen = int(self._sample[i // SAMPLE]), int(self._before[i // SAMPLE])
-        while seen + (here := int(_ONES[self.high[at]])) <= i:
-            at, seen = at + 1, seen + here
-        place = at * 8 + int(np.flatnonzero(np.unpackbits(self.high[at : at + 1], bitorder="little"))[i - seen])
-        return ((place - i) << self.low_bits) | self._low(i)
+        return int(self.select_many(np.array([i]))[0])
+
+    def select_many(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at ascending places ``at``, by the same structures, at once for all places of a step."""
+        out = np.empty(len(at), np.int64)
+        step = np.searchsorted(self._before, at, "right") - 1 if len(at) > 1 else np.array([self._step(int(i)) for i in at])
+        for k in np.unique(step).tolist():
+            mine = np.flatnonzero(step == k) if len(at) < 64 else slice(*np.searchsorted(step, [k, k + 1]))
+            ones = np.flatnonzero(np.unpackbits(self.high[k * STEP : (k + 1) * STEP], bitorder="little"))
+            out[mine] = k * STEP * 8 + ones[at[mine] - int(self._before[k])] - at[mine]
+        return (out << self.low_bits) | self._lows(at)
+
+    def _step(self, i: int) -> int:
+        """The step that holds the i-th one, from the sample before it on."""
+        k = int(self._sample[i // SAMPLE])
+        while int(self._before[k + 1]) <= i:
+            k += 1
+        return k
+
+    def _lows(self, at: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(at), np.int64)
+        first = at[:, None] * self.low_bits + np.arange(self.low_bits)
+        bits = (self.low[first >> 3] >> (first & 7).astype(np.uint8)) & 1
+        return bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
 
     def find(self, x: int) -> int:
         """How many numbers are at most x: for ends of documents, the document of id x."""
@@ -85,10 +103,7 @@ class EliasFano:
         return lo
 
     def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        low = bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64)) if self.low_bits else 0
-        return ((places - np.arange(self.n)) << self.low_bits) | low
+        return self.select_many(np.arange(self.n)) if self.n else np.zeros(0, np.int64)
 
     def to_bytes(self) -> bytes:
         return struct.pack(self.PACK, self.n, self.universe, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
@@ -122,9 +137,20 @@ class Block:
             raise ValueError("not a token block")
         self.tokens = np.frombuffer(data, f"<u{width}", self.n_ids, struct.calcsize(HEAD))
         self.ends, at = EliasFano.read(data, struct.calcsize(HEAD) + self.n_ids * width)
-        gaps, _ = EliasFano.read(data, at)
-        known = (gaps.all().astype(np.uint64) + np.uint64(first)).view(np.int64)
-        self.doc_ids = [None] * self.nulls + known.tolist()
+        self.gaps, _ = EliasFano.read(data, at)
+        self.first = first
+
+    def span(self, a: int, b: int) -> tuple[list, np.ndarray, np.ndarray]:
+        """Ids, starts and ends of the documents a to b - 1, by select."""
+        ends = self.ends.select_many(np.arange(max(a - 1, 0), b))
+        starts = ends[:-1] if a else np.concatenate([[0], ends[:-1]])
+        known = np.arange(max(a, self.nulls), b) - self.nulls
+        ids = (self.gaps.select_many(known).astype(np.uint64) + np.uint64(self.first)).view(np.int64) if len(known) else np.zeros(0, np.int64)
+        return [None] * (b - a - len(known)) + ids.tolist(), starts, ends[1:] if a else ends
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        return self.span(0, self.n_docs)[0]
 
     def start(self, i: int) -> int:
         return self.ends.select(i - 1) if i else 0
@@ -190,11 +216,11 @@ def read_token_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = Block(payload.as_buffer().to_pybytes())
-                ends = block.ends.all()
-                starts = np.concatenate([[0], ends[:-1]])
-                wide = block.tokens.astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                cols = pa.array(block.doc_ids, pa.int64()), pa.array(starts + base[part] + block.before), pa.array(ends - starts), pa.array(crc, pa.int64())
-                yield pa.RecordBatch.from_arrays(list(cols), names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for k in range(0, block.n_docs, READ_DOCS):
+                    ids, starts, ends = block.span(k, min(k + READ_DOCS, block.n_docs))
+                    wide = block.tokens[starts[0] : ends[-1]].astype("<u4")
+                    crc = [zlib.crc32(wide[a:b]) for a, b in zip((starts - starts[0]).tolist(), (ends - starts[0]).tolist(), strict=True)]
+                    cols = pa.array(ids, pa.int64()), pa.array(starts + base[part] + block.before), pa.array(ends - starts), pa.array(crc, pa.int64())
+                    yield pa.RecordBatch.from_arrays(list(cols), names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.select("part", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
