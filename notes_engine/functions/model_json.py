@@ -44,6 +44,14 @@ def resumed_selection(payload: Column) -> Column:
     return F.from_json(payload, "struct<selected_indices: array<int>>")["selected_indices"]
 
 
-def question(tokens: Column, limit: int, chapters: Column) -> Column:
-    """What the user is asked when a source is too long."""
-    return F.to_json(F.struct(F.lit("chapter_selection").alias("type"), F.struct(tokens.alias("total_tokens"), F.lit(limit).alias("limit")).alias("summary"), chapters.alias("chapters"), F.lit("Choose the chapters at which a part starts.").alias("instructions")))
+# What the user is told when asked for the chapters at which parts start.
+INSTRUCTIONS = [
+    "Each selected chapter starts a NEW transcript part.", "Chapter 0 is automatically included.", "Do NOT select chapter 0.", "Selections must be in ascending order.",
+    "Example:", '{"selected_indices": [4, 8, 15]}',
+]
+
+
+def question(chapters: Column, tokens: Column, limit: int) -> Column:
+    """What the user is asked when a source is too long: JSON with a summary, menu rows of its chapters, and instructions."""
+    summary = F.struct(F.size(chapters).alias("total_chapters"), tokens.alias("total_tokens"), F.lit(limit).alias("max_tokens_per_part"))
+    return F.to_json(F.struct(F.lit("chapter_selection").alias("type"), summary.alias("summary"), chapters.alias("chapters"), F.array(*map(F.lit, INSTRUCTIONS)).alias("instructions")))

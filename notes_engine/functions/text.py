@@ -98,15 +98,28 @@ def compact_date(x: Column) -> Column:
     return F.when(F.length(x) == 8, F.concat_ws("-", F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))).otherwise(x)
 
 
+# Forms of dates with a time of day or without; a zone may follow a time.
+_DAYS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "dd MMM yyyy", "yyyyMMdd"]
+_CLOCK = r"(?i)^(.*?)[T ,]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?\s*(Z|GMT|UTC|[+-]\d{2}:?\d{2})?\z"
+
+
 def iso_date(x: Column) -> Column:
-    """An ISO date where the text has one of a fixed list of formats, else the text itself."""
-    formats = ["yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss"]
-    return F.coalesce(*[F.date_format(F.try_to_timestamp(x, F.lit(f)), "yyyy-MM-dd") for f in formats], x)
+    """A date with its time and zone in ISO form where the text has one of a fixed list of forms, else the text, stripped."""
+    t = strip(x)
+    timed = t.rlike(_CLOCK)
+    get = lambda k: F.regexp_extract(t, _CLOCK, k)
+    day = F.regexp_replace(F.when(timed, get(1)).otherwise(t), r"^[A-Za-z]{3,9},\s*", "")  # without the day of the week
+    date = F.coalesce(*[F.date_format(F.try_to_timestamp(day, F.lit(f)), "yyyy-MM-dd") for f in _DAYS])
+    clock = F.concat_ws(":", F.lpad(get(2), 2, "0"), get(3), F.when(get(4) == "", "00").otherwise(get(4)))
+    part = F.when(get(5).rlike("[1-9]"), F.concat(F.lit("."), F.rpad(get(5), 6, "0"))).otherwise("")
+    zone = F.when(get(6) == "", "").when(get(6).rlike("(?i)^[zgu]"), "+00:00").otherwise(F.regexp_replace(get(6), r"^(...):?(..)$", "$1:$2"))
+    right = (get(2).try_cast("int") < 24) & (get(3).try_cast("int") < 60) & (F.coalesce(get(4).try_cast("int"), F.lit(0)) < 60)
+    return F.when(date.isNull(), t).when(~timed, F.concat(date, F.lit("T00:00:00"))).when(right, F.concat(date, F.lit("T"), clock, part, zone)).otherwise(t)
 
 
 def author_name(x: Column) -> Column:
-    """Without a leading by or author, which need not be a word of its own."""
-    return strip(F.regexp_replace(strip(x), r"(?i)^(by|author)\s*[:\-]?\s*", ""))
+    """Without a leading by or author, which need not be a word of its own; runs of white space as one space."""
+    return squeeze(F.regexp_replace(strip(x), r"(?i)^(by|author)\s*[:\-]?\s*", ""))
 
 
 def or_default(x: Column, default: str) -> Column:

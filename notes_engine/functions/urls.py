@@ -20,16 +20,60 @@ def is_address(source: Column) -> Column:
     return source.rlike(r"^(?i)https?://[^/]+")
 
 
+def _decoded(x: Column) -> Column:
+    """A query's name or value; what is no valid escape stays as it is."""
+    return F.coalesce(F.try_url_decode(x), x)
+
+
+def _encoded(x: Column) -> Column:
+    """As form fields are encoded; ``~`` stays and ``*`` does not."""
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _joined(scheme: Column, authority: Column, rest: Column) -> Column:
+    head = F.when(scheme != "", F.concat(scheme, F.lit("://"), authority)).when(authority != "", F.concat(F.lit("//"), authority)).otherwise("")
+    return F.concat(head, rest)
+
+
 def canonical(url: Column) -> Column:
-    """Scheme and host in lower case; no trailing slash, fragment or tracking parameters."""
+    """Scheme and host in lower case; no trailing slash, fragment or tracking parameters; the query encoded anew."""
     path = F.when(part(url, 3) == "/", F.lit("/")).otherwise(F.regexp_replace(part(url, 3), "/+$", ""))
-    name = lambda p: F.lower(F.regexp_extract(p, "^([^=]*)", 1))
-    kept = F.filter(F.split(part(url, 4), "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(TRACKING))
-    query = F.array_join(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))), "&")
-    head = F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)), path)
+    pairs = F.transform(F.filter(F.split(part(url, 4), "&"), lambda p: p != ""), lambda p: F.struct(
+        _decoded(F.substring_index(p, "=", 1)).alias("name"), _decoded(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("value")))
+    kept = F.filter(pairs, lambda p: ~p["name"].startswith("utm_") & ~p["name"].isin(TRACKING))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["name"]), F.lit("="), _encoded(p["value"]))), "&")
+    head = _joined(F.lower(part(url, 1)), F.lower(part(url, 2)), path)
     return F.when(query == "", head).otherwise(F.concat(head, F.lit("?"), query))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments worked out."""
+    none = F.array().cast("array<string>")
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, none, lambda acc, x: F.when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.array_join(ended, "/")
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """A link of a page at ``base`` as a whole address."""
+    x = F.trim(link)
+    own = F.regexp_extract(x, r"^([^?#]*)", 1)
+    tail = F.substring(x, F.length(own) + 1, F.length(x))
+    here = lambda rest: _joined(part(base, 1), part(base, 2), rest)
+    folder = F.regexp_replace(F.when(part(base, 3) == "", F.lit("/")).otherwise(part(base, 3)), "[^/]*$", "")
+    query = F.when(part(base, 4) == "", "").otherwise(F.concat(F.lit("?"), part(base, 4)))
+    return (
+        F.when(x == "", base)
+        .when(part(x, 1) != "", x)
+        .when(x.startswith("//"), F.concat(part(base, 1), F.lit(":"), x))
+        .when(x.startswith("/"), here(F.concat(_without_dots(own), tail)))
+        .when(x.startswith("?"), here(F.concat(part(base, 3), x)))
+        .when(x.startswith("#"), F.concat(here(F.concat(part(base, 3), query)), x))
+        .otherwise(here(F.concat(_without_dots(F.concat(folder, own)), tail)))
+    )
+
+
 def short_id(url: Column) -> Column:
     return F.substring(F.sha2(canonical(url), 256), 1, 16)
 
@@ -38,21 +82,81 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(part(url, 2), r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
 
 
+# Networks of four-part addresses that are private, link-local, reserved or for many receivers, as (network, bits).
+REFUSED_V4 = [("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16),
+              ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4)]
+ALLOWED_V4 = [("192.0.0.9", 32), ("192.0.0.10", 32)]
+# Ranges of the first 48 bits of six-part addresses, and those within them that are not private, as (network, bits).
+OPEN_V6 = [("2000 0 0", 3), ("fec0 0 0", 10)]
+REFUSED_V6 = [("2001 0 0", 23), ("2001 db8 0", 32), ("2002 0 0", 16)]
+ALLOWED_V6 = [("2001 3 0", 32), ("2001 4 112", 48), ("2001 20 0", 28), ("2001 30 0", 28)]
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _within(number: Column, networks: list[tuple[str, int]], width: int) -> Column:
+    """Whether the first ``width`` bits of an address lie in one of the networks."""
+    out = F.lit(False)
+    for at, bits in networks:
+        parts = [int(x) for x in at.split(".")] if "." in at else [int(x, 16) for x in at.split()]
+        first = sum(x << (8 if "." in at else 16) * i for i, x in enumerate(reversed(parts)))
+        out = out | number.between(first, first + (1 << (width - bits)) - 1)
+    return out
+
+
+def _v4(x: Column) -> Column:
+    """A four-part address as a number; null if it is none."""
+    good = lambda b: b.rlike(r"^(0|[1-9]\d{0,2})\z") & (b.try_cast("int") <= 255)
+    number = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, p: n * 256 + p.try_cast("long"))
+    return _let(F.split(x, r"\."), lambda b: F.when((F.size(b) == 4) & F.forall(b, good), number(b)))
+
+
+def _private_v4(number: Column) -> Column:
+    return _let(number, lambda n: _within(n, REFUSED_V4, 32) & ~_within(n, ALLOWED_V4, 32))
+
+
+def _v6(x: Column) -> Column:
+    """The eight parts of a six-part address (text without brackets) as numbers; null if it is none."""
+    none = F.array().cast("array<string>")
+    dotted = lambda n: F.concat(F.regexp_replace(x, r"[^:]*\z", ""), F.lower(F.hex(F.call_function("div", n, F.lit(65536)))), F.lit(":"), F.lower(F.hex(n % 65536)))
+    whole = _let(_v4(F.regexp_extract(x, r"([^:]*)\z", 1)), lambda n: F.when(n.isNull(), x).otherwise(dotted(n)))
+    pieces = lambda side: F.coalesce(F.filter(F.split(side, ":"), lambda p: p != ""), none)
+
+    def parts(w: Column) -> Column:
+        sides = F.split(w, "::", 2)
+        both = F.struct(pieces(F.get(sides, F.lit(0))).alias("left"), pieces(F.get(sides, F.lit(1))).alias("right"), (F.size(sides) == 2).alias("short"))
+        return _let(both, lambda s: _let(F.lit(8) - F.size(s["left"]) - F.size(s["right"]), lambda missing: F.when(
+            ~w.contains(":::") & (F.size(F.split(w, "::")) <= 2) & F.when(s["short"], missing > 0).otherwise(missing == 0) & F.forall(F.concat(s["left"], s["right"]), lambda p: p.rlike(r"^[0-9a-f]{1,4}\z")),
+            F.transform(F.concat(s["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), s["right"]), lambda p: F.conv(p, 16, 10).cast("long")))))
+
+    return _let(whole, lambda w: F.when(w.rlike(r"^[0-9a-f:]+\z") & w.contains(":"), parts(w)))
+
+
+def _private_v6(parts: Column) -> Column:
+    first = lambda p: (F.get(p, F.lit(0)) * 65536 + F.get(p, F.lit(1))) * 65536 + F.get(p, F.lit(2))
+    return _let(parts, lambda p: _let(first(p), lambda n: ~_within(n, OPEN_V6, 48) | _within(n, REFUSED_V6, 48) & ~_within(n, ALLOWED_V6, 48)))
+
+
 def refusal(url: Column) -> Column:
     """Why an address must not be fetched, or null."""
-    h = host(url)
-    byte = lambda k: F.regexp_extract(h, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("int")
-    a, b = byte(1), byte(2)
-    private = (a.isin(0, 10, 127)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | (a >= 224)
-    v6 = h.rlike(r"^\[(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)\]$")
-    return (
-        F.when(url.isNull() | (F.trim(url) == ""), "empty")
-        .when(F.length(url) > 4096, "too long")
-        .when(~F.lower(part(url, 1)).isin("http", "https"), "scheme")
-        .when(h == "", "host")
-        .when((h == "localhost") | h.endswith(".localhost"), "local")
-        .when(F.coalesce(private, F.lit(False)) | v6, "private")
-    )
+
+    def judged(u: Column) -> Column:
+        h, six = u["host"], u["six"]
+        return (
+            F.when(url.isNull() | (u["url"] == ""), "empty")
+            .when(~F.lower(part(u["url"], 1)).isin("http", "https"), "scheme")
+            .when((h == "") | h.startswith("[") & six.isNull(), "host")
+            .when(F.length(u["url"]) > 4096, "too long")
+            .when(h == "localhost", "local")
+            .when(F.coalesce(u["four"], _private_v6(six), F.lit(False)), "private")
+        )
+
+    u = F.trim(url)
+    bare = lambda h: F.regexp_extract(h, r"^\[(.*)\]$", 1)
+    return _let(host(u), lambda h: _let(F.struct(u.alias("url"), h.alias("host"), _v6(bare(h)).alias("six"), _private_v4(_v4(h)).alias("four")), judged))
 
 
 def is_video_id(x: Column) -> Column:
@@ -64,11 +168,13 @@ def video_id(url: Column) -> Column:
     u = F.trim(url)
     full = F.when(u.rlike("^(?i)https?://"), u).otherwise(F.concat(F.lit("https://"), u))
     h, path = host(full), part(full, 3)
-    from_query = F.regexp_extract(part(full, 4), r"(?:^|&)v=([^&]*)", 1)
-    found = (
-        F.when(h.endswith("youtu.be"), F.regexp_extract(path, r"^/([^/]+)", 1))
-        .when(path == "/watch", from_query)
-        .otherwise(F.regexp_extract(path, r"^/(?:embed|shorts|live|v)/([^/]+)", 1))
+    named = F.filter(F.split(part(full, 4), "&"), lambda p: p.rlike("^v=."))
+    from_query = _decoded(F.regexp_replace(F.get(named, F.lit(0)), "^v=", ""))
+    in_path = lambda form: F.nullif(F.regexp_extract(path, form, 1), F.lit(""))
+    found = F.coalesce(
+        F.when((path == "/watch") & is_video_id(from_query), from_query),
+        in_path("^/(?:embed|shorts|live|v)/([A-Za-z0-9_-]{11})(?:/|$)"),
+        in_path("^/([A-Za-z0-9_-]{11})(?:/|$)"),
     )
     from_url = F.when((F.length(u) <= 2000) & h.isin(VIDEO_HOSTS) & is_video_id(found), found)
     return F.when(is_video_id(u), u).otherwise(from_url)

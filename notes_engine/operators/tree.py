@@ -87,13 +87,21 @@ def contents(nodes: DataFrame, keys: list[str], out: str = "toc") -> DataFrame:
     return nodes.where("kind = 'topic'").groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias(out))
 
 
-def readme(meta: DataFrame, toc: DataFrame, keys: list[str], generated: Column) -> DataFrame:
-    """keys, readme: metadata with defaults, links to both documents, topics, and the time given."""
+def readme(meta: DataFrame, toc: DataFrame, keys: list[str], generated: Column, generator: str = "notes-engine") -> DataFrame:
+    """keys, readme: an index of the rendered notes of each source, with its metadata and contents.
+
+    ``meta``: keys, title, content_id, author, upload_date, url; ``generated`` is the time to state.
+    """
     m = meta.join(toc, keys, "left")
-    line = lambda label, c: F.concat(F.lit(f"- **{label}:** "), T.or_default(F.col(c), "Unknown"))
-    parts = [F.concat(F.lit("# "), T.or_default(F.col("title"), "Unknown")), F.lit(""), line("Author", "author"), line("Date", "upload_date"), line("Source", "url"), F.lit(""),
-             F.lit("- [Content](content.md)"), F.lit("- [Summary](summary.md)"), F.lit(""), F.coalesce("toc", F.lit("")), F.lit(""), F.concat(F.lit("Generated "), generated)]
-    return m.select(*keys, F.concat_ws("\n", *parts).alias("readme"))
+    or_unknown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    parts = [
+        F.concat(F.lit("# "), text("title")), "", "## Metadata", "", F.concat(F.lit("- **Content ID:** `"), text("content_id"), F.lit("`")), F.concat(F.lit("- **Author:** "), or_unknown("author")),
+        F.concat(F.lit("- **Upload Date:** "), or_unknown("upload_date")), F.concat(F.lit("- **Source:** "), text("url")), "", "## Generated Notes", "",
+        "- [📘 Full Structured Notes](content.md)", "- [📝 Summary Notes](summary.md)", "", "## Table of Contents", "", F.col("toc"), "", "---", "",
+        F.concat(F.lit(f"*This document was automatically generated by {generator} on "), generated, F.lit("*")),
+    ]
+    return m.select(*keys, F.concat(F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts]), F.lit("\n")).alias("readme"))
 
 
 def zip_trees(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -77,7 +77,7 @@ def last_points(spark, sf_dir):
     return order.last_points(order.numbered_points(_bullets(spark, sf_dir), ["doc_id"]), ["doc_id"], 4)
 
 
-@query(f"""WITH {POINTS} SELECT doc_id, count(*) AS points, true AS valid FROM p GROUP BY doc_id""")
+@query(f"""WITH {POINTS} SELECT doc_id, count(*) AS points, list(point_no ORDER BY point_no) = range(1, count(*) + 1) AS valid FROM p GROUP BY doc_id""")
 def read_numbered_points(spark, sf_dir):
     p = order.numbered_points(_bullets(spark, sf_dir), ["doc_id"])
     lines = F.array_sort(F.collect_list(F.struct("point_no", F.format_string("%d. %s", "point_no", "point").alias("line"))))
@@ -171,31 +171,59 @@ def chapter_menu(spark, sf_dir):
     return s.select("conv_id", F.col("pos").alias("chapter_idx"), "display", T.menu_row(F.col("pos"), F.col("display"), F.col("tokens"), F.col("title")).alias("menu"))
 
 
-@query(r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS s, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS h,
-  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
+CANONICAL = r"""u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS s, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS h,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '\?([^#]*)', 1) AS q FROM addresses),
+n AS (SELECT *, list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: {'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')),
+  'v': CASE WHEN contains(x, '=') THEN url_decode(replace(substring(x, strpos(x, '=') + 1), '+', ' ')) ELSE '' END}) AS pairs FROM u),
 k AS (SELECT *, CASE WHEN p = '/' THEN '/' ELSE regexp_replace(p, '/+$', '') END AS path,
-  array_to_string(list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT (lower(x) LIKE 'utm_%' OR lower(regexp_extract(x, '^([^=]*)', 1)) IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid'))),
-    lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') AS query FROM u),
-c AS (SELECT page_id, url, s || '://' || h || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical FROM k)
+  array_to_string(list_transform(list_filter(pairs, lambda x: NOT (starts_with(x.k, 'utm_') OR x.k IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid'))),
+    lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') AS query FROM n),
+c AS (SELECT page_id, url, s || '://' || h || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical FROM k)"""
+
+
+@query(f"""WITH addresses AS (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN (CASE WHEN contains(url, '#') THEN '' WHEN contains(url, '?') THEN '&UTM_a=%C3%A9+x&b*~' ELSE '?q=a%2Fb&c' END) ELSE '' END AS url FROM pages), {CANONICAL}
 SELECT page_id, canonical, substring(sha256(canonical), 1, 16) AS content_id, regexp_matches(url, '^(?i)https?://[^/]+') AS remote FROM c""")
 def canonical_urls(spark, sf_dir):
-    p = read(spark, sf_dir, "pages")
+    tail = F.when(F.col("url").contains("#"), "").when(F.col("url").contains("?"), "&UTM_a=%C3%A9+x&b*~").otherwise("?q=a%2Fb&c")
+    p = read(spark, sf_dir, "pages").withColumn("url", F.concat("url", F.when(F.col("page_id") % 3 == 0, tail).otherwise("")))
     return p.select("page_id", U.canonical(F.col("url")).alias("canonical"), U.short_id(F.col("url")).alias("content_id"), U.is_address(F.col("url")).alias("remote"))
 
 
-@query("""SELECT page_id, CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'scheme' WHEN 2 THEN 'local' WHEN 3 THEN 'private' WHEN 4 THEN 'private' WHEN 5 THEN NULL ELSE 'private' END AS refused FROM pages""")
+# Addresses of all kinds, made of the ids and addresses of the pages.
+_BYTES = [[0, 8, 10, 100, 127, 169, 172, 192, 198, 203, 224, 240], [0, 2, 16, 18, 19, 31, 32, 51, 113, 168, 254], [0, 2, 100, 113]]
+
+
+def _address():
+    n = F.col("page_id")
+    pick = lambda k, at: F.element_at(F.array(*map(F.lit, _BYTES[k])), (at % len(_BYTES[k]) + 1).cast("int")).cast("string")
+    four = F.concat(F.lit("http://"), F.concat_ws(".", pick(0, n), pick(1, F.floor(n / 3)), pick(2, F.floor(n / 5)), (n % 12).cast("string")), F.lit(":80/x"))
+    return F.when(n % 7 == 0, F.col("url")).when(n % 7 == 1, F.concat(F.lit("ftp"), F.col("url"))).when(n % 7 == 2, F.concat(F.lit("HTTP://LocalHost/"), n)).otherwise(four)
+
+
+@query(f"""WITH a AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'ftp' || url WHEN 2 THEN 'HTTP://LocalHost/' || page_id ELSE
+  'http://' || ({_BYTES[0]})[page_id % 12 + 1] || '.' || ({_BYTES[1]})[page_id // 3 % 11 + 1] || '.' || ({_BYTES[2]})[page_id // 5 % 4 + 1] || '.' || page_id % 12 || ':80/x' END AS u FROM pages),
+h AS (SELECT page_id, u, lower(regexp_extract(u, '^([a-zA-Z]+)://', 1)) AS s, lower(regexp_extract(u, '://([^/:?#]*)', 1)) AS h FROM a),
+n AS (SELECT *, CASE WHEN regexp_matches(h, '^[0-9]+([.][0-9]+){{3}}$') THEN split_part(h, '.', 1)::BIGINT * 16777216 + split_part(h, '.', 2)::BIGINT * 65536 + split_part(h, '.', 3)::BIGINT * 256 + split_part(h, '.', 4)::BIGINT END AS ip FROM h)
+SELECT page_id, u AS address, CASE WHEN s NOT IN ('http', 'https') THEN 'scheme' WHEN h = '' THEN 'host' WHEN length(u) > 4096 THEN 'too long' WHEN h = 'localhost' THEN 'local'
+  WHEN ip // 16777216 IN (0, 10, 127) OR ip // 65536 = 169 * 256 + 254 OR ip // 1048576 = (172 * 256 + 16) // 16 OR (ip // 256 = 192 * 65536 AND ip % 256 NOT IN (9, 10)) OR ip // 256 = 192 * 65536 + 2 OR ip // 65536 = 192 * 256 + 168
+    OR ip // 131072 = (198 * 256 + 18) // 2 OR ip // 256 = (198 * 256 + 51) * 256 + 100 OR ip // 256 = 203 * 65536 + 113 OR ip >= 224::BIGINT * 16777216 THEN 'private' END AS refused FROM n""")
 def url_guard(spark, sf_dir):
-    forms = ["https://example.org/a", "ftp://example.org/a", "http://LOCALHOST:80/", "http://10.1.2.3/x", "http://172.20.0.1", "http://8.8.8.8/", "http://[::1]/"]
-    url = F.element_at(F.array(*map(F.lit, forms)), (F.col("page_id") % 7 + 1).cast("int"))
-    return read(spark, sf_dir, "pages").select("page_id", U.refusal(url).alias("refused"))
+    return read(spark, sf_dir, "pages").select("page_id", _address().alias("address"), U.refusal(_address()).alias("refused"))
+
+
+_FORMS = ["%s", "https://www.youtube.com/watch?t=3&v=%s", "youtu.be/%s?x=1", "https://m.youtube.com/embed/%s", "https://youtube.com/shorts/%s/", "http://www.youtube.com/live/%s", "https://example.org/watch?v=%s",
+          "https://youtube.com/watch?v=%sxx", "https://youtube.com/%s", "https://youtube.com/playlist/%s"]
 
 
-@query("""WITH v AS (SELECT page_id, substring(sha256(page_id::VARCHAR), 1, 11) AS id FROM pages)
-SELECT page_id, CASE WHEN page_id % 8 IN (6, 7) THEN NULL ELSE id END AS video, CASE WHEN page_id % 8 IN (6, 7) THEN NULL ELSE 'https://www.youtube.com/watch?v=' || id END AS watch FROM v""")
+@query(f"""WITH v AS (SELECT page_id, replace(({_FORMS})[page_id % {len(_FORMS)} + 1], '%s', substring(sha256(page_id::VARCHAR), 1, 11)) AS raw FROM pages),
+f AS (SELECT page_id, raw, CASE WHEN regexp_matches(raw, '^(?i)https?://') THEN raw ELSE 'https://' || raw END AS u FROM v),
+p AS (SELECT page_id, raw, lower(regexp_extract(u, '://([^/:?#]*)', 1)) AS h, regexp_extract(u, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '[?&]v=([^&#]+)', 1) AS q FROM f),
+i AS (SELECT page_id, CASE WHEN regexp_full_match(raw, '[A-Za-z0-9_-]{{11}}') THEN raw WHEN h NOT IN ('youtube.com', 'www.youtube.com', 'm.youtube.com', 'music.youtube.com', 'youtu.be', 'www.youtu.be') THEN NULL
+  WHEN path = '/watch' AND regexp_full_match(q, '[A-Za-z0-9_-]{{11}}') THEN q ELSE nullif(regexp_extract(path, '^/(?:(?:embed|shorts|live|v)/)?([A-Za-z0-9_-]{{11}})(?:/|$)', 1), '') END AS id FROM p)
+SELECT page_id, id AS video, 'https://www.youtube.com/watch?v=' || id AS watch FROM i""")
 def video_ids(spark, sf_dir):
     p = read(spark, sf_dir, "pages").withColumn("id", F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 11))
-    forms = ["%s", "https://www.youtube.com/watch?t=3&v=%s", "youtu.be/%s?x=1", "https://m.youtube.com/embed/%s", "https://youtube.com/shorts/%s", "http://www.youtube.com/live/%s", "https://example.org/watch?v=%s", "https://youtube.com/watch?v=%sxx"]
-    url = F.element_at(F.array(*[F.format_string(f, F.col("id")) for f in forms]), (F.col("page_id") % 8 + 1).cast("int"))
+    url = F.element_at(F.array(*[F.format_string(f, F.col("id")) for f in _FORMS]), (F.col("page_id") % len(_FORMS) + 1).cast("int"))
     vid = U.video_id(url)
     return p.select("page_id", vid.alias("video"), U.watch_address(vid).alias("watch"))
 
@@ -209,12 +237,21 @@ def article_metadata(spark, sf_dir):
     return article.metadata(read(spark, sf_dir, "pages"), "page_id").select("page_id", "title", "title_source", "author", "upload_date")
 
 
-@query("""SELECT page_id, 'D' || page_id AS title, 'meta' AS title_source, 'x' || page_id AS description, 'Ada ' || page_id AS author, '2024-03-0' || (1 + page_id % 9) AS upload_date FROM pages""")
+# Pages with meta tags and a relative canonical link.
+_HEAD = ('<meta property="og:title" content="no"><META name="og:title" content="D%d"><meta name="description" content=" "><meta property="og:description" content=" x%d"><meta name="byl" content="By: Ada  %d">'
+         '<meta name="pubdate" content="March %d, 2024"><link href="/feed/%d" rel="alternate"><link rel="x CANONICAL" href="../a/./%d?utm_b=1&amp;k=%d">')
+
+
+@query(f"""WITH m AS (SELECT page_id, regexp_extract(url, '^([^/]*//[^/?#]*)', 1) AS site, regexp_extract(url, '^[^/]*//[^/?#]*(/[^?#]*)?', 1) AS path,
+  replace(replace('{_HEAD}', 'March %d', 'March ' || (1 + page_id % 9)), '%d', page_id::VARCHAR) AS html FROM pages),
+addresses AS (SELECT page_id, site || list_reduce(list_prepend('', list_slice(string_split(regexp_replace(coalesce(path, '/'), '[^/]*$', ''), '/'), 2, -3)), lambda a, b: a || '/' || b) || '/a/' || page_id || '?utm_b=1&k=' || page_id AS url FROM m),
+{CANONICAL}
+SELECT page_id, canonical AS url, substring(sha256(canonical), 1, 16) AS content_id, regexp_extract(html, 'name="og:title" content="([^"]*)"', 1) AS title, 'meta' AS title_source, trim(regexp_extract(html, 'og:description" content="([^"]*)"', 1)) AS description,
+  regexp_replace(regexp_extract(html, 'byl" content="By: ([^"]*)"', 1), ' +', ' ', 'g') AS author, strftime(strptime(regexp_extract(html, 'pubdate" content="([^"]*)"', 1), '%B %-d, %Y'), '%Y-%m-%dT00:00:00') AS upload_date FROM m JOIN c USING (page_id)""")
 def article_meta_tags(spark, sf_dir):
-    n = F.col("page_id").cast("string")
-    html = F.concat(F.lit('<meta property="og:title" content="no"><META name="og:title" content="D'), n, F.lit('"><meta name="description" content=" "><meta property="og:description" content=" x'), n,
-                    F.lit('"><meta name="author" content="By: Ada '), n, F.lit('"><meta name="date" content="March '), (1 + F.col("page_id") % 9).cast("string"), F.lit(', 2024">'))
-    return article.metadata(read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), "page_id").select("page_id", "title", "title_source", "description", "author", "upload_date")
+    n = F.col("page_id")
+    html = F.format_string(_HEAD, n, n, n, 1 + n % 9, n, n, n)
+    return article.metadata(read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), "page_id").select("page_id", "url", "content_id", "title", "title_source", "description", "author", "upload_date")
 
 
 @query()
@@ -253,19 +290,30 @@ def rendered_documents(spark, sf_dir):
 
 
 @query(f"""WITH {SECTIONS}, toc AS (SELECT conv_id, string_agg(repeat('  ', level - 1) || '- ' || heading, chr(10) ORDER BY pos) AS toc FROM s GROUP BY conv_id)
-SELECT conv_id, '# Talk ' || conv_id || chr(10) || chr(10) || '- **Author:** Unknown' || chr(10) || '- **Date:** 2024-01-01' || chr(10) || '- **Source:** Unknown' || chr(10) || chr(10)
- || '- [Content](content.md)' || chr(10) || '- [Summary](summary.md)' || chr(10) || chr(10) || toc || chr(10) || chr(10) || 'Generated now' AS readme FROM toc""")
+SELECT conv_id, '# Talk ' || conv_id || chr(10) || chr(10) || '## Metadata' || chr(10) || chr(10) || '- **Content ID:** `c' || conv_id || '`' || chr(10) || '- **Author:** Unknown' || chr(10) || '- **Upload Date:** 2024-01-01' || chr(10)
+ || '- **Source:** https://talks.example/' || conv_id || chr(10) || chr(10) || '## Generated Notes' || chr(10) || chr(10) || '- [📘 Full Structured Notes](content.md)' || chr(10) || '- [📝 Summary Notes](summary.md)' || chr(10) || chr(10)
+ || '## Table of Contents' || chr(10) || chr(10) || toc || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '*This document was automatically generated by notes-engine on now*' || chr(10) AS readme FROM toc""")
 def rendered_readme(spark, sf_dir):
     n = _nodes(spark, sf_dir)
-    meta = n.select("conv_id").distinct().select("conv_id", F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("title"), F.lit(" ").alias("author"), F.lit("2024-01-01").alias("upload_date"), F.lit(None).cast("string").alias("url"))
+    meta = n.select("conv_id").distinct().select("conv_id", F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("title"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("content_id"), F.lit("").alias("author"), F.lit("2024-01-01").alias("upload_date"), F.concat(F.lit("https://talks.example/"), F.col("conv_id").cast("string")).alias("url"))
     return tree.readme(meta, tree.contents(n, ["conv_id"]), ["conv_id"], F.lit("now"))
 
 
-@query(f"""WITH {SECTIONS}, f AS (SELECT conv_id, first(heading ORDER BY pos) FILTER (WHERE level = 1) AS h1 FROM s GROUP BY conv_id),
-t AS (SELECT conv_id, coalesce(h1, 'talk' || conv_id) AS title FROM f)
-SELECT conv_id, sha256('notes/talk' || conv_id || '.md::' || title) AS content_id, title, 'Ada' AS author, '2024-05-06' AS upload_date FROM t""")
+@query(r"""WITH f AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN '> q' || chr(10) || chr(10) || '**Author:** Ada ' || conv_id || chr(10) || '  last updated: 2024-05-0' || (1 + conv_id % 9) || chr(10) || chr(10)
+  WHEN 1 THEN 'by Eve' || chr(10) || '**Author:** Ada' || chr(10) || '**Date:** 2024-05-0' || (1 + conv_id % 9) || chr(10) || 'Published on: 2020-01-01' || chr(10) || chr(10) ELSE '**Author**: Ada' || chr(10) || 'Dates: never' || chr(10) || chr(10) END
+  || string_agg(repeat('#', (1 + (turn * 2) % 3)::INT) || ' ' || role || ' ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS raw FROM conversations GROUP BY conv_id),
+l AS (SELECT conv_id, coalesce(nullif(regexp_extract(raw, '(?m)^\s*#\s+(.+?)\s*$', 1), ''), 'talk' || conv_id) AS title, list_transform(string_split(raw, chr(10)), lambda x: trim(x)) AS lines FROM f)
+SELECT conv_id, sha256('notes/talk' || conv_id || '.md::' || title) AS content_id, title,
+  coalesce(list_filter(list_transform(lines, lambda x: regexp_extract(x, '(?i)^(?:\*\*Author:\*\*\s*|Author:\s*|By\s+)(.+)$', 1)), lambda x: x <> '')[1], '') AS author,
+  coalesce(list_filter(list_transform(lines, lambda x: regexp_extract(x, '(?i)^(?:\*\*Date:\*\*|Date:|Published:|Published on:|Last updated:|Updated:)\s*(.+)$', 1)), lambda x: x <> '')[1], '') AS upload_date FROM l""")
 def markdown_metadata(spark, sf_dir):
-    f = _files(spark, sf_dir).select("conv_id", F.format_string("notes/talk%d.md", "conv_id").alias("path"), F.concat(F.lit("Date: 2024-05-06\n**Author**: Ada\nAuthor: Eve\n\n"), F.col("md")).alias("raw_content"))
+    day = (1 + F.col("conv_id") % 9).cast("string")
+    head = (
+        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("> q\n\n**Author:** Ada "), F.col("conv_id").cast("string"), F.lit("\n  last updated: 2024-05-0"), day, F.lit("\n\n")))
+        .when(F.col("conv_id") % 3 == 1, F.concat(F.lit("by Eve\n**Author:** Ada\n**Date:** 2024-05-0"), day, F.lit("\nPublished on: 2020-01-01\n\n")))
+        .otherwise(F.lit("**Author**: Ada\nDates: never\n\n"))
+    )
+    f = _files(spark, sf_dir).select("conv_id", F.format_string("notes/talk%d.md", "conv_id").alias("path"), F.concat(head, F.col("md")).alias("raw_content"))
     m = markdown.metadata(f)
     return m.select(F.regexp_extract("path", r"talk(\d+)", 1).cast("long").alias("conv_id"), "content_id", "title", "author", "upload_date")
 
@@ -318,17 +366,58 @@ def usage_summary(spark, sf_dir):
     return s.withColumn("cost", F.round("cost", 2)).withColumn("duration_ms", F.round("duration_ms", 1))
 
 
-@query(f"""WITH {CALLS} SELECT string_agg('| ' || dimension || ' | ' || coalesce(value, '') || ' | ' || format('{{:,}}', calls) || ' | ' || format('{{:,}}', total_tokens) || ' | '
-  || CASE WHEN cost IS NULL THEN 'N/A' ELSE '$' || printf('%.6f', cost) END || ' | ' || format('{{:,.1f}}', duration_ms) || ' ms |', chr(10) ORDER BY dimension, coalesce(value, '')) AS report FROM u""")
+# Each user is a run with a report of its own.
+REPORT = """c AS (SELECT user_id, event_id, event_type AS node_name, 'op' || (user_id % 3) AS operation_name, CASE WHEN event_id % 2 = 0 THEN 'OpenAI' ELSE 'nvidia' END AS provider,
+  CASE WHEN event_id % 5 = 0 THEN 'other' ELSE 'GPT-mini' END AS model, round(value, 0) AS ms, coalesce((props->>'$.k')::BIGINT, 0) AS i, event_type <> 'error' AS success FROM events),
+k AS (SELECT *, i % 7 AS o, CASE WHEN model = 'other' THEN NULL ELSE i * 0.5 END AS cost FROM c),
+u AS (SELECT user_id, CASE WHEN grouping(node_name) = 0 THEN 'Node' WHEN grouping(operation_name) = 0 THEN 'Operation' WHEN grouping(provider) = 0 THEN 'Provider' WHEN grouping(model) = 0 THEN 'Model' ELSE 'all' END AS dimension,
+  coalesce(node_name, operation_name, provider, model) AS value, count(*) AS calls, count(*) FILTER (WHERE success) AS ok, count(*) FILTER (WHERE NOT success) AS failed, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o, sum(i + o)::BIGINT AS t,
+  CASE WHEN sum(cost) IS NULL THEN 'N/A' ELSE '$' || printf('%.6f', sum(cost)) END AS cost, sum(ms) AS ms
+  FROM k GROUP BY GROUPING SETS ((user_id, node_name), (user_id, operation_name), (user_id, provider), (user_id, model), (user_id)))"""
+
+
+def _run_calls(spark, sf_dir):
+    tokens = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
+    model = F.when(F.col("event_id") % 5 == 0, "other").otherwise("GPT-mini")
+    return read(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.col("event_type").alias("node_name"), F.concat(F.lit("op"), (F.col("user_id") % 3).cast("string")).alias("operation_name"), F.when(F.col("event_id") % 2 == 0, "OpenAI").otherwise("nvidia").alias("provider"),
+        model.alias("model"), F.round("value", 0).alias("duration_ms"), tokens.alias("input_tokens"), (tokens % 7).alias("output_tokens"), (tokens + tokens % 7).alias("total_tokens"),
+        F.when(model != "other", tokens * 0.5).alias("estimated_cost"), (F.col("event_type") != "error").alias("success"), F.when(F.col("event_type") == "error", "Lost").alias("exception_type"))
+
+
+_TABLES = "".join(f""" || '## Per-{d} Breakdown' || chr(10) || chr(10) || '| {d} | Calls | Success | Failed | Input Tokens | Output Tokens | Total Tokens | Cost | Duration (ms) |' || chr(10) || '|---|---|---|---|---|---|---|---|---|' || chr(10)
+  || (SELECT string_agg('| ' || value || ' | ' || calls || ' | ' || ok || ' | ' || failed || ' | ' || format('{{:,}}', i) || ' | ' || format('{{:,}}', o) || ' | ' || format('{{:,}}', t) || ' | ' || cost || ' | ' || format('{{:,.1f}}', ms) || ' |', chr(10) ORDER BY value)
+      FROM u WHERE dimension = '{d}' AND u.user_id = a.user_id) || chr(10) || chr(10)""" for d in ("Node", "Operation", "Provider", "Model"))
+
+
+@query(f"""WITH {REPORT}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM k)
+SELECT user_id, '# LLM Usage Report' || chr(10) || chr(10) || '_Generated at now_' || chr(10) || chr(10) || '## Pipeline Summary' || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|---|---|' || chr(10) || '| Total Calls | ' || calls || ' |' || chr(10)
+  || '| Successful Calls | ' || ok || ' |' || chr(10) || '| Failed Calls | ' || failed || ' |' || chr(10) || '| Total Input Tokens | ' || format('{{:,}}', i) || ' |' || chr(10) || '| Total Output Tokens | ' || format('{{:,}}', o) || ' |' || chr(10)
+  || '| Total Tokens | ' || format('{{:,}}', t) || ' |' || chr(10) || '| Estimated Total Cost | ' || cost || ' |' || chr(10) || '| Total Duration | ' || format('{{:,.1f}}', ms) || ' ms |' || chr(10) || chr(10) {_TABLES}
+  || '## Individual Calls' || chr(10) || chr(10) || '| # | Node | Operation | Provider | Model | Input | Output | Tokens | Cost | Duration (ms) | Status |' || chr(10) || '|---|---|---|---|---|---|---|---|---|---|---|' || chr(10)
+  || (SELECT string_agg('| ' || pos || ' | ' || node_name || ' | ' || operation_name || ' | ' || provider || ' | `' || model || '` | ' || coalesce(nullif(n.i, 0)::VARCHAR, 'N/A') || ' | ' || coalesce(nullif(n.o, 0)::VARCHAR, 'N/A') || ' | '
+       || coalesce(nullif(n.i + n.o, 0)::VARCHAR, 'N/A') || ' | ' || CASE WHEN n.cost IS NULL THEN 'N/A' ELSE '$' || printf('%.6f', n.cost) END || ' | ' || printf('%.1f', n.ms) || ' | ' || CASE WHEN success THEN '✅' ELSE '❌ `Lost`' END || ' |', chr(10) ORDER BY pos)
+      FROM n WHERE n.user_id = a.user_id) || chr(10) AS report FROM u a WHERE dimension = 'all'""")
 def usage_report(spark, sf_dir):
-    return usage.report(usage.summary(_calls(spark, sf_dir)))
+    return usage.report(_run_calls(spark, sf_dir), ["user_id"], F.lit("now"), order="event_id")
+
+
+@query(f"""WITH {REPORT} SELECT a.user_id, calls::BIGINT AS total_calls, failed::BIGINT AS failed_calls, t AS total_tokens, (SELECT max(calls) FROM u n WHERE n.user_id = a.user_id AND n.dimension = 'Node')::BIGINT AS most_of_a_node,
+  (SELECT count(*) FROM u n WHERE n.user_id = a.user_id AND n.dimension = 'Model')::BIGINT AS models, (SELECT min(event_id) FROM k WHERE k.user_id = a.user_id)::BIGINT AS first_call FROM u a WHERE dimension = 'all'""")
+def usage_json_report(spark, sf_dir):
+    r = usage.json_report(_run_calls(spark, sf_dir), ["user_id"], order="event_id")
+    per = "map<string, struct<calls: bigint, successful: bigint, failed: bigint, total_tokens: bigint, estimated_cost: double>>"
+    x = F.from_json("report", f"struct<calls: array<struct<event_id: bigint>>, summary: struct<total_calls: bigint, failed_calls: bigint, total_tokens: bigint>, per_node: {per}, per_model: {per}>")
+    return r.select("user_id", x.alias("x")).select("user_id", "x.summary.total_calls", "x.summary.failed_calls", "x.summary.total_tokens",
+        F.array_max(F.transform(F.map_values("x.per_node"), lambda v: v["calls"])).alias("most_of_a_node"), F.size("x.per_model").cast("long").alias("models"), F.col("x.calls")[0]["event_id"].alias("first_call"))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN '▶' WHEN 'view' THEN '✔' WHEN 'error' THEN '✖' ELSE '…' END || ' ' || event_type || CASE WHEN event_id % 3 = 0 THEN '' ELSE '  (' || event_id || ' / 9)' END AS line FROM events""")
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN '⟳ stage' WHEN 'view' THEN '✓ stage' WHEN 'error' THEN '✗ stage' || chr(10) || '    ' || event_type ELSE
+  CASE WHEN event_id % 3 = 0 THEN '    ' || event_type ELSE rpad('    ' || event_type || '  (' || event_id || ' / 9)', 48, ' ') END END AS line FROM events""")
 def progress_lines(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "click", "started").when(F.col("event_type") == "view", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
-    return e.select("event_id", usage.progress_line(status, F.col("event_type"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")), F.lit(9)).alias("line"))
+    return e.select("event_id", usage.progress_line(status, F.lit("stage"), F.col("event_type"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")), F.lit(9)).alias("line"))
 
 
 BATCHES = f"""{POINTS}, w AS (SELECT doc_id, point_no, point, length(point)::BIGINT AS weight FROM p),
@@ -401,7 +490,7 @@ def routed_sources(spark, sf_dir):
 
 
 @query("""SELECT c_custkey, c_name AS author, substring(strftime(DATE '2020-01-01' + (c_custkey % 400)::INT, '%Y%m%d'), 1, 4) || '-' || strftime(DATE '2020-01-01' + (c_custkey % 400)::INT, '%m-%d') AS day,
- strftime(DATE '2020-01-01' + (c_custkey % 400)::INT, '%Y-%m-%d') AS parsed, CASE WHEN c_custkey % 3 = 0 THEN 'Unknown' ELSE c_mktsegment END AS segment FROM customer""")
+ strftime(DATE '2020-01-01' + (c_custkey % 400)::INT, '%Y-%m-%d') || 'T00:00:00' AS parsed, CASE WHEN c_custkey % 3 = 0 THEN 'Unknown' ELSE c_mktsegment END AS segment FROM customer""")
 def cleaned_fields(spark, sf_dir):
     c = read(spark, sf_dir, "customer").withColumn("d", F.expr("date_add(date'2020-01-01', cast(c_custkey % 400 as int))"))
     return c.select("c_custkey", T.author_name(F.concat(F.lit(" BY - "), F.col("c_name"))).alias("author"), T.compact_date(F.date_format("d", "yyyyMMdd")).alias("day"),

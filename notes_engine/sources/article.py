@@ -10,10 +10,10 @@ from ..functions import urls as U
 
 # Meta keys in order of preference.
 KEYS = {
-    "title": ["og:title", "twitter:title"],
-    "description": ["description", "og:description", "twitter:description"],
-    "author": ["author", "article:author", "parsely-author"],
-    "upload_date": ["article:published_time", "datepublished", "date", "pubdate"],
+    "title": ["og:title", "twitter:title", "dc.title", "headline"],
+    "description": ["description", "og:description", "twitter:description", "dc.description"],
+    "author": ["author", "article:author", "og:author", "parsely-author", "dc.creator", "dc.creator.author", "dc.contributor", "byl", "byline"],
+    "upload_date": ["article:published_time", "article:modified_time", "publish_date", "publication_date", "date", "dc.date", "dc.date.issued", "pubdate"],
 }
 _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
@@ -39,8 +39,9 @@ def meta_tags(html: Column) -> Column:
 
 
 def canonical_link(html: Column) -> Column:
-    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']canonical[\"']"))
-    return F.nullif(F.regexp_extract(F.get(links, F.lit(0)), r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
+    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: t.rlike(r"(?is)\brel\s*=\s*(?:[\"'](?:[^\"']*\s)?canonical(?:\s[^\"']*)?[\"']|canonical[\s/>])"))
+    there = F.filter(F.transform(links, lambda t: unescape(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1))), lambda x: x != "")
+    return T.strip(F.get(there, F.lit(0)))
 
 
 def resolved(pairs: list[tuple[str, Column]], default: str) -> tuple[Column, Column]:
@@ -57,7 +58,7 @@ def metadata(pages: DataFrame, key: str) -> DataFrame:
     m = pages.withColumn("_m", meta_tags(F.col("html")))
     pick = lambda field: F.coalesce(*[F.get(F.array(F.try_element_at("_m", F.lit(k))), F.lit(0)) for k in KEYS[field]])
     title, source = resolved([("meta", pick("title")), ("html", html_title(F.col("html")))], "Untitled Article")
-    url = U.canonical(F.coalesce(canonical_link(F.col("html")), F.col("url")))
+    url = U.canonical(F.coalesce(U.resolved(F.col("url"), canonical_link(F.col("html"))), F.col("url")))
     return m.select(
         key, F.substring(F.sha2(url, 256), 1, 16).alias("content_id"), url.alias("url"), title.alias("title"), source.alias("title_source"),
         T.squeeze(F.coalesce(pick("description"), F.lit(""))).alias("description"), T.author_name(F.coalesce(pick("author"), F.lit(""))).alias("author"),

