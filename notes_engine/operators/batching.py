@@ -15,7 +15,7 @@ def batch_count(tokens: Column, nodes: Column, budget: int, overhead: int) -> Co
     return F.greatest(F.lit(1), F.ceil((tokens + nodes * overhead) / budget)).cast("long")
 
 
-def batches(payloads: DataFrame, keys: list[str], weight: str, parts: int, order: str = "ord") -> DataFrame:
+def batches(payloads: DataFrame, keys: list[str], weight: str, parts: int | Column, order: str = "ord") -> DataFrame:
     """Payloads with batch_id and temp_id N1, N2, ... in each batch; numbers of empty batches are not used."""
     cut = equal_weight(payloads, keys, [order], weight, parts, "batch_no")
     within = Window.partitionBy(*keys, "batch_no").orderBy(order)
@@ -23,10 +23,31 @@ def batches(payloads: DataFrame, keys: list[str], weight: str, parts: int, order
     return named.withColumn("batch_id", F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.col("batch_no").cast("string")))
 
 
-def batch_input(batched: DataFrame, *fields: str) -> DataFrame:
-    """batch_id, input: the payloads of a batch as JSON, in order."""
+def batch_input(batched: DataFrame, *fields: str | Column, keys: list[str] | None = None) -> DataFrame:
+    """keys, batch_id, input, n: the payloads of a batch as JSON, in order, and their number."""
     row = F.struct("ord", F.struct(F.col("temp_id").alias("id"), *fields).alias("item"))
-    return batched.groupBy("batch_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["item"])).alias("input"))
+    items = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["item"])
+    return batched.groupBy(*(keys or []), "batch_id").agg(F.to_json(items).alias("input"), F.count(F.lit(1)).alias("n"))
+
+
+def points_length(points: Column) -> Column:
+    """Characters of all points of a payload."""
+    return F.aggregate(points, F.lit(0).cast("long"), lambda n, p: n + F.length(p))
+
+
+def content_length(payloads: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
+    """Payloads with the length of their node's content; ``without_content`` names those that have none."""
+    return payloads.join(store.select(*keys, "node_id", F.length("content").alias("content_length")), [*keys, "node_id"])
+
+
+def without_content(payloads: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
+    """Payloads whose node is not in the store: errors."""
+    return payloads.join(store.select(*keys, "node_id"), [*keys, "node_id"], "left_anti")
+
+
+def ending_within(payloads: DataFrame, first: int, last: int) -> DataFrame:
+    """Payloads whose end point is in a range, both ends included."""
+    return payloads.where(F.col("end").between(first, last))
 
 
 def checked(expected: DataFrame, returned: DataFrame) -> DataFrame:

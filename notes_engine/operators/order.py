@@ -42,11 +42,11 @@ def read_points(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     return lines.withColumn("right", right).select(*keys, "point_no", "point", F.bool_and("right").over(by).alias("valid"))
 
 
-def equal_weight(df: DataFrame, keys: list[str], order: list[str], weight: str, parts: int, out: str = "batch") -> DataFrame:
-    """Contiguous parts of near-equal weight: 1 to ``parts``, some perhaps empty."""
-    w = F.col(weight).cast("long")
+def equal_weight(df: DataFrame, keys: list[str], order: list[str], weight: str, parts: int | Column, out: str = "batch") -> DataFrame:
+    """Contiguous parts of near-equal weight: 1 to ``parts`` (a number, or a column that is the same in all rows of a source), some perhaps empty."""
+    w, parts = F.col(weight).cast("long"), parts.cast("long") if isinstance(parts, Column) else F.lit(parts).cast("long")
     before, total = F.coalesce(F.sum(w).over(_before(keys, *order)), F.lit(0)), F.sum(w).over(Window.partitionBy(*keys))
-    return df.withColumn(out, F.when(total == 0, parts).otherwise(F.least(F.lit(parts), F.floor(before * parts / total) + 1)).cast("int"))
+    return df.withColumn(out, F.when(total == 0, parts).otherwise(F.least(parts, F.call_function("div", before * parts, F.nullif(total, F.lit(0))) + 1)).cast("int"))
 
 
 def fill_gaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", tie: str = "node_pos") -> DataFrame:

@@ -42,29 +42,100 @@ def with_parents(sections: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("parent_pos", parent.cast("int")).withColumn("path", path).drop(*last and [f"_a{k}" for k in last])
 
 
+DEEPEST = 64  # levels of nested JSON
+
+
+def unfold(doc: Column, root: str, child: str, deepest: int = DEEPEST) -> Column:
+    """Array of (ord, v) of all nodes of a nested variant: ``ord`` holds the places from the root down, ``v`` the node.
+
+    The nodes of a level are unfolded from those above it within the row, so a
+    source with many nodes needs no recursive query.  Levels below ``deepest``
+    show as nodes with a null ``v``.
+    """
+    none = F.array().cast("array<struct<ord: array<int>, v: variant>>")
+    kids = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    below = lambda ord, items: F.transform(items, lambda v, i: F.struct(F.concat(ord, F.array(i)).alias("ord"), v.alias("v")))
+    start = F.struct(none.alias("done"), below(F.array().cast("array<int>"), kids(doc, root)).alias("now"))
+    step = lambda s, _: F.when(F.size(s["now"]) == 0, s).otherwise(F.struct(F.concat(s["done"], s["now"]).alias("done"), F.flatten(F.transform(s["now"], lambda n: below(n["ord"], kids(n["v"], child)))).alias("now")))
+    deeper = lambda s: F.transform(s["now"], lambda n: F.struct(n["ord"].alias("ord"), F.lit(None).cast("variant").alias("v")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(deepest)), start, step, lambda s: F.concat(s["done"], deeper(s)))
+
+
+def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Unfolded rows (keys, ord, v) with node_pos, parent_pos, child_ord and depth."""
+    rows = rows.withColumn("node_pos", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")))
+    up = rows.select(*keys, F.col("ord").alias("_up"), F.col("node_pos").alias("parent_pos"))
+    above = F.slice("ord", F.lit(1), F.size("ord") - 1)
+    return rows.withColumn("_up", above).join(up, [*keys, "_up"], "left").withColumns({
+        "parent_pos": F.coalesce("parent_pos", F.lit(0)), "child_ord": F.element_at("ord", -1) + 1, "depth": F.size("ord") - 1}).drop("_up")
+
+
 def topic_nodes(df: DataFrame, keys: list[str], hierarchy: str) -> DataFrame:
     """keys, node_pos, parent_pos, child_ord, depth, name, start_point, end_point, is_content of nested JSON.
 
     ``hierarchy`` holds {"hierarchy": [{name, start_point, end_point, children}]};
-    nodes without children are content.  Levels are unfolded by one recursive query.
+    nodes without children are content.  Text that is no JSON gives no nodes
+    (``hierarchy_problem`` names it).
+    """
+    nodes = F.explode(unfold(F.try_parse_json(F.col(hierarchy)), "$.hierarchy", "$.children")).alias("n")
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    inner = F.coalesce(F.size(get("$.children", "array<variant>")), F.lit(0)) > 0
+    rows = df.select(*keys, nodes).select(*keys, "n.ord", "n.v")
+    rows = rows.select(*keys, "ord", get("$.name", "string").alias("name"), get("$.start_point", "int").alias("start_point"), get("$.end_point", "int").alias("end_point"), (~inner).alias("is_content"))
+    return _placed(rows, keys).select(*keys, "node_pos", "parent_pos", "child_ord", "depth", "name", "start_point", "end_point", "is_content")
+
+
+def hierarchy_problem(hierarchy: Column) -> Column:
+    """Why stored hierarchy JSON cannot be read, or null: no JSON, no list, or a node without name, start or end or with bad children."""
+    doc = F.try_parse_json(hierarchy)
+    get = lambda n, path, kind: F.try_variant_get(n["v"], path, kind)
+    kind = lambda n: F.schema_of_variant(F.try_variant_get(n["v"], "$.children", "variant"))
+    bad = lambda n: get(n, "$.name", "string").isNull() | get(n, "$.start_point", "int").isNull() | get(n, "$.end_point", "int").isNull() | ~F.coalesce(kind(n), F.lit("ARRAY<VOID>")).startswith("ARRAY")
+    return F.when(doc.isNull(), "no JSON").when(F.try_variant_get(doc, "$.hierarchy", "array<variant>").isNull(), "no hierarchy").when(F.exists(unfold(doc, "$.hierarchy", "$.children"), bad), "malformed node")
+
+
+def stored_nodes(df: DataFrame, keys: list[str], nodes: str) -> DataFrame:
+    """keys, node_pos, parent_pos, child_ord, depth, kind, name, node_id, problem of stored node trees.
+
+    ``nodes`` holds a list of {"type": "topic", "name", "subtopics": [...]} and
+    {"type": "content", "id"}; another type, a topic without a name or content
+    without an id is a problem of that node.
+    """
+    each = F.explode(unfold(F.try_parse_json(F.col(nodes)), "$", "$.subtopics")).alias("n")
+    get = lambda path: F.try_variant_get("v", path, "string")
+    rows = df.select(*keys, each).select(*keys, "n.ord", "n.v").select(*keys, "ord", get("$.type").alias("kind"), get("$.name").alias("name"), get("$.id").alias("node_id"))
+    problem = F.when(~F.coalesce(F.col("kind").isin("topic", "content"), F.lit(False)), F.concat(F.lit("Unknown node type in JSON: "), F.coalesce("kind", F.lit("None"))))
+    problem = problem.when((F.col("kind") == "topic") & F.col("name").isNull() | (F.col("kind") == "content") & F.col("node_id").isNull(), "Malformed node")
+    return _placed(rows.withColumn("problem", problem), keys).select(*keys, "node_pos", "parent_pos", "child_ord", "depth", "kind", "name", "node_id", "problem")
+
+
+def nodes_json(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, nodes: node trees (node_pos, depth, kind, name, node_id) as the nested JSON that ``stored_nodes`` reads.
+
+    Each node's text opens it; the closings that the next node's depth asks for follow.
+    """
+    w = Window.partitionBy(*keys).orderBy("node_pos")
+    text = F.when(F.col("kind") == "topic", F.concat(F.lit('{"type":"topic","name":'), F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(',"subtopics":['))).otherwise(
+        F.concat(F.lit('{"type":"content","id":'), F.to_json(F.array("node_id")).substr(F.lit(2), F.length(F.to_json(F.array("node_id"))) - 2), F.lit("}")))
+    after = F.coalesce(F.lead("depth").over(w), F.lit(0))
+    open_now = F.col("depth") + F.when(F.col("kind") == "topic", 1).otherwise(0)
+    last = F.lead("depth").over(w).isNull()
+    comma = F.when(last | (after > F.col("depth")), "").otherwise(",")
+    piece = F.concat(text, F.repeat(F.lit("]}"), F.greatest(open_now - after, F.lit(0)).cast("int")), comma)
+    ordered = F.array_sort(F.collect_list(F.struct("node_pos", "piece")))
+    return nodes.withColumn("piece", piece).groupBy(*keys).agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["piece"]), ""), F.lit("]")).alias("nodes"))
+
+
+def markdown_payloads(sections: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ord, node_id, hierarchy_path, start, end, points, content of the text below the headings of markdown files.
+
+    ``sections``: pos, path and content of ``with_parents``.  Each block of text is
+    a content node; they are numbered in order from 0, and each is a range of its
+    own number alone, without points.
     """
-    spark = df.sparkSession
-    view = f"_hierarchy_{abs(hash((tuple(keys), hierarchy)))}"
-    df.select(*keys, F.try_parse_json(F.col(hierarchy)).alias("doc")).createOrReplaceTempView(view)
-    k = ", ".join(keys)
-    rows = spark.sql(f"""
-        WITH RECURSIVE n AS (
-          SELECT {k}, array(pos) AS ord, array() :: array<int> AS up, 0 AS depth, value AS v FROM {view}, LATERAL variant_explode(variant_get(doc, '$.hierarchy', 'variant'))
-          UNION ALL
-          SELECT {k}, ord || array(c.pos), ord, depth + 1, c.value FROM n, LATERAL variant_explode(try_variant_get(n.v, '$.children', 'variant')) AS c)
-        SELECT {k}, ord, up, depth, try_variant_get(v, '$.name', 'string') AS name, try_variant_get(v, '$.start_point', 'int') AS start_point,
-               try_variant_get(v, '$.end_point', 'int') AS end_point FROM n""")
-    by = Window.partitionBy(*keys).orderBy("ord")
-    rows = rows.withColumn("node_pos", F.row_number().over(by))
-    up = rows.select(*keys, F.col("ord").alias("up"), F.col("node_pos").alias("parent_pos"))
-    kids = rows.select(*keys, F.col("up").alias("ord")).distinct().withColumn("inner", F.lit(True))
-    out = rows.join(up, [*keys, "up"], "left").join(kids, [*keys, "ord"], "left")
-    return out.select(*keys, "node_pos", F.coalesce("parent_pos", F.lit(0)).alias("parent_pos"), (F.element_at("ord", -1) + 1).alias("child_ord"), "depth", "name", "start_point", "end_point", F.col("inner").isNull().alias("is_content"))
+    leaf = sections.where(T.strip(F.col("content")) != "").withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1)
+    return leaf.select(*keys, "ord", T.node_uuid(*[F.col(k) for k in keys], F.col("pos")).alias("node_id"), F.col("path").alias("hierarchy_path"), F.col("ord").alias("start"), F.col("ord").alias("end"),
+                       F.array().cast("array<string>").alias("points"), "content")
 
 
 def render(nodes: DataFrame, keys: list[str], title: str, content: str = "content", out: str = "document") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -22,16 +23,20 @@ def provider(name: str):
     return add
 
 
-def model(name: str, which: str = "") -> Model:
+def factory(name: str) -> Callable[[str], Model]:
     if name.lower() not in _MODELS:
         raise ValueError(f"unknown provider {name!r}")
-    return _MODELS[name.lower()](which)
+    return _MODELS[name.lower()]
+
+
+def model(name: str, which: str = "") -> Model:
+    return factory(name)(which)
 
 
 @provider("extractive")
 def _extractive(_which: str) -> Model:
     """The first sentence of a text."""
-    return lambda prompt: (prompt.strip().split(". ")[0].strip()[:500]) if prompt else ""
+    return lambda prompt: prompt.strip().split(". ")[0].strip() if prompt else ""
 
 
 @provider("bullets")
@@ -40,6 +45,16 @@ def _bullets(_which: str) -> Model:
     return lambda prompt: "\n".join(f"- {s.strip()}" for s in prompt.split(". ") if s.strip()) if prompt else ""
 
 
+def _batch(field: str, text: Callable[[dict], str]) -> Callable[[str], Model]:
+    """A model of batches: JSON payloads in, JSON items out."""
+    return lambda _which: lambda prompt: json.dumps({"items": [{"id": x["id"], field: text(x)} for x in json.loads(prompt)]})
+
+
+#: Points as a list, and the first line of structured content without its mark.
+provider("outline")(_batch("markdown", lambda x: "\n".join(f"- {p.strip()}" for p in x.get("content_points_list", []))))
+provider("digest")(_batch("summary", lambda x: x.get("structured_content", "").split("\n")[0].removeprefix("- ").strip()))
+
+
 def call(df: DataFrame, prompt: str, out: str, provider_name: str, which: str = "", attempts: int = 1, retry: Callable[[Exception], bool] | None = None) -> DataFrame:
     """``df`` with the answer to each prompt and a record of the call; write the result before using it twice."""
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
@@ -56,7 +71,7 @@ def call(df: DataFrame, prompt: str, out: str, provider_name: str, which: str =
                 if k + 1 == attempts or not may(e):
                     return None, round((time.monotonic_ns() - began) / 1e6, 2), False, type(e).__name__
 
-    make = _MODELS[provider_name.lower()] if provider_name.lower() in _MODELS else model(provider_name)
+    make = factory(provider_name)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = make(which)

@@ -254,10 +254,21 @@ def article_meta_tags(spark, sf_dir):
     return article.metadata(read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), "page_id").select("page_id", "url", "content_id", "title", "title_source", "description", "author", "upload_date")
 
 
-@query()
+WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\s\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+_PLAIN = "replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
+
+
+@query(rf"""WITH a AS (SELECT page_id, regexp_extract(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1) AS a FROM pages),
+b AS (SELECT page_id, regexp_extract(a, '(?is)<h1[^>]*>\s*(.*?)\s*</h1>', 1) AS h, regexp_replace(regexp_replace(a, '(?is)<h1[^>]*>.*?</h1>', '', 'g'), '(?is)<b\b[^>]*>(.*?)</b>', '**\1**', 'g') AS c FROM a),
+t AS (SELECT page_id, {_PLAIN.format("regexp_replace(h, '<[^>]*>', '', 'g')")} AS heading,
+  {_PLAIN.format(r"regexp_replace(regexp_replace(regexp_replace(c, '(?is)<br\s*/?>', chr(10), 'g'), '(?is)</?(?:p|ul|ol|table|tr|blockquote|div|section)\b[^>]*>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g')")} AS c FROM b),
+n AS (SELECT page_id, trim(heading) AS heading, trim(regexp_replace(regexp_replace(c, '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) AS content FROM t)
+SELECT page_id, 1 AS pos, 0 AS chapter_idx, heading, 1 AS level, content, '# ' || heading AS title, '00:00:00' AS display, len(regexp_extract_all('# ' || heading || ' ' || content, '{WORD}'))::BIGINT AS tokens FROM n WHERE content <> ''""")
 def article_sections(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", article.as_markdown(F.col("html")).alias("md"))
-    return tree.with_parents(tree.heading_sections(p, ["page_id"], "md"), ["page_id"])
+    s = article.markdown_sections(p, ["page_id"], "md")
+    c = article.section_chapters(s, ["page_id"]).withColumn("pos", F.col("chapter_idx") + 1)
+    return s.join(c, ["page_id", "pos"]).select("page_id", "pos", "chapter_idx", "heading", "level", "content", "title", "display", "tokens")
 
 
 # A markdown file of each conversation: headings of levels 1 to 3, text below.
@@ -497,7 +508,10 @@ def cleaned_fields(spark, sf_dir):
                     T.iso_date(F.date_format("d", "MMMM d, yyyy")).alias("parsed"), T.or_default(F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_mktsegment")), "Unknown").alias("segment"))
 
 
-@query()
+@query(f"""WITH {SEGMENTS}, w AS (SELECT conv_id, chapter_idx, p, k FROM (SELECT conv_id, chapter_idx, unnest(list_filter(string_split(transcript, '. '), lambda x: trim(x) <> '')) AS p, generate_subscripts(list_filter(string_split(transcript, '. '), lambda x: trim(x) <> ''), 1) AS k FROM seg)),
+l AS (SELECT conv_id, chapter_idx, string_agg(k || '. ' || trim(regexp_replace(regexp_replace(p, '[ ]*\\n[ \\n]*', ' ', 'g'), '[ ]+', ' ', 'g')), chr(10) ORDER BY k) AS body FROM w GROUP BY ALL)
+SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## Chapter ' || (c.chapter_idx + 1) || CASE WHEN body IS NULL THEN '' ELSE chr(10) || chr(10) || body END, chr(10) || chr(10) ORDER BY c.chapter_idx) || chr(10) AS document
+FROM c LEFT JOIN l USING (conv_id, chapter_idx) GROUP BY conv_id""")
 def full_pipeline(spark, sf_dir):
     from .plans import notes
 
@@ -540,3 +554,107 @@ def hourly_progress(spark, sf_dir):
 
     p = read(spark, sf_dir, "events").select("ts", F.col("event_type").alias("status"))
     return ingest.per_window(p).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "status", "events")
+
+
+# Turns as content nodes, their sentences as points.
+def _turn_payloads(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    node = T.node_uuid(F.col("conv_id"), F.col("turn"))
+    return c.select("conv_id", F.col("turn").alias("ord"), node.alias("node_id"), F.array(F.col("role")).alias("hierarchy_path"), F.col("turn").alias("start"), F.col("turn").alias("end"), F.split("text", r"\. ").alias("points"))
+
+
+NODE = "(SELECT substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || substring(h, 13, 4) || '-' || substring(h, 17, 4) || '-' || substring(h, 21, 12) FROM (SELECT sha256(conv_id || '|' || turn) AS h))"
+FIRST = "trim(string_split(trim(string_split(text, '. ')[1]), chr(10))[1])"
+
+
+@query(f"""SELECT conv_id, {NODE} AS node_id, array_to_string(list_transform(string_split(text, '. '), lambda p: '- ' || trim(p)), chr(10)) AS content, {FIRST} AS summary, 'ok' AS status FROM conversations""")
+def structured_notes(spark, sf_dir):
+    """Content and summaries of all nodes by the default models, in batches, with the state of each source."""
+    from .plans import generate
+    from .scratch import kept
+
+    p = _turn_payloads(spark, sf_dir)
+    store, _ = generate.content(p, ["conv_id"])
+    store = kept(store, "content")
+    out, state = generate.summaries(p, store, ["conv_id"])
+    return store.join(out, ["conv_id", "node_id"]).join(state, "conv_id").select("conv_id", "node_id", "content", "summary", "status")
+
+
+@query("""SELECT conv_id, (2 * turn + 1)::INT AS node_pos, 0 AS parent_pos, 0 AS depth, 'topic' AS kind, role || ' "' || turn AS name, NULL AS node_id, NULL AS problem FROM conversations
+UNION ALL SELECT conv_id, (2 * turn + 2)::INT, (2 * turn + 1)::INT, 1, CASE WHEN turn = 3 THEN 'list' ELSE 'content' END, NULL, 'n' || turn, CASE WHEN turn = 3 THEN 'Unknown node type in JSON: list' END FROM conversations""")
+def stored_trees(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    turn = F.col("turn").cast("string")
+    topic = c.select("conv_id", (2 * F.col("turn") + 1).alias("node_pos"), F.lit(0).alias("depth"), F.lit("topic").alias("kind"), F.concat("role", F.lit(' "'), turn).alias("name"), F.lit(None).cast("string").alias("node_id"))
+    leaf = c.select("conv_id", (2 * F.col("turn") + 2).alias("node_pos"), F.lit(1).alias("depth"), F.lit("content").alias("kind"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("n"), turn).alias("node_id"))
+    doc = tree.nodes_json(topic.unionByName(leaf), ["conv_id"])
+    broken = doc.withColumn("nodes", F.replace("nodes", F.lit('"content","id":"n3"'), F.lit('"list","id":"n3"')))
+    return tree.stored_nodes(broken, ["conv_id"], "nodes").drop("child_ord")
+
+
+@query("""WITH p AS (SELECT conv_id, turn, (turn % 3)::INT AS part_idx, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS n FROM conversations),
+d AS (SELECT conv_id, string_agg(id, ', ' ORDER BY id) AS ids FROM (SELECT conv_id, 'n' || (turn // (2 + conv_id % 2)) AS id FROM p GROUP BY ALL HAVING count(DISTINCT part_idx) > 1) GROUP BY conv_id)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part_idx, n)::INT AS node_pos, CASE WHEN n = 1 THEN 0 ELSE row_number() OVER (PARTITION BY conv_id ORDER BY part_idx, n) - n + 1 END::INT AS parent_pos, turn::BIGINT AS turn,
+  'Duplicate CONTENT UUIDs detected while merging transcript parts: ' || ids AS problem FROM p LEFT JOIN d USING (conv_id)""")
+def merged_parts(spark, sf_dir):
+    from .operators import merge
+
+    c = read(spark, sf_dir, "conversations").withColumn("part_idx", (F.col("turn") % 3).cast("int"))
+    n = F.row_number().over(Window.partitionBy("conv_id", "part_idx").orderBy("turn"))
+    nodes = c.select("conv_id", "part_idx", n.alias("node_pos"), F.when(n == 1, 0).otherwise(1).alias("parent_pos"), "turn")
+    _, problems = merge.stores(c.select("conv_id", "part_idx", F.concat(F.lit("n"), F.floor(F.col("turn") / (2 + F.col("conv_id") % 2)).cast("string")).alias("node_id")), ["conv_id"])
+    return merge.hierarchies(nodes, ["conv_id"]).join(problems, "conv_id", "left").select("conv_id", "node_pos", "parent_pos", "turn", "problem")
+
+
+@query(f"""WITH {SECTIONS}, x AS (SELECT s.*, up.parent_pos FROM s JOIN up USING (conv_id, pos)),
+c AS (SELECT a.conv_id, a.pos, a.content, array_to_string(list_filter([g.heading, p.heading, a.heading], lambda h: h IS NOT NULL), ' > ') AS path FROM x a LEFT JOIN x p ON p.conv_id = a.conv_id AND p.pos = a.parent_pos LEFT JOIN x g ON g.conv_id = a.conv_id AND g.pos = p.parent_pos)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1)::INT AS start, (row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1)::INT AS "end", path, content FROM c WHERE content <> ''""")
+def markdown_payloads(spark, sf_dir):
+    s = tree.with_parents(tree.heading_sections(_files(spark, sf_dir), ["conv_id"], "md"), ["conv_id"])
+    return tree.markdown_payloads(s, ["conv_id"]).select("conv_id", "start", "end", F.array_join("hierarchy_path", " > ").alias("path"), "content")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 2 = 0 THEN turn * 1000 + 59 ELSE turn * 60 END AS sec FROM conversations WHERE conv_id % 2 = 1 OR turn % 3 <> 1)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS chapter_idx, role AS title, sec::INT AS timestamp_seconds, printf('%02d:%02d:%02d', sec // 3600, sec % 3600 // 60, sec % 60) AS display FROM t""")
+def source_chapters(spark, sf_dir):
+    """Chapters of the info record where it has some, else those of the description."""
+    c = read(spark, sf_dir, "conversations")
+    start = F.when(F.col("turn") % 3 == 1, F.lit("soon")).otherwise(F.concat((F.col("turn") * 1000 + 59).cast("string"), F.lit(".9")))
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.format_string("%02d:00 %s", "turn", "role").alias("line"), F.struct(F.concat(F.lit(" "), "role").alias("title"), start.alias("start_time")).alias("chapter"))))
+    one = c.groupBy("conv_id").agg(rows.alias("r"))
+    info = F.when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(F.transform("r", lambda x: x["chapter"]).alias("chapters")))).otherwise('{"chapters": []}')
+    return video.chapters(one.select("conv_id", info.alias("info"), F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("description")), "conv_id", "info", "description")
+
+
+@query("""WITH a AS (SELECT page_id, k AS attempt, CASE (page_id + k) % 5 WHEN 0 THEN 200 WHEN 1 THEN 503 WHEN 2 THEN 404 WHEN 3 THEN NULL ELSE 200 END AS status, CASE WHEN (page_id + k) % 5 = 3 THEN 'timeout' END AS error,
+  CASE WHEN page_id % 4 = 0 THEN 'text/plain' ELSE 'text/html; charset=utf-8' END AS kind, html FROM pages, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT page_id, min(attempt) AS attempt FROM a WHERE attempt <= 3 AND (attempt = 3 OR NOT (coalesce(status, 0) = 503 OR error IS NOT NULL)) GROUP BY page_id),
+p AS (SELECT page_id, attempt, html, CASE WHEN error = 'timeout' THEN 'Timed out while downloading article.' WHEN status <> 200 THEN 'HTTP ' || status || ' while downloading article.' WHEN kind = 'text/plain' THEN 'Unsupported content type: ''text/plain''.' END AS problem FROM f JOIN a USING (page_id, attempt))
+SELECT page_id, attempt::INT AS attempts, (2 ** (attempt - 1) - 1)::BIGINT AS waited, problem, CASE WHEN problem IS NULL THEN sha256(html) END AS body_hash FROM p""")
+def fetched_pages(spark, sf_dir):
+    from .sources import fetched
+
+    k, n = F.col("attempt"), F.col("page_id") + F.col("attempt")
+    status = F.when(n % 5 == 1, 503).when(n % 5 == 2, 404).when(n % 5 == 3, None).otherwise(200)
+    a = read(spark, sf_dir, "pages").select("page_id", "html", F.explode(F.array(*map(F.lit, [1, 2, 3, 4]))).alias("attempt"))
+    a = a.select(F.col("page_id").cast("string").alias("url"), k, status.alias("status"), F.when(F.col("page_id") % 4 == 0, "text/plain").otherwise("text/html; charset=utf-8").alias("content_type"), F.col("html").alias("body"), F.when(n % 5 == 3, "timeout").alias("error"))
+    return fetched.outcomes(a).select(F.col("url").cast("long").alias("page_id"), "attempts", "waited", "problem", F.sha2("body", 256).alias("body_hash"))
+
+
+@query("""SELECT conv_id, CASE WHEN n % 4 = 0 THEN 'invalid_transcript_breakdown' WHEN n % 3 = 0 THEN 'hierarchy_validation_failed' ELSE 'go on' END AS state, CASE WHEN n % 4 = 0 THEN
+  'Unable to split the transcript into valid parts. One or more transcript parts still exceed the configured maximum token limit. Please choose additional breakpoints or reduce the maximum token limit.'
+  WHEN n % 3 = 0 THEN 'Hierarchy validation failed: found 0 CONTENT node(s). At least one CONTENT node is required.' END AS error_message FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)""")
+def ended_sources(spark, sf_dir):
+    from .plans import routing
+
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    s = c.select("conv_id", (F.col("n") % 4).cast("int").alias("total_parts"), (F.col("n") % 3).cast("int").alias("content_nodes"), F.lit(None).cast("string").alias("error"))
+    first, then = routing.after_breakpoints(F.col("total_parts")), routing.after_validation(F.col("content_nodes"))
+    state = F.when(first == "invalid_transcript_breakdown", first).when(then == "hierarchy_validation_failed", then).otherwise("go on")
+    return s.withColumn("state", state).join(routing.ended(s).select("conv_id", "error_message"), "conv_id", "left").select("conv_id", "state", "error_message")
+
+
+@query(f"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS tokens, greatest(1, ceil(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) / 6000.0))::BIGINT AS chunks FROM documents""")
+def token_counts(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("tokens", T.token_estimate(F.col("text")))
+    return d.select("doc_id", "tokens", T.chunk_count(F.col("tokens"), 6000).alias("chunks"))

@@ -23,10 +23,18 @@ def description_chapters(df: DataFrame, key: str, description: str) -> DataFrame
 
 
 def info_chapters(info: Column) -> Column:
-    """Array of (title, timestamp_seconds) from an info record's chapters; bad entries are skipped."""
+    """Array of (title, timestamp_seconds, display) from an info record's chapters; entries without a time or a title are skipped, blank titles are not."""
     found = F.from_json(info, "struct<chapters: array<struct<title: string, start_time: string>>>")["chapters"]
-    parsed = F.transform(found, lambda c: F.struct(T.strip(c["title"]).alias("title"), c["start_time"].try_cast("double").cast("int").alias("timestamp_seconds")))
-    return F.filter(parsed, lambda c: c["timestamp_seconds"].isNotNull() & (F.coalesce(c["title"], F.lit("")) != ""))
+    seconds = lambda c: c["start_time"].try_cast("double").cast("int")
+    parsed = F.transform(found, lambda c: F.struct(T.strip(c["title"]).alias("title"), seconds(c).alias("timestamp_seconds"), T.hms(seconds(c)).alias("display")))
+    return F.coalesce(F.filter(parsed, lambda c: c["timestamp_seconds"].isNotNull() & c["title"].isNotNull()), F.array().cast("array<struct<title: string, timestamp_seconds: int, display: string>>"))
+
+
+def chapters(df: DataFrame, key: str, info: str, description: str) -> DataFrame:
+    """key, chapter_idx, title, timestamp_seconds, display: those of the info record, or where it has none those of the description."""
+    native = df.select(key, info_chapters(F.col(info)).alias("c"))
+    own = native.select(key, F.posexplode("c").alias("chapter_idx", "c")).select(key, "chapter_idx", "c.title", "c.timestamp_seconds", "c.display")
+    return own.unionByName(description_chapters(df.where(F.size(info_chapters(F.col(info))) == 0), key, description))
 
 
 def mode(chapters: DataFrame, key: str, limit: int) -> DataFrame:
