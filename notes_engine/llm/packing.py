@@ -142,7 +142,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer = RunIds(path, ENTRIES), _Packer(TaskContext.get().partitionId() << 36, capacity, group, piece, slack)
+        ids, packer = RunIds.of_process(path, ENTRIES), _Packer(TaskContext.get().partitionId() << 36, capacity, group, piece, slack)
         for batch in byte_bounded(batches, "text"):
             for doc_id, got in zip(batch.column(0).to_pylist(), ids.of(batch.column(1).to_pylist(), end), strict=True):
                 packer.add(doc_id, got)

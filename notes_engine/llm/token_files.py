@@ -164,7 +164,7 @@ class Block:
 
 def _writer(path: str, end: int, width: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part = RunIds(path), TaskContext.get().partitionId()
+        ids, part = RunIds.of_process(path), TaskContext.get().partitionId()
         docs, got, held, before = [], [], 0, 0
 
         def block() -> pa.RecordBatch:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+import types
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -21,12 +23,18 @@ def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-class RunIds:
+def worker_state(name: tuple) -> dict:
+    """What this Python process keeps from task to task under a name."""
+    kept = sys.modules.setdefault("_notes_engine_worker", types.ModuleType("_notes_engine_worker")).__dict__
+    return kept.setdefault(name, {})
+
+
+class RunIds(dict):
     """Ids of texts as little-endian unsigned 32-bit integers; bounded memory.
 
-    A run of letters with ASCII punctuation after it is split there, as the
-    tokenizer splits it, and A-Z of the letters are put in lower case, as the
-    tokenizer does; other runs are encoded as they are.
+    Maps a run to its ids.  A run of letters with ASCII punctuation after it is
+    split there, as the tokenizer splits it, and A-Z of the letters are put in
+    lower case, as the tokenizer does; other runs are encoded as they are.
     """
 
     def __init__(self, path: str, entries: int = 400_000):
@@ -34,42 +42,47 @@ class RunIds:
         from tokenizers import Tokenizer
 
         self.tok, self.entries = Tokenizer.from_file(path), entries
-        self.runs: dict[bytes, bytes] = {}
-        self.cores: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}  # lately met, and before
+        self.model = self.tok.model
+        self.young, self.old = {}, {}  # ids of runs without punctuation, lately met and before
+
+    @classmethod
+    def of_process(cls, path: str, entries: int = 400_000) -> RunIds:
+        """The one that this Python process keeps from task to task."""
+        kept = worker_state(("run ids", path, entries))
+        if "ids" not in kept:
+            kept["ids"] = cls(path, entries)
+        return kept["ids"]
 
     def _core(self, core: bytes) -> bytes:
-        young, old = self.cores
-        got = young.get(core)
+        got = self.young.get(core)
         if got is None:
-            got = old.get(core)
+            got = self.old.get(core)
             if got is None:
-                ids = self.tok.encode(core.decode("utf-8", "replace"), add_special_tokens=False).ids
+                if core.isalpha():  # letters a-z alone: one piece, which neither the normalizer nor the splits change
+                    ids = [t.id for t in self.model.tokenize(core.decode())]
+                else:
+                    ids = self.tok.encode(core.decode("utf-8", "replace"), add_special_tokens=False).ids
                 got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(young) >= self.entries:
-                self.cores = young, old = {}, young
-            young[core] = got
+            if len(self.young) >= self.entries:
+                self.young, self.old = {}, self.young
+            self.young[core] = got
         return got
 
-    def _run(self, run: bytes) -> bytes:
+    def __missing__(self, run: bytes) -> bytes:
         core = run.rstrip(b".,!;:?*$%&#")
-        if run.isascii() and core.isalpha() or core and core.decode("utf-8", "replace").isalpha():
-            return self._core(core.lower()) + (self._core(run[len(core) :]) if len(core) < len(run) else b"")
-        return self._core(run)
+        if core.isalpha() or core and not core.isascii() and core.decode("utf-8", "replace").isalpha():
+            got = self._core(core.lower()) + (self._core(run[len(core) :]) if len(core) < len(run) else b"")
+        else:
+            got = self._core(run)
+        self[run] = got
+        return got
 
     def of(self, texts: list[str | None], end: int | None = END_ID) -> list[bytes]:
         """One bytes object for each text (null: as empty), with the end id after it."""
-        tail = b"" if end is None else int(end).to_bytes(4, "little")
+        tail, ids = b"" if end is None else int(end).to_bytes(4, "little"), self.__getitem__
         out = []
         for text in texts:
-            runs = text.encode("utf-8", "surrogatepass").split() if text else []
-            known = self.runs
-            if len(known) > self.entries:
-                known.clear()
-            try:
-                out.append(b"".join(map(known.__getitem__, runs)) + tail)
-            except KeyError:
-                for run in runs:
-                    if run not in known:
-                        known[run] = self._run(run)
-                out.append(b"".join(map(known.__getitem__, runs)) + tail)
+            if len(self) > self.entries:
+                self.clear()
+            out.append(b"".join(map(ids, text.encode("utf-8", "surrogatepass").split())) + tail if text else tail)
         return out
