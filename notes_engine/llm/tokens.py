@@ -23,10 +23,15 @@ def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-def worker_state(name: tuple) -> dict:
-    """What this Python process keeps from task to task under a name."""
-    kept = sys.modules.setdefault("_notes_engine_worker", types.ModuleType("_notes_engine_worker")).__dict__
-    return kept.setdefault(name, {})
+def _tokenizer(path: str):
+    """The tokenizer of a file, which this Python process reads once for all of its tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    kept = sys.modules.setdefault("_notes_engine_tokenizers", types.ModuleType("_notes_engine_tokenizers")).__dict__
+    if path not in kept:
+        kept[path] = Tokenizer.from_file(path)
+    return kept[path]
 
 
 class RunIds(dict):
@@ -38,21 +43,10 @@ class RunIds(dict):
     """
 
     def __init__(self, path: str, entries: int = 400_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tok, self.entries = Tokenizer.from_file(path), entries
+        self.tok, self.entries = _tokenizer(path), entries
         self.model = self.tok.model
         self.young, self.old = {}, {}  # ids of runs without punctuation, lately met and before
 
-    @classmethod
-    def of_process(cls, path: str, entries: int = 400_000) -> RunIds:
-        """The one that this Python process keeps from task to task."""
-        kept = worker_state(("run ids", path, entries))
-        if "ids" not in kept:
-            kept["ids"] = cls(path, entries)
-        return kept["ids"]
-
     def _core(self, core: bytes) -> bytes:
         got = self.young.get(core)
         if got is None:
