@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SAMPLED, byte_bounded, others
+from .common import SAMPLED, byte_bounded, others, tidied
 
 SAMPLE = 800  # labelled texts of each language, about, that the network is trained on at most
 STEPS = 2_400  # of the training, each on ``BATCH`` windows
@@ -139,13 +139,14 @@ def with_language(docs: DataFrame, net: ByteCNN | None, named: str = "lang_pred"
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 30 kB
-    held = docs.select(F.struct(*others(docs, named, rated)).alias("doc"), F.col("text").cast("string").alias("text"))
+    held = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*others(docs, named, rated, "text"), F.col("text").cast("string").alias("text")).alias("doc"))
     schema = StructType([held.schema["doc"]]).add("lang", StringType()).add("score", DoubleType())
+    order = [c for c in docs.columns if c.lower() not in (named.lower(), rated.lower())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in byte_bounded(batches, "text", 1 << 20):
-            texts = batch.column(1).to_pylist()
+        for batch in byte_bounded(batches, ("doc", "text"), 1 << 20):
+            texts = batch.column(0).field("text").to_pylist()
             readable = [bool(t) and net is not None and any(map(str.isalpha, t)) for t in texts]
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             at = [i for i, r in enumerate(readable) if r]
@@ -153,7 +154,7 @@ def with_language(docs: DataFrame, net: ByteCNN | None, named: str = "lang_pred"
                 cut = [windows(_bytes(texts[i])) for i in at]
                 ends = np.cumsum([len(c) for c in cut])
                 flat = np.concatenate(cut)
-                logp = np.concatenate([net.log_probs(flat[k : k + 512]) for k in range(0, len(flat), 512)])
+                logp = np.concatenate([net.log_probs(flat[k : k + 128]) for k in range(0, len(flat), 128)])
                 mean = np.add.reduceat(logp, np.concatenate([[0], ends[:-1]])) / np.array([len(c) for c in cut])[:, None]
                 p = np.exp(mean - mean.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
@@ -161,4 +162,5 @@ def with_language(docs: DataFrame, net: ByteCNN | None, named: str = "lang_pred"
                     langs[i], scores[i] = net.classes[int(row.argmax())], float(row.max())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc", "lang", "score"])
 
-    return held.mapInArrow(run, schema).select("doc.*", F.col("lang").alias(named), F.col("score").alias(rated))
+    rest = [F.col("doc")[c].alias(c) for c in order]
+    return held.mapInArrow(tidied(run), schema).select(*rest, F.col("lang").alias(named), F.col("score").alias(rated))

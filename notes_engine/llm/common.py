@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only separators of words here.
 SPACE = r"[\x20\x09-\x0D]+"
 CACHE_ENTRIES = 400_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -136,6 +137,9 @@ def fold(col: str, mod: int) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents.  Batches of whole texts for Python are bounded by bytes, not by rows alone."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, str((1 << 31) - 1), str(1 << 28), str((1 << 63) - 1), "-1"):
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -157,12 +161,34 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def byte_bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def tidied(run):
+    """A function over batches that gives the memory it has freed back to the system when its task ends.
+
+    Python workers live on from task to task, and stages of other kinds follow.
+    """
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim is not None:
+                trim(0)
+
+    return through
+
+
+def byte_bounded(batches: Iterator[pa.RecordBatch], column: str | tuple[str, str], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text at most (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(column))
+        col = batch.column(column) if isinstance(column, str) else batch.column(column[0]).field(column[1])
         sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64))
         start = 0
         while start < batch.num_rows:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIEVE_BITS, WordHashes, byte_bounded, release, stored, words_of
+from .common import SIEVE_BITS, WordHashes, byte_bounded, release, stored, tidied, words_of
 from .graph import components
 
 COORDS, MATCH = 40, 22
@@ -172,7 +172,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     """The pairs (u, v) with heads (headu, headv) whose full sets are similar enough, stored."""
     pairs = stored(pairs.select("u", "v", "headu", "headv").distinct(), "candidates")
     wanted = pairs.select(F.explode(F.array("headu", "headv")).alias("head"))
-    sets = stored(texts.mapInArrow(setter(width, _sieve(wanted)), SETS), "sets")
+    sets = stored(texts.mapInArrow(tidied(setter(width, _sieve(wanted))), SETS), "sets")
     left, right = sets.toDF("headu", "u", "su"), sets.toDF("headv", "v", "sv")
     both = F.size(F.array_intersect("su", "sv"))
     linked = pairs.join(left, ["u", "headu"]).join(right, ["v", "headv"]).withColumn("both", both)
@@ -208,7 +208,7 @@ def _paired(lists: DataFrame, found: DataFrame, by_rep: DataFrame, texts: DataFr
     rows = stored(placed.join(apart, "pair").select("rep", "component", "head"), "apart")
     cluster_table = components(rows.select(F.col("rep").alias("u"), F.col("head").alias("v")))
     wanted = stored(rows.select("rep", "component").distinct().join(cluster_table.toDF("rep", "cluster"), "rep").join(by_rep.select("rep", "head"), "rep"), "wanted")
-    sets = texts.mapInArrow(setter(width, _sieve(wanted)), SETS)
+    sets = texts.mapInArrow(tidied(setter(width, _sieve(wanted))), SETS)
     sizes = wanted.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     full = wanted.join(sizes, "cluster").join(by_rep.select("rep", "sig", "more"), "rep").join(sets, ["rep", "head"])
     full = full.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
@@ -270,7 +270,7 @@ def judged(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key"))
     head = F.coalesce("doc_id", "key")
     texts = rows.select(head.alias("head"), "text")
-    signed = stored(rows.select("doc_id", "text", head.alias("head"), "key").mapInArrow(signer(width, coords, more), "doc_id long, head long, key long, n long, rep long, sig array<int>, more array<tinyint>"), "signatures")
+    signed = stored(rows.select("doc_id", "text", head.alias("head"), "key").mapInArrow(tidied(signer(width, coords, more)), "doc_id long, head long, key long, n long, rep long, sig array<int>, more array<tinyint>"), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull(), "head", "doc_id"))  # a known id before none
     classes = signed.where("n > 0").groupBy("rep").agg(first.alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("more").alias("more"))
     by_rep = classes = stored(classes.select("rep", "first.head", "first.doc_id", "n", "sig", "more"), "classes")

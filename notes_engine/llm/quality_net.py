@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_bounded, sampled
+from .common import byte_bounded, sampled, tidied
 
 SAMPLE = 6_000  # labelled ids, about, that the network learns from at most
 DIM, NONZERO, REACH, HIDDEN = 64, 6, 2, 32
@@ -119,7 +119,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contexts(docs: DataFrame) -> np.ndarray:
     """Context vectors of all words of all texts of ``docs`` (text, ...): one table of fixed size."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = texts.mapInArrow(_contexts, "block int, data binary").repartition("block").mapInArrow(_summed, "block int, data binary").collect()
+    rows = texts.mapInArrow(tidied(_contexts), "block int, data binary").repartition("block").mapInArrow(_summed, "block int, data binary").collect()
     out = np.zeros((BLOCKS, WORDS // BLOCKS, DIM), np.float32)
     for r in rows:
         out[r.block] = np.frombuffer(r.data, "<f4").reshape(-1, DIM)
@@ -198,7 +198,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"))
     chosen = sampled(marked, F.col("doc_id"), sample, marked.count())
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # its rows are bounded by the sample
-    pooled = texts.select(F.col("doc_id").cast("long"), F.col("_y").cast("double"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, y double, x binary")
+    pooled = texts.select(F.col("doc_id").cast("long"), F.col("_y").cast("double"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, y double, x binary")
     rows = pooled.groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r.doc_id)
     x = np.stack([np.frombuffer(r.x, "<f4") for r in rows]) if rows else np.zeros((0, 2 * DIM), np.float32)
@@ -216,4 +216,4 @@ def scored(docs: DataFrame, net: QualityNet) -> DataFrame:
             x = np.stack([vectors.pool(runs(t), tokens) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(x), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, score double")
