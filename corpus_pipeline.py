@@ -22,6 +22,14 @@ def _held(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_key"))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of the documents has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and a decision list learned from the labelled ones among them.
 
@@ -39,8 +47,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = byte_cnn.trained(docs)
     if net is None:
         return docs
-    names = byte_cnn.with_language(_held(docs).select("_doc", "text"), net, "lang_pred", "lang_score")
-    return names.where((F.col("lang_pred") != byte_cnn.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select("_doc.*")
+    named, rated = _free(docs, "lang_pred"), _free(docs, "lang_score")
+    told = byte_cnn.with_language(docs, net, named, rated)
+    return told.where((F.col(named) != byte_cnn.UNKNOWN) & (F.col(rated) >= LEAST_SCORE)).drop(named, rated)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
