@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SAMPLED, byte_bounded, others, tidied
+from .common import SAMPLED, byte_bounded, others, tidied, whole_texts
 
 SAMPLE = 800  # labelled texts of each language, about, that the network is trained on at most
 STEPS = 2_400  # of the training, each on ``BATCH`` windows
@@ -139,7 +139,7 @@ def with_language(docs: DataFrame, net: ByteCNN | None, named: str = "lang_pred"
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 30 kB
-    held = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*others(docs, named, rated, "text"), F.col("text").cast("string").alias("text")).alias("doc"))
+    held = whole_texts(docs).withColumn("text", F.col("text").cast("string")).select(F.struct(*others(docs, named, rated, "text"), F.col("text").cast("string").alias("text")).alias("doc"))
     schema = StructType([held.schema["doc"]]).add("lang", StringType()).add("score", DoubleType())
     order = [c for c in docs.columns if c.lower() not in (named.lower(), rated.lower())]
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only separators of words here.
 SPACE = r"[\x20\x09-\x0D]+"
 CACHE_ENTRIES = 400_000
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -137,9 +137,6 @@ def fold(col: str, mod: int) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of documents.  Batches of whole texts for Python are bounded by bytes, not by rows alone."""
-    if spark.conf.get(BATCH_BYTES, None) in (None, str((1 << 31) - 1), str(1 << 28), str((1 << 63) - 1), "-1"):
-        spark.conf.set(BATCH_BYTES, str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -161,6 +158,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose batches for Python are bounded to 8 MB, unless it has a bound of its own."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_BYTES) == BATCH_DEFAULT:
+        conf.set(BATCH_BYTES, str(8 << 20))
+    return docs
+
+
 def tidied(run):
     """A function over batches that gives the memory it has freed back to the system when its task ends.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIEVE_BITS, WordHashes, byte_bounded, release, stored, tidied, words_of
+from .common import SIEVE_BITS, WordHashes, byte_bounded, release, stored, tidied, whole_texts, words_of
 from .graph import components
 
 COORDS, MATCH = 40, 22
@@ -267,7 +267,7 @@ def judged(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords
     """
     spark = docs.sparkSession
     text, key = F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key"))
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key"))
     head = F.coalesce("doc_id", "key")
     texts = rows.select(head.alias("head"), "text")
     signed = stored(rows.select("doc_id", "text", head.alias("head"), "key").mapInArrow(tidied(signer(width, coords, more)), "doc_id long, head long, key long, n long, rep long, sig array<int>, more array<tinyint>"), "signatures")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_bounded, stored, tidied
+from .common import byte_bounded, stored, tidied, whole_texts
 from .tokens import END_ID, RunIds, tokenizer_path
 
 CAPACITY, GROUP, PIECE, SLACK = 2048, 192, 512, 48
@@ -162,7 +162,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         packer.flush()
         yield packer.batch()
 
-    first = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA), "packed")
+    first = stored(whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA), "packed")
     short = first.where("sequence_id is null")
     ids = short.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(1, round(ids / (SHARE * group * capacity)))

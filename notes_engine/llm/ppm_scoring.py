@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_bounded, stored, words_of
+from .common import byte_bounded, stored, whole_texts, words_of
 from .ppm_core import D_BINS, N_BINS, LowOrders, code_shard, escape_cases, escape_table
 
 ORDER, HEAD, TAIL = 6, 3, 3
@@ -289,7 +289,7 @@ def scored(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOKENS) -> D
     occur.  If nothing is learned, counts are 0 and every byte costs the same.
     Extra columns are ignored.  An empty table gives an empty table.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * docs.rdd.getNumPartitions()))
     chunks = stored(rows.mapInArrow(_encoder(chunk_tokens, buckets), _SCHEMA), "chunks")
 

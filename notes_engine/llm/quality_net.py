@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_bounded, sampled, tidied
+from .common import byte_bounded, sampled, tidied, whole_texts
 
 SAMPLE = 6_000  # labelled ids, about, that the network learns from at most
 DIM, NONZERO, REACH, HIDDEN = 64, 6, 2, 32
@@ -186,7 +186,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality
     ``sample`` ids, about, by a threshold on a hash of the id, each pooled over its whole text.
     Rows that repeat an id take its least label and one of their texts, that of the least vector.
     """
-    vectors = Vectors(contexts(docs))
+    vectors = Vectors(contexts(whole_texts(docs)))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

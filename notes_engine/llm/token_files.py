@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_bounded, stored, tidied
+from .common import byte_bounded, stored, tidied, whole_texts
 from .tokens import END_ID, RunIds, tokenizer_path
 
 MAGIC, HEAD = b"EFT1", "<4s6Q"
@@ -196,7 +196,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end: int =
     from tokenizers import Tokenizer
 
     width = 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = max(docs.rdd.getNumPartitions(), 1)
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(tidied(_writer(path, end, width, block_ids)), "part long, before long, n_ids long, payload binary"), "tokens")
