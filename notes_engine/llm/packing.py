@@ -32,7 +32,7 @@ from .tokens import END_ID, RunIds, tokenizer_path
 
 CAPACITY, GROUP, PIECE, SLACK = 2048, 192, 512, 48
 SHARE = 4  # groups in a task of the second grouping
-ENTRIES = 700_000  # of the cache of each task, some 300 MB
+ENTRIES = 500_000  # of the cache of each task, some 200 MB
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> list[int]:
