@@ -34,6 +34,7 @@ from .tokens import END_ID, RunIds, tokenizer_path
 MAGIC, HEAD = b"EFT1", "<4s6Q"
 BLOCK_IDS = 1 << 21
 SAMPLE, STEP = 512, 64
+ENTRIES = 600_000  # of the cache of each task, some 250 MB
 READ_DOCS = 4096  # documents of a block whose offsets are selected at once
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -164,7 +165,7 @@ class Block:
 
 def _writer(path: str, end: int, width: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part = RunIds(path), TaskContext.get().partitionId()
+        ids, part = RunIds(path, ENTRIES), TaskContext.get().partitionId()
         docs, got, held, before = [], [], 0, 0
 
         def block() -> pa.RecordBatch:
