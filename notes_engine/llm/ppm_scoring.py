@@ -22,6 +22,7 @@ a word, start of the next) or a symbol inside a word.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,34 +42,51 @@ _SPACE, _END = 32, 10
 _U = np.uint64
 
 
-def _blob(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with a space before and after in one buffer, the start of each, and its length with spaces."""
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
-    return np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes
+Blob = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def inner_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of the symbols after the first ``HEAD`` of each word, and the word each belongs to."""
-    if not words:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    x, starts, sizes = _blob(words)
-    word = np.repeat(np.arange(len(words)), sizes)
+def _blob(joined: bytes) -> Blob:
+    """Words, joined by spaces, in one buffer with a space before and after each; the start of each, and its length with spaces."""
+    if not joined:
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == _SPACE)
+    sizes = np.diff(np.concatenate([[-1], gaps, [len(joined)]])) + 1
+    x = np.frombuffer(b" " + joined.replace(b" ", b"  ") + b" ", np.uint8)
+    return x, np.cumsum(sizes) - sizes, sizes
+
+
+_KEPT = np.array([(1 << (8 * (k + 1))) - 1 for k in range(ORDER + 1)], _U)  # a symbol and k bytes before it
+
+
+def _inner(blob: Blob) -> tuple[np.ndarray, np.ndarray]:
+    x, starts, sizes = blob
+    word = np.repeat(np.arange(len(sizes)), sizes)
     pos = np.arange(len(x)) - starts[word]
+    wide = x.astype(_U)
+    key = wide.copy()
+    for j in range(1, min(ORDER + 1, len(x))):
+        key[j:] |= wide[:-j] << _U(8 * j)
     at = np.flatnonzero(pos > HEAD)
-    key = x[at].astype(_U)
-    for j in range(1, ORDER + 1):
-        ok = pos[at] >= j
-        key[ok] |= x[at[ok] - j].astype(_U) << _U(8 * j)
-    return key | (np.minimum(pos[at], ORDER).astype(_U) << _U(56)), word[at]
+    length = np.minimum(pos[at], ORDER)
+    return (key[at] & _KEPT[length]) | (length.astype(_U) << _U(56)), word[at]
+
+
+def inner_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of the symbols after the first ``HEAD`` of each word, and the word each belongs to."""
+    return _inner(_blob(b" ".join(words)))
 
 
-def word_ends(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_ends(blob: Blob) -> tuple[np.ndarray, np.ndarray]:
     """Packed first symbols (with their number) and last bytes (with their number) of each word."""
-    heads, tails = np.zeros(len(words), _U), np.zeros(len(words), _U)
-    for i, w in enumerate(words):
-        h, t = (w + b" ")[:HEAD], w[-TAIL:]
-        heads[i] = int.from_bytes(h, "little") | len(h) << 24
-        tails[i] = int.from_bytes(t, "big") | len(t) << 24
+    x, starts, sizes = blob
+    first, last = np.minimum(sizes - 1, HEAD), np.minimum(sizes - 2, TAIL)
+    heads, tails = first.astype(_U) << _U(24), last.astype(_U) << _U(24)
+    for k in range(HEAD):
+        at = np.flatnonzero(first > k)
+        heads[at] |= x[starts[at] + 1 + k].astype(_U) << _U(8 * k)
+    for k in range(TAIL):
+        at = np.flatnonzero(last > k)
+        tails[at] |= x[starts[at] + sizes[at] - 2 - k].astype(_U) << _U(8 * k)
     return heads, tails
 
 
@@ -109,14 +127,25 @@ def junction_grams(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owner)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values and the place of each value among them; by hashing, since most values repeat."""
+    met = pa.array(x).dictionary_encode()
+    values = met.dictionary.to_numpy()
+    order = np.argsort(values)
+    place = np.empty(len(values), np.int64)
+    place[order] = np.arange(len(values))
+    return values[order], place[met.indices.to_numpy()]
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """Integers by byte planes, compressed; ascending ones should come as differences."""
     planes = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8).T
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return len(numbers).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
@@ -144,48 +173,56 @@ _RETURNED = "kind int, chunk long, bucket int, data binary, total long, kinds lo
 
 def _chunk(number: int, ids: list, held: list[bool], docs: list[np.ndarray], met: list[bytes], buckets: int) -> pa.RecordBatch:
     sizes = np.array([len(d) for d in docs], np.int64)
+    raw = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+    # Words go by bucket and then by how often they occur, and a text names them by (place in the bucket, bucket), so that frequent words have small codes.
     by = _word_buckets(met, buckets)
-    order = sorted(range(len(met)), key=lambda i: (by[i], met[i]))
-    words, rank = [met[i] for i in order], np.empty(len(met), np.int64)
-    rank[order] = np.arange(len(met))
-    codes = rank[np.concatenate(docs)] if len(met) else np.zeros(0, np.int64)
+    order = np.lexsort((-np.bincount(raw, minlength=len(met)), by))
+    words, place = [met[i] for i in order.tolist()], np.empty(len(met), np.int64)
+    place[order] = np.arange(len(met))
+    edges = np.searchsorted(by[order], np.arange(buckets + 1))
+    codes = place[raw]
     train = ~np.array(held, bool)
     counts = np.bincount(codes[np.repeat(train, sizes)], minlength=len(words)).astype(np.int64)
-    heads, tails = word_ends(words)
-    units, at = np.unique(junctions(codes, np.cumsum(sizes) - sizes, heads, tails), return_inverse=True)
+    blob = _blob(b" ".join(words))
+    heads, tails = word_ends(blob)
+    units, at = _distinct(junctions(codes, np.cumsum(sizes) - sizes, heads, tails))
     unit_counts = np.bincount(at, weights=np.repeat(train, sizes + 1), minlength=len(units))
-    (a, wa), (b, ub) = inner_grams(words), junction_grams(units)
-    grams, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    (a, wa), (b, ub) = _inner(blob), junction_grams(units)
+    grams, at = _distinct(np.concatenate([a, b]))
     gram_counts = np.bincount(at, weights=np.concatenate([counts[wa], unit_counts[ub]]), minlength=len(grams)).astype(np.int64)
-    rows = [(DOCS, number, 0, ids, held, sizes.astype(np.int32), _pack(codes), None)]
+    named = (place - edges[by]) * buckets + by
+    rows = [(DOCS, number, 0, ids, held, sizes.astype(np.int32), _pack(named[raw]), None)]
     where = _gram_bucket(grams, buckets)
     for k in np.unique(where).tolist():
         rows.append((GRAMS, number, k, None, None, None, _pack_sorted(grams[where == k]), _pack(gram_counts[where == k])))
-    edges = np.searchsorted(by[order], np.arange(buckets + 1)) if words else np.zeros(buckets + 1, np.int64)
     for k in np.flatnonzero(np.diff(edges)).tolist():
         i, j = int(edges[k]), int(edges[k + 1])
         rows.append((WORDS, number, k, None, None, None, zlib.compress(b" ".join(words[i:j]), 1), _pack(counts[i:j])))
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FIELDS)], names=[n for n, _ in _FIELDS])
 
 
+def _numbers() -> defaultdict[bytes, int]:
+    """Numbers words in the order they come."""
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    return known
+
+
 def _encoder(chunk_tokens: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        known: dict[bytes, int] = {}
+        known = _numbers()
         ids, held, docs, tokens = [], [], [], 0
         for batch in byte_bounded(batches, "text", 4 << 20):
             for doc_id, text, out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
                 ids.append(doc_id)
                 held.append(out)
                 docs.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 tokens += len(words) + 1
                 if tokens >= chunk_tokens:
                     yield _chunk(number, ids, held, docs, list(known), buckets)
-                    number, known, ids, held, docs, tokens = number + 1, {}, [], [], [], 0
+                    number, known, ids, held, docs, tokens = number + 1, _numbers(), [], [], [], 0
         if ids:
             yield _chunk(number, ids, held, docs, list(known), buckets)
 
@@ -193,11 +230,11 @@ def _encoder(chunk_tokens: int, buckets: int):
 
 
 def _merged(rows) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Grams of a bucket over all chunks, their counts, and each chunk's own grams."""
+    """Grams of a bucket over all chunks, their counts, and the place of each chunk's own grams among them."""
     own = [_unpack_sorted(d) for d in rows["data"]]
-    grams, at = np.unique(np.concatenate(own), return_inverse=True)
+    grams, at = _distinct(np.concatenate(own))
     n = np.bincount(at, weights=np.concatenate([_unpack(c).astype(np.int64) for c in rows["counts"]]), minlength=len(grams)).astype(np.int64)
-    return grams, n, own
+    return grams, n, np.split(at, np.cumsum([len(x) for x in own])[:-1])
 
 
 def _split(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,24 +260,32 @@ def _coder(pairs: np.ndarray, escapes: np.ndarray):
 
         grams, n, own = _merged(rows)
         logp = code_shard(*_split(grams), n, LowOrders(pairs), escapes, ORDER).astype("<f4")
-        data = [logp[np.searchsorted(grams, g)].tobytes() for g in own]
+        data = [logp[at].tobytes() for at in own]
         return pd.DataFrame({"kind": GRAMS, "chunk": rows["chunk"], "bucket": rows["bucket"], "data": data, "total": 0, "kinds": 0})
 
     return run
 
 
+def _words(joined: bytes) -> pa.Array:
+    """Words that were joined by spaces."""
+    x = np.frombuffer(joined, np.uint8)
+    space = x == _SPACE
+    gaps = np.flatnonzero(space)
+    ends = np.concatenate([[0], gaps - np.arange(len(gaps)), [len(x) - len(gaps)]]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(x[~space])])
+
+
 def _summer(rows):
     """Counts over all chunks of each chunk's words; the bucket's totals stand in its first row."""
     import pandas as pd
 
-    own = [zlib.decompress(d).split(b" ") for d in rows["data"]]
-    total: dict[bytes, int] = {}
-    for words, counts in zip(own, rows["counts"], strict=True):
-        for w, c in zip(words, _unpack(counts).tolist(), strict=True):
-            total[w] = total.get(w, 0) + c
-    data = [_pack(np.fromiter(map(total.__getitem__, words), np.int64, len(words))) for words in own]
+    own = [_words(zlib.decompress(d)) for d in rows["data"]]
+    met = pa.chunked_array(own).combine_chunks().dictionary_encode()
+    at = met.indices.to_numpy()
+    total = np.bincount(at, weights=np.concatenate([_unpack(c).astype(np.int64) for c in rows["counts"]]), minlength=len(met.dictionary)).astype(np.int64)
+    data = [_pack(total[x]) for x in np.split(at, np.cumsum([len(x) for x in own])[:-1])]
     sums = np.zeros((2, len(own)), np.int64)
-    sums[:, 0] = sum(total.values()), sum(c > 0 for c in total.values())
+    sums[:, 0] = total.sum(), (total > 0).sum()
     return pd.DataFrame({"kind": WORDS, "chunk": rows["chunk"], "bucket": rows["bucket"], "data": data, "total": sums[0], "kinds": sums[1]})
 
 
@@ -255,19 +300,23 @@ def _scorer(n: int, v: int, ends: int, buckets: int):
         if not len(texts):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in _OUT.items()})
         row = texts.iloc[0]
-        codes, sizes = _unpack(row["data"]).astype(np.int64), np.asarray(row["sizes"], np.int64)
-        words = [w for d in chunk[chunk["kind"] == WORDS].sort_values("bucket")["data"] for w in zlib.decompress(d).split(b" ")]
+        named, sizes = _unpack(row["data"]).astype(np.int64), np.asarray(row["sizes"], np.int64)
+        mine = chunk[chunk["kind"] == WORDS].sort_values("bucket")
+        joined = [zlib.decompress(d) for d in mine["data"]]
+        before = np.zeros(buckets, np.int64)  # words in the buckets before
+        before[mine["bucket"].to_numpy()] = np.cumsum([0, *(d.count(b" ") + 1 for d in joined)])[:-1]
+        codes, blob = before[named % buckets] + named // buckets, _blob(b" ".join(joined))
         known = values[values["kind"] == WORDS].sort_values("bucket")["data"]
         count = np.concatenate([np.zeros(0), *map(_unpack, known)])
-        (a, wa), (heads, tails) = inner_grams(words), word_ends(words)
-        units, at = np.unique(junctions(codes, np.cumsum(sizes) - sizes, heads, tails), return_inverse=True)
+        (a, wa), (heads, tails) = _inner(blob), word_ends(blob)
+        units, at = _distinct(junctions(codes, np.cumsum(sizes) - sizes, heads, tails))
         b, ub = junction_grams(units)
-        grams, back = np.unique(np.concatenate([a, b]), return_inverse=True)  # as they were sent
+        grams, back = _distinct(np.concatenate([a, b]))  # as they were sent
         logp, where = np.zeros(len(grams)), _gram_bucket(grams, buckets)
         order = np.argsort(where, kind="stable")
         logp[order] = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(d, "<f4") for d in values[values["kind"] == GRAMS].sort_values("bucket")["data"])])
         logp = logp[back]
-        inner = np.bincount(wa, weights=logp[: len(a)], minlength=len(words))
+        inner = np.bincount(wa, weights=logp[: len(a)], minlength=len(count))
         unit = np.bincount(ub, weights=logp[len(a) :], minlength=len(units))[at]
         doc, doc_all = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(sizes)), sizes + 1)
         total = lambda w, d=doc: np.bincount(d, weights=w, minlength=len(sizes))
