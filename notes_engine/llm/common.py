@@ -166,6 +166,18 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def give_back() -> None:
+    """Give the memory that a Python worker has freed back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def tidied(run):
     """A function over batches that gives the memory it has freed back to the system when its task ends.
 
@@ -176,14 +188,7 @@ def tidied(run):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return through
 

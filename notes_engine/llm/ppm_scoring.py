@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_bounded, stored, whole_texts, words_of
+from .common import byte_bounded, give_back, stored, tidied, whole_texts, words_of
 from .ppm_core import D_BINS, N_BINS, LowOrders, code_shard, escape_cases, escape_table
 
 ORDER, HEAD, TAIL = 6, 3, 3
@@ -222,6 +222,7 @@ def _encoder(chunk_tokens: int, buckets: int):
                 tokens += len(words) + 1
                 if tokens >= chunk_tokens:
                     yield _chunk(number, ids, held, docs, list(known), buckets)
+                    give_back()
                     number, known, ids, held, docs, tokens = number + 1, _numbers(), [], [], [], 0
         if ids:
             yield _chunk(number, ids, held, docs, list(known), buckets)
@@ -258,6 +259,7 @@ def _coder(pairs: np.ndarray, escapes: np.ndarray):
     def run(rows):
         import pandas as pd
 
+        give_back()  # of the bucket before
         grams, n, own = _merged(rows)
         logp = code_shard(*_split(grams), n, LowOrders(pairs), escapes, ORDER).astype("<f4")
         data = [logp[at].tobytes() for at in own]
@@ -296,6 +298,7 @@ def _scorer(n: int, v: int, ends: int, buckets: int):
     def run(chunk, values):
         import pandas as pd
 
+        give_back()  # of the chunk before
         texts = chunk[chunk["kind"] == DOCS]
         if not len(texts):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in _OUT.items()})
@@ -340,7 +343,7 @@ def scored(docs: DataFrame, held: Column, chunk_tokens: int = CHUNK_TOKENS) -> D
     """
     rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * docs.rdd.getNumPartitions()))
-    chunks = stored(rows.mapInArrow(_encoder(chunk_tokens, buckets), _SCHEMA), "chunks")
+    chunks = stored(rows.mapInArrow(tidied(_encoder(chunk_tokens, buckets)), _SCHEMA), "chunks")
 
     word_rows, gram_rows = (chunks.where(F.col("kind") == k).select("chunk", "bucket", "data", "counts").groupBy("bucket") for k in (WORDS, GRAMS))
     counts = stored(word_rows.applyInPandas(_summer, _RETURNED), "words")
