@@ -370,3 +370,28 @@ def test_pipeline_over_empty_tables(spark, odd, tmp_path):  # noqa: F811
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     assert pipeline.run(spark, path).count() == 0
+
+
+def test_ppm_arrays_against_plain_words():
+    words = [b"a", b"ab", b"abc", b"abcd", "größe".encode(), b"\x00\xff", b"x" * 40]
+    joined = b" ".join(words)
+    heads, tails = ppm_scoring.word_ends(ppm_scoring._blob(joined))
+    for w, h, t in zip(words, heads.tolist(), tails.tolist(), strict=True):
+        head, tail = (w + b" ")[:3], w[-3:]
+        assert h == int.from_bytes(head, "little") | len(head) << 24
+        assert t == int.from_bytes(tail, "big") | len(tail) << 24
+    grams, owner = ppm_scoring.inner_grams(words)
+    plain = []
+    for i, w in enumerate(words):
+        s = b" " + w + b" "
+        for at in range(4, len(s)):
+            k = min(at, 6)
+            plain.append((int.from_bytes(s[at - k : at + 1], "big") | k << 56, i))
+    assert list(zip(grams.tolist(), owner.tolist(), strict=True)) == plain
+    assert ppm_scoring._words(joined).to_pylist() == words
+    for x in ([], [0], [7, 2**63, 7, 0]):
+        x = np.array(x, np.uint64)
+        assert ppm_scoring._unpack(ppm_scoring._pack(x)).tolist() == x.tolist()
+        values, at = ppm_scoring._distinct(x)
+        assert values.tolist() == sorted(set(x.tolist())) and values[at].tolist() == x.tolist()
+    assert [len(x) for x in ppm_scoring._blob(b"")] == [0, 0, 0] and len(ppm_scoring.inner_grams([])[0]) == 0
