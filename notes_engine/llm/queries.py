@@ -1,4 +1,4 @@
-"""Queries op1 to op10 of this subpackage and, where SQL can express them, their SQL."""
+"""Queries op1 to op13 of this subpackage and, where SQL can express them, their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, compaction, decision_list, decontaminate, merkle, packing, ppm_scoring, quality_net, token_files
+from . import byte_cnn, compaction, decision_list, decontaminate, merkle, packing, ppm_scoring, quality_net, token_files, whitening
 from .common import documents, fold, scratch_dir
 from .minhash_dedup import near_duplicates
 
@@ -79,6 +79,10 @@ def op10_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
