@@ -283,8 +283,20 @@ def judged(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords
     prefixes = stored(met.select("rep", "met.pair"), "prefixes")
     lists = prefixes.select("rep", F.explode("pair").alias("pair"))
 
-    enough = coords, match, more, share
-    links, found = None, spark.createDataFrame([], "node long, component long")
+    found = linked(lists, by_rep, texts, width, percent, (coords, match, more, share))
+    release(prefixes)
+    out = named(signed, classes, found).select("doc_id", "key", "n", "rep", "component_id", "kept")
+    out.rests_on = signed, classes, found  # to be released once the result is written
+    return out
+
+
+def linked(lists: DataFrame, by_rep: DataFrame, texts: DataFrame, width: int, percent: int, enough: tuple) -> DataFrame:
+    """(node, component) of the classes that confirmed links join, among those that share a list (rep, pair).
+
+    ``by_rep`` has rep, head, n, sig and more of every class, ``texts`` head and
+    text; ``enough`` is (posted coordinates, how many must agree, others, share of all).
+    """
+    links, found = None, lists.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(TURNS):
         offers = stored(_offers(lists, found, turn), "offers")
         if offers.isEmpty():
@@ -300,22 +312,25 @@ def judged(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords
         release(old)
 
     new = _paired(lists, found, by_rep, texts, width, percent, enough)
-    release(prefixes)
     if not new.isEmpty():
         old, found = found, components(new if links is None else links.unionByName(new))
         release(old)
+    return found
+
+
+def named(signed: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``signed`` (doc_id, n, rep, ...) with component_id and kept.
 
-    # The first class of a component is kept: that of the smallest known id, or else of the smallest name.
+    The first class of a component is kept: that of the smallest known id, or else of the smallest name.
+    """
     placed = found.toDF("rep", "component").join(classes.select("rep", "doc_id"), "rep")
     firsts = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rep")).alias("first"))
-    named = placed.select("rep", "component").join(firsts, "component").select("rep", F.col("first.doc_id").alias("linked_id"), F.col("first.rep").alias("first_rep"), F.lit(True).alias("linked"))
-    own = classes.select("rep", F.col("doc_id").alias("own_id")).join(named, "rep", "left")
-    out = signed.select("doc_id", "key", "n", "rep").join(own, "rep", "left")
+    joined = placed.select("rep", "component").join(firsts, "component").select("rep", F.col("first.doc_id").alias("linked_id"), F.col("first.rep").alias("first_rep"), F.lit(True).alias("linked"))
+    own = classes.select("rep", F.col("doc_id").alias("own_id")).join(joined, "rep", "left")
+    out = signed.join(own, "rep", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("linked"), F.col("linked_id")).otherwise(F.col("own_id"))
     kept = (F.col("n") == 0) | (F.coalesce(F.col("first_rep") == F.col("rep"), F.lit(True)) & component.eqNullSafe(F.col("doc_id")))
-    out = out.select("doc_id", "key", "n", "rep", component.alias("component_id"), kept.alias("kept"))
-    out.rests_on = signed, classes, found  # to be released once the result is written
-    return out
+    return out.select(*signed.columns, component.alias("component_id"), kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, coords: int = COORDS, match: int = MATCH, more: int = MORE, share: float = SHARE) -> DataFrame:

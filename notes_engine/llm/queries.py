@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, compaction, decision_list, decontaminate, merkle, packing, ppm_scoring, quality_net, token_files, whitening
+from . import byte_cnn, compaction, conversation_repair, decision_list, decontaminate, fingerprints, merkle, packing, ppm_scoring, quality_net, token_files, whitening
 from .common import documents, fold, scratch_dir
 from .minhash_dedup import near_duplicates
 
@@ -79,6 +79,14 @@ def op10_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(documents(spark, sf_dir))
+
+
+def op12_trie_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
