@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import urls as U
-from .operators import batching, order, tree, usage
-from .sources import article, markdown, video
+from .operators import batching, nesting, order, tree, usage
+from .sources import article, blocks, markdown, video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -271,6 +271,122 @@ def article_sections(spark, sf_dir):
     return s.join(c, ["page_id", "pos"]).select("page_id", "pos", "chapter_idx", "heading", "level", "content", "title", "display", "tokens")
 
 
+# Tags of pages as opening and closing tokens; elements that HTML leaves open are not among them, but some bodies are cut off.
+_PAIRED = "html|head|title|style|script|body|nav|ul|li|a|div|article|h1|footer"
+TAGS = f"""t AS (SELECT page_id, unnest(regexp_extract_all(html, '</?(?:{_PAIRED})\\b[^>]*>')) AS tag, generate_subscripts(regexp_extract_all(html, '</?(?:{_PAIRED})\\b[^>]*>'), 1)::INT AS pos FROM pages),
+k AS (SELECT page_id, pos, regexp_extract(tag, '\\w+') AS name, starts_with(tag, '</') AS closes FROM t),
+d AS (SELECT *, (sum(CASE WHEN closes THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos) - CASE WHEN closes THEN 0 ELSE 1 END)::INT AS depth FROM k)"""
+
+
+def _tags(spark, sf_dir):
+    tags = F.regexp_extract_all("html", F.lit(rf"</?(?:{_PAIRED})\b[^>]*>"), 0)
+    t = read(spark, sf_dir, "pages").select("page_id", F.posexplode(tags).alias("at", "tag"))
+    kind = F.concat(F.regexp_extract("tag", r"\w+", 0), F.when(F.col("tag").startswith("</"), "_close").otherwise("_open"))
+    return t.select("page_id", (F.col("at") + 1).alias("pos"), kind.alias("type"))
+
+
+@query(f"""WITH {TAGS} SELECT a.page_id, a.pos AS open_pos, b.pos AS close_pos, a.name, a.depth FROM d a JOIN d b ON a.page_id = b.page_id AND a.depth = b.depth AND a.name = b.name AND NOT a.closes AND b.closes AND b.pos > a.pos
+  WHERE NOT EXISTS (SELECT 1 FROM d c WHERE c.page_id = a.page_id AND c.depth = a.depth AND c.pos > a.pos AND c.pos < b.pos)""")
+def token_pairs(spark, sf_dir):
+    return nesting.pairs(_tags(spark, sf_dir), ["page_id"]).withColumn("depth", F.col("depth").cast("int"))
+
+
+@query(f"""WITH {TAGS}, x AS (SELECT *, lag(name) OVER w AS b_name, lead(pos) OVER w AS after FROM d WINDOW w AS (PARTITION BY page_id, depth ORDER BY pos)),
+p AS (SELECT page_id, pos, name, b_name, CASE WHEN closes AND depth < 0 THEN 'closed' WHEN closes AND b_name IS DISTINCT FROM name THEN 'crossed' WHEN NOT closes AND after IS NULL THEN 'unclosed' END AS problem FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY problem = 'unclosed', CASE WHEN problem = 'unclosed' THEN -pos ELSE pos END) AS n FROM p WHERE problem IS NOT NULL)
+SELECT page_id, problem, pos, CASE problem WHEN 'unclosed' THEN name || '_close' WHEN 'crossed' THEN b_name || '_close' END AS expected, CASE WHEN problem <> 'unclosed' THEN name || '_close' END AS found FROM r WHERE n = 1""")
+def token_problems(spark, sf_dir):
+    return nesting.problems(_tags(spark, sf_dir), ["page_id"])
+
+
+# Markdown of each turn, with words in place of %c (the text), %r (the role) and %t (the turn), and the same normalized.
+_WILD = """%r *first*
+===
+
+* %c
+  lazy __%r__
+* two
+    1) %c
+    2) b
+
+       more
+  ~~~py
+  # %c
+
+  ~~~
+* * *
+> %c
+tail
+> - in %t
+
+| %r | n |
+|:-:|--|
+| %c | %t |
+| a \\| b |
+
+7. seven
+7. %c
+## ##
+\tcode %c
+"""
+_TAME = """* %c
+  lazy **%r**
+* two
+
+  1) %c
+  2) b
+
+     more
+
+  ~~~py
+  # %c
+  ~~~
+
+***
+
+> %c
+> tail
+>
+> - in %t
+
+| %r | n |
+| :---: | --- |
+| %c | %t |
+| a \\| b |  |
+
+7. seven
+8. %c"""
+_WILD_INLINE = "_%c_ **%r *x*** ``%c`` [%r](<a b.md> 't') ![%c](i.png) \\*%t\\* ~~%c~~  \nnext &lt;%r&gt; <u>%c</u> <http://e.org/%t> [%t] *open"
+_TAME_INLINE = "*%c* **%r *x*** `%c` [%r](a%20b.md) ![%c](i.png) *%t* ~~%c~~  \nnext <%r> <u>%c</u> [http://e.org/%t](http://e.org/%t) [%t] *open"
+
+
+def _filled(template: str) -> str:
+    """SQL for a template, with the words of columns c, role and turn."""
+    return f"replace(replace(replace('{template.replace(chr(39), chr(39) * 2)}', '%c', c), '%r', role), '%t', turn::VARCHAR)"
+
+
+_WORDS = "w AS (SELECT conv_id, turn, role, coalesce(nullif(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ''), 'none') AS c FROM conversations)"
+
+
+def _templated(spark, sf_dir, template):
+    words = F.coalesce(F.nullif(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), F.lit("")), F.lit("none"))
+    md = F.lit(template)
+    for mark, value in (("%c", words), ("%r", F.col("role")), ("%t", F.col("turn").cast("string"))):
+        md = F.replace(md, F.lit(mark), value)
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", md.alias("md"))
+
+
+@query(f"""WITH {_WORDS} SELECT conv_id, turn, 1 AS pos, 1 AS level, role || ' *first*' AS heading, {_filled(_TAME)} AS content FROM w
+UNION ALL SELECT conv_id, turn, 2, 2, 'Untitled Section 2', 'code ' || c FROM w""")
+def markdown_blocks(spark, sf_dir):
+    return blocks.sections(_templated(spark, sf_dir, _WILD), ["conv_id", "turn"], "md").select("conv_id", "turn", "pos", "level", "heading", "content")
+
+
+@query(f"WITH {_WORDS} SELECT conv_id, turn, {_filled(_TAME_INLINE)} AS text, NULL::VARCHAR AS problem FROM w")
+def inline_markup(spark, sf_dir):
+    return blocks.inline_text(blocks.inline_tokens(_templated(spark, sf_dir, _WILD_INLINE), ["conv_id", "turn"], "md"), ["conv_id", "turn"])
+
+
 # A markdown file of each conversation: headings of levels 1 to 3, text below.
 def _files(spark, sf_dir):
     block = F.concat(F.repeat(F.lit("#"), (1 + (F.col("turn") * 2) % 3).cast("int")), F.lit(" "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.col("text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from . import blocks
 
 # Meta keys in order of preference.
 KEYS = {
@@ -80,47 +81,9 @@ def as_markdown(html: Column) -> Column:
     return T.plain_markdown(F.regexp_replace(unescape(F.regexp_replace(x, r"(?s)<[^>]*>", "")), r"[ \t]*\n[ \t]*", "\n"))
 
 
-FENCE = r"^ {0,3}(`{3,}|~{3,})"
-
-
 def markdown_sections(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, pos, heading, level, content: the sections of markdown texts, in order.
-
-    Every heading outside code fences, ``# text`` or underlined by = or -, starts
-    a section; its closing marks are dropped.  What stands before the first one
-    is the Introduction, of level 1.  Sections without content are left out; a
-    heading without text is "Untitled Section n", n being one more than the
-    sections kept before it.  Lists, tables and fences keep their lines.
-    """
-    from pyspark.sql import Window
-
-    lines = df.select(*keys, F.posexplode(F.split(T.unix_newlines(F.col(text)), "\n")).alias("at", "line"))
-    w = Window.partitionBy(*keys).orderBy("at")
-    mark = F.regexp_extract("line", FENCE, 1)
-    # A fence is closed by one of its own kind that is as long; each state is the fence that is open after a line.
-    marks = lines.withColumn("_mark", mark).withColumn("_bare", F.col("line").rlike(r"^ {0,3}(`{3,}|~{3,})\s*$"))
-    opened = F.aggregate(
-        F.collect_list(F.struct("_mark", "_bare")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(""),
-        lambda fence, x: F.when(x["_mark"] == "", fence).when(fence == "", x["_mark"]).when(x["_bare"] & x["_mark"].startswith(fence), "").otherwise(fence))
-    # Only lines with a mark can change the state, so only they are gathered.
-    fenced = marks.where("_mark != ''").select(*keys, "at", F.when(opened == "", F.lit("open")).otherwise(F.when(F.col("_bare") & F.col("_mark").startswith(opened), "close").otherwise("in")).alias("_state"))
-    states = marks.join(fenced, [*keys, "at"], "left")
-    inside = F.coalesce(F.last(F.when(F.col("_state").isin("open", "close"), F.col("_state")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("close")) == "open"
-    s = states.withColumn("_in", inside | F.col("_state").isNotNull()).withColumn("_next", F.lead("line").over(w)).withColumn("_prev", F.lag("line").over(w))
-    atx = ~F.col("_in") & F.col("line").rlike(r"^ {0,3}#{1,6}(?:[ \t]|$)")
-    plain = ~F.col("_in") & F.col("line").rlike(r"\S") & ~F.col("line").rlike(r"^(?: {4}|\t| {0,3}(?:[>|]|[-*+][ \t]|\d{1,9}[.)][ \t]|#{1,6}(?:[ \t]|$)))")
-    single = F.col("_prev").isNull() | ~F.col("_prev").rlike(r"\S")  # a paragraph of one line
-    under = plain & single & F.coalesce(F.col("_next").rlike(r"^ {0,3}(?:=+|-+)[ \t]*$"), F.lit(False)) & ~F.col("line").rlike(r"^ {0,3}(?:[-*_][ \t]*){3,}$")
-    s = s.withColumn("_level", F.when(atx, F.length(F.regexp_extract("line", r"^ {0,3}(#+)", 1))).when(under, F.when(F.col("_next").contains("="), 1).otherwise(2)).otherwise(0)).withColumn("_under", under)
-    s = s.withColumn("_rule", F.coalesce(F.lag("_under").over(w), F.lit(False))).withColumn("section", F.sum((F.col("_level") > 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    named = F.when(atx, F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"^ {0,3}#{1,6}", ""), r"[ \t]+#+[ \t]*$", ""), r"^[ \t]*#+[ \t]*$", "")).otherwise(F.col("line"))
-    body = F.array_sort(F.collect_list(F.when((F.col("_level") == 0) & ~F.col("_rule"), F.struct("at", "line"))))
-    out = s.groupBy(*keys, "section").agg(F.max("_level").alias("level"), F.max(F.when(F.col("_level") > 0, T.strip(named))).alias("heading"), T.strip(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("content"))
-    by = Window.partitionBy(*keys).orderBy("section")
-    before = F.coalesce(F.sum((F.col("content") != "").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heading = F.when(F.col("section") == 0, "Introduction").when(F.coalesce("heading", F.lit("")) == "", F.format_string("Untitled Section %d", before + 1)).otherwise(F.col("heading"))
-    full = out.withColumns({"heading": heading, "level": F.greatest("level", F.lit(1)), "pos": (before + 1).cast("int")})
-    return full.where("content != ''").select(*keys, "pos", "heading", "level", "content")
+    """keys, pos, heading, level, content: the sections of markdown texts, in order; ``blocks.sections`` says how."""
+    return blocks.sections(df, keys, text)
 
 
 def section_problem(heading: Column, level: Column, content: Column) -> Column:

@@ -121,10 +121,10 @@ def test_article_sections(spark):
     df = spark.createDataFrame([(1, md), (2, "# only"), (3, "~~~py\n# x\n~~~ no\n# y\n~~~~\n# z\nq")], "k int, md string")
     out = article.markdown_sections(df, ["k"], "md")
     got = [(r.heading, r.level, r.content) for r in out.where("k = 1").orderBy("pos").collect()]
-    assert got == [("Introduction", 1, "lead"), ("One", 1, "a\n```\n# no\n~~~\n```"), ("Untitled Section 3", 2, "- x\n  - y"), ("Set", 1, "| a |\n|---|\n| b |"), ("Under", 2, "z\n\n---\n\nw")]
-    assert [(r.k, r.heading, r.content) for r in out.where("k > 1").orderBy("k", "pos").collect()] == [(3, "Introduction", "~~~py\n# x\n~~~ no\n# y\n~~~~"), (3, "z", "q")]
+    assert got == [("Introduction", 1, "lead"), ("One", 1, "a\n\n```\n# no\n~~~\n```"), ("Untitled Section 3", 2, "- x\n\n  - y"), ("Set", 1, "| a |\n| --- |\n| b |"), ("Under", 2, "z\n\n---\n\nw")]
+    assert [(r.k, r.heading, r.content) for r in out.where("k > 1").orderBy("k", "pos").collect()] == [(3, "Introduction", "~~~py\n# x\n~~~ no\n# y\n~~~"), (3, "z", "q")]
     c = article.section_chapters(out.where("k = 1"), ["k"], tokens=lambda x: F.length(x).cast("long")).orderBy("chapter_idx").collect()
-    assert [(r.title, r.display) for r in c[:3]] == [("# Introduction", "00:00:00"), ("# One", "00:00:10"), ("## Untitled Section 3", "00:00:22")] and c[0].transcript == "# Introduction\n\nlead"
+    assert [(r.title, r.display) for r in c[:3]] == [("# Introduction", "00:00:00"), ("# One", "00:00:10"), ("## Untitled Section 3", "00:00:23")] and c[0].transcript == "# Introduction\n\nlead"
     counts = article.section_counts(spark.createDataFrame([(1, "a"), (1, " "), (2, None)], "k int, content string"), ["k"]).orderBy("k").collect()
     assert [(r.chapters, r.skipped, r.problem is None) for r in counts] == [(1, 1, True), (0, 1, False)]
     p = spark.createDataFrame([("h", 1, "c"), (" ", 1, "c"), ("h", 0, "c"), ("h", 1, " # c")], "h string, l int, c string")
