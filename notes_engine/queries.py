@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import urls as U
 from .operators import batching, nesting, order, tree, usage
-from .sources import article, blocks, markdown, video
+from .sources import article, blocks, html, markdown, video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -250,25 +250,64 @@ SELECT page_id, canonical AS url, substring(sha256(canonical), 1, 16) AS content
   regexp_replace(regexp_extract(html, 'byl" content="By: ([^"]*)"', 1), ' +', ' ', 'g') AS author, strftime(strptime(regexp_extract(html, 'pubdate" content="([^"]*)"', 1), '%B %-d, %Y'), '%Y-%m-%dT00:00:00') AS upload_date FROM m JOIN c USING (page_id)""")
 def article_meta_tags(spark, sf_dir):
     n = F.col("page_id")
-    html = F.format_string(_HEAD, n, n, n, 1 + n % 9, n, n, n)
-    return article.metadata(read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), "page_id").select("page_id", "url", "content_id", "title", "title_source", "description", "author", "upload_date")
+    head = F.format_string(_HEAD, n, n, n, 1 + n % 9, n, n, n)
+    return article.metadata(read(spark, sf_dir, "pages").select("page_id", "url", head.alias("html")), "page_id").select("page_id", "url", "content_id", "title", "title_source", "description", "author", "upload_date")
 
 
 WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\s\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
 _PLAIN = "replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
 
 
-@query(rf"""WITH a AS (SELECT page_id, regexp_extract(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1) AS a FROM pages),
+ARTICLES = rf"""a AS (SELECT page_id, regexp_extract(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1) AS a FROM pages),
 b AS (SELECT page_id, regexp_extract(a, '(?is)<h1[^>]*>\s*(.*?)\s*</h1>', 1) AS h, regexp_replace(regexp_replace(a, '(?is)<h1[^>]*>.*?</h1>', '', 'g'), '(?is)<b\b[^>]*>(.*?)</b>', '**\1**', 'g') AS c FROM a),
 t AS (SELECT page_id, {_PLAIN.format("regexp_replace(h, '<[^>]*>', '', 'g')")} AS heading,
   {_PLAIN.format(r"regexp_replace(regexp_replace(regexp_replace(c, '(?is)<br\s*/?>', chr(10), 'g'), '(?is)</?(?:p|ul|ol|table|tr|blockquote|div|section)\b[^>]*>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g')")} AS c FROM b),
-n AS (SELECT page_id, trim(heading) AS heading, trim(regexp_replace(regexp_replace(c, '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) AS content FROM t)
+n AS (SELECT page_id, trim(heading) AS heading, trim(regexp_replace(regexp_replace(c, '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) AS content FROM t)"""
+
+
+@query(rf"""WITH {ARTICLES}
 SELECT page_id, 1 AS pos, 0 AS chapter_idx, heading, 1 AS level, content, '# ' || heading AS title, '00:00:00' AS display, len(regexp_extract_all('# ' || heading || ' ' || content, '{WORD}'))::BIGINT AS tokens FROM n WHERE content <> ''""")
 def article_sections(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", article.as_markdown(F.col("html")).alias("md"))
-    s = article.markdown_sections(p, ["page_id"], "md")
-    c = article.section_chapters(s, ["page_id"]).withColumn("pos", F.col("chapter_idx") + 1)
-    return s.join(c, ["page_id", "pos"]).select("page_id", "pos", "chapter_idx", "heading", "level", "content", "title", "display", "tokens")
+    s = article.with_chapters(article.markdown_sections(p, ["page_id"], "md"), ["page_id"])
+    return s.select("page_id", "pos", "chapter_idx", "heading", "level", "content", "title", "display", "tokens")
+
+
+# What each page's article gets at its end, and how it reads as markdown; boilerplate and lists of links go.
+_TAIL = """<h2>Lists &#38; &#x74;ables</h2><ul><li>one <a href="/a?x=1&amp;y=%d">link %d</a></li><li><p>two</p><ol start="3"><li>three<li>four</ol>tail</li></ul><table><tr><th>k</th><th>v|w</th></tr><tr><td>%d</td><td><p>x</p><p><b>y</b></p></td></tr></table><blockquote><p>quoted <em>%d</em></p></blockquote><pre>a  &lt; b
+  c</pre><div class="share box"><p>share</p><div>inner</div></div><div><a href="/1">more</a> <a href="/2">links</a></div><nav>up</nav><p>last <code>x_y</code><br>line</p>"""
+_TAIL_TEXT = """## Lists & tables
+
+- one [link %d](/a?x=1&y=%d)
+- two
+    3. three
+    4. four
+
+    tail
+
+| k | v\\|w |
+| --- | --- |
+| %d | x **y** |
+
+> quoted *%d*
+
+```
+a  < b
+  c
+```
+
+last `x_y`
+line
+"""
+
+
+@query(f"""WITH {ARTICLES}, ps AS (SELECT page_id, heading, unnest(string_split(content, chr(10) || chr(10))) AS p, generate_subscripts(string_split(content, chr(10) || chr(10)), 1) AS i FROM n),
+pk AS (SELECT *, row_number() OVER (PARTITION BY page_id, p ORDER BY i) AS times FROM ps),
+pd AS (SELECT page_id, heading, coalesce(string_agg(p, chr(10) || chr(10) ORDER BY i) FILTER (length(p) < 100 OR times <= 2), '') AS content FROM pk GROUP BY ALL)
+SELECT page_id, '# ' || heading || chr(10) || chr(10) || CASE WHEN content <> '' THEN content || chr(10) || chr(10) ELSE '' END || replace('{_TAIL_TEXT}', '%d', page_id::VARCHAR) AS markdown, NULL::VARCHAR AS problem, false AS short FROM pd""")
+def page_articles(spark, sf_dir):
+    tail = F.replace(F.lit(_TAIL + "</article>"), F.lit("%d"), F.col("page_id").cast("string"))
+    return html.articles(read(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("</article>"), tail).alias("html")), ["page_id"], "html")
 
 
 # Tags of pages as opening and closing tokens; elements that HTML leaves open are not among them, but some bodies are cut off.

@@ -91,15 +91,19 @@ def section_problem(heading: Column, level: Column, content: Column) -> Column:
     return F.when(F.coalesce(T.strip(heading), F.lit("")) == "", "heading").when(F.coalesce(level, F.lit(0)) < 1, "level").when(T.strip(content).startswith("#"), "content")
 
 
-def section_chapters(sections: DataFrame, keys: list[str], tokens=T.token_estimate) -> DataFrame:
-    """keys, chapter_idx, title, display, transcript, tokens: sections as chapters, shown by the time at which reading reaches them."""
+def with_chapters(sections: DataFrame, keys: list[str], tokens=T.token_estimate) -> DataFrame:
+    """``sections`` with content, as chapters: chapter_idx, title, display, transcript and tokens beside their columns; shown by the time at which reading reaches them."""
     from pyspark.sql import Window
 
     good = sections.where(T.strip(F.col("content")) != "")
     title = F.concat(T.heading_mark(F.col("level")), F.lit(" "), T.strip(F.col("heading")))
     full = good.withColumn("title", title).withColumn("transcript", F.concat("title", F.lit("\n\n"), T.strip(F.col("content")))).withColumn("tokens", tokens(F.col("transcript")))
-    numbered = reading_chapters(full, keys).withColumn("chapter_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1)
-    return numbered.select(*keys, "chapter_idx", "title", "display", "transcript", "tokens")
+    return reading_chapters(full, keys).withColumn("chapter_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1)
+
+
+def section_chapters(sections: DataFrame, keys: list[str], tokens=T.token_estimate) -> DataFrame:
+    """keys, chapter_idx, title, display, transcript, tokens of the chapters that sections become."""
+    return with_chapters(sections, keys, tokens).select(*keys, "chapter_idx", "title", "display", "transcript", "tokens")
 
 
 def section_counts(sections: DataFrame, keys: list[str]) -> DataFrame:
