@@ -15,6 +15,11 @@ def unix_newlines(x: Column) -> Column:
     return F.regexp_replace(x, r"\r\n?", "\n")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)``, with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

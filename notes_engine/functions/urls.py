@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Fixed values.
 TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid"]
 VIDEO_HOSTS = ["youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com", "youtu.be", "www.youtu.be"]
@@ -35,15 +37,23 @@ def _joined(scheme: Column, authority: Column, rest: Column) -> Column:
     return F.concat(head, rest)
 
 
+def _parts(url: Column) -> Column:
+    return F.struct(*[part(url, k).alias(n) for k, n in enumerate(("scheme", "authority", "path", "query"), 1)])
+
+
 def canonical(url: Column) -> Column:
     """Scheme and host in lower case; no trailing slash, fragment or tracking parameters; the query encoded anew."""
-    path = F.when(part(url, 3) == "/", F.lit("/")).otherwise(F.regexp_replace(part(url, 3), "/+$", ""))
-    pairs = F.transform(F.filter(F.split(part(url, 4), "&"), lambda p: p != ""), lambda p: F.struct(
-        _decoded(F.substring_index(p, "=", 1)).alias("name"), _decoded(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("value")))
-    kept = F.filter(pairs, lambda p: ~p["name"].startswith("utm_") & ~p["name"].isin(TRACKING))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["name"]), F.lit("="), _encoded(p["value"]))), "&")
-    head = _joined(F.lower(part(url, 1)), F.lower(part(url, 2)), path)
-    return F.when(query == "", head).otherwise(F.concat(head, F.lit("?"), query))
+
+    def whole(u: Column) -> Column:
+        path = F.when(u["path"] == "/", F.lit("/")).otherwise(F.regexp_replace(u["path"], "/+$", ""))
+        pairs = F.transform(F.filter(F.split(u["query"], "&"), lambda p: p != ""), lambda p: F.struct(
+            _decoded(F.substring_index(p, "=", 1)).alias("name"), _decoded(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("value")))
+        kept = F.filter(pairs, lambda p: ~p["name"].startswith("utm_") & ~p["name"].isin(TRACKING))
+        query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["name"]), F.lit("="), _encoded(p["value"]))), "&")
+        head = _joined(F.lower(u["scheme"]), F.lower(u["authority"]), path)
+        return let(query, lambda q: F.concat(head, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
+
+    return let(_parts(url), whole)
 
 
 def _without_dots(path: Column) -> Column:
@@ -57,21 +67,19 @@ def _without_dots(path: Column) -> Column:
 
 def resolved(base: Column, link: Column) -> Column:
     """A link of a page at ``base`` as a whole address."""
-    x = F.trim(link)
-    own = F.regexp_extract(x, r"^([^?#]*)", 1)
-    tail = F.substring(x, F.length(own) + 1, F.length(x))
-    here = lambda rest: _joined(part(base, 1), part(base, 2), rest)
-    folder = F.regexp_replace(F.when(part(base, 3) == "", F.lit("/")).otherwise(part(base, 3)), "[^/]*$", "")
-    query = F.when(part(base, 4) == "", "").otherwise(F.concat(F.lit("?"), part(base, 4)))
-    return (
-        F.when(x == "", base)
-        .when(part(x, 1) != "", x)
-        .when(x.startswith("//"), F.concat(part(base, 1), F.lit(":"), x))
-        .when(x.startswith("/"), here(F.concat(_without_dots(own), tail)))
-        .when(x.startswith("?"), here(F.concat(part(base, 3), x)))
-        .when(x.startswith("#"), F.concat(here(F.concat(part(base, 3), query)), x))
-        .otherwise(here(F.concat(_without_dots(F.concat(folder, own)), tail)))
-    )
+
+    def whole(u: Column) -> Column:
+        x, b = u["link"], u["base"]
+        own = F.regexp_extract(x, r"^([^?#]*)", 1)
+        tail = F.regexp_replace(x, r"^[^?#]*", "")
+        folder = F.regexp_replace(F.when(b["path"] == "", F.lit("/")).otherwise(b["path"]), "[^/]*$", "")
+        query = F.when(b["query"] == "", "").otherwise(F.concat(F.lit("?"), b["query"]))
+        path = let(F.when(x.startswith("/"), own).otherwise(F.concat(folder, own)), _without_dots)
+        rest = F.when(x.startswith("?"), F.concat(b["path"], x)).when(x.startswith("#"), F.concat(b["path"], query, x)).otherwise(F.concat(path, tail))
+        here = _joined(b["scheme"], b["authority"], rest)
+        return F.when(x == "", base).when(part(x, 1) != "", x).when(x.startswith("//"), F.concat(b["scheme"], F.lit(":"), x)).otherwise(here)
+
+    return let(F.struct(F.trim(link).alias("link"), _parts(base).alias("base")), whole)
 
 
 def short_id(url: Column) -> Column:
@@ -92,11 +100,6 @@ REFUSED_V6 = [("2001 0 0", 23), ("2001 db8 0", 32), ("2002 0 0", 16)]
 ALLOWED_V6 = [("2001 3 0", 32), ("2001 4 112", 48), ("2001 20 0", 28), ("2001 30 0", 28)]
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)``, with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _within(number: Column, networks: list[tuple[str, int]], width: int) -> Column:
     """Whether the first ``width`` bits of an address lie in one of the networks."""
     out = F.lit(False)
@@ -111,33 +114,33 @@ def _v4(x: Column) -> Column:
     """A four-part address as a number; null if it is none."""
     good = lambda b: b.rlike(r"^(0|[1-9]\d{0,2})\z") & (b.try_cast("int") <= 255)
     number = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, p: n * 256 + p.try_cast("long"))
-    return _let(F.split(x, r"\."), lambda b: F.when((F.size(b) == 4) & F.forall(b, good), number(b)))
+    return let(F.split(x, r"\."), lambda b: F.when((F.size(b) == 4) & F.forall(b, good), number(b)))
 
 
 def _private_v4(number: Column) -> Column:
-    return _let(number, lambda n: _within(n, REFUSED_V4, 32) & ~_within(n, ALLOWED_V4, 32))
+    return let(number, lambda n: _within(n, REFUSED_V4, 32) & ~_within(n, ALLOWED_V4, 32))
 
 
 def _v6(x: Column) -> Column:
     """The eight parts of a six-part address (text without brackets) as numbers; null if it is none."""
     none = F.array().cast("array<string>")
     dotted = lambda n: F.concat(F.regexp_replace(x, r"[^:]*\z", ""), F.lower(F.hex(F.call_function("div", n, F.lit(65536)))), F.lit(":"), F.lower(F.hex(n % 65536)))
-    whole = _let(_v4(F.regexp_extract(x, r"([^:]*)\z", 1)), lambda n: F.when(n.isNull(), x).otherwise(dotted(n)))
+    whole = let(_v4(F.regexp_extract(x, r"([^:]*)\z", 1)), lambda n: F.when(n.isNull(), x).otherwise(dotted(n)))
     pieces = lambda side: F.coalesce(F.filter(F.split(side, ":"), lambda p: p != ""), none)
 
     def parts(w: Column) -> Column:
         sides = F.split(w, "::", 2)
         both = F.struct(pieces(F.get(sides, F.lit(0))).alias("left"), pieces(F.get(sides, F.lit(1))).alias("right"), (F.size(sides) == 2).alias("short"))
-        return _let(both, lambda s: _let(F.lit(8) - F.size(s["left"]) - F.size(s["right"]), lambda missing: F.when(
+        return let(both, lambda s: let(F.lit(8) - F.size(s["left"]) - F.size(s["right"]), lambda missing: F.when(
             ~w.contains(":::") & (F.size(F.split(w, "::")) <= 2) & F.when(s["short"], missing > 0).otherwise(missing == 0) & F.forall(F.concat(s["left"], s["right"]), lambda p: p.rlike(r"^[0-9a-f]{1,4}\z")),
             F.transform(F.concat(s["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), s["right"]), lambda p: F.conv(p, 16, 10).cast("long")))))
 
-    return _let(whole, lambda w: F.when(w.rlike(r"^[0-9a-f:]+\z") & w.contains(":"), parts(w)))
+    return let(whole, lambda w: F.when(w.rlike(r"^[0-9a-f:]+\z") & w.contains(":"), parts(w)))
 
 
 def _private_v6(parts: Column) -> Column:
     first = lambda p: (F.get(p, F.lit(0)) * 65536 + F.get(p, F.lit(1))) * 65536 + F.get(p, F.lit(2))
-    return _let(parts, lambda p: _let(first(p), lambda n: ~_within(n, OPEN_V6, 48) | _within(n, REFUSED_V6, 48) & ~_within(n, ALLOWED_V6, 48)))
+    return let(parts, lambda p: let(first(p), lambda n: ~_within(n, OPEN_V6, 48) | _within(n, REFUSED_V6, 48) & ~_within(n, ALLOWED_V6, 48)))
 
 
 def refusal(url: Column) -> Column:
@@ -156,7 +159,7 @@ def refusal(url: Column) -> Column:
 
     u = F.trim(url)
     bare = lambda h: F.regexp_extract(h, r"^\[(.*)\]$", 1)
-    return _let(host(u), lambda h: _let(F.struct(u.alias("url"), h.alias("host"), _v6(bare(h)).alias("six"), _private_v4(_v4(h)).alias("four")), judged))
+    return let(host(u), lambda h: let(F.struct(u.alias("url"), h.alias("host"), _v6(bare(h)).alias("six"), _private_v4(_v4(h)).alias("four")), judged))
 
 
 def is_video_id(x: Column) -> Column:

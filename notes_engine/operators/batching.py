@@ -56,11 +56,15 @@ def checked(expected: DataFrame, returned: DataFrame) -> DataFrame:
     ``expected`` and ``returned``: batch_id, temp_id.  The status is count,
     duplicate, incorrect_ids or ok; the first that applies.
     """
-    e = expected.select("batch_id", "temp_id").distinct().withColumn("e", F.lit(1))
-    r = returned.groupBy("batch_id", "temp_id").agg(F.count(F.lit(1)).alias("r"))
-    both = e.join(r, ["batch_id", "temp_id"], "full_outer").groupBy("batch_id").agg(
-        F.coalesce(F.sum("e"), F.lit(0)).alias("n_expected"), F.coalesce(F.sum("r"), F.lit(0)).alias("n_returned"),
-        F.count_if(F.col("r") > 1).alias("twice"), F.count_if(F.col("e").isNull() | F.col("r").isNull()).alias("wrong"))
+    side = lambda df, e, r: df.select("batch_id", "temp_id", F.lit(e).alias("expected"), F.lit(r).alias("returned"))
+    return tallied(side(expected, 1, 0).unionByName(side(returned, 0, 1)))
+
+
+def tallied(sides: DataFrame) -> DataFrame:
+    """``checked`` for expected and returned ids in one table: batch_id, temp_id, expected, returned (1 or 0)."""
+    ids = sides.groupBy("batch_id", "temp_id").agg(F.max("expected").alias("e"), F.sum("returned").alias("r"))
+    both = ids.groupBy("batch_id").agg(
+        F.sum("e").cast("long").alias("n_expected"), F.sum("r").alias("n_returned"), F.count_if(F.col("r") > 1).alias("twice"), F.count_if((F.col("e") == 0) | (F.col("r") == 0)).alias("wrong"))
     status = F.when(F.col("n_expected") != F.col("n_returned"), "count").when(F.col("twice") > 0, "duplicate").when(F.col("wrong") > 0, "incorrect_ids").otherwise("ok")
     return both.select("batch_id", "n_expected", "n_returned", status.alias("status"))
 

@@ -604,9 +604,14 @@ def model_batches(spark, sf_dir):
 
 # Answers to the batches: some items are lost, some twice, some under another id.
 def _answers(spark, sf_dir):
-    b = _batched(spark, sf_dir)
+    b = _named(spark, sf_dir)
+    return b, b.where("back").select("batch_id", F.col("name").alias("temp_id"))
+
+
+def _named(spark, sf_dir):
+    """Batches with the name under which each id comes back, if it does."""
     name = F.when((F.col("doc_id") % 4 == 3) & (F.col("temp_id") == "N1"), "N99").when((F.col("doc_id") % 4 == 2) & (F.col("temp_id") == "N2"), "N1").otherwise(F.col("temp_id"))
-    return b, b.where(~((F.col("doc_id") % 4 == 1) & (F.col("temp_id") == "N1"))).select("batch_id", name.alias("temp_id"))
+    return _batched(spark, sf_dir).withColumns({"name": name, "back": ~((F.col("doc_id") % 4 == 1) & (F.col("temp_id") == "N1"))})
 
 
 ANSWERS = f"""{BATCHES}, rt AS (SELECT batch_id, CASE WHEN doc_id % 4 = 3 AND temp_id = 'N1' THEN 'N99' WHEN doc_id % 4 = 2 AND temp_id = 'N2' THEN 'N1' ELSE temp_id END AS temp_id FROM bt WHERE NOT (doc_id % 4 = 1 AND temp_id = 'N1'))"""
@@ -617,7 +622,8 @@ x AS (SELECT DISTINCT batch_id FROM ((SELECT batch_id, temp_id FROM bt EXCEPT SE
 SELECT e.batch_id, e.n::BIGINT AS n_expected, coalesce(r.n, 0)::BIGINT AS n_returned, CASE WHEN e.n <> coalesce(r.n, 0) THEN 'count' WHEN r.n <> r.d THEN 'duplicate' WHEN x.batch_id IS NOT NULL THEN 'incorrect_ids' ELSE 'ok' END AS status
 FROM e LEFT JOIN r USING (batch_id) LEFT JOIN x USING (batch_id)""")
 def batch_validation(spark, sf_dir):
-    return batching.checked(*_answers(spark, sf_dir))
+    side = lambda name, e, r: F.struct(F.col(name).alias("temp_id"), F.lit(e).alias("expected"), F.when(F.col("back"), r).otherwise(0).alias("returned"))
+    return batching.tallied(_named(spark, sf_dir).select("batch_id", F.inline(F.array(side("temp_id", 1, 0), side("name", 0, 1)))))
 
 
 @query(f"""WITH {ANSWERS} SELECT batch_id, temp_id, 'missing' AS side FROM (SELECT batch_id, temp_id FROM bt EXCEPT SELECT batch_id, temp_id FROM rt) UNION ALL
