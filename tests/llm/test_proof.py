@@ -104,12 +104,131 @@ def test_a_lost_writer_does_not_wedge_the_store(spark, tmp_path):
     with pytest.raises(compaction.Conflict):  # its writer may still be at work
         store.append(spark.range(3), F.lit(2))
     os.utime(torn, (1, 1))
-    assert store.append(spark.range(4), F.lit(2)).version == 2 and store.read().count() == 7
+    assert store.append(spark.range(4), F.lit(2)).version == 3 and store.read().count() == 7  # number 2 stays unused
+    assert torn.read_text() == '{"version": 2, "sch'
     with pytest.raises(LookupError):
         (tmp_path / "s" / "manifest" / "v00000009.json").write_text("")
         store.manifest(9)
 
 
+def test_appends_with_other_columns(spark, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(spark.createDataFrame([(1, "x"), (2, None)], "a long, b string"), F.lit(1))
+    store.append(spark.createDataFrame([(3,)], "a long"), F.lit(1))
+    store.append(spark.createDataFrame([(1.5, 4)], "c double, A long"), F.lit(1))
+    want = {(1, "x", None), (2, None, None), (3, None, None), (4, None, 1.5)}
+    assert {(r.a, r.b, r.c) for r in store.read(shard=None).collect()} == want
+    runs = set(os.listdir(tmp_path / "s" / "data"))
+    with pytest.raises(compaction.SchemaConflict):
+        store.append(spark.createDataFrame([("5",)], "a string"), F.lit(1))
+    assert set(os.listdir(tmp_path / "s" / "data")) == runs and store.manifest().version == 3
+    store.compact(fan=2, least=1, target=1 << 30)
+    store.vacuum()
+    assert {(r.a, r.b, r.c) for r in store.read(shard=None).collect()} == want
+
+
+def test_two_writers_and_a_stale_claim(spark, tmp_path, monkeypatch):
+    """A writer that was only slow, and two that pass its claim over: no finished version is lost."""
+    path = f"file://{tmp_path}/s"
+    a, b, slow = (compaction.ShardStore(spark, path) for _ in range(3))
+    a.append(spark.range(3), F.lit(1))
+    torn = tmp_path / "s" / "manifest" / "v00000002.json"
+    torn.write_text("")
+    os.utime(torn, (1, 1))
+    both = [x._change(set(), {f"{k}-1": {"path": f"data/{k}/_shard=1", "bytes": 1}}) for k, x in (("a", a), ("b", b))]
+    assert [m.version for m in both] == [3, 4] and {"a-1", "b-1"} <= slow.manifest().shards.keys()
+
+    # The slow writer of version 5 creates its claim; before it writes its name, another one passes it over.
+    real, done = slow._claim, []
+
+    def passed(version):
+        if not done and version == 5:
+            done.append(1)
+            monkeypatch.setattr(compaction, "LEASE_MS", 0)
+            monkeypatch.setattr(a, "_abandoned", lambda v: True)
+            done.append(a._change(set(), {"late-1": {"path": "data/late/_shard=1", "bytes": 1}}).version)
+        return real(version)
+
+    claimed = slow._claimed
+
+    def slowly(name):
+        out = claimed(name)
+        passed(5)
+        return out
+
+    monkeypatch.setattr(slow, "_claimed", slowly)
+    with pytest.raises(compaction.Conflict):
+        slow.commit(compaction.Manifest(5, "", 4, {}))
+    assert done[1] == 6 and "late-1" in a.manifest().shards and {"a-1", "b-1"} <= a.manifest().shards.keys()
+
+
+def test_a_claim_finished_late_stops_the_one_that_passed_it(spark, tmp_path, monkeypatch):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(spark.range(3), F.lit(1))
+    claim = tmp_path / "s" / "manifest" / "v00000002.json"
+    claim.write_text("")
+    os.utime(claim, (1, 1))
+    real = store._abandoned
+
+    def late(version):
+        gone = real(version)
+        (tmp_path / "s" / "manifest" / "m00000002-w.json").write_text('{"version": 2, "after": 1, "schema": "", "shards": {}}')
+        claim.write_text('{"writer": "w"}')
+        return gone
+
+    monkeypatch.setattr(store, "_abandoned", late)
+    with pytest.raises(compaction.Conflict):
+        store.commit(compaction.Manifest(3, "", 1, {}))
+    assert store.manifest().version == 2 and store._claim(3) == ""
+
+
+def test_vacuum_spares_open_writes(spark, tmp_path, monkeypatch):
+    store, other = (compaction.ShardStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    assert store.vacuum() == 0  # a new store
+    store.append(spark.range(5), F.lit(1))
+    write = store._write
+
+    def with_vacuum(*args):
+        out = write(*args)
+        assert other.vacuum() == 0
+        return out
+
+    monkeypatch.setattr(store, "_write", with_vacuum)
+    store.append(spark.range(5), F.lit(2))
+    assert store.read().count() == 10 and os.listdir(tmp_path / "s" / "open") == []
+    monkeypatch.setattr(store, "_write", write)
+    monkeypatch.setattr(store, "_change", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.append(spark.range(7), F.lit(3))
+    assert other.vacuum() == 1 and other.read().count() == 10  # of the write that failed
+
+
+def test_a_race_of_appends_keeps_all_rows(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/s"
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: compaction.ShardStore(spark, path).append(spark.range(k, k + 1), F.lit(k)).version, range(6)))
+    assert len(set(versions)) == 6
+    assert sorted(r.id for r in compaction.ShardStore(spark, path).read().collect()) == list(range(6))
+
+
+def test_shards_of_the_query_against_the_files(spark, tmp_path, monkeypatch):
+    """op8's shard numbers, bytes and version against what lies in the store."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 50)) for i in range(400)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "scratch_dir", lambda _: f"file://{tmp_path}")
+    got = queries.op8_size_tiered_compaction(spark, str(tmp_path)).collect()
+    (root,) = tmp_path.glob("store-*")
+    files = {p: sum(f.stat().st_size for f in p.iterdir() if not f.name.startswith(".")) for p in root.glob("data/*/_shard*")}
+    names = sorted(files, key=lambda p: f"{p.parent.name}-{p.name.split('=')[1]}")
+    want = {}
+    for number, p in enumerate(names):
+        for r in spark.read.parquet(str(p)).collect():
+            want[r.doc_id] = (number, files[p], zlib.crc32(r.text.encode()), len(r.text), 2)
+    assert {r.doc_id: (r.shard, r.shard_bytes, r.text_crc32, r.text_bytes, r.version) for r in got} == want and len(want) == 400
+
+
 def test_compaction_plan_of_many_shards_is_fast():
     sizes = {f"s{i:06d}": 1000 + i % 977 for i in range(60_000)}
     groups = compaction.plan(sizes, least=100, target=1_000_000)
