@@ -2,7 +2,8 @@
 
 Filters of two, three and four bytes over byte embeddings, the maximum of each
 over a window, and a softmax; trained in numpy on all windows of a bounded sample
-of labelled texts, and applied to every window of every text in batches.
+of labelled texts, in whole passes over them, and applied to every window of every
+text in batches.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import SAMPLED, byte_bounded, others, tidied, whole_texts
 
 SAMPLE = 800  # labelled texts of each language, about, that the network is trained on at most
-STEPS = 2_400  # of the training, each on ``BATCH`` windows
-BATCH = 64
+EPOCHS, LEAST_STEPS = 2, 1_200  # passes over all windows of the sample; small samples take as many more as make so many steps
+BATCH = 64  # windows of a step
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
 UNKNOWN = "und"
 
@@ -55,28 +56,33 @@ class ByteCNN:
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = STEPS, rate: float = 0.004, seed: int = 6) -> ByteCNN:
-        """Steps of Adam on windows drawn by ``weight`` (all alike without it)."""
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, epochs: int = EPOCHS, rate: float = 0.004, seed: int = 6) -> ByteCNN:
+        """Adam over ``epochs`` passes, each over all windows in another order; ``weight`` (all alike without it) counts in the loss."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        upto = np.cumsum(np.ones(len(x)) if weight is None else weight)
-        for step in range(1, steps + 1):
-            at = np.searchsorted(upto, rng.random(BATCH) * upto[-1], "right").clip(max=len(x) - 1)
-            g, slow = self._gradients(x[at], y[at]), rate * (1 - 0.9 * step / steps)
-            for k, v in g.items():
-                m[k] = 0.9 * m[k] + 0.1 * v
-                s[k] = 0.999 * s[k] + 0.001 * v * v
-                self.p[k] -= (slow * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        weight = np.ones(len(x)) if weight is None else weight * (len(x) / weight.sum())
+        each = -(-len(x) // BATCH)
+        epochs = max(epochs, -(-LEAST_STEPS // each))
+        step, steps = 0, epochs * each
+        for _ in range(epochs):
+            order = rng.permutation(len(x))
+            for start in range(0, len(x), BATCH):
+                at, step = order[start : start + BATCH], step + 1
+                g, slow = self._gradients(x[at], y[at], weight[at]), rate * (1 - 0.9 * step / steps)
+                for k, v in g.items():
+                    m[k] = 0.9 * m[k] + 0.1 * v
+                    s[k] = 0.999 * s[k] + 0.001 * v * v
+                    self.p[k] -= (slow * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def _gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         cols, maps, pooled = self._pool(x)
         z = pooled @ self.p["out"] + self.p["out_b"]
         z = np.exp(z - z.max(1, keepdims=True))
         d = z / z.sum(1, keepdims=True)
         d[np.arange(len(y)), y] -= 1
-        d /= len(y)
+        d *= (weight / len(y)).astype(np.float32)[:, None]
         dp = (d @ self.p["out"].T) * (pooled > 0)
         top = maps.argmax(1)  # where each filter's maximum lies
         rows = cols[(np.arange(len(x)) * x.shape[1])[:, None] + top]  # window, filter, span * embed
@@ -108,7 +114,10 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> ByteCNN | None:
     Every language of the rows is a class, and all rows of a rare one are learned
     from.  Others are sampled by a threshold on a hash of id and text; rows that
     repeat both count once.  All windows of a text are learned from, and a text
-    weighs the same whatever its length; so do languages.  None without labels.
+    weighs the same whatever its length; so do languages.  The driver holds the
+    bytes of the sample and takes time for each of its windows: ``sample``,
+    languages and the lengths of texts bound both, not the number of rows.
+    None without labels.
     """
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and trim(text) != ''")
     key, chosen = F.xxhash64("doc_id", "text"), F.lit(False)
