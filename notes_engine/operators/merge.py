@@ -24,7 +24,7 @@ def hierarchies(nodes: DataFrame, keys: list[str]) -> DataFrame:
 def stores(store: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Merged store rows (keys, part_idx, node_id, ...), and (keys, problem) of sources whose parts repeat an id; those are left out."""
     times = store.groupBy(*keys, "node_id").agg(F.count_distinct("part_idx").alias("parts")).where("parts > 1")
-    problem = F.concat(F.lit("Duplicate CONTENT UUIDs detected while merging transcript parts: "), F.array_join(F.array_sort(F.collect_list("node_id")), ", "))
+    problem = F.concat(F.lit("repeated: "), F.array_join(F.array_sort(F.collect_list("node_id")), ", "))
     problems = times.groupBy(*keys).agg(problem.alias("problem"))
     return store.join(problems, keys, "left_anti").drop("part_idx"), problems
 

@@ -10,20 +10,14 @@ READY = ["youtube", "article", "markdown"]
 PLANNED = ["documentation", "book", "presentation"]
 
 
-# What a source is told that comes to its end without notes.
-NO_CONTENT = "Hierarchy validation failed: found %d CONTENT node(s). At least one CONTENT node is required."
-TOO_LARGE = ("Unable to split the transcript into valid parts. One or more transcript parts still exceed the configured maximum token limit. "
-             "Please choose additional breakpoints or reduce the maximum token limit.")
-
-
 def context_problem(total: Column, current: Column, parts: Column) -> Column:
     """Why a processing context is not valid, or null; the first that applies.  ``parts`` is the number of parts there are."""
     return (
-        F.when(total <= 0, "ProcessingContext.total_parts must be greater than zero.")
-        .when(parts <= 0, "ProcessingContext.content_parts is empty.")
-        .when(current < 1, "ProcessingContext.current_part must be >= 1.")
-        .when(current > total, "Current part exceeds total_parts.")
-        .when(current > parts, "Current part does not exist in content_parts.")
+        F.when(total <= 0, "total")
+        .when(parts <= 0, "no parts")
+        .when(current < 1, "current")
+        .when(current > total, "beyond total")
+        .when(current > parts, "beyond parts")
     )
 
 
@@ -53,7 +47,7 @@ def ended(sources: DataFrame) -> DataFrame:
     A source whose parts are too large (total_parts 0 or less) ends before one without content nodes; nulls have not got that far.
     """
     broken, empty = F.coalesce(F.col("total_parts") <= 0, F.lit(False)), F.coalesce(F.col("content_nodes") <= 0, F.lit(False))
-    message = F.when(broken, F.coalesce(F.nullif("error", F.lit("")), F.lit(TOO_LARGE))).otherwise(F.format_string(NO_CONTENT, "content_nodes"))
+    message = F.when(broken, F.coalesce(F.nullif("error", F.lit("")), F.lit("parts too large"))).otherwise("no content nodes")
     return sources.where(broken | empty).withColumns({"pipeline_complete": F.lit(False), "error_message": message})
 
 

@@ -756,7 +756,7 @@ def stored_trees(spark, sf_dir):
 @query("""WITH p AS (SELECT conv_id, turn, (turn % 3)::INT AS part_idx, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS n FROM conversations),
 d AS (SELECT conv_id, string_agg(id, ', ' ORDER BY id) AS ids FROM (SELECT conv_id, 'n' || (turn // (2 + conv_id % 2)) AS id FROM p GROUP BY ALL HAVING count(DISTINCT part_idx) > 1) GROUP BY conv_id)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part_idx, n)::INT AS node_pos, CASE WHEN n = 1 THEN 0 ELSE row_number() OVER (PARTITION BY conv_id ORDER BY part_idx, n) - n + 1 END::INT AS parent_pos, turn::BIGINT AS turn,
-  'Duplicate CONTENT UUIDs detected while merging transcript parts: ' || ids AS problem FROM p LEFT JOIN d USING (conv_id)""")
+  'repeated: ' || ids AS problem FROM p LEFT JOIN d USING (conv_id)""")
 def merged_parts(spark, sf_dir):
     from .operators import merge
 
@@ -790,7 +790,7 @@ def source_chapters(spark, sf_dir):
 @query("""WITH a AS (SELECT page_id, k AS attempt, CASE (page_id + k) % 5 WHEN 0 THEN 200 WHEN 1 THEN 503 WHEN 2 THEN 404 WHEN 3 THEN NULL ELSE 200 END AS status, CASE WHEN (page_id + k) % 5 = 3 THEN 'timeout' END AS error,
   CASE WHEN page_id % 4 = 0 THEN 'text/plain' ELSE 'text/html; charset=utf-8' END AS kind, html FROM pages, (SELECT unnest([1, 2, 3, 4]) AS k)),
 f AS (SELECT page_id, min(attempt) AS attempt FROM a WHERE attempt <= 3 AND (attempt = 3 OR NOT (coalesce(status, 0) = 503 OR error IS NOT NULL)) GROUP BY page_id),
-p AS (SELECT page_id, attempt, html, CASE WHEN error = 'timeout' THEN 'Timed out while downloading article.' WHEN status <> 200 THEN 'HTTP ' || status || ' while downloading article.' WHEN kind = 'text/plain' THEN 'Unsupported content type: ''text/plain''.' END AS problem FROM f JOIN a USING (page_id, attempt))
+p AS (SELECT page_id, attempt, html, CASE WHEN error = 'timeout' THEN 'timeout' WHEN status <> 200 THEN 'status: ' || status WHEN kind = 'text/plain' THEN 'content type: text/plain' END AS problem FROM f JOIN a USING (page_id, attempt))
 SELECT page_id, attempt::INT AS attempts, (2 ** (attempt - 1) - 1)::BIGINT AS waited, problem, CASE WHEN problem IS NULL THEN sha256(html) END AS body_hash FROM p""")
 def fetched_pages(spark, sf_dir):
     from .sources import fetched
@@ -802,9 +802,8 @@ def fetched_pages(spark, sf_dir):
     return fetched.outcomes(a).select(F.col("url").cast("long").alias("page_id"), "attempts", "waited", "problem", F.sha2("body", 256).alias("body_hash"))
 
 
-@query("""SELECT conv_id, CASE WHEN n % 4 = 0 THEN 'invalid_transcript_breakdown' WHEN n % 3 = 0 THEN 'hierarchy_validation_failed' ELSE 'go on' END AS state, CASE WHEN n % 4 = 0 THEN
-  'Unable to split the transcript into valid parts. One or more transcript parts still exceed the configured maximum token limit. Please choose additional breakpoints or reduce the maximum token limit.'
-  WHEN n % 3 = 0 THEN 'Hierarchy validation failed: found 0 CONTENT node(s). At least one CONTENT node is required.' END AS error_message FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)""")
+@query("""SELECT conv_id, CASE WHEN n % 4 = 0 THEN 'invalid_transcript_breakdown' WHEN n % 3 = 0 THEN 'hierarchy_validation_failed' ELSE 'go on' END AS state, CASE WHEN n % 4 = 0 THEN 'parts too large'
+  WHEN n % 3 = 0 THEN 'no content nodes' END AS error_message FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)""")
 def ended_sources(spark, sf_dir):
     from .plans import routing
 
