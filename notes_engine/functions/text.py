@@ -122,6 +122,94 @@ def iso_date(x: Column) -> Column:
     return F.when(date.isNull(), t).when(~timed, F.concat(date, F.lit("T00:00:00"))).when(right, F.concat(date, F.lit("T"), clock, part, zone)).otherwise(t)
 
 
+_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_TIME = r"(?i)(?:^|[T\s,])(\d{1,2})(?::(\d{2}))?(?::(\d{2})(?:\.\d+)?)?\s*([ap])\.?m\.?(?:\b|$)|(?:^|[T\s,])(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?"
+_DATE_WORDS = r"(?i)^(?:(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|mon(?:day)?|tue(?:s|sday)?|wed(?:nesday)?|thu(?:rs|rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?|of|the|at|on|\d+(?:st|nd|rd|th)?)[\s.,/'-]*)+$"
+
+
+def lenient_date(x: Column, reference: Column) -> Column:
+    """A date of loose form as a timestamp in ISO form; fields that the text lacks are those of the date ``reference``; null if it is none.
+
+    Words: names of months and days of the week, ordinals, *of*, *the*, *at*,
+    *on*.  Numbers: one of three digits or more is the year, as is one above 31;
+    without a month's name, three numbers are year, month and day if the year
+    comes first, else month, day and year, or day, month and year where the
+    first cannot be a month; two are a year and a month, or month and day.  A
+    year of two digits lies within fifty years of the reference.  The day is cut
+    to the last one of its month where it comes from the reference.
+    """
+
+    def told(s: Column) -> Column:
+        day, time = s["day"], s["time"]
+        names = F.transform(F.regexp_extract_all(F.lower(day), F.lit(r"[a-z]{3,}"), 0), lambda w: F.array_position(F.array(*map(F.lit, _MONTHS)), F.substring(w, 1, 3)))
+        month = F.coalesce(F.get(F.filter(names, lambda m: m > 0), F.lit(0)), F.lit(0)).cast("int")
+        numbers = F.transform(F.regexp_extract_all(day, F.lit(r"\d+"), 0), lambda d: F.struct(F.length(d).alias("w"), d.try_cast("int").alias("v")))
+        return let(F.struct(month.alias("month"), numbers.alias("n"), time.alias("time")), dated)
+
+    def dated(s: Column) -> Column:
+        n, size = s["n"], F.size(s["n"])
+        v, w = (lambda k: F.get(n, F.lit(k))["v"]), (lambda k: F.get(n, F.lit(k))["w"])
+        long_ = lambda k: (w(k) >= 3) | (v(k) > 31)
+        none = F.lit(None).cast("int")
+        ymd = lambda y, m, d, yw=none: F.struct(y.alias("y"), m.alias("m"), d.alias("d"), yw.alias("w"))
+        eight = F.when(w(0) == 8, ymd(F.floor(v(0) / 10000).cast("int"), F.floor(v(0) / 100).cast("int") % 100, v(0) % 100, F.lit(4)))
+        named = (
+            F.when(size == 0, ymd(none, s["month"], none))
+            .when(size == 1, F.when(long_(0), ymd(v(0), s["month"], none, w(0))).otherwise(ymd(none, s["month"], v(0))))
+            .when(size == 2, F.when(long_(0), ymd(v(0), s["month"], v(1), w(0))).otherwise(ymd(v(1), s["month"], v(0), w(1))))
+        )
+        bare = (
+            F.when(size == 1, eight.when(long_(0), ymd(v(0), none, none, w(0))).otherwise(ymd(none, none, v(0))))
+            .when(size == 2, F.when(long_(0), ymd(v(0), v(1), none, w(0))).when(long_(1), ymd(v(1), v(0), none, w(1))).when(v(0) > 12, ymd(none, v(1), v(0))).otherwise(ymd(none, v(0), v(1))))
+            .when(size == 3, F.when(long_(0), ymd(v(0), v(1), v(2), w(0))).when(v(0) > 12, ymd(v(2), v(1), v(0), w(2))).otherwise(ymd(v(2), v(0), v(1), w(2))))
+        )
+        return let(F.struct(F.when(s["month"] > 0, named).otherwise(bare).alias("d"), s["time"].alias("time")), whole)
+
+    def whole(s: Column) -> Column:
+        d, now = s["d"], F.year(reference)
+        century = now - now % 100
+        near = F.when(century + d["y"] >= now + 50, century + d["y"] - 100).when(century + d["y"] < now - 50, century + d["y"] + 100).otherwise(century + d["y"])
+        year = F.when(d["y"].isNull(), now).when((d["w"] <= 2) & (d["y"] < 100), near).otherwise(d["y"])
+        month = F.coalesce(d["m"], F.month(reference))
+        last = F.dayofmonth(F.last_day(F.try_make_timestamp(year, month, *[F.lit(x) for x in (1, 0, 0, 0)])))
+        at = F.coalesce(d["d"], F.least(F.dayofmonth(reference), last))
+        return F.when(d.isNotNull(), F.date_format(F.try_make_timestamp(year, month, at, s["time"]["h"], s["time"]["m"], s["time"]["s"]), "yyyy-MM-dd'T'HH:mm:ss"))
+
+    def parted(t: Column) -> Column:
+        zone = F.regexp_extract(t, r"(?i)((?<=[\d\s])(?:Z|GMT|UTC)|(?<=:\d{2}|\s)[+-]\d{2}:\d{2})\s*$", 1)
+        bare = F.regexp_replace(t, r"(?i)\s*(?:(?<=[\d\s])(?:Z|GMT|UTC)|(?<=:\d{2})\s*[+-]\d{2}:\d{2})\s*$", "")
+        got = lambda k: F.regexp_extract(bare, _TIME, k)
+        number = lambda *ks: F.coalesce(*[got(k).try_cast("int") for k in ks], F.lit(0))
+        half = F.lower(got(4))
+        hour = F.when(half == "", number(5)).otherwise(number(1) % 12 + F.when(half == "p", 12).otherwise(0))
+        time = F.struct(hour.alias("h"), number(2, 6).alias("m"), number(3, 7).alias("s"))
+        day = F.trim(F.regexp_replace(bare, _TIME, " "))
+        iso = let(F.struct(day.alias("day"), time.alias("time")), told)
+        shown = F.when(zone == "", "").when(zone.rlike("^[+-]"), zone).otherwise("+00:00")
+        return F.when(day.rlike(_DATE_WORDS), F.concat(iso, shown))
+
+    return let(strip(x), parted)
+
+
+def dated(x: Column, reference: Column) -> Column:
+    """``iso_date``, else ``lenient_date``, else the text, stripped."""
+    strict = iso_date(x)
+    return F.when(strict == strip(x), F.coalesce(lenient_date(x, reference), strict)).otherwise(strict)
+
+
+def value_text(x: Column, kind: str) -> Column:
+    """A metadata value of a Spark type as text: nothing for null, dates and times in ISO form."""
+    if kind == "date":
+        shown = F.date_format(x, "yyyy-MM-dd")
+    elif kind.startswith("timestamp"):
+        part = F.when(F.date_format(x, "SSSSSS") == "000000", "").otherwise(F.concat(F.lit("."), F.date_format(x, "SSSSSS")))
+        zone = F.lit("") if kind == "timestamp_ntz" else F.date_format(x, "xxx")
+        shown = F.concat(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss"), part, zone)
+    else:
+        shown = x.cast("string")
+    return F.coalesce(strip(shown), F.lit(""))
+
+
 def author_name(x: Column) -> Column:
     """Without a leading by or author, which need not be a word of its own; runs of white space as one space."""
     return squeeze(F.regexp_replace(strip(x), r"(?i)^(by|author)\s*[:\-]?\s*", ""))

@@ -69,6 +69,12 @@ def tallied(sides: DataFrame) -> DataFrame:
     return both.select("batch_id", "n_expected", "n_returned", status.alias("status"))
 
 
+def repeats(returned: DataFrame, order: str) -> DataFrame:
+    """batch_id, temp_id, repeat, ``order`` of each row whose id came before in its batch, in that order: 1 for the second one, and so on."""
+    number = F.row_number().over(Window.partitionBy("batch_id", "temp_id").orderBy(order)) - 1
+    return returned.select("batch_id", "temp_id", number.alias("repeat"), order).where("repeat > 0")
+
+
 def missing_and_unexpected(expected: DataFrame, returned: DataFrame) -> DataFrame:
     """batch_id, temp_id, side of ids on one side only."""
     on = ["batch_id", "temp_id"]

@@ -85,6 +85,72 @@ def topic_nodes(df: DataFrame, keys: list[str], hierarchy: str) -> DataFrame:
     return _placed(rows, keys).select(*keys, "node_pos", "parent_pos", "child_ord", "depth", "name", "start_point", "end_point", "is_content")
 
 
+def contract_problems(nodes: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, problem, node_pos, low, high: what breaks the rules for ranges of ``topic_nodes``; ``points`` has keys and n_points.
+
+    ``range``: a node without a range, or with an end before its start;
+    ``outside``: a node beyond its parent's range; ``order``: a child that starts
+    before the child before it; ``beyond``: a node outside of 1 to n_points;
+    ``uncovered``: points from ``low`` to ``high`` that are in no content node.
+    """
+    own = [F.col("start_point").alias("low"), F.col("end_point").alias("high")]
+    told = lambda df, name: df.select(*keys, F.lit(name).alias("problem"), "node_pos", *own)
+    bad = F.col("start_point").isNull() | F.col("end_point").isNull() | (F.col("start_point") > F.col("end_point"))
+    above = nodes.select(*keys, F.col("node_pos").alias("parent_pos"), F.col("start_point").alias("_low"), F.col("end_point").alias("_high"))
+    outside = nodes.join(above, [*keys, "parent_pos"]).where((F.col("start_point") < F.col("_low")) | (F.col("end_point") > F.col("_high")))
+    before = F.lag("start_point").over(Window.partitionBy(*keys, "parent_pos").orderBy("child_ord"))
+    late = nodes.withColumn("_before", before).where(F.col("start_point") < F.col("_before"))
+    beyond = nodes.join(points, keys).where((F.col("start_point") < 1) | (F.col("end_point") > F.col("n_points")))
+    # A sweep over content nodes by start: what lies between the farthest end so far and the next start is in none.
+    order = Window.partitionBy(*keys).orderBy("start_point", "end_point", "node_pos")
+    leaf = nodes.where(F.col("is_content") & ~bad).select(*keys, "node_pos", "start_point", "end_point")
+    end = points.select(*keys, F.lit(None).cast("int").alias("node_pos"), (F.col("n_points") + 1).cast("int").alias("start_point"), (F.col("n_points") + 1).cast("int").alias("end_point"))
+    reached = F.coalesce(F.max("end_point").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    swept = leaf.unionByName(end).withColumn("_reached", F.greatest(reached, F.lit(0))).join(points, keys)
+    high = F.least(F.col("start_point") - 1, F.col("n_points")).cast("int")
+    gaps = swept.where(high > F.col("_reached")).select(*keys, F.lit("uncovered").alias("problem"), F.lit(None).cast("int").alias("node_pos"), (F.col("_reached") + 1).cast("int").alias("low"), high.alias("high"))
+    return told(nodes.where(bad), "range").unionByName(told(outside, "outside")).unionByName(told(late, "order")).unionByName(told(beyond, "beyond")).unionByName(gaps)
+
+
+def content_nodes(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ord, node_pos, node_id, hierarchy_path, start_point, end_point, content, summary: content nodes in order, with the names from the root down and empty texts.
+
+    ``nodes``: ``topic_nodes``.  Paths are built a level at a time, from the roots
+    down, by as many joins as the tree has levels.
+    """
+    deepest = nodes.agg(F.coalesce(F.max("depth"), F.lit(-1))).first()[0]
+    now = nodes.where("depth = 0").select(*keys, "node_pos", F.array("name").alias("hierarchy_path"))
+    all_ = now
+    for level in range(1, deepest + 1):
+        up = now.select(*keys, F.col("node_pos").alias("parent_pos"), F.col("hierarchy_path").alias("_up"))
+        now = nodes.where(F.col("depth") == level).join(up, [*keys, "parent_pos"]).select(*keys, "node_pos", F.concat("_up", F.array("name")).alias("hierarchy_path"))
+        all_ = all_.unionByName(now)
+    leaf = nodes.where("is_content").join(all_, [*keys, "node_pos"])
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("node_pos"))
+    return leaf.select(*keys, number.alias("ord"), "node_pos", T.node_uuid(*[F.col(k) for k in keys], F.col("node_pos")).alias("node_id"), "hierarchy_path", "start_point", "end_point", F.lit("").alias("content"), F.lit("").alias("summary"))
+
+
+def with_stored_ids(leaves: DataFrame, stored: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``leaves`` (``content_nodes``) under the ids of stored trees (``stored_nodes``), and keys, ord, problem of what has no partner.
+
+    Content nodes of both are matched by their order.  ``no id``: a leaf that the
+    stored tree does not have; ``no node``: a stored id without a leaf.
+    """
+    ids = stored.where("kind = 'content' and problem is null").select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("node_pos")).alias("ord"), F.col("node_id").alias("_id"))
+    both = leaves.withColumn("_leaf", F.lit(True)).join(ids, [*keys, "ord"], "full_outer")
+    found = both.where(F.col("_leaf") & F.col("_id").isNotNull()).withColumn("node_id", F.col("_id")).drop("_leaf", "_id")
+    problem = F.when(F.col("_leaf").isNull(), "no node").when(F.col("_id").isNull(), "no id")
+    return found.select(*leaves.columns), both.select(*keys, "ord", problem.alias("problem")).where("problem is not null")
+
+
+def with_texts(nodes: DataFrame, store: DataFrame, keys: list[str], text: str = "content") -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with ``text`` from a content store (keys, node_id, text), empty where it has none, and keys, node_id of content nodes that it lacks."""
+    mine = store.select(*keys, "node_id", F.col(text).alias("_text"), F.lit(True).alias("_there"))
+    both = nodes.drop(text).join(mine, [*keys, "node_id"], "left")
+    lacking = both.where("kind = 'content' and _there is null").select(*keys, "node_id")
+    return both.withColumn(text, F.coalesce("_text", F.lit(""))).drop("_text", "_there"), lacking
+
+
 def hierarchy_problem(hierarchy: Column) -> Column:
     """Why stored hierarchy JSON cannot be read, or null: no JSON, no list, or a node without name, start or end or with bad children."""
     doc = F.try_parse_json(hierarchy)
@@ -104,8 +170,8 @@ def stored_nodes(df: DataFrame, keys: list[str], nodes: str) -> DataFrame:
     each = F.explode(unfold(F.try_parse_json(F.col(nodes)), "$", "$.subtopics")).alias("n")
     get = lambda path: F.try_variant_get("v", path, "string")
     rows = df.select(*keys, each).select(*keys, "n.ord", "n.v").select(*keys, "ord", get("$.type").alias("kind"), get("$.name").alias("name"), get("$.id").alias("node_id"))
-    problem = F.when(~F.coalesce(F.col("kind").isin("topic", "content"), F.lit(False)), F.concat(F.lit("Unknown node type in JSON: "), F.coalesce("kind", F.lit("None"))))
-    problem = problem.when((F.col("kind") == "topic") & F.col("name").isNull() | (F.col("kind") == "content") & F.col("node_id").isNull(), "Malformed node")
+    problem = F.when(~F.coalesce(F.col("kind").isin("topic", "content"), F.lit(False)), F.concat(F.lit("kind: "), F.coalesce("kind", F.lit("None"))))
+    problem = problem.when((F.col("kind") == "topic") & F.col("name").isNull() | (F.col("kind") == "content") & F.col("node_id").isNull(), "malformed")
     return _placed(rows.withColumn("problem", problem), keys).select(*keys, "node_pos", "parent_pos", "child_ord", "depth", "kind", "name", "node_id", "problem")
 
 

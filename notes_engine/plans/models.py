@@ -55,6 +55,14 @@ provider("outline")(_batch("markdown", lambda x: "\n".join(f"- {p.strip()}" for
 provider("digest")(_batch("summary", lambda x: x.get("structured_content", "").split("\n")[0].removeprefix("- ").strip()))
 
 
+def text_of(answer: object) -> str:
+    """The text of a model's answer: its ``content``, a list of parts joined, or the answer itself."""
+    content = getattr(answer, "content", answer)
+    if isinstance(content, list):
+        return "".join(p if isinstance(p, str) else str(p.get("text", "")) if isinstance(p, dict) else str(p) for p in content)
+    return content if isinstance(content, str) else "" if content is None else str(content)
+
+
 def call(df: DataFrame, prompt: str, out: str, provider_name: str, which: str = "", attempts: int = 1, retry: Callable[[Exception], bool] | None = None) -> DataFrame:
     """``df`` with the answer to each prompt and a record of the call; write the result before using it twice."""
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
@@ -66,7 +74,7 @@ def call(df: DataFrame, prompt: str, out: str, provider_name: str, which: str =
         began = time.monotonic_ns()
         for k in range(max(1, attempts)):
             try:
-                return f(text), round((time.monotonic_ns() - began) / 1e6, 2), True, None
+                return text_of(f(text)), round((time.monotonic_ns() - began) / 1e6, 2), True, None
             except Exception as e:  # the record keeps what went wrong
                 if k + 1 == attempts or not may(e):
                     return None, round((time.monotonic_ns() - began) / 1e6, 2), False, type(e).__name__

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,3 +28,28 @@ def from_conversations(turns: DataFrame) -> DataFrame:
     topics = chapters.select("conv_id", (F.col("chapter_idx") * 2).alias("node_pos"), F.lit(0).alias("depth"), F.lit("topic").alias("kind"), F.col("title").alias("name"), F.lit("").alias("content"))
     leaves = leaf.select("conv_id", (F.col("chapter_idx") * 2 + 1).alias("node_pos"), F.lit(1).alias("depth"), F.lit("content").alias("kind"), F.lit("").alias("name"), "content")
     return tree.render(topics.unionByName(leaves).withColumn("title", F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"))), ["conv_id"], "title")
+
+
+@dataclass
+class Cached:
+    payloads: DataFrame  # keys, ord, node_id, hierarchy_path, start, end, points
+    documents: DataFrame  # keys, document
+    lacking: DataFrame  # keys, node_id without a text
+    unmatched: DataFrame  # keys, ord, problem of leaves without an id and ids without a leaf
+
+
+def from_cache(sources: DataFrame, points: DataFrame, store: DataFrame, keys: list[str]) -> Cached:
+    """Payloads and documents of sources whose stages were stored, in one plan.
+
+    ``sources``: keys, title, hierarchy (JSON of nested topics) and nodes (JSON of
+    the stored tree, which names the content nodes); ``points``: keys, point_no,
+    point; ``store``: keys, node_id, content.
+    """
+    nodes = tree.topic_nodes(sources, keys, "hierarchy")
+    leaves, unmatched = tree.with_stored_ids(tree.content_nodes(nodes, keys), tree.stored_nodes(sources, keys, "nodes"), keys)
+    got = tree.payloads(nodes, points, keys).drop("ord")
+    payloads = got.join(leaves.select(*keys, "ord", "node_pos", "node_id", "hierarchy_path"), [*keys, "node_pos"]).select(*keys, "ord", "node_id", "hierarchy_path", "start", "end", "points")
+    kinds = nodes.select(*keys, "node_pos", "depth", "name", F.when(F.col("is_content"), "content").otherwise("topic").alias("kind"))
+    full, lacking = tree.with_texts(kinds.join(leaves.select(*keys, "node_pos", "node_id"), [*keys, "node_pos"], "left"), store, keys)
+    documents = tree.render(full.join(sources.select(*keys, "title"), keys), keys, "title")
+    return Cached(payloads, documents, lacking.where("node_id is not null"), unmatched)

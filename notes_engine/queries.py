@@ -742,7 +742,7 @@ def structured_notes(spark, sf_dir):
 
 
 @query("""SELECT conv_id, (2 * turn + 1)::INT AS node_pos, 0 AS parent_pos, 0 AS depth, 'topic' AS kind, role || ' "' || turn AS name, NULL AS node_id, NULL AS problem FROM conversations
-UNION ALL SELECT conv_id, (2 * turn + 2)::INT, (2 * turn + 1)::INT, 1, CASE WHEN turn = 3 THEN 'list' ELSE 'content' END, NULL, 'n' || turn, CASE WHEN turn = 3 THEN 'Unknown node type in JSON: list' END FROM conversations""")
+UNION ALL SELECT conv_id, (2 * turn + 2)::INT, (2 * turn + 1)::INT, 1, CASE WHEN turn = 3 THEN 'list' ELSE 'content' END, NULL, 'n' || turn, CASE WHEN turn = 3 THEN 'kind: list' END FROM conversations""")
 def stored_trees(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     turn = F.col("turn").cast("string")
@@ -818,3 +818,89 @@ def ended_sources(spark, sf_dir):
 def token_counts(spark, sf_dir):
     d = read(spark, sf_dir, "documents").withColumn("tokens", T.token_estimate(F.col("text")))
     return d.select("doc_id", "tokens", T.chunk_count(F.col("tokens"), 6000).alias("chunks"))
+
+
+_EDGES = [10.0, 25.0, 50.0, 100.0]
+
+
+@query("""WITH e AS (SELECT date_trunc('hour', ts) AS hour, event_type AS status, (value >= 10)::INT + (value >= 25)::INT + (value >= 50)::INT + (value >= 100)::INT AS bucket FROM events WHERE value IS NOT NULL)
+SELECT hour, status, bucket, count(*)::BIGINT AS n, [NULL, 10.0, 25.0, 50.0, 100.0][bucket + 1]::DOUBLE AS low, [10.0, 25.0, 50.0, 100.0, NULL][bucket + 1]::DOUBLE AS high FROM e GROUP BY ALL""")
+def progress_histogram(spark, sf_dir):
+    from .streaming import progress
+
+    p = read(spark, sf_dir, "events").select(F.window("ts", "1 hour")["start"].cast("timestamp_ntz").alias("hour"), F.col("event_type").alias("status"), "value")
+    return progress.histogram(p, "value", _EDGES, ["hour", "status"])
+
+
+# Hierarchies of one root and a child for each turn, three points a turn; some break the rules.
+_NODES = """t AS (SELECT conv_id, max(turn) + 1 AS n FROM conversations GROUP BY conv_id), i AS (SELECT conv_id, n, unnest(range(n)) AS i FROM t),
+c AS (SELECT conv_id, n, i, (i + 2)::INT AS node_pos, (CASE WHEN conv_id % 5 = 1 AND i = 1 THEN 0 WHEN conv_id % 5 = 3 AND i = 2 THEN 2 ELSE 3 * i + 1 END)::INT AS low,
+  (CASE WHEN conv_id % 5 = 2 AND i = 0 THEN 2 WHEN conv_id % 5 = 4 AND i = 1 THEN 3 ELSE 3 * i + 3 END)::INT AS high FROM i),
+p AS (SELECT conv_id, unnest(range(1, 3 * n + 1))::INT AS p FROM t), u AS (SELECT conv_id, p FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = p.conv_id AND p.p BETWEEN c.low AND c.high)),
+r AS (SELECT conv_id, p, p - row_number() OVER (PARTITION BY conv_id ORDER BY p) AS g FROM u)"""
+
+
+@query(f"""WITH {_NODES} SELECT conv_id, 'range' AS problem, node_pos, low, high FROM c WHERE low > high
+UNION ALL SELECT conv_id, 'outside', node_pos, low, high FROM c WHERE low < 1 OR high > 3 * n UNION ALL SELECT conv_id, 'beyond', node_pos, low, high FROM c WHERE low < 1 OR high > 3 * n
+UNION ALL SELECT a.conv_id, 'order', a.node_pos, a.low, a.high FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.i = b.i + 1 WHERE a.low < b.low
+UNION ALL SELECT conv_id, 'uncovered', NULL, min(p), max(p) FROM r GROUP BY conv_id, g""")
+def hierarchy_contract(spark, sf_dir):
+    n = read(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).cast("int").alias("n"))
+    five = F.col("conv_id") % 5
+    low = lambda i: F.when((five == 1) & (i == 1), 0).when((five == 3) & (i == 2), 2).otherwise(3 * i + 1)
+    high = lambda i: F.when((five == 2) & (i == 0), 2).when((five == 4) & (i == 1), 3).otherwise(3 * i + 3)
+    kids = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.concat(F.lit("t"), i.cast("string")).alias("name"), low(i).alias("start_point"), high(i).alias("end_point")))
+    root = F.struct(F.lit("all").alias("name"), F.lit(1).alias("start_point"), (3 * F.col("n")).alias("end_point"), kids.alias("children"))
+    nodes = tree.topic_nodes(n.select("conv_id", F.to_json(F.struct(F.array(root).alias("hierarchy"))).alias("doc")), ["conv_id"], "doc")
+    return tree.contract_problems(nodes, n.select("conv_id", (3 * F.col("n")).alias("n_points")), ["conv_id"])
+
+
+@query("""WITH d AS (SELECT c_custkey, c_custkey % 9 AS k, DATE '2001-01-01' + (c_custkey * 37 % 9000)::INT AS d FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN strftime(d, '%Y-%m-15T00:00:00') WHEN 1 THEN strftime(d, '2021-%m-') || lpad(least(day(d), CASE WHEN month(d) = 2 THEN 28 ELSE 31 END)::VARCHAR, 2, '0') || 'T00:00:00' WHEN 2 THEN strftime(d, '%Y-06-15T00:00:00')
+  WHEN 3 THEN strftime(d, '%Y-%m-%dT00:00:00') WHEN 4 THEN strftime(d, '%Y-%m-%dT00:00:00') WHEN 5 THEN strftime(d, '%Y-%m-%dT15:05:00') WHEN 6 THEN strftime(d, '%Y-%m-15T00:00:00') WHEN 7 THEN strftime(d, '%Y-%m-%dT09:08:07+00:00') END AS parsed FROM d""")
+def partial_dates(spark, sf_dir):
+    """Loose forms of dates, with what they lack from the middle of June 2021."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 9).alias("k"), F.expr("date_add(date'2001-01-01', cast(c_custkey * 37 % 9000 as int))").alias("d"))
+    of = lambda form: F.date_format("d", form)
+    short = F.concat(F.date_format("d", "MMM"), F.lit(" "), F.least(F.dayofmonth("d"), F.when(F.month("d") == 2, 28).otherwise(31)).cast("string"), F.lit("th"))
+    forms = [of("MMMM yyyy"), short, of("yyyy"), of("MM/dd/yyyy"), F.concat(of("MMM d"), F.lit("th, "), of("yy")), F.concat(of("EEEE, d"), F.lit("th of "), of("MMMM yyyy"), F.lit(" at 3:05 pm")), of("yyyy-MM"), F.concat(of("EEE, dd MMM yyyy"), F.lit(" 09:08:07 GMT")), F.lit("sometime in spring")]
+    text = F.get(F.array(*forms), F.col("k").cast("int"))
+    return c.select("c_custkey", T.lenient_date(text, F.lit("2021-06-15").cast("date")).alias("parsed"))
+
+
+@query("""WITH s AS (SELECT conv_id, string_agg('## ' || role || ' ' || turn || CASE WHEN turn % 5 = 2 OR trim(text, ' ' || chr(10) || chr(9)) = '' THEN '' ELSE chr(10) || chr(10) || trim(text, ' ' || chr(10) || chr(9)) END, chr(10) || chr(10) ORDER BY turn) AS body,
+  string_agg(role || ' ' || turn || ' > leaf ' || turn || ' = ' || role, '; ' ORDER BY turn) AS payloads, count(*) FILTER (turn % 5 = 2) AS lacking, count(*) AS n, max(turn) AS last FROM conversations GROUP BY conv_id)
+SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || body || chr(10) AS document, payloads, lacking::BIGINT AS lacking, (conv_id % 2)::BIGINT AS unmatched FROM s""")
+def cached_documents(spark, sf_dir):
+    """Stored hierarchies, ids and texts of conversations to payloads and documents, with what is missing counted."""
+    from .plans import notes
+
+    c = read(spark, sf_dir, "conversations")
+    turn = F.col("turn").cast("string")
+    point = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = c.select("conv_id", "turn", "text", "role", point.alias("point_no"), F.concat("role", F.lit(" "), turn).alias("name"), F.concat(F.lit("n"), turn).alias("node_id"))
+    span = [F.col("point_no").alias("start_point"), F.col("point_no").alias("end_point")]
+    topic = F.struct("turn", F.struct("name", *span, F.array(F.struct(F.concat(F.lit("leaf "), turn).alias("name"), *span)).alias("children")).alias("v"))
+    held = F.struct("turn", F.struct(F.lit("topic").alias("type"), "name", F.array(F.struct(F.lit("content").alias("type"), F.col("node_id").alias("id"))).alias("subtopics")).alias("v"))
+    listed = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda y: y["v"])
+    docs = rows.groupBy("conv_id").agg(F.to_json(F.struct(listed(topic).alias("hierarchy"))).alias("hierarchy"), listed(held).alias("_h"))
+    # Every other conversation has stored an id too many.
+    more = F.array(F.struct(F.lit("topic").alias("type"), F.lit("more").alias("name"), F.array(F.struct(F.lit("content").alias("type"), F.lit("nX").alias("id"))).alias("subtopics")))
+    docs = docs.select("conv_id", "hierarchy", F.to_json(F.when(F.col("conv_id") % 2 == 1, F.concat("_h", more)).otherwise(F.col("_h"))).alias("nodes"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"))
+    store = rows.where("turn % 5 != 2").select("conv_id", "node_id", F.col("text").alias("content"))
+    run = notes.from_cache(docs, rows.select("conv_id", "point_no", F.col("role").alias("point")), store, ["conv_id"])
+    shown = F.concat(F.array_join("hierarchy_path", " > "), F.lit(" = "), F.array_join("points", ", "))
+    p = run.payloads.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", shown.alias("s")))), lambda x: x["s"]), "; ").alias("payloads"))
+    count = lambda df, name: df.groupBy("conv_id").agg(F.count(F.lit(1)).alias(name))
+    out = run.documents.join(p, "conv_id").join(count(run.lacking, "lacking"), "conv_id", "left").join(count(run.unmatched, "unmatched"), "conv_id", "left")
+    return out.select("conv_id", "document", "payloads", F.coalesce("lacking", F.lit(0)).alias("lacking"), F.coalesce("unmatched", F.lit(0)).alias("unmatched"))
+
+
+@query()
+def bpe_token_counts(spark, sf_dir):
+    """Tokens of whole documents by a byte-level vocabulary; beyond SQL, and held against the tokenizer's own library by the tests."""
+    import public_tokenizers
+
+    from .functions import bpe
+
+    return read(spark, sf_dir, "documents").select("doc_id", bpe.counter(str(public_tokenizers.path("byte_bpe_50k.tiktoken")))(F.col("text")).alias("tokens"))

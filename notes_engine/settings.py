@@ -55,13 +55,18 @@ class Settings:
     artefacts_dir: str = "artefacts"
     prompts_dir: str = "prompts"
     logs_dir: str = "logs"
+    checkpoints_db: str = "artefacts/checkpoints.db"  # stages are tables here; kept so that a settings file still loads
+    use_sqlite_checkpointer: bool = True
     enable_structured_logging: bool = True
     log_level: str = "INFO"
     enable_llm_monitoring: bool = True
 
     @classmethod
-    def load(cls, environ: Mapping[str, str] | None = None, env_file: str | None = None, spark=None) -> Settings:
-        """Settings from a file of NAME=value lines, the environment, and the session."""
+    def load(cls, environ: Mapping[str, str] | None = None, env_file: str | None = None, spark=None, required: tuple[str, ...] = ()) -> Settings:
+        """Settings from a file of NAME=value lines, the environment, and the session; names ``required`` must be set.
+
+        Models are pluggable here, so no key is required unless a caller's provider needs one.
+        """
         found = {}
         if env_file and Path(env_file).is_file():
             for line in Path(env_file).read_text(encoding="utf-8").splitlines():
@@ -71,6 +76,8 @@ class Settings:
         found |= {k.lower(): v for k, v in (os.environ if environ is None else environ).items()}
         if spark is not None:
             found |= {f.name: v for f in fields(cls) if (v := spark.conf.get(PREFIX + f.name, None)) is not None}
+        if lacking := [n for n in required if not str(found.get(n, "")).strip()]:
+            raise ValueError(f"not set: {', '.join(lacking)}")
         out = {}
         for f in fields(cls):
             if f.name in found:

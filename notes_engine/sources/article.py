@@ -54,16 +54,20 @@ def resolved(pairs: list[tuple[str, Column]], default: str) -> tuple[Column, Col
     return value, source
 
 
-def metadata(pages: DataFrame, key: str) -> DataFrame:
-    """key, content_id, url, title, title_source, description, author, upload_date of pages (key, url, html)."""
+def metadata(pages: DataFrame, key: str, reference: Column | None = None) -> DataFrame:
+    """key, content_id, url, title, title_source, description, author, upload_date of pages (key, url, html).
+
+    With a ``reference`` date, dates of loose form are read too, with what they lack from it.
+    """
     m = pages.withColumn("_m", meta_tags(F.col("html")))
     m = m.withColumns({f"_{field}": F.coalesce(*[F.try_element_at("_m", F.lit(k)) for k in keys]) for field, keys in KEYS.items()} | {"_html_title": html_title(F.col("html")), "_link": canonical_link(F.col("html"))})
     title, source = resolved([("meta", F.col("_title")), ("html", F.col("_html_title"))], "Untitled Article")
     m = m.withColumn("_url", U.canonical(F.coalesce(U.resolved(F.col("url"), F.col("_link")), F.col("url"))))
+    raw = F.coalesce("_upload_date", F.lit(""))
     return m.select(
         key, F.substring(F.sha2("_url", 256), 1, 16).alias("content_id"), F.col("_url").alias("url"), title.alias("title"), source.alias("title_source"),
         T.squeeze(F.coalesce("_description", F.lit(""))).alias("description"), T.author_name(F.coalesce("_author", F.lit(""))).alias("author"),
-        T.iso_date(F.coalesce("_upload_date", F.lit(""))).alias("upload_date"))
+        (T.iso_date(raw) if reference is None else T.dated(raw, reference)).alias("upload_date"))
 
 
 def as_markdown(html: Column) -> Column:

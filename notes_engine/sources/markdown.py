@@ -18,6 +18,20 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw_content")).where(F.col("raw_content").rlike(r"\S"))
 
 
+def checked(spark: SparkSession, root: str, sources: DataFrame) -> DataFrame:
+    """path, raw_content, problem of sources (a column path, below ``root``): missing, suffix (not .md, in any case) or empty; the first that applies.
+
+    A folder counts as missing.  Content is null where there is a problem.
+    """
+    there = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"), F.col("value").alias("raw_content"))
+    base = root.removeprefix("file:").rstrip("/").lstrip("/")
+    files = there.select(F.regexp_replace(F.substring_index("file", base, -1), "^/+", "").alias("_path"), "raw_content", F.lit(True).alias("_there"))
+    own = F.regexp_replace("path", r"^(?:\./)+", "")
+    both = sources.select("path").distinct().withColumn("_path", own).join(files, "_path", "left")
+    problem = F.when(F.col("_there").isNull(), "missing").when(~F.lower("path").endswith(".md"), "suffix").when(~F.col("raw_content").rlike(r"\S"), "empty")
+    return both.select("path", F.when(problem.isNull(), F.col("raw_content")).alias("raw_content"), problem.alias("problem"))
+
+
 def title(raw: Column, source: Column) -> Column:
     """First heading of level one, else the stem of the source, else Untitled."""
     stem = F.regexp_extract(source, r"([^/\\]+?)(?:\.[A-Za-z0-9]+)?/*$", 1)

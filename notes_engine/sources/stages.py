@@ -32,9 +32,18 @@ class Stages:
             stage(todo).write.mode("append").parquet(f"{self.path}/{name}")
         return self.read(name)
 
-    def clear(self, name: str) -> None:
+    def clear(self, name: str, folder: bool = False) -> int:
+        """Delete what a stage's folder holds, and with ``folder`` the folder; how many entries that were."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return 0
+        held = [s.getPath() for s in fs.listStatus(at)]
+        for path in held:
+            fs.delete(path, True)
+        if folder:
+            fs.delete(at, True)
+        return len(held)
 
 
 def mismatched(hierarchy_leaves: DataFrame, payloads: DataFrame, keys: list[str]) -> DataFrame:
