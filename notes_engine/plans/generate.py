@@ -9,6 +9,7 @@ such an answer starts again in the batches that the fallback budget allows.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,10 +40,10 @@ def problem_of(items: list[dict] | None, field: str, n: int) -> str | None:
 
 
 def answered(batches: DataFrame, keys: list[str], field: str, provider: str, which: str = "", retries: int = 1) -> DataFrame:
-    """keys, batch_id, status, attempts and items of every batch (keys, batch_id, input, n)."""
+    """keys, batch_id, status, attempts, items, duration_ms and input_tokens of every batch (keys, batch_id, input, n)."""
     make = models.factory(provider)
     fields = ", ".join(f"`{k}` {batches.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{fields}, batch_id string, status string, attempts int, items array<struct<id: string, text: string>>"
+    schema = f"{fields}, batch_id string, status string, attempts int, items array<struct<id: string, text: string>>, duration_ms double, input_tokens long"
 
     def one(ask, prompt: str, n: int) -> tuple[str, int, list]:
         for attempt in range(1, max(1, retries) + 1):
@@ -60,12 +61,24 @@ def answered(batches: DataFrame, keys: list[str], field: str, provider: str, whi
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = make(which)
         for f in frames:
-            got = [one(ask, p, int(n)) for p, n in zip(f["input"], f["n"], strict=True)]
+            got, took = [], []
+            for p, n in zip(f["input"], f["n"], strict=True):
+                began = time.monotonic_ns()
+                got.append(one(ask, p, int(n)))
+                took.append(round((time.monotonic_ns() - began) / 1e6, 2))
             out = f[[*keys, "batch_id"]].copy()
             out["status"], out["attempts"], out["items"] = [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
+            out["duration_ms"], out["input_tokens"] = took, f["input_tokens"]
             yield out
 
-    return batches.select(*keys, "batch_id", "input", "n").mapInPandas(run, schema)
+    return batches.select(*keys, "batch_id", "input", "n", T.token_estimate(F.col("input")).alias("input_tokens")).mapInPandas(run, schema)
+
+
+def records(answers: DataFrame, keys: list[str], node: str, operation: str, provider: str, which: str = "") -> DataFrame:
+    """A record of each batch that was answered, as ``usage`` reads it; a failed one has the kind of its failure."""
+    written = T.token_estimate(F.array_join(F.transform("items", lambda x: x["text"]), "\n"))
+    good = F.col("status") == "ok"
+    return models.record(answers.select(*keys, "input_tokens", written.alias("output_tokens"), "duration_ms", good.alias("success"), F.when(~good, F.col("status")).alias("exception_type")), node, operation, provider, which)
 
 
 def ladder(payloads: DataFrame, keys: list[str], fields: list, weight: str, field: str, provider: str, which: str = "", retries: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -103,6 +116,7 @@ def ladder(payloads: DataFrame, keys: list[str], fields: list, weight: str, fiel
         state2.where("problem is not null").select(*keys, F.lit("failed").alias("status"), F.concat(F.lit("even with fallback batches: "), F.col("problem")).alias("problem")),
     ]
     out = texts(cut, first, state.where("problem is null")).unionByName(texts(again, second, state2.where("problem is null")))
+    out.answers = first.unionByName(second)  # for ``records``
     return out, told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3])
 
 
@@ -119,7 +133,9 @@ def content(payloads: DataFrame, keys: list[str], provider: str = "outline", ret
     sized = with_parts(sized, keys, F.array_join("points", "\n"), CONTENT_OVERHEAD, how.pop("budget", CONTENT_BUDGET), how.pop("fallback", CONTENT_FALLBACK))
     fields = ["hierarchy_path", F.array("start", "end").alias("range"), F.col("points").alias("content_points_list")]
     out, state = ladder(sized, keys, fields, "weight", "markdown", provider, retries=retries, **how)
-    return out.withColumnRenamed("text", "content"), state
+    named = out.withColumnRenamed("text", "content")
+    named.calls = records(out.answers, keys, "content", "batch", provider, how.get("which", ""))
+    return named, state
 
 
 def summaries(payloads: DataFrame, store: DataFrame, keys: list[str], provider: str = "digest", retries: int = 1, **how) -> tuple[DataFrame, DataFrame]:
@@ -127,4 +143,6 @@ def summaries(payloads: DataFrame, store: DataFrame, keys: list[str], provider:
     found = payloads.join(store.select(*keys, "node_id", "content"), [*keys, "node_id"]).withColumn("weight", F.length("content"))
     sized = with_parts(found, keys, F.col("content"), SUMMARY_OVERHEAD, how.pop("budget", SUMMARY_BUDGET), how.pop("fallback", SUMMARY_FALLBACK))
     out, state = ladder(sized, keys, ["hierarchy_path", F.col("content").alias("structured_content")], "weight", "summary", provider, retries=retries, **how)
-    return out.withColumnRenamed("text", "summary"), state
+    named = out.withColumnRenamed("text", "summary")
+    named.calls = records(out.answers, keys, "summary", "batch", provider, how.get("which", ""))
+    return named, state

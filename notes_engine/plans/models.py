@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Model = Callable[[str], str]
 _MODELS: dict[str, Callable[[str], Model]] = {}
@@ -55,6 +56,33 @@ provider("outline")(_batch("markdown", lambda x: "\n".join(f"- {p.strip()}" for
 provider("digest")(_batch("summary", lambda x: x.get("structured_content", "").split("\n")[0].removeprefix("- ").strip()))
 
 
+GROUP, LEAF = 8, 4  # points of a topic and of its content nodes
+
+
+@provider("groups")
+def _groups(_which: str) -> Model:
+    """A hierarchy of numbered points by their number alone: topics of eight, content nodes of four."""
+
+    def node(first: int, last: int, **more) -> dict:
+        return {"name": f"Points {first}-{last}", "start_point": first, "end_point": last, **more}
+
+    def spans(first: int, last: int, size: int) -> list[tuple[int, int]]:
+        return [(a, min(a + size - 1, last)) for a in range(first, last + 1, size)]
+
+    def answer(prompt: str) -> str:
+        n = sum(1 for line in prompt.split("\n") if line.strip())
+        return json.dumps({"hierarchy": [node(a, b, children=[node(c, d) for c, d in spans(a, b, LEAF)]) for a, b in spans(1, n, GROUP)]})
+
+    return answer
+
+
+def record(calls: DataFrame, node: str, operation: str, provider_name: str, which: str = "") -> DataFrame:
+    """Calls (..., input_tokens, output_tokens, duration_ms, success, exception_type) as the log that ``usage`` reads."""
+    named = {"node_name": node, "operation_name": operation, "provider": provider_name, "model": which or provider_name}
+    out = calls.withColumns({k: F.lit(v) for k, v in named.items()})
+    return out.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
+
+
 def text_of(answer: object) -> str:
     """The text of a model's answer: its ``content``, a list of parts joined, or the answer itself."""
     content = getattr(answer, "content", answer)

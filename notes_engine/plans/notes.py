@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import order, tree
-from . import models
+from ..operators import merge, order, tree
+from ..scratch import kept
+from . import generate, models
 
 
 def from_conversations(turns: DataFrame) -> DataFrame:
@@ -53,3 +54,62 @@ def from_cache(sources: DataFrame, points: DataFrame, store: DataFrame, keys: li
     full, lacking = tree.with_texts(kinds.join(leaves.select(*keys, "node_pos", "node_id"), [*keys, "node_pos"], "left"), store, keys)
     documents = tree.render(full.join(sources.select(*keys, "title"), keys), keys, "title")
     return Cached(payloads, documents, lacking.where("node_id is not null"), unmatched)
+
+
+@dataclass
+class Run:
+    content: DataFrame  # keys, document
+    summary: DataFrame  # keys, document
+    readme: DataFrame  # keys, readme
+    calls: DataFrame  # keys and a record of each model call
+    problems: DataFrame  # keys, part_idx, problem
+
+
+def _call(df: DataFrame, prompt: str, out: str, node: str, provider: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the answers, kept, and records of the calls."""
+    got = kept(models.call(df, prompt, out, provider), node)
+    sizes = [T.token_estimate(F.coalesce(prompt, F.lit(""))).alias("input_tokens"), T.token_estimate(F.coalesce(out, F.lit(""))).alias("output_tokens")]
+    calls = models.record(got.select(*keys, *sizes, "duration_ms", "success", "exception_type"), node, "call", provider)
+    return got.drop("duration_ms", "success", "exception_type"), calls
+
+
+def full_run(sources: DataFrame, keys: list[str], generated, cleaner: str = "bullets", outliner: str = "groups", writer: str = "outline", digester: str = "digest") -> Run:
+    """Notes of sources in parts, from transcripts to three documents, with all model calls on record.
+
+    ``sources``: keys, part_idx, title, url, author, upload_date, content_id, transcript.  A
+    part is cleaned to points, which are numbered; a hierarchy of them is read,
+    checked and cut into payloads; texts and summaries are written in batches; the
+    parts are merged in order and rendered.  A part with a problem (a hierarchy
+    that cannot be read or breaks the rules, or a batch that failed) has no notes.
+    """
+    part = [*keys, "part_idx"]
+    cleaned, calls = _call(sources.select(*part, "transcript"), "transcript", "cleaned", "clean", cleaner, part)
+    points = kept(order.numbered_points(cleaned, part, "cleaned"), "points")
+    line = F.array_sort(F.collect_list(F.struct("point_no", F.format_string("%d. %s", "point_no", "point").alias("line"))))
+    listed = points.groupBy(*part).agg(F.array_join(F.transform(line, lambda x: x["line"]), "\n").alias("points"), F.max("point_no").alias("n_points"))
+    outlined, more = _call(listed, "points", "hierarchy", "hierarchy", outliner, part)
+    calls = calls.unionByName(more)
+
+    nodes = kept(tree.topic_nodes(outlined, part, "hierarchy"), "nodes")
+    unread = outlined.select(*part, tree.hierarchy_problem(F.col("hierarchy")).alias("problem")).where("problem is not null")
+    broken = tree.contract_problems(nodes, outlined.select(*part, "n_points"), part).select(*part, "problem")
+    wrong = kept(unread.unionByName(broken).groupBy(*part).agg(F.min("problem").alias("problem")), "wrong")
+    good = nodes.join(wrong, part, "left_anti")
+    leaves = tree.content_nodes(good, part).select(*part, "node_pos", "ord", "node_id", "hierarchy_path")
+    payloads = kept(tree.payloads(good, points, part).drop("ord").join(leaves, [*part, "node_pos"]), "payloads")
+
+    written, state = generate.content(payloads, part, writer)
+    texts = kept(written, "texts")
+    digests, later = generate.summaries(payloads, texts, part, digester)
+    calls = calls.unionByName(written.calls).unionByName(digests.calls)
+    failed = state.unionByName(later).where("status = 'failed'").groupBy(*part).agg(F.min("problem").alias("problem"))
+    problems = wrong.unionByName(failed)
+
+    store = texts.join(digests, [*part, "node_id"], "left")
+    kinds = good.join(payloads.select(*part, "node_pos", "node_id"), [*part, "node_pos"], "left").join(failed, part, "left_anti")
+    kinds = kinds.select(*part, "node_pos", "parent_pos", "depth", "name", F.when(F.col("is_content"), "content").otherwise("topic").alias("kind"), "node_id")
+    whole = kept(merge.hierarchies(kinds, keys).join(store.drop("part_idx"), [*keys, "node_id"], "left"), "merged")
+    about = sources.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("title", "url", "author", "upload_date", "content_id")])
+    titled = whole.join(about.select(*keys, "title"), keys)
+    toc = tree.contents(whole, keys)
+    return Run(tree.render(titled, keys, "title"), tree.render(titled, keys, "title", "summary"), tree.readme(about.join(toc.select(*keys), keys, "left_semi"), toc, keys, generated), calls, problems)

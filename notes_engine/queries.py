@@ -904,3 +904,30 @@ def bpe_token_counts(spark, sf_dir):
     from .functions import bpe
 
     return read(spark, sf_dir, "documents").select("doc_id", bpe.counter(str(public_tokenizers.path("byte_bpe_50k.tiktoken")))(F.col("text")).alias("tokens"))
+
+
+# Odd turns are a part of their own, so a conversation has two.
+_RUN = r"""tr AS (SELECT conv_id, (turn % 2)::INT AS part_idx, string_agg(text, ' ' ORDER BY turn) AS tr FROM conversations GROUP BY ALL),
+w AS (SELECT conv_id, part_idx, unnest(list_filter(string_split(tr, '. '), lambda x: trim(x) <> '')) AS p, generate_subscripts(list_filter(string_split(tr, '. '), lambda x: trim(x) <> ''), 1) AS k FROM tr),
+p AS (SELECT conv_id, part_idx, k, trim(regexp_replace(regexp_replace(p, '[ ]*\n[ \n]*', ' ', 'g'), '[ ]+', ' ', 'g')) AS point, max(k) OVER (PARTITION BY conv_id, part_idx) AS n FROM w),
+l AS (SELECT conv_id, part_idx, n, (k - 1) // 8 AS t, (k - 1) // 4 AS l, string_agg('- ' || point, chr(10) ORDER BY k) AS content, arg_min(point, k) AS summary FROM p GROUP BY ALL),
+b AS (SELECT conv_id, part_idx, t, '## Points ' || (8 * t + 1) || '-' || least(8 * t + 8, n) AS head, string_agg(content, chr(10) || chr(10) ORDER BY l) AS content, string_agg(summary, chr(10) || chr(10) ORDER BY l) AS summary, count(*) AS leaves FROM l GROUP BY ALL)"""
+
+
+@query(f"""WITH {_RUN} SELECT conv_id, '# Talk ' || conv_id || chr(10) || chr(10) || string_agg(head || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY part_idx, t) || chr(10) AS document,
+  '# Talk ' || conv_id || chr(10) || chr(10) || string_agg(head || chr(10) || chr(10) || summary, chr(10) || chr(10) ORDER BY part_idx, t) || chr(10) AS summary, (4 * count(DISTINCT part_idx))::BIGINT AS calls, (4 * count(DISTINCT part_idx))::BIGINT AS ok, 0::BIGINT AS problems FROM b GROUP BY conv_id""")
+def full_run(spark, sf_dir):
+    """From conversations in two parts to rendered notes and the totals of all model calls."""
+    from .plans import notes
+    from .scratch import kept
+
+    c = read(spark, sf_dir, "conversations")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
+    s = c.groupBy("conv_id", (F.col("turn") % 2).cast("int").alias("part_idx")).agg(text.alias("transcript"))
+    own = F.col("conv_id").cast("string")
+    meta = {"title": F.concat(F.lit("Talk "), own), "url": F.concat(F.lit("https://notes.test/"), own), "author": F.lit(""), "upload_date": F.lit(""), "content_id": F.sha2(own, 256)}
+    run = notes.full_run(s.withColumns(meta), ["conv_id"], F.lit("now"))
+    totals = usage.summary(kept(run.calls, "calls").withColumn("estimated_cost", F.lit(0.0)), keys=["conv_id"]).where("dimension = 'all'").select("conv_id", "calls", "ok")
+    wrong = run.problems.groupBy("conv_id").agg(F.count(F.lit(1)).alias("problems"))
+    out = run.content.join(run.summary.withColumnRenamed("document", "summary"), "conv_id").join(totals, "conv_id").join(wrong, "conv_id", "left")
+    return out.select("conv_id", "document", "summary", "calls", "ok", F.coalesce("problems", F.lit(0)).alias("problems"))
