@@ -30,16 +30,20 @@ from .common import byte_bounded, sampled, tidied, whole_texts
 
 SAMPLE = 6_000  # labelled ids, about, that the network learns from at most
 DIM, NONZERO, REACH, HIDDEN = 64, 6, 2, 32
-WORDS, SHAPES = 1 << 17, sum(6**k for k in range(7))  # numbers of words; shapes of six classes at most
+WORDS, SHAPES = 1 << 17, 1 << 16  # numbers of words and of shapes
+SHORT = sum(6**k for k in range(7))  # shapes of up to six classes, each with a number of its own; longer ones share the rest
 BLOCKS = 256  # of words, in which contexts are summed
 _CLASSES = re.compile(rb"([A-Z]+)|([a-z\x80-\xff]+)|([0-9]+)|([!?]+)|([#*$%&|<>]+)|(.)", re.S)
 
 
 def shape(run: bytes) -> int:
-    """Number of the classes of characters of a word in order, each run of a class once, six at most."""
+    """Number of the classes of characters of a whole word in order, each run of a class once."""
+    classes = [m.lastindex for m in _CLASSES.finditer(run)]
+    if len(classes) > 6:
+        return SHORT + xxhash.xxh64_intdigest(bytes(classes), 13) % (SHAPES - SHORT)
     at = 0
-    for m in list(_CLASSES.finditer(run))[:6]:
-        at = 6 * at + m.lastindex
+    for c in classes:
+        at = 6 * at + c
     return at
 
 

@@ -284,3 +284,12 @@ def test_whitening_of_edge_tables(spark):
     assert {r.deviation for r in far} == {None} | {r.deviation for r in far if r.vec_id == 3} and max(r.identity_error for r in far) < 1e-4
     assert (whitening.triangle_sums(spark.createDataFrame([(1, 2, 3), (4, 5, 6)], "a long, b long, c long"), ["a", "b", "c"], most=2) == [[17, 22, 27], [22, 29, 36], [27, 36, 45]]).all()
     drop_stored(spark)
+
+
+def test_shapes_of_whole_words():
+    from notes_engine.llm import quality_net as q
+
+    assert q.shape(b"") == 0 and q.shape(b"Abc!") != q.shape(b"abc!") and q.shape(b"aa11") == q.shape(b"b2")
+    long = [b"a1" * k for k in range(4, 40)]
+    assert all(q.SHORT <= q.shape(w) < q.SHAPES for w in long) and len({q.shape(w) for w in long}) > 30  # not their first classes alone
+    assert max(q.shape(bytes(c)) for c in itertools.product(b"A$", repeat=6)) < q.SHORT
