@@ -42,23 +42,20 @@ def with_parents(sections: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("parent_pos", parent.cast("int")).withColumn("path", path).drop(*last and [f"_a{k}" for k in last])
 
 
-DEEPEST = 64  # levels of nested JSON
-
-
-def unfold(doc: Column, root: str, child: str, deepest: int = DEEPEST) -> Column:
-    """Array of (ord, v) of all nodes of a nested variant: ``ord`` holds the places from the root down, ``v`` the node.
+def unfold(text: Column, root: str, child: str) -> Column:
+    """Array of (ord, v) of all nodes of nested JSON: ``ord`` holds the places from the root down, ``v`` the node as a variant.
 
     The nodes of a level are unfolded from those above it within the row, so a
-    source with many nodes needs no recursive query.  Levels below ``deepest``
-    show as nodes with a null ``v``.
+    source with many nodes needs no recursive query.  There are no more levels
+    than the text names ``child``, and one.
     """
     none = F.array().cast("array<struct<ord: array<int>, v: variant>>")
     kids = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
     below = lambda ord, items: F.transform(items, lambda v, i: F.struct(F.concat(ord, F.array(i)).alias("ord"), v.alias("v")))
-    start = F.struct(none.alias("done"), below(F.array().cast("array<int>"), kids(doc, root)).alias("now"))
+    start = F.struct(none.alias("done"), below(F.array().cast("array<int>"), kids(F.try_parse_json(text), root)).alias("now"))
     step = lambda s, _: F.when(F.size(s["now"]) == 0, s).otherwise(F.struct(F.concat(s["done"], s["now"]).alias("done"), F.flatten(F.transform(s["now"], lambda n: below(n["ord"], kids(n["v"], child)))).alias("now")))
-    deeper = lambda s: F.transform(s["now"], lambda n: F.struct(n["ord"].alias("ord"), F.lit(None).cast("variant").alias("v")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(deepest)), start, step, lambda s: F.concat(s["done"], deeper(s)))
+    levels = F.coalesce(F.regexp_count(text, F.lit(f'"{child.removeprefix("$.")}"')), F.lit(0)) + 1
+    return F.aggregate(F.sequence(F.lit(1), levels), start, step, lambda s: F.concat(s["done"], s["now"]))
 
 
 def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,7 +74,7 @@ def topic_nodes(df: DataFrame, keys: list[str], hierarchy: str) -> DataFrame:
     nodes without children are content.  Text that is no JSON gives no nodes
     (``hierarchy_problem`` names it).
     """
-    nodes = F.explode(unfold(F.try_parse_json(F.col(hierarchy)), "$.hierarchy", "$.children")).alias("n")
+    nodes = F.explode(unfold(F.col(hierarchy), "$.hierarchy", "$.children")).alias("n")
     get = lambda path, kind: F.try_variant_get("v", path, kind)
     inner = F.coalesce(F.size(get("$.children", "array<variant>")), F.lit(0)) > 0
     rows = df.select(*keys, nodes).select(*keys, "n.ord", "n.v")
@@ -157,7 +154,7 @@ def hierarchy_problem(hierarchy: Column) -> Column:
     get = lambda n, path, kind: F.try_variant_get(n["v"], path, kind)
     kind = lambda n: F.schema_of_variant(F.try_variant_get(n["v"], "$.children", "variant"))
     bad = lambda n: get(n, "$.name", "string").isNull() | get(n, "$.start_point", "int").isNull() | get(n, "$.end_point", "int").isNull() | ~F.coalesce(kind(n), F.lit("ARRAY<VOID>")).startswith("ARRAY")
-    return F.when(doc.isNull(), "no JSON").when(F.try_variant_get(doc, "$.hierarchy", "array<variant>").isNull(), "no hierarchy").when(F.exists(unfold(doc, "$.hierarchy", "$.children"), bad), "malformed node")
+    return F.when(doc.isNull(), "no JSON").when(F.try_variant_get(doc, "$.hierarchy", "array<variant>").isNull(), "no hierarchy").when(F.exists(unfold(hierarchy, "$.hierarchy", "$.children"), bad), "malformed node")
 
 
 def stored_nodes(df: DataFrame, keys: list[str], nodes: str) -> DataFrame:
@@ -167,7 +164,7 @@ def stored_nodes(df: DataFrame, keys: list[str], nodes: str) -> DataFrame:
     {"type": "content", "id"}; another type, a topic without a name or content
     without an id is a problem of that node.
     """
-    each = F.explode(unfold(F.try_parse_json(F.col(nodes)), "$", "$.subtopics")).alias("n")
+    each = F.explode(unfold(F.col(nodes), "$", "$.subtopics")).alias("n")
     get = lambda path: F.try_variant_get("v", path, "string")
     rows = df.select(*keys, each).select(*keys, "n.ord", "n.v").select(*keys, "ord", get("$.type").alias("kind"), get("$.name").alias("name"), get("$.id").alias("node_id"))
     problem = F.when(~F.coalesce(F.col("kind").isin("topic", "content"), F.lit(False)), F.concat(F.lit("kind: "), F.coalesce("kind", F.lit("None"))))

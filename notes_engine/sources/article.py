@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from . import blocks
+from .html import unescaped
 
 # Meta keys in order of preference.
 KEYS = {
@@ -16,24 +17,16 @@ KEYS = {
     "author": ["author", "article:author", "og:author", "parsely-author", "dc.creator", "dc.creator.author", "dc.contributor", "byl", "byline"],
     "upload_date": ["article:published_time", "article:modified_time", "publish_date", "publication_date", "date", "dc.date", "dc.date.issued", "pubdate"],
 }
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
-
-
-def unescape(x: Column) -> Column:
-    for a, b in _ENTITIES:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
-
 
 def html_title(html: Column) -> Column:
-    return T.squeeze(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return T.squeeze(unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def meta_tags(html: Column) -> Column:
     """Map of lower-case name or property to content; the last of a key wins, blank content is skipped, name beats property."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0)
     attr = lambda t, a: F.regexp_extract(t, rf"(?is)\b{a}\s*=\s*[\"']([^\"']*)[\"']", 1)
-    entry = lambda t, a: F.struct(F.lower(F.trim(attr(t, a))).alias("key"), T.strip(unescape(attr(t, "content"))).alias("value"))
+    entry = lambda t, a: F.struct(F.lower(F.trim(attr(t, a))).alias("key"), T.strip(unescaped(attr(t, "content"))).alias("value"))
     good = lambda e: (e["key"] != "") & (e["value"] != "")
     both = F.concat(F.filter(F.transform(tags, lambda t: entry(t, "property")), good), F.filter(F.transform(tags, lambda t: entry(t, "name")), good))
     return F.map_from_entries(F.filter(both, lambda e, i: ~F.exists(F.slice(both, i + 2, F.size(both)), lambda o: o["key"] == e["key"])))
@@ -41,7 +34,7 @@ def meta_tags(html: Column) -> Column:
 
 def canonical_link(html: Column) -> Column:
     links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: t.rlike(r"(?is)\brel\s*=\s*(?:[\"'](?:[^\"']*\s)?canonical(?:\s[^\"']*)?[\"']|canonical[\s/>])"))
-    there = F.filter(F.transform(links, lambda t: unescape(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1))), lambda x: x != "")
+    there = F.filter(F.transform(links, lambda t: unescaped(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1))), lambda x: x != "")
     return T.strip(F.get(there, F.lit(0)))
 
 
@@ -82,7 +75,7 @@ def as_markdown(html: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(x, r"(?is)<(?:code)[^>]*>(.*?)</code>", "`$1`"), r"(?is)<(strong|b)\b[^>]*>(.*?)</\1>", "**$2**")
     x = F.regexp_replace(x, r"(?is)<a\b[^>]*href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", "[$2]($1)")
     x = F.regexp_replace(F.regexp_replace(x, r"(?is)<br\s*/?>", "\n"), r"(?is)</?(?:p|ul|ol|table|tr|blockquote|div|section)\b[^>]*>", "\n\n")
-    return T.plain_markdown(F.regexp_replace(unescape(F.regexp_replace(x, r"(?s)<[^>]*>", "")), r"[ \t]*\n[ \t]*", "\n"))
+    return T.plain_markdown(F.regexp_replace(unescaped(F.regexp_replace(x, r"(?s)<[^>]*>", "")), r"[ \t]*\n[ \t]*", "\n"))
 
 
 def markdown_sections(df: DataFrame, keys: list[str], text: str) -> DataFrame:
