@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,27 +13,15 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 #: ASCII white space, the only separators of words here.
 SPACE = r"[\x20\x09-\x0D]+"
 CACHE_ENTRIES = 400_000
 BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Where it is unset, a session with a local master, whose driver and executors
-    are one process, gets a folder of its own; a cluster gets an error, since
-    its executors would each write to their own disk.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='notes-scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+scratch_dir = scratch.folder  # the shared folder named by spark.checkpoint.dir
 
 
 _written: list[tuple[SparkSession, str]] = []

@@ -11,6 +11,7 @@ Spark conditional expression.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,14 +146,16 @@ def learned_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **how
 
     The sample is taken by a threshold on a hash of the id.  Rows that repeat an
     id take its least label, and one of their texts, that of the least hash,
-    is learned from.  Rows without a label count for nothing.
+    is learned from.  Rows without a label count for nothing.  Ids are numbers or
+    texts, of one type in both tables.
     """
     marked = labels.where("doc_id is not null and quality is not null").where(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     chosen = sampled(marked, F.col("doc_id"), sample, marked.count())
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # its rows are bounded by the sample
     least = F.struct(F.xxhash64("text"), *FEATURES)  # numbers alone are compared and collected
     rows = with_stats(texts).groupBy("doc_id", "_quality").agg(F.min(least).alias("x")).select("doc_id", "_quality", "x.*").collect()
-    rows.sort(key=lambda r: (r.doc_id * 2654435761 & 0xFFFFFFFF, r.doc_id))
+    mixed = lambda i: i * 2654435761 & 0xFFFFFFFF if isinstance(i, int) else zlib.crc32(str(i).encode())
+    rows.sort(key=lambda r: (mixed(r.doc_id), r.doc_id))
     x = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
     return learn(x, np.array([r._quality == 0 for r in rows], bool), **how)
 

@@ -293,3 +293,15 @@ def test_shapes_of_whole_words():
     long = [b"a1" * k for k in range(4, 40)]
     assert all(q.SHORT <= q.shape(w) < q.SHAPES for w in long) and len({q.shape(w) for w in long}) > 30  # not their first classes alone
     assert max(q.shape(bytes(c)) for c in itertools.product(b"A$", repeat=6)) < q.SHORT
+
+
+def test_decision_list_takes_text_ids(spark):
+    from notes_engine.llm import decision_list
+
+    rng = random.Random(3)
+    rows = [(f"d{i}", prose(rng, 60) if i % 2 else " ".join(w + "#$" for w in prose(rng, 60).split())) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = docs.select("doc_id", F.when(F.substring("doc_id", 2, 9).cast("int") % 2 == 1, 1).otherwise(0).alias("quality"))
+    rules = decision_list.learned_from(docs, labels)
+    got = {r.doc_id: r.kept for r in decision_list.judged(docs, rules).collect()}
+    assert rules and all(got[f"d{i}"] == bool(i % 2) for i in range(200))
