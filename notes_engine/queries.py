@@ -931,3 +931,20 @@ def full_run(spark, sf_dir):
     wrong = run.problems.groupBy("conv_id").agg(F.count(F.lit(1)).alias("problems"))
     out = run.content.join(run.summary.withColumnRenamed("document", "summary"), "conv_id").join(totals, "conv_id").join(wrong, "conv_id", "left")
     return out.select("conv_id", "document", "summary", "calls", "ok", F.coalesce("problems", F.lit(0)).alias("problems"))
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 4 AS k, regexp_extract(url, '[^/]*$') AS slug FROM pages)
+SELECT page_id, CASE WHEN k = 3 THEN 'Plain ' || page_id ELSE 'About "' || slug || '"' END AS title, CASE WHEN k = 3 THEN 'html' ELSE 'linked data' END AS title_source,
+  CASE k WHEN 0 THEN 'Ada Ng' WHEN 1 THEN 'Ada, Bo' WHEN 2 THEN 'Cy' ELSE 'Tagged' END AS author, CASE WHEN k = 3 THEN '2020-01-01T00:00:00' ELSE '2024-05-0' || (1 + page_id % 9) || 'T06:07:08+00:00' END AS upload_date FROM p""")
+def article_linked_data(spark, sf_dir):
+    """Metadata of pages with linked data in three shapes, and without."""
+    p = read(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 4).cast("int").alias("k"), F.regexp_extract("url", "[^/]*$", 0).alias("slug"))
+    lit = lambda v, n: F.lit(v).alias(n)
+    date = F.concat(F.lit("2024-05-0"), (1 + F.col("page_id") % 9).cast("string"), F.lit("T06:07:08Z"))
+    named = [F.concat(F.lit('About "'), "slug", F.lit('"')).alias("headline"), date.alias("datePublished")]
+    one = F.to_json(F.struct(lit("NewsArticle", "@type"), *named, F.struct(lit("Ada Ng", "name")).alias("author")))
+    some = F.to_json(F.array(F.struct(F.array(F.lit("Thing"), F.lit("BlogPosting")).alias("@type"), *named, F.array(F.struct(lit("Ada", "name")), F.struct(lit("Bo", "name"))).alias("author"))))
+    graph = F.concat(F.lit('{"@graph": [{"@type": "Person", "name": "Nobody"}, '), F.to_json(F.struct(lit("Article", "@type"), *named, lit("By: Cy", "author"))), F.lit("]}"))
+    script = F.concat(F.lit('<script type="application/ld+json">'), F.get(F.array(one, some, graph), F.col("k")), F.lit("</script>"))
+    page = F.concat(F.lit("<head><title>Plain "), F.col("page_id").cast("string"), F.lit('</title><meta name="author" content="Tagged"><meta name="date" content="2020-01-01">'), F.coalesce(script, F.lit("")), F.lit("</head>"))
+    return article.metadata(p.select("page_id", "url", page.alias("html")), "page_id").select("page_id", "title", "title_source", "author", "upload_date")

@@ -32,6 +32,35 @@ def meta_tags(html: Column) -> Column:
     return F.map_from_entries(F.filter(both, lambda e, i: ~F.exists(F.slice(both, i + 2, F.size(both)), lambda o: o["key"] == e["key"])))
 
 
+# Types of linked data that describe an article.
+ARTICLES = ["Article", "NewsArticle", "BlogPosting", "Blog", "Report", "TechArticle", "ScholarlyArticle", "LiveBlogPosting", "WebPage"]
+
+
+def linked_data(html: Column) -> Column:
+    """struct(title, description, author, upload_date) of a page's linked data; null where it has none.
+
+    The first article among its objects that has a field gives it: an object, a
+    list of them, or a graph.  Authors of a list are joined by commas.
+    """
+    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*\btype\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), 1)
+    docs = F.filter(F.transform(scripts, lambda x: F.try_parse_json(T.strip(x))), lambda d: d.isNotNull())
+    many = lambda d, path: F.try_variant_get(d, path, "array<variant>")
+    text = lambda d, path: F.try_variant_get(d, path, "string")
+    nodes = F.flatten(F.transform(docs, lambda d: F.coalesce(many(d, "$['@graph']"), many(d, "$"), F.array(d))))
+    kinds = lambda n: F.coalesce(F.try_variant_get(n, "$['@type']", "array<string>"), F.array(text(n, "$['@type']")))
+    own = F.filter(nodes, lambda n: F.arrays_overlap(F.array_compact(kinds(n)), F.array(*map(F.lit, ARTICLES))))
+
+    def told(articles: Column) -> Column:
+        plain = lambda x: F.when(~x.rlike(r"^\s*[\[{]"), F.nullif(T.strip(unescaped(x)), F.lit("")))
+        names = lambda n: F.array_join(F.array_compact(F.transform(many(n, "$.author"), lambda a: F.coalesce(text(a, "$.name"), plain(text(a, "$"))))), ", ")
+        first = lambda f: F.get(F.filter(F.transform(articles, f), lambda x: x.isNotNull()), F.lit(0))
+        field = lambda *paths: first(lambda n: F.coalesce(*[plain(text(n, p)) for p in paths]))
+        author = first(lambda n: F.coalesce(plain(text(n, "$.author.name")), F.nullif(names(n), F.lit("")), plain(text(n, "$.author"))))
+        return F.struct(field("$.headline", "$.name").alias("title"), field("$.description").alias("description"), author.alias("author"), field("$.datePublished", "$.dateCreated", "$.dateModified").alias("upload_date"))
+
+    return F.when(html.contains("ld+json"), T.let(own, told))
+
+
 def canonical_link(html: Column) -> Column:
     links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: t.rlike(r"(?is)\brel\s*=\s*(?:[\"'](?:[^\"']*\s)?canonical(?:\s[^\"']*)?[\"']|canonical[\s/>])"))
     there = F.filter(F.transform(links, lambda t: unescaped(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1))), lambda x: x != "")
@@ -50,16 +79,18 @@ def resolved(pairs: list[tuple[str, Column]], default: str) -> tuple[Column, Col
 def metadata(pages: DataFrame, key: str, reference: Column | None = None) -> DataFrame:
     """key, content_id, url, title, title_source, description, author, upload_date of pages (key, url, html).
 
-    With a ``reference`` date, dates of loose form are read too, with what they lack from it.
+    A field is taken from linked data, else from meta tags, a title else from the
+    page's.  With a ``reference`` date, dates of loose form are read too, with what they lack from it.
     """
     m = pages.withColumn("_m", meta_tags(F.col("html")))
+    m = m.withColumn("_ld", linked_data(F.col("html")))
     m = m.withColumns({f"_{field}": F.coalesce(*[F.try_element_at("_m", F.lit(k)) for k in keys]) for field, keys in KEYS.items()} | {"_html_title": html_title(F.col("html")), "_link": canonical_link(F.col("html"))})
-    title, source = resolved([("meta", F.col("_title")), ("html", F.col("_html_title"))], "Untitled Article")
+    title, source = resolved([("linked data", F.col("_ld.title")), ("meta", F.col("_title")), ("html", F.col("_html_title"))], "Untitled Article")
     m = m.withColumn("_url", U.canonical(F.coalesce(U.resolved(F.col("url"), F.col("_link")), F.col("url"))))
-    raw = F.coalesce("_upload_date", F.lit(""))
+    raw = F.coalesce("_ld.upload_date", "_upload_date", F.lit(""))
     return m.select(
         key, F.substring(F.sha2("_url", 256), 1, 16).alias("content_id"), F.col("_url").alias("url"), title.alias("title"), source.alias("title_source"),
-        T.squeeze(F.coalesce("_description", F.lit(""))).alias("description"), T.author_name(F.coalesce("_author", F.lit(""))).alias("author"),
+        T.squeeze(F.coalesce("_ld.description", "_description", F.lit(""))).alias("description"), T.author_name(F.coalesce("_ld.author", "_author", F.lit(""))).alias("author"),
         (T.iso_date(raw) if reference is None else T.dated(raw, reference)).alias("upload_date"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from notes_engine.sources import blocks, html
+from notes_engine.sources import article, blocks, html
 
 CASES = [
     ("<p>a</p><p>b <b>c</b> <i>d</i> <code>e f</code></p>", "a\n\nb **c** *d* `e f`"),
@@ -54,3 +54,17 @@ def test_article_to_sections(spark):
     md = html.articles(spark.createDataFrame([(1, page)], "k int, html string"), ["k"], "html")
     got = [(r.heading, r.level, r.content) for r in blocks.sections(md, ["k"], "markdown").orderBy("pos").collect()]
     assert got == [("A", 1, "x\n\n- i\n\n  1. j"), ("B", 2, "| k |\n| --- |\n| v |\n\n```\n# no heading\n```")]
+
+
+def test_linked_data(spark):
+    ld = lambda *docs: "".join(f"<script type='application/ld+json'>{d}</script>" for d in docs)
+    rows = [
+        (1, ld('{"@type":"Article","headline":" A &amp; b ","author":"Eve","datePublished":"2024"}')),
+        (2, ld("{broken", '[{"@type":"Person","name":"No"},{"@type":["X","Report"],"name":"R","author":[{"name":"P"},"Q",{"x":1}]}]')),
+        (3, ld('{"@graph":[{"@type":"WebPage","description":"d"},{"@type":"BlogPosting","headline":"h","author":{"name":"N"}}]}')),
+        (4, ld('{"@type":"Product","name":"x"}')), (5, "<p>none</p>"), (6, None), (7, ld('{"@type":"Article","headline":{"a":1},"author":{"x":2}}')),
+    ]
+    out = {r.k: r.d for r in spark.createDataFrame(rows, "k int, h string").select("k", article.linked_data(F.col("h")).alias("d")).collect()}
+    shown = {k: tuple(d) if d else None for k, d in out.items()}
+    none = (None, None, None, None)
+    assert shown == {1: ("A & b", None, "Eve", "2024"), 2: ("R", None, "P, Q", None), 3: ("h", "d", "N", None), 4: none, 5: None, 6: None, 7: none}
