@@ -406,6 +406,10 @@ def tables(spark, odd, tmp_path_factory):  # noqa: F811
     spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, " ".join((odd_rows()[8][1]).split()[3:20])), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(120)] + [(None, None, None)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    turns = [(c, t, ("user", "assistant", "system", None)[(c + t) % 4], (None, "", "a.", "b")[t % 4]) for c in range(20) for t in range(6)] + [(None, None, "user", "x.")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    vectors = [(i, [float(i % 7), float(i % 3), i / 10]) for i in range(30)] + [(None, [0.5, 1.0, 2.0]), (31, None), (32, [1.0, None, 2.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -419,6 +423,10 @@ def test_entry_points(spark, tables, name):
         assert {r.number for r in rows} == set(range(120)) and {r.status for r in rows} == {"ok", "corrupt", "missing"}
     elif name.startswith("op7"):
         assert {(r.doc_id, r.item_id) for r in rows} >= {(8, 1)} and all(100 * r.n_found >= 80 * r.n_shingles for r in rows)
+    elif name.startswith("op12"):
+        assert Counter(r.conv_id for r in rows) == Counter([*range(20), None]) and all(len(r.repaired_sha256) == 64 for r in rows)
+    elif name.startswith("op13"):
+        assert Counter(r.vec_id for r in rows) == Counter({**{i: 3 for i in range(30)}, None: 3}) and {r.component for r in rows} == {1, 2, 3}
     elif name.startswith("op9"):
         assert sum(r.doc_tokens for r in rows if r.start == 0) == sum(r.length for r in rows)
         assert Counter(r.doc_id for r in rows if r.start == 0) == docs
