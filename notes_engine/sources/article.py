@@ -51,12 +51,13 @@ def linked_data(html: Column) -> Column:
     own = F.filter(nodes, lambda n: F.arrays_overlap(F.array_compact(kinds(n)), F.array(*map(F.lit, ARTICLES))))
 
     def told(articles: Column) -> Column:
-        plain = lambda x: F.when(~x.rlike(r"^\s*[\[{]"), F.nullif(T.strip(unescaped(x)), F.lit("")))
+        plain = lambda x: F.when(~x.rlike(r"^\s*[\[{]"), F.nullif(T.strip(x), F.lit("")))
         names = lambda n: F.array_join(F.array_compact(F.transform(many(n, "$.author"), lambda a: F.coalesce(text(a, "$.name"), plain(text(a, "$"))))), ", ")
         first = lambda f: F.get(F.filter(F.transform(articles, f), lambda x: x.isNotNull()), F.lit(0))
         field = lambda *paths: first(lambda n: F.coalesce(*[plain(text(n, p)) for p in paths]))
         author = first(lambda n: F.coalesce(plain(text(n, "$.author.name")), F.nullif(names(n), F.lit("")), plain(text(n, "$.author"))))
-        return F.struct(field("$.headline", "$.name").alias("title"), field("$.description").alias("description"), author.alias("author"), field("$.datePublished", "$.dateCreated", "$.dateModified").alias("upload_date"))
+        fields = F.array(field("$.headline", "$.name"), field("$.description"), author, field("$.datePublished", "$.dateCreated", "$.dateModified"))
+        return T.let(F.transform(fields, unescaped), lambda x: F.struct(*[F.get(x, F.lit(i)).alias(n) for i, n in enumerate(("title", "description", "author", "upload_date"))]))
 
     return F.when(html.contains("ld+json"), T.let(own, told))
 
