@@ -141,11 +141,10 @@ def _run_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         ids = np.asarray(batch.column(0), np.int64)
         breaks = np.flatnonzero(ids[1:] <= ids[:-1]) + 1
-        if last is not None and ids[0] > last:
-            runs[-1][1] = int(ids[breaks[0] - 1] if len(breaks) else ids[-1])
-            starts, ends = breaks, [*breaks[1:], len(ids)]
-        else:
-            starts, ends = [0, *breaks], [*breaks, len(ids)]
+        starts, ends = [0, *breaks], [*breaks, len(ids)]
+        if last is not None and ids[0] > last:  # the last run goes on
+            runs[-1][1] = int(ids[ends.pop(0) - 1])
+            del starts[0]
         runs += [[int(ids[s]), int(ids[e - 1])] for s, e in zip(starts, ends, strict=True)][: RUNS + 1]
         last = int(ids[-1])
     bad = bad or len(runs) > RUNS

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,27 @@ def test_runs_across_tasks(spark):
     drop_stored(spark)
 
 
+def test_runs_across_batches(spark):
+    """A run of rising ids that fills a batch and goes on in the next one."""
+    batch = lambda ids: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["doc_id"])
+    for ids in itertools.product(range(4), repeat=4):
+        cuts = [0, *[k for k in range(1, 4) if ids[k] <= ids[k - 1]], 4]
+        plain = [{"low": ids[a], "high": ids[b - 1]} for a, b in itertools.pairwise(cuts)]
+        for sizes in ((4,), (1, 3), (2, 2), (3, 1), (0, 2, 0, 2), (1, 1, 1, 1)):
+            at = [0, *itertools.accumulate(sizes)]
+            out = fingerprints._run_ends(iter([batch(ids[a:b]) for a, b in itertools.pairwise(at)]))
+            assert [r for b in out for r in b.to_pylist()] == plain, (ids, sizes)
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, prose(rng, rng.randint(1, 40))) for i in range(300)], "doc_id long, text string").coalesce(1)
+    whole = sorted(fingerprints.edited(df).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert sorted(fingerprints.edited(df).collect()) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        drop_stored(spark)
+
+
 def test_classes_hold_every_link_of_large_groups(spark, monkeypatch):
     """A group of near copies and texts that share a passage below the threshold."""
     rng = random.Random(12)
