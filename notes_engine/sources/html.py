@@ -5,7 +5,7 @@ where each row lies (depth of lists and quotes, table cell, boilerplate, the
 article element); a matching pair of tags is two neighbours at one depth of
 their name.  Rows between block tags are one block, with its text and the share
 of it that is links.  All windows and groups are within a page, so the rows are
-dealt out once, by page.
+dealt out once, by page, to as many tasks as the pages' characters ask for.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ NAMED = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "
 LINKS = 0.8  # of the text of a list item or plain block that may be links, at most
 REPEATS, REPEATED = 2, 100  # times that a block of so many characters or more is kept
 SHORT = 80  # characters below which an article is suspect
+TASK_CHARS = 1 << 23  # of pages that one task gets, about: its sorts hold them several times over
 
 
 def unescaped(x: Column) -> Column:
@@ -73,6 +74,12 @@ def _partners(e: DataFrame, by: list[str], names: list[str], prefix: str) -> Dat
     return e.withColumn(prefix, F.when(mine, F.when(F.col("opens"), there(F.lead, "closes")).otherwise(there(F.lag, "opens")))).drop(f"{prefix}_depth")
 
 
+def _tasks(pages: DataFrame, html: str) -> int:
+    """Tasks for pages, of about ``TASK_CHARS`` characters each; a number that is given is not made smaller by adaptive execution."""
+    chars = pages.agg(F.sum(F.length(html).cast("long"))).first()[0] or 0
+    return max(pages.sparkSession.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
+
+
 def placed(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
     """Events of the article of each page with where they lie.
 
@@ -80,7 +87,7 @@ def placed(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
     holds, or the page; elements of boilerplate, by name or by class and id, are
     left out with all that they hold.
     """
-    e = _partners(events(pages, keys, html).repartition(*keys), keys, PAIRED, "_pair")
+    e = _partners(events(pages, keys, html).repartition(_tasks(pages, html), *keys), keys, PAIRED, "_pair")
     order = Window.partitionBy(*keys).orderBy("at")
     page = Window.partitionBy(*keys)
     tag = F.when(F.col("opens"), F.col("piece")).otherwise(F.col("_pair")["piece"])

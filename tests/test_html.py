@@ -68,3 +68,14 @@ def test_linked_data(spark):
     shown = {k: tuple(d) if d else None for k, d in out.items()}
     none = (None, None, None, None)
     assert shown == {1: ("A & b", None, "Eve", "2024"), 2: ("R", None, "P, Q", None), 3: ("h", "d", "N", None), 4: none, 5: None, 6: None, 7: none}
+
+
+def test_tasks_follow_the_characters_of_pages(spark, monkeypatch):
+    """Five times the pages are five times the tasks, however small their rows are when written."""
+    monkeypatch.setattr(html, "TASK_CHARS", 2000, raising=False)
+    page = "<article><h1>t</h1><ul><li>one<li>two</ul><p>" + "same " * 100 + "</p></article>"
+    for n in (100, 500):
+        df = spark.range(n).select(F.col("id").alias("k"), F.lit(page).alias("html"))
+        tasks = html.blocks(df, ["k"], "html").groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("k").alias("pages")).collect()
+        assert sum(r.pages for r in tasks) == n and max(r.pages for r in tasks) < 20 and len(tasks) > n // 5
+    assert html.articles(df, ["k"], "html").select("markdown").distinct().count() == 1
