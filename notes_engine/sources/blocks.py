@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -301,6 +302,21 @@ _PATH = pa.list_(pa.struct([("id", pa.int32()), ("list", pa.int32()), ("mark", p
 LEAF = [("at", pa.int32()), ("path", _PATH), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())]
 
 
+SLICE = 1 << 18  # bytes of text that are lists of Python objects at a time, about
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``SLICE`` bytes of the last column at most (one row at least), since what is made of a text is many times its size."""
+    for batch in batches:
+        start = held = 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()):
+            if i > start and held + size > SLICE:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        yield batch.slice(start)
+
+
 def blocks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, at, path, kind, level, text: the leaves of markdown texts in order (null: none).
 
@@ -369,7 +385,7 @@ def inline_tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     held = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], T.unix_newlines(F.col(text)).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = [(i, pos, *t) for i, md in enumerate(batch.column(batch.num_columns - 1).to_pylist()) for pos, t in enumerate(inline.tokens_of(md or "", {}))]
             origin, *cols = zip(*rows, strict=True) if rows else ([], [], [], [])
             mine = [c.take(pa.array(origin, pa.int64())) for c in batch.columns[:-1]]

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,29 @@ def test_inline_tables_with_problems(spark):
     got = {r.k: r.text for r in blocks.inline_text(blocks.inline_tokens(df, ["k"], "md"), ["k"]).collect()}
     assert got == {i: inline.rendered(inline.tokens_of(md, {})).strip() for i, (md, _) in enumerate(INLINE) if md}
     assert df.where(F.col("md") == "").count() == 1
+
+
+def arrow_function(monkeypatch, df, make):
+    """The function that ``make(df)`` hands to mapInArrow."""
+    taken = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema, go=type(df).mapInArrow: taken.append(f) or go(self, f, schema))
+    make(df)
+    monkeypatch.undo()
+    return taken[0]
+
+
+def small_batches(f, texts):
+    """Rows that ``f`` makes of a batch of texts, which come in batches of few texts each, as they do of one text at a time."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["_k0", "_text"])
+    out = list(f(iter([batch])))
+    assert max(b.column(0).value_counts().__len__() for b in out) < 200
+    alone = [r for i in range(len(texts)) for b in f(iter([batch.slice(i, 1)])) for r in b.to_pylist()]
+    assert [r for b in out for r in b.to_pylist()] == alone
+    return alone
+
+
+def test_inline_tokens_of_few_texts_at_a_time(spark, monkeypatch):
+    f = arrow_function(monkeypatch, spark.createDataFrame([(1, "a")], "k long, md string"), lambda df: blocks.inline_tokens(df, ["k"], "md"))
+    texts = [None, "", "*x* `y` " * 50_000, *["a **b** [c](d) " * 150] * 400, None]
+    assert len(small_batches(f, texts)) > 400_000
+    assert [b.num_rows for b in f(iter([pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], names=["_k0", "_text"])]))] == [0]
