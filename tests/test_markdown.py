@@ -169,3 +169,9 @@ def test_inline_tokens_of_few_texts_at_a_time(spark, monkeypatch):
     texts = [None, "", "*x* `y` " * 50_000, *["a **b** [c](d) " * 150] * 400, None]
     assert len(small_batches(f, texts)) > 400_000
     assert [b.num_rows for b in f(iter([pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], names=["_k0", "_text"])]))] == [0]
+
+
+def test_blocks_of_few_texts_at_a_time(spark, monkeypatch):
+    f = arrow_function(monkeypatch, spark.createDataFrame([(1, "a")], "k long, md string"), lambda df: blocks.blocks(df, ["k"], "md"))
+    texts = [None, "", "# x\n\n- y\n" * 40_000, *["> a **b**\n\n1. c\n2. d\n\n" * 100] * 400, None]
+    assert len(small_batches(f, texts)) > 100_000
